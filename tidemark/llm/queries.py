@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import split_of, table
 
 #: The rules of the URL query (fixed values).
 URL_RULES = [
@@ -42,16 +42,45 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("mixing").mix(docs, quality=quality_weights(spark, sf_dir))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _op("decontam").find_items(docs, table(spark, sf_dir, "benchmark"))
+    joined = F.array_join("items", ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), "contaminated")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = split_of(F.col("doc_id"), 3) == 1
+    scored = _op("toxicity").score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op("simhash").near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decided = _op("exact_dedup").exact_dedup(docs)
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = split_of(F.col("doc_id"), 5) == 0
+    named = _op("langid").identify(docs.select("doc_id", "text"), docs, ~held_out)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_decontamination": op2_decontamination,
     "op4_source_mixing": op4_source_mixing,
+    "op5_toxicity": op5_toxicity,
+    "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 _OP1 = r"""
