@@ -37,6 +37,11 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("doc_id", weight.alias("weight"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _op("quality").score_quality(docs).select("doc_id", "score", "weak_label", "predicted")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return _op("mixing").mix(docs, quality=quality_weights(spark, sf_dir))
@@ -60,12 +65,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("simhash").near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return _op("html_extract").extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decided = _op("exact_dedup").exact_dedup(docs)
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _op("lm_score").score_documents(docs).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = split_of(F.col("doc_id"), 5) == 0
@@ -76,10 +91,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_html_extraction": op7_html_extraction,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 
