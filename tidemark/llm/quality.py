@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,10 @@ from tidemark.llm.common import clashing
 #: Fixed bounds of the scorer.
 SAMPLE = 6_000
 BUCKETS = 1 << 16
-EPOCHS = 40
+EPOCHS = 80
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
-_DIGITS = bytes(range(48, 58))
 _SIGNS = bytes(b for b in range(33, 127) if chr(b) in "#$%&*+<=>@[\\]^_`{|}~/")
 _CALLS = b"!?"
 _ENDS = (b".", b"!", b"?", b":", b'"', b")", "…".encode())
@@ -42,40 +42,46 @@ def _count(raw: bytes, kinds: bytes) -> int:
     return len(raw) - len(raw.translate(None, kinds))
 
 
-def _three(value: float, bad: bool, good: bool) -> int:
+def _three(bad: bool, good: bool) -> int:
     return -1 if bad else 1 if good else 0
 
 
 def votes(raw: bytes) -> list[int]:
-    """Each labeller's vote on a text: 1 good, -1 bad, 0 none."""
+    """Each labeller's vote on a text: 1 good, -1 bad, 0 none.
+
+    Several labellers look at each kind of fault, so that their votes overlap.
+    """
     words = raw.split()
     n = len(words)
     if not n:
         return [-1] + [0] * (LABELLERS - 1)
-    size = max(len(raw), 1)
     letters = max(_count(raw, _LETTERS), 1)
     mean = sum(map(len, words)) / n
-    signs = _count(raw, _SIGNS) / n
-    upper = _count(raw, _UPPER) / letters
-    digits = _count(raw, _DIGITS) / size
     lines = [x.strip() for x in raw.split(b"\n") if x.strip()]
     ended = sum(x.endswith(_ENDS) for x in lines) / len(lines)
-    repeated = 1 - len(set(lines)) / len(lines)
-    varied = len(set(words)) / n
-    calls = _count(raw, _CALLS) / n
+    twice = sum(map(eq, words, words[1:])) / n
+    kinds = len(set(words))
+    short = sum(len(w) <= 4 for w in words) / n
+    marked = sum(w[-1] in _SIGNS for w in words) / n
+    shouted = sum(w.isupper() for w in words) / n
+    signs, calls = _count(raw, _SIGNS) / n, _count(raw, _CALLS) / n
     return [
-        _three(n, n < 10, n >= 30),
-        _three(mean, mean < 2.5 or mean > 14, 3 <= mean <= 10),
-        _three(signs, signs > 0.3, signs < 0.05),
-        _three(upper, upper > 0.4, upper < 0.15),
-        _three(digits, digits > 0.1, digits < 0.03),
-        _three(ended, ended < 0.3, ended > 0.6),
-        _three(varied, n >= 100 and varied < 0.15 or repeated > 0.4, varied > 0.25 and repeated < 0.1),
-        _three(calls, calls > 0.3, calls < 0.05),
+        -1 if n < 10 else 0,
+        -1 if signs > 0.3 else 0,
+        -1 if marked > 0.15 else 0,
+        -1 if _count(raw, _UPPER) > 0.4 * letters else 0,
+        -1 if shouted > 0.3 else 0,
+        -1 if calls > 0.3 else 0,
+        -1 if twice > 0.2 else 0,
+        -1 if n >= 20 and kinds < 2 * n**0.5 else 0,
+        -1 if len(set(lines)) < 0.6 * len(lines) else 0,
+        _three(ended < 0.3, ended > 0.6),
+        _three(short < 0.05, 0.2 < short < 0.8),
+        _three(mean < 2.5 or mean > 14, 3 <= mean <= 10),
     ]
 
 
-LABELLERS = 8
+LABELLERS = 12
 
 
 def pattern_of(raw: bytes) -> int:
@@ -97,14 +103,15 @@ def votes_of(pattern: int) -> list[int]:
 def label_model(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
     """Posterior of good by pattern, and P(vote | class) by class, labeller and vote.
 
-    Starts from the majority of the votes, so that class 1 stays the good one.
+    Starts from the bad votes of each pattern, so that class 1 stays the good one.
     """
     if not patterns:
         return {}, np.zeros((2, LABELLERS, 3))
     keys = sorted(patterns)
     cast = np.array([votes_of(k) for k in keys])
     weight = np.array([patterns[k] for k in keys], float)
-    good = 1 / (1 + np.exp(-cast.sum(axis=1) + 2.0))
+    against = (cast < 0).sum(axis=1)
+    good = np.where(against == 0, 0.95, np.where(against == 1, 0.5, 0.05))
     likes = np.zeros((2, LABELLERS, 3))
     for _ in range(rounds):
         for c, share in ((0, 1 - good), (1, good)):
@@ -138,19 +145,33 @@ def _hashes(word: bytes) -> tuple[int, int]:
     return found
 
 
-def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights (logarithms of counts, to unit length) of a text."""
-    counts: Counter = Counter()
-    for word, n in Counter(raw.split()).items():
-        a, b = _hashes(word)
-        counts[a] += n
-        counts[b] += n
-    at = np.fromiter(counts, np.int64, len(counts))
-    weight = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
-    return at, weight / (np.linalg.norm(weight) or 1.0)
+_RUN = zlib.crc32(b"shape of a word again") % BUCKETS
+_LINE = zlib.crc32(b"shape of a line again") % BUCKETS
 
 
-def fit(raws: list[bytes], targets: list[float], epochs: int = EPOCHS, decay: float = 1e-5) -> np.ndarray:
+def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of a text.
+
+    Words weigh the logarithms of their counts, to unit length; shapes of words,
+    and words and lines that come again, weigh the root of their share.
+    """
+    words = raw.split()
+    plain: Counter = Counter()
+    shapes: Counter = Counter()
+    for word, n in Counter(words).items():
+        a, b = _hashes(word)
+        plain[a] += n
+        shapes[b] += n
+    lines = raw.split(b"\n")
+    shapes[_RUN] += sum(map(eq, words, words[1:]))
+    shapes[_LINE] += (len(lines) - len(set(lines))) * len(words) // len(lines)
+    at = np.fromiter((*plain, *shapes), np.int64, len(plain) + len(shapes))
+    weight = np.log1p(np.fromiter(plain.values(), np.float64, len(plain)))
+    share = np.sqrt(np.fromiter(shapes.values(), np.float64, len(shapes)) / max(len(words), 1))
+    return at, np.concatenate((weight / (np.linalg.norm(weight) or 1.0), share))
+
+
+def fit(raws: list[bytes], targets: list[float], epochs: int = EPOCHS, decay: float = 1e-4) -> np.ndarray:
     """Logistic weights by bucket; the last is the bias."""
     w, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-8)
     if not raws:
