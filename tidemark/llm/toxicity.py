@@ -38,7 +38,7 @@ PER_CLASS = 4_000
 MAX_TERMS = 4_096
 NEIGHBOURS = 15
 BLOCK = 64
-MIN_Z = 4.0
+MIN_Z = 6.0
 
 
 def words(text: str | None) -> list[str]:
