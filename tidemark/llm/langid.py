@@ -140,18 +140,19 @@ def has_letter(text: str | None, raw: bytes) -> bool:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, learn, per_language: int = PER_LANGUAGE) -> list:
-    """At most ``per_language`` rows a language, of least text hash; excerpts from within the text.
+    """At most ``per_language`` texts a language, of least hash; excerpts from within the text.
 
     The excerpt bounds what the driver holds; it begins at a place that the
-    hash gives. Each task keeps its own least rows before any are shuffled.
+    hash gives. Hashes are chosen first, each task offering only its least, so
+    that no task gathers the texts of others.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    draw = F.xxhash64(text_col)
-    begin = F.pmod(draw, F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1))) + 1
-    rows = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).substr(begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
-    # A window's rank limit is applied in each task before the exchange too.
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
-    return ranked.where(F.col("k") <= per_language).select("lang", "text").orderBy("lang", "draw").collect()
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("draw"), F.col(text_col).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = rows.select("lang", "draw").withColumn("k", rank).where(F.col("k") <= per_language).select("lang", "draw").distinct()
+    begin = F.pmod(F.col("draw"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
+    found = rows.join(F.broadcast(chosen), ["lang", "draw"]).select("lang", "draw", F.col("text").substr(begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    return found.groupBy("lang", "draw").agg(F.min("text").alias("text")).orderBy("lang", "draw").collect()
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator[pa.RecordBatch]:
