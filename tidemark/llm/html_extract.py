@@ -57,8 +57,8 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
 
 #: Bound of the training sample, and the length of training.
-SAMPLE_PAGES = 300
-EPOCHS = 40
+SAMPLE_PAGES = 200
+EPOCHS = 120
 BUCKETS = 1 << 12
 
 
@@ -192,10 +192,12 @@ def _path_features(path: tuple) -> list[int]:
     """Features of the elements around a block; pages of a site repeat them."""
     found = _paths.get(path)
     if found is None:
-        names = {f"in:{tag}" for tag, _ in path}
-        for tag, words in path:
-            names |= {f"word:{w}" for w in words if w in OTHER_WORDS or w in ARTICLE_WORDS or w == "hidden"}
+        # What stands in something other than the article is not told by what that stands in.
         said = kinds(path)
+        strange = "other" in said
+        names = {f"in:{tag}" for tag, _ in path if not (strange and tag in ARTICLE_TAGS)}
+        known = OTHER_WORDS | {"hidden"} if strange else ARTICLE_WORDS
+        names |= {f"word:{w}" for _, words in path for w in words & known}
         names |= {f"kind:{'+'.join(sorted(set(said)))}", f"own:{path[-1][0] if path else ''}", f"deep:{min(len(path), 8)}"}
         found = sorted({_id(n) for n in names})
         if len(_paths) > 50_000:
@@ -357,7 +359,7 @@ def variants(page: list[Block], texts: list[str], rng: np.random.Generator) -> t
         if declared(block) != 1:
             out.append((block, 0))
             continue
-        if rng.random() < 0.15:
+        if rng.random() < 0.3:
             strange()
         leaf = (ARTICLE_LEAVES[rng.integers(len(ARTICLE_LEAVES))], frozenset())
         out.append((Block(block.text, outer + dress + (leaf,)), 1))
@@ -366,12 +368,12 @@ def variants(page: list[Block], texts: list[str], rng: np.random.Generator) -> t
 
 
 def train(pages: list[str], seed: int = 42) -> ChainField:
-    """Fit on pages that declare their article, and on two variants of each."""
+    """Fit on pages that declare their article, and on three variants of each."""
     cut = [b for b in map(blocks, pages) if any(declared(x) == 1 for x in b)]
     labels = [[declared(x) or 0 for x in page] for page in cut]
     texts = [b.text for page in cut for b in page if declared(b) == 1]
     rng = np.random.default_rng(seed)
-    dressed = [variants(page, texts, rng) for page in cut for _ in range(2)]
+    dressed = [variants(page, texts, rng) for page in cut for _ in range(3)]
     return ChainField().fit(cut + [p for p, _ in dressed], labels + [la for _, la in dressed])
 
 
@@ -380,10 +382,16 @@ def main_text(field: ChainField, page: str | None) -> str:
     return "\n".join(b.text for b, label in zip(found, field.decode(found)) if label)
 
 
-def sample_pages(pages: DataFrame, html_col: str, n: int = SAMPLE_PAGES, max_bytes: int = 64 << 10) -> list[str]:
-    """At most ``n`` pages of at most ``max_bytes``, those of least hash; repeated pages count once."""
+def sample_pages(pages: DataFrame, html_col: str, n: int = SAMPLE_PAGES, max_bytes: int = 16 << 10) -> list[str]:
+    """At most ``n`` pages of at most ``max_bytes``, those of least hash; repeated pages count once.
+
+    Hashes are chosen first, so that no task gathers the pages of others.
+    """
     small = pages.where(F.octet_length(html_col) <= max_bytes).select(F.xxhash64(html_col).alias("draw"), F.col(html_col).alias("html"))
-    return [r["html"] for r in small.orderBy("draw").limit(n).dropDuplicates(["draw"]).orderBy("draw").collect()]
+    # Each task sends at most n distinct hashes: a bounded broadcast.
+    least = small.select("draw").distinct().orderBy("draw").limit(n)
+    rows = small.join(F.broadcast(least), "draw").groupBy("draw").agg(F.min("html").alias("html"))
+    return [r["html"] for r in rows.orderBy("draw").collect()]
 
 
 def _extract(batches: Iterator[pa.RecordBatch], shared, html_col: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
