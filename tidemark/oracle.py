@@ -113,6 +113,8 @@ ORACLE_SQL: dict[str, str] = {
     "facet_author": _facet("author", "fm"),
     "facet_language": _facet("language", "fm"),
     "facet_classification": _facet("classification", "fe"),
+    "agg_stats": _with(EV, LIVE_FILES, QUEUE)
+    + "SELECT (SELECT count(*) FROM ev) AS events, (SELECT count(*) FROM files WHERE NOT is_dir AND length(path) % 10 <> 0) AS files, (SELECT count(*) FROM queue) AS pending_extractions",
     "agg_schema_version": _with(EV) + "SELECT coalesce(max(id % 5 + 1), 0)::INTEGER AS version FROM ev",
     "agg_scan_summary": _with(SNAP, f"d AS ({DIFF})")
     + """SELECT (SELECT count(*) FROM snap_new) AS files_seen,
