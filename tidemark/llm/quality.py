@@ -127,24 +127,28 @@ def label_model(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int,
     return dict(zip(keys, good.tolist())), likes
 
 
-_SHAPE = ((re.compile(rb"[A-Z]+"), b"X"), (re.compile(rb"[a-z\x80-\xff]+"), b"x"), (re.compile(rb"[0-9]+"), b"9"))
-_numbers: dict[bytes, tuple[int, int]] = {}
+#: Letters and digits of a word to the signs of its shape.
+_SHAPE = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+")
+_shapes: dict[bytes, int] = {}
 
 
-def _hashes(word: bytes) -> tuple[int, int]:
-    """Buckets of a word and of its shape."""
-    found = _numbers.get(word)
+def _shape_bucket(word: bytes) -> int:
+    """Bucket of a word's shape: kinds of characters, runs as one."""
+    signs = word.translate(_SHAPE)
+    found = _shapes.get(signs)
     if found is None:
-        shape = word
-        for pattern, sign in _SHAPE:
-            shape = pattern.sub(sign, shape)
-        found = zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(b"shape " + shape) % BUCKETS
-        if len(_numbers) > 300_000:
-            _numbers.clear()
-        _numbers[word] = found
+        found = zlib.crc32(b"shape " + _RUNS.sub(rb"\1", signs)) % BUCKETS
+        if len(_shapes) > 50_000:
+            _shapes.clear()
+        _shapes[signs] = found
     return found
 
 
+def _word_bucket(word: bytes) -> int:
+    return zlib.crc32(word.lower()) % BUCKETS
+
+
 _RUN = zlib.crc32(b"shape of a word again") % BUCKETS
 _LINE = zlib.crc32(b"shape of a line again") % BUCKETS
 
@@ -156,19 +160,16 @@ def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     and words and lines that come again, weigh the root of their share.
     """
     words = raw.split()
-    plain: Counter = Counter()
-    shapes: Counter = Counter()
-    for word, n in Counter(words).items():
-        a, b = _hashes(word)
-        plain[a] += n
-        shapes[b] += n
     lines = raw.split(b"\n")
-    shapes[_RUN] += sum(map(eq, words, words[1:]))
-    shapes[_LINE] += (len(lines) - len(set(lines))) * len(words) // len(lines)
-    at = np.fromiter((*plain, *shapes), np.int64, len(plain) + len(shapes))
-    weight = np.log1p(np.fromiter(plain.values(), np.float64, len(plain)))
-    share = np.sqrt(np.fromiter(shapes.values(), np.float64, len(shapes)) / max(len(words), 1))
-    return at, np.concatenate((weight / (np.linalg.norm(weight) or 1.0), share))
+    found = Counter(words)
+    plain = np.fromiter(map(_word_bucket, found), np.int64, len(found))
+    forms = np.fromiter(map(_shape_bucket, found), np.int64, len(found))
+    counts = np.fromiter(found.values(), np.float64, len(found))
+    shapes, where = np.unique(forms, return_inverse=True)
+    again = [sum(map(eq, words, words[1:])), (len(lines) - len(set(lines))) * len(words) // len(lines)]
+    shares = np.sqrt(np.append(np.bincount(where, counts, len(shapes)), again) / max(len(words), 1))
+    weight = np.log1p(counts)
+    return np.concatenate((plain, shapes, (_RUN, _LINE))), np.concatenate((weight / (np.linalg.norm(weight) or 1.0), shares))
 
 
 def fit(raws: list[bytes], targets: list[float], epochs: int = EPOCHS, decay: float = 1e-4) -> np.ndarray:
