@@ -10,7 +10,10 @@ from tidemark.functions.text import any_directory
 
 
 def scan(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = schemas.SKIP_DIRS, max_entries: int | None = None) -> DataFrame:
-    """(path, size_bytes, mtime_unix) of the files below a root; contents are not read."""
+    """(path, size_bytes, mtime_unix) of the files below a root; contents are not read.
+
+    Spark's file sources leave out names that begin with a dot or an underscore.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*", "/")
     rows = files.select(path.alias("path"), F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("mtime_unix"))
