@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir, shared_path, written
+
+__all__ = ["bounded", "clashing", "n_words", "one_spaced", "shared_dir", "shared_path", "shuffle_partitions", "split_of", "table", "text_chunks", "written"]
+
 #: The six ASCII white-space characters that part words in the text contracts.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -18,36 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, local mode) is one made here.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        named = context.getCheckpointDir()
-    return named
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The written table cuts the lineage: losing an executor later costs a
-    re-read, not a recomputation, and no copy lives on one machine only.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -39,7 +39,8 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _op("quality").score_quality(docs).select("doc_id", "score", "weak_label", "predicted")
+    scored = _op("quality").score_quality(docs)
+    return scored.select("doc_id", "score", "weak_label", "predicted", (F.col("predicted") == 1).alias("kept"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,6 +255,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id."""
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Rows that repeat that id stay together; rows without an id are never dropped.
+    """
     found = near_dedup(docs, id_col, text_col, radius)
     return docs.join(found.where(f"{id_col} <> component_id").select(id_col), id_col, "left_anti").select(docs.columns)
