@@ -36,9 +36,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their words and those taken."""
+    """Documents that the mix takes, with their words and those taken.
+
+    Rows that repeat an id (or lack one) share what the mix takes most of among
+    them, so that each row comes back once.
+    """
     mixed = mixing.mix(docs, quality=queries.quality_weights(spark, sf_dir)).where("taken > 0")
-    return docs.join(mixed.select("doc_id", "size", "source_size", "target", "taken"), "doc_id")
+    most = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max_by(F.struct("size", "source_size", "target", "taken"), F.struct("taken", "size")).alias("m"))
+    return docs.join(most, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "m.*")
 
 
 STAGES = [
