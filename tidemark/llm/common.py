@@ -6,10 +6,11 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.sources.shared import shared_dir, shared_path, written
 
-__all__ = ["bounded", "clashing", "n_words", "one_spaced", "shared_dir", "shared_path", "shuffle_partitions", "split_of", "table", "text_chunks", "written"]
+__all__ = ["bounded", "clashing", "least_rows", "n_words", "one_spaced", "shared_dir", "shared_path", "shuffle_partitions", "split_of", "table", "text_chunks", "written"]
 
 #: The six ASCII white-space characters that part words in the text contracts.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -33,6 +34,25 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def least_rows(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """The ``n`` rows of least ``draw`` (a 64-bit hash), of each value of ``by`` if given.
+
+    Rows are counted first and all but a share of the draws that holds ``n`` of
+    them almost surely is filtered in the tasks that read them, so that what
+    meets in one task is bounded by ``n`` and not by the number of tasks. Where
+    many rows share a draw fewer than ``n`` may be left.
+    """
+    unit = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
+    enough = n + 6 * n**0.5 + 10
+    if by is None:
+        total = rows.count()
+        return rows.where(unit < F.lit(enough / max(total, 1))).orderBy(unit, "draw").limit(n)
+    counts = bounded(rows.groupBy(by).agg(F.count("*").alias("_n")), 100_000)
+    near = rows.join(counts, by).where(unit < F.lit(enough) / F.col("_n")).drop("_n")
+    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(unit, "draw")))
+    return ranked.where(F.col("_k") <= n).drop("_k")
+
+
 def one_spaced(text: Column) -> Column:
     """The text with every run of white space made one space; null is empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import clashing
+from tidemark.llm.common import clashing, least_rows
 
 #: Elements that part blocks (fixed values).
 BLOCK_TAGS = frozenset(
@@ -388,8 +388,8 @@ def sample_pages(pages: DataFrame, html_col: str, n: int = SAMPLE_PAGES, max_byt
     Hashes are chosen first, so that no task gathers the pages of others.
     """
     small = pages.where(F.octet_length(html_col) <= max_bytes).select(F.xxhash64(html_col).alias("draw"), F.col(html_col).alias("html"))
-    # Each task sends at most n distinct hashes: a bounded broadcast.
-    least = small.select("draw").distinct().orderBy("draw").limit(n)
+    # At most n hashes: a bounded broadcast.
+    least = least_rows(small.select("draw"), n).distinct()
     rows = small.join(F.broadcast(least), "draw").groupBy("draw").agg(F.min("html").alias("html"))
     return [r["html"] for r in rows.orderBy("draw").collect()]
 

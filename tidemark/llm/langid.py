@@ -22,9 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import clashing, text_chunks
+from tidemark.llm.common import clashing, least_rows, text_chunks
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -143,13 +142,12 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, learn, per_language: i
     """At most ``per_language`` texts a language, of least hash; excerpts from within the text.
 
     The excerpt bounds what the driver holds; it begins at a place that the
-    hash gives. Hashes are chosen first, each task offering only its least, so
-    that no task gathers the texts of others.
+    hash gives. Hashes are chosen first, so that no task gathers the texts of
+    others.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("draw"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    chosen = rows.select("lang", "draw").withColumn("k", rank).where(F.col("k") <= per_language).select("lang", "draw").distinct()
+    chosen = least_rows(rows.select("lang", "draw"), per_language, "lang").distinct()
     begin = F.pmod(F.col("draw"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
     found = rows.join(F.broadcast(chosen), ["lang", "draw"]).select("lang", "draw", F.col("text").substr(begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     return found.groupBy("lang", "draw").agg(F.min("text").alias("text")).orderBy("lang", "draw").collect()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import clashing
+from tidemark.llm.common import clashing, least_rows
 
 #: Fixed bounds of the scorer.
 SAMPLE = 6_000
@@ -231,7 +231,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     counts = docs.select(text_col).mapInArrow(_patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     posterior, _ = label_model({r["pattern"]: r["n"] for r in counts})
-    ids = docs.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    ids = least_rows(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("draw")), sample).select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
     raws = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in texts.orderBy("id").collect()]
     raws = [r for r in raws if pattern_of(r) in posterior]

@@ -27,9 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import clashing
+from tidemark.llm.common import clashing, least_rows
 
 WORD = regex.compile(r"\p{L}+")
 
@@ -156,9 +155,7 @@ def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id",
     counts as toxic if one label says so.
     """
     labelled = labels.where(learn & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    # The rank limit is applied in each task before the exchange too.
-    chosen = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).drop("k")
+    chosen = least_rows(labelled.withColumn("draw", F.xxhash64("id")), per_class, "label").drop("draw")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     return rows.orderBy("id").collect()
