@@ -330,3 +330,22 @@ def test_metrics_round_trip(spark):
 def test_log_tail(spark):
     rows = spark.range(300).withColumnRenamed("id", "n")
     assert [r["n"] for r in ev.tail(rows, ["n"], 3).collect()] == [297, 298, 299] and ev.tail(rows, ["n"]).count() == 200
+
+
+def test_rename_over_a_file_and_out_of_sight(spark):
+    state = spark.createDataFrame([(1, "/a", None), (2, "/b", None), (3, "/c", None), (4, "/d", 5)], "id long, path string, deleted_at long")
+    renames = spark.createDataFrame([("/a", "/b"), ("/c", None), ("/d", "/e"), ("/nowhere", None)], "from_path string, to_path string")
+    after, told = cdc.apply_renames(state, renames, F.lit(9).cast("long"))
+    assert {tuple(r) for r in after.collect()} == {(1, "/b", None), (2, "/b", 9), (3, "/c", 9), (4, "/d", 5)}
+    assert {tuple(r) for r in told.collect()} == {(1, "/b", "renamed", "/a"), (2, "/b", "deleted", None), (3, "/c", "deleted", None), (None, "/e", "created", None)}
+
+
+def test_pdf_and_deadline():
+    from tidemark.queries import _as_pdf
+
+    got = office.extract_one("pdf", _as_pdf("one (two) \\ three\nfour"))
+    assert got["body_text"] == "one (two) \\ three\nfour" and got["page_count"] == 1 and got["author"] == "Ada"
+    assert office.extract_one("pdf", b"junk")["error"] == "ValueError: no PDF header"
+    with pytest.raises(TimeoutError), office.deadline(0.05):
+        while True:
+            pass

@@ -109,3 +109,53 @@ def unpaired(halves: DataFrame, gap_ms: int) -> DataFrame:
 def rename_action(from_excluded: Column, to_excluded: Column) -> Column:
     """What a rename is where a side lies in an excluded directory."""
     return F.when(from_excluded & to_excluded, "ignore").when(from_excluded, "arrival").when(to_excluded, "departure").otherwise("rename")
+
+
+def decide(touched: DataFrame, state: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(path, kind) of touched paths, held against the live state and what is there now.
+
+    Gone before it could be looked at is deleted if it was known, else nothing;
+    unknown is created; of other size or time is modified; else nothing.
+    """
+    t = touched.select("path").distinct().alias("t")
+    live = state.where("deleted_at IS NULL").alias("s")
+    joined = t.join(live, F.col("t.path") == F.col("s.path"), "left").join(snapshot.alias("n"), F.col("t.path") == F.col("n.path"), "left")
+    known, there = F.col("s.path").isNotNull(), F.col("n.path").isNotNull()
+    kind = F.when(known & ~there, "deleted").when(there & ~known, "created").when(there & changed("s", "n"), "modified")
+    return joined.select(F.col("t.path").alias("path"), kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def apply_renames(state: DataFrame, renames: DataFrame, at_ms: Column) -> tuple[DataFrame, DataFrame]:
+    """State (id, path, deleted_at) after renames (from_path, to_path), and their events.
+
+    A known live source keeps its id under the new path. A live row at the
+    destination gives way: it is tombstoned and deleted. An unknown source makes
+    the destination an arrival (created, without an id yet); a null destination
+    lies outside all roots and is a removal. A path takes part in at most one
+    rename of a batch on each side.
+    """
+    live = state.where("deleted_at IS NULL")
+    moves = renames.join(live.select(F.col("path").alias("from_path"), F.col("id").alias("_id")), "from_path", "left")
+    leaving = moves.where("_id IS NOT NULL").select(F.col("_id").alias("id"), F.lit(True).alias("_moves"), F.col("to_path").alias("_to"))
+    targets = renames.where("to_path IS NOT NULL").select(F.col("to_path").alias("path"), F.lit(True).alias("_taken")).distinct()
+    seen = state.join(leaving, "id", "left").join(targets, "path", "left")
+    is_live = F.col("deleted_at").isNull()
+    moves_on = is_live & F.coalesce("_moves", F.lit(False))
+    gives_way = is_live & ~F.coalesce("_moves", F.lit(False)) & F.coalesce("_taken", F.lit(False))
+    goes = gives_way | (moves_on & F.col("_to").isNull())
+    after = seen.select(
+        "id",
+        F.when(moves_on, F.coalesce("_to", "path")).otherwise(F.col("path")).alias("path"),
+        F.when(goes, at_ms).otherwise(F.col("deleted_at")).alias("deleted_at"),
+    )
+    event = F.when(goes, "deleted").when(moves_on, "renamed")
+    told = seen.select("id", F.when(moves_on, F.coalesce("_to", "path")).otherwise(F.col("path")).alias("path"), event.alias("kind"), F.when(moves_on & F.col("_to").isNotNull(), F.col("path")).alias("previous_path")).where("kind IS NOT NULL")
+    arrivals = moves.where("_id IS NULL AND to_path IS NOT NULL")
+    null = lambda kind: F.lit(None).cast(kind)
+    return after, told.unionByName(arrivals.select(null("long").alias("id"), F.col("to_path").alias("path"), F.lit("created").alias("kind"), null("string").alias("previous_path")))
+
+
+def not_superseded(changes: DataFrame, renames: DataFrame) -> DataFrame:
+    """Pending changes on paths that no rename of the batch leaves or reaches."""
+    both = renames.select(F.explode(F.array("from_path", "to_path")).alias("path")).where("path IS NOT NULL").distinct()
+    return changes.join(both, "path", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark import schemas
-from tidemark.functions.vectors import euclidean, hamming, sign_bits
+from tidemark.functions.vectors import checked, euclidean, hamming, sign_bits
 
 
 def _literal(vector: Sequence[float]):
@@ -55,6 +55,12 @@ def recall(vectors: DataFrame, queries: DataFrame, limit: int, width: int) -> Da
     return both.groupBy("query_id").agg(F.count("hit").alias("hits"), F.count("*").alias("wanted"))
 
 
+def stored(vectors: DataFrame, dimensions: int) -> DataFrame:
+    """(file_id, embedding, bits): bits come with their vector, whose width is checked."""
+    checked_vector = checked(F.col("embedding"), dimensions)
+    return vectors.select("file_id", checked_vector.alias("embedding"), sign_bits(checked_vector, dimensions).alias("bits"))
+
+
 def check_config(config: DataFrame, model: str, dimensions: int) -> None:
     """Refuse to mix vectors of another model or width than those stored."""
     row = config.where("id = 1").first()

@@ -66,6 +66,11 @@ HALF_QUEUE = "hq AS (SELECT doc_id AS file_id, 1::BIGINT AS queued_at_unix, 3 AS
 REQUEUE = """rq AS (SELECT file_id, 'stale' AS reason FROM fm WHERE extractor_version < 2
   UNION ALL SELECT doc_id, 'never' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM fm WHERE fm.file_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM hq WHERE hq.file_id = d.doc_id))"""
 PENDING = "pend AS (SELECT * FROM queue WHERE attempt_count < 5 ORDER BY queued_at_unix, file_id LIMIT 16)"
+RENAMES = """st AS (SELECT doc_id AS id, '/f/' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 1::BIGINT END AS deleted_at FROM documents WHERE doc_id % 7 <> 0),
+ren AS (SELECT '/f/' || doc_id AS from_path, CASE WHEN doc_id % 4 = 0 THEN '/f/' || (doc_id + 1) WHEN doc_id % 4 = 2 THEN '/g/' || doc_id END AS to_path FROM documents WHERE doc_id % 4 IN (0, 2) OR doc_id % 12 = 3),
+told0 AS (SELECT s.*, r.to_path, s.deleted_at IS NULL AND r.from_path IS NOT NULL AS moves, s.deleted_at IS NULL AND r.from_path IS NULL AND EXISTS (SELECT 1 FROM ren x WHERE x.to_path = s.path) AS displaced
+  FROM st s LEFT JOIN ren r ON r.from_path = s.path AND s.deleted_at IS NULL),
+told AS (SELECT *, displaced OR (moves AND to_path IS NULL) AS gone FROM told0)"""
 CIVIL = """SELECT id, CASE WHEN s IS NULL THEN NULL ELSE s END AS seconds FROM (SELECT id,
   date_diff('day', DATE '1970-01-01', make_date((1950 + id % 150)::BIGINT, (1 + id % 12)::BIGINT, 1::BIGINT)) * 86400 + (id % 31) * 86400 + (id % 24) * 3600 + (id % 60) * 60 + id % 61 AS s FROM ev)"""
 
@@ -165,6 +170,15 @@ SELECT r.query_id, count(s.file_id) AS hits, count(*) AS wanted FROM ranked r LE
     "cdc_tombstones": _with(STATE) + "SELECT path, 'deleted' AS kind, 5000::BIGINT AS at_unix_ms FROM state WHERE deleted_at IS NULL AND path NOT IN (SELECT path FROM snap_new)",
     "cdc_state_fold": _with(EV)
     + "SELECT file_id, max(id) AS last_id, arg_max(size_bytes, id) AS size_bytes, CASE WHEN arg_max(kind, id) = 'deleted' THEN arg_max(at_unix_ms, id) END AS deleted_at, count(*) AS n_events FROM ev GROUP BY file_id",
+    "change_decide": _with(STATE, "touched AS (SELECT '/' || source || '/' || lang || '/' || doc_id AS path FROM documents WHERE doc_id % 2 = 0)", "live AS (SELECT * FROM state WHERE deleted_at IS NULL)")
+    + """SELECT * FROM (SELECT t.path, CASE WHEN s.path IS NOT NULL AND n.path IS NULL THEN 'deleted' WHEN n.path IS NOT NULL AND s.path IS NULL THEN 'created'
+  WHEN n.path IS NOT NULL AND (s.size_bytes IS DISTINCT FROM n.size_bytes OR s.mtime_unix IS DISTINCT FROM n.mtime_unix) THEN 'modified' END AS kind
+  FROM touched t LEFT JOIN live s ON t.path = s.path LEFT JOIN snap_new n ON t.path = n.path) WHERE kind IS NOT NULL""",
+    "rename_apply": _with(RENAMES) + "SELECT id, CASE WHEN moves THEN coalesce(to_path, path) ELSE path END AS path, CASE WHEN gone THEN 99 ELSE deleted_at END AS deleted_at FROM told",
+    "rename_apply_events": _with(RENAMES)
+    + """SELECT id, CASE WHEN moves THEN coalesce(to_path, path) ELSE path END AS path, CASE WHEN gone THEN 'deleted' ELSE 'renamed' END AS kind, CASE WHEN moves AND to_path IS NOT NULL THEN path END AS previous_path FROM told WHERE gone OR moves
+  UNION ALL SELECT NULL, to_path, 'created', NULL FROM ren WHERE to_path IS NOT NULL AND from_path NOT IN (SELECT path FROM st WHERE deleted_at IS NULL)""",
+    "rename_supersedes": _with(RENAMES) + "SELECT id, path FROM st WHERE path NOT IN (SELECT from_path FROM ren) AND path NOT IN (SELECT to_path FROM ren WHERE to_path IS NOT NULL)",
     "queue_pending": _with(QUEUE, PENDING) + "SELECT * FROM pend",
     "queue_enqueue": _with(QUEUE, "news AS (SELECT doc_id AS file_id FROM documents WHERE doc_id % 10 IN (0, 3))")
     + "SELECT coalesce(q.file_id, n.file_id) AS file_id, CASE WHEN n.file_id IS NULL THEN q.queued_at_unix ELSE 20000 END AS queued_at_unix, coalesce(q.attempt_count, 0) AS attempt_count FROM queue q FULL JOIN news n ON q.file_id = n.file_id",

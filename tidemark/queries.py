@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
@@ -325,6 +326,38 @@ def cdc_state_fold(spark, sf_dir):
     return cdc.fold(tables.events(spark, sf_dir))
 
 
+@query
+def change_decide(spark, sf_dir):
+    touched = tables.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    return cdc.decide(touched, _state(spark, sf_dir), tables.snapshot(spark, sf_dir, True))
+
+
+def _rename_batch(spark, sf_dir):
+    """Files /f/<id>, of which some are renamed to their neighbours, to new names or out of sight."""
+    docs = tables.table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/f/"), F.col("doc_id").cast("string"))
+    state = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), path.alias("path"), F.when(F.col("doc_id") % 11 == 0, F.lit(1).cast("long")).alias("deleted_at"))
+    to = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("/f/"), (F.col("doc_id") + 1).cast("string"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("/g/"), F.col("doc_id").cast("string")))
+    renames = docs.where("doc_id % 4 IN (0, 2) OR doc_id % 12 = 3").select(path.alias("from_path"), to.alias("to_path"))
+    return state, renames
+
+
+@query
+def rename_apply(spark, sf_dir):
+    return cdc.apply_renames(*_rename_batch(spark, sf_dir), F.lit(99).cast("long"))[0]
+
+
+@query
+def rename_apply_events(spark, sf_dir):
+    return cdc.apply_renames(*_rename_batch(spark, sf_dir), F.lit(99).cast("long"))[1]
+
+
+@query
+def rename_supersedes(spark, sf_dir):
+    state, renames = _rename_batch(spark, sf_dir)
+    return cdc.not_superseded(state.select("id", "path"), renames)
+
+
 @query
 def queue_pending(spark, sf_dir):
     return queues.pending(tables.queue(spark, sf_dir))
@@ -595,6 +628,12 @@ def _as_pptx(body: str) -> bytes:
     return _zip({f"ppt/slides/slide{k}.xml": f"<s><p><t>{_clean(x)}</t></p></s>" for k, x in enumerate(body.split("\n"), 1)})
 
 
+def _as_pdf(body: str) -> bytes:
+    shown = body.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r")
+    page = zlib.compress(b"BT (" + shown.replace(b"\n", b") Tj T* (") + b") Tj ET")
+    return b"%PDF-1.4\n1 0 obj << /Type /Page >> endobj\n2 0 obj << /Filter /FlateDecode >>\nstream\n" + page + b"\nendstream endobj\n3 0 obj << /Author (Ada) >> endobj\n"
+
+
 def _as_tiff(body: str) -> bytes:
     make, model, taken = b"Acme\0", f"Acme {len(body)}\0".encode(), b"2024:02:03 04:05:06\0"
     at = 8 + 2 + 3 * 12 + 4
@@ -627,6 +666,7 @@ def _office(doc_type: str, make: Callable[[str], bytes]) -> None:
 _office("docx", _as_docx)
 _office("xlsx", _as_xlsx)
 _office("pptx", _as_pptx)
+_office("pdf", _as_pdf)
 
 
 @query

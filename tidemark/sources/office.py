@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import re
+import signal
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,20 +100,85 @@ def exif(content: bytes) -> dict:
     return {"taken": tags.get(TAKEN) or tags.get(CHANGED), "make": tags.get(MAKE), "model": tags.get(MODEL)}
 
 
-def extract_one(doc_type: str, content: bytes) -> dict:
-    """Facts of one document; what fails to parse gives its error instead."""
+_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.DOTALL)
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|\b(?:Tj|TJ|Td|TD|ET)\b|T\*", re.DOTALL)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_ESCAPED = re.compile(rb"\\([0-7]{1,3}|.)", re.DOTALL)
+
+
+def _pdf_string(raw: bytes) -> str:
+    plain = _ESCAPED.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1]), raw[1:-1])
+    return plain[2:].decode("utf-16-be", "replace") if plain[:2] == b"\xfe\xff" else plain.decode("cp1252", "replace")
+
+
+def pdf(content: bytes) -> dict:
+    """Literal strings that simple pages show, page count, title and author.
+
+    Plain and deflated content streams are read; fonts with encodings of their
+    own, object streams and encryption are not.
+    """
+    if not content.startswith(b"%PDF"):
+        raise ValueError("no PDF header")
+    texts = []
+    for head, body in _STREAM.findall(content):
+        if b"FlateDecode" in head:
+            try:
+                body = zlib.decompress(body)
+            except zlib.error:
+                continue
+        line = ""
+        for token in _SHOWN.findall(body):
+            if token[:1] == b"(":
+                line += _pdf_string(token)
+            elif token not in (b"Tj", b"TJ"):
+                texts.append(line)
+                line = ""
+        texts.append(line)
+    said = lambda key: (m := re.search(rb"/" + key + rb"\s*(\((?:\\.|[^\\()])*\))", content, re.DOTALL)) and _pdf_string(m[1]).strip() or None
+    return {"body_text": "\n".join(t for t in texts if t), "page_count": len(re.findall(rb"/Type\s*/Page\b", content)), "title": said(b"Title"), "author": said(b"Author")}
+
+
+#: Seconds after which a document is given up (fixed value).
+DEADLINE = 30.0
+
+
+@contextlib.contextmanager
+def deadline(seconds: float):
+    """Raise TimeoutError in the worker's main thread if the body takes longer."""
+
+    def late(*_):
+        raise TimeoutError(f"took longer than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
     try:
-        if doc_type in ("jpeg", "tiff"):
-            return exif(content)
-        readers = {"docx": docx, "xlsx": xlsx, "pptx": pptx}
-        if doc_type not in readers:
-            return {}
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            return readers[doc_type](archive) | _properties(archive)
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract_one(doc_type: str, content: bytes, seconds: float = DEADLINE) -> dict:
+    """Facts of one document; what fails to parse, or takes too long, gives its error instead."""
+    try:
+        with deadline(seconds):
+            return _facts(doc_type, content)
     except Exception as e:  # noqa: BLE001  one bad file must not end the task
         return {"error": f"{type(e).__name__}: {e}"}
 
 
+def _facts(doc_type: str, content: bytes) -> dict:
+    if doc_type in ("jpeg", "tiff"):
+        return exif(content)
+    if doc_type == "pdf":
+        return pdf(content)
+    readers = {"docx": docx, "xlsx": xlsx, "pptx": pptx}
+    if doc_type not in readers:
+        return {}
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        return readers[doc_type](archive) | _properties(archive)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Facts of each row of ``files`` (id, doc_type, content)."""
 

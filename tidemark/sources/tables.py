@@ -50,9 +50,9 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.functions.vectors import sign_bits
+    from tidemark.operators.knn import stored
 
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), "embedding", sign_bits(F.col("embedding"), 64).alias("bits"))
+    return stored(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), "embedding"), 64)
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
