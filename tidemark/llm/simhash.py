@@ -8,8 +8,8 @@ Hamming distance to the parent), and a search follows only the edges within the
 radius. A larger group is cut into several shards; each shard's tree is then
 sent to every block of the group's queries.
 
-A shard yields spanning links, not pairs: a search ends as soon as it has met
-every part of its tree. Components over the links come from alternating large
+A shard yields stars, not pairs: one link a row, to the smallest id of its
+part, and a search ends as soon as it has met every part of its tree. Components over the links come from alternating large
 and small stars, written to the shared folder each round.
 """
 
@@ -126,37 +126,39 @@ class Parts:
 
 
 def spanning_links(tree_rows: list[tuple[int, int]], query_rows: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """Links (a, b) of ids that span what is linked among the tree's rows and to the queries.
+    """Stars of the parts that links form among the tree's rows and the queries.
 
-    Rows are (id, print as unsigned). Every query within the radius of tree
-    nodes of several parts is linked to each part once.
+    Rows are (id, print as unsigned). Every row of a part but the one with the
+    smallest tree id yields (id, that id); a query that meets several parts
+    joins them. A search ends once it has met all there are.
     """
-    tree, parts, links = BKTree(), Parts(), []
-    for id_, print_ in tree_rows:
-        linked = 0
-        for other in tree.near(print_, radius):
-            if not linked:
-                parts.add()
-                linked = 1
-            if parts.union(len(tree.prints), other):
-                links.append((id_, tree_rows[other][0]))
+    tree, parts, met = BKTree(), Parts(), []
+    for _, print_ in tree_rows:
+        near = tree.near(print_, radius)
+        tree_size = len(tree.prints)
+        parts.add()
+        for other in near:
+            parts.union(tree_size, other)
             if parts.count == 1:
                 break
-        if not linked:
-            parts.add()
         tree.insert(print_)
     for id_, print_ in query_rows:
         mine = -1
         for other in tree.near(print_, radius):
-            root = parts.find(other)
-            if mine < 0 or root != mine:
-                links.append((id_, tree_rows[other][0]))
-                if mine >= 0:
-                    parts.union(root, mine)
-                mine = parts.find(root)
+            if mine < 0:
+                mine = other
+                met.append((id_, other))
+            else:
+                parts.union(mine, other)
             if parts.count == 1:
                 break
-    return links
+    roots = [parts.find(i) for i in range(len(tree_rows))]
+    least: dict[int, int] = {}
+    for root, (id_, _) in zip(roots, tree_rows):
+        least[root] = min(id_, least.get(root, id_))
+    links = [(id_, least[root]) for root, (id_, _) in zip(roots, tree_rows)]
+    links += [(id_, least[roots[other]]) for id_, other in met]
+    return [(a, b) for a, b in links if a != b]
 
 
 def _link_units(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
