@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.sources.shared import shared_dir, shared_path, written
 
-__all__ = ["bounded", "clashing", "least_rows", "n_words", "one_spaced", "shared_dir", "shared_path", "shuffle_partitions", "split_of", "table", "text_chunks", "written"]
+__all__ = ["bounded", "clashing", "least_rows", "n_words", "one_spaced", "shared_dir", "shared_path", "shuffle_partitions", "split_of", "table", "text_chunks", "without", "written"]
 
 #: The six ASCII white-space characters that part words in the text contracts.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,20 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Up to so many ids (about 32 MB in memory) leave a table by a broadcast.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows of these ids; rows without an id stay.
+
+    The ids are written and counted first. Few enough of them are broadcast, so
+    that the texts that stay are not shuffled; more are joined by a shuffle.
+    """
+    gone = bounded(written(ids, "dropped-ids"), MAX_BROADCAST_IDS)
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+
+
 def least_rows(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
     """The ``n`` rows of least ``draw`` (a 64-bit hash), of each value of ``by`` if given.
 

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, one_spaced, shared_path
+from tidemark.llm.common import bounded, one_spaced, shared_path, without
 
 #: Up to so many shared digests the verification scan is filtered by a broadcast
 #: (about 16 MB); beyond it by a shuffled semi-join.
@@ -145,7 +145,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids = decided.select(id_col)
     unique = ids.groupBy(id_col).count().where(f"count > 1 OR {id_col} IS NULL").isEmpty()
     if unique:
-        return docs.join(decided.where("NOT kept").select(id_col), id_col, "left_anti").select(docs.columns)
+        return without(docs, decided.where("NOT kept").select(id_col), id_col)
     kept = decided.where("kept").select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
     keyed = docs.withColumn("_digest", sha256(one_spaced(F.col(text_col))))
     digested = keyed.join(kept.withColumnRenamed("_digest", "_d2"), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d2")), "left_semi")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_partitions, text_chunks, written
+from tidemark.llm.common import shuffle_partitions, text_chunks, without, written
 
 #: Fingerprints in one shard's tree.
 SHARD = 1024
@@ -264,4 +264,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat that id stay together; rows without an id are never dropped.
     """
     found = near_dedup(docs, id_col, text_col, radius)
-    return docs.join(found.where(f"{id_col} <> component_id").select(id_col), id_col, "left_anti").select(docs.columns)
+    return without(docs, found.where(f"{id_col} <> component_id").select(id_col), id_col)
