@@ -162,6 +162,21 @@ def test_search_filters_after_ranking(spark, store):
     assert knn.pool(20, True) == 100 and knn.pool(200, True) == 500 and knn.pool(7, False) == 7
 
 
+def test_recall_by_blocks_equals_broadcast(spark):
+    rng = random.Random(8)
+    rows = emb(spark, {i: [rng.uniform(-1, 1) for _ in range(8)] for i in range(120)})
+    asked = rows.where("file_id % 10 = 0").select(F.col("file_id").alias("query_id"), "embedding")
+    plain, blocked = (sorted(tuple(r) for r in knn.recall(rows, asked, 5, 8, max_broadcast=m).collect()) for m in (100, 5))
+    assert plain == blocked and len(plain) == 12 and all(r[2] == 5 for r in plain)
+
+
+def test_numbered_counts_over_ranges(spark):
+    from tidemark.operators.numbering import numbered
+
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("v"))
+    assert all(r["n"] == r["v"] + 1 for r in numbered(rows, F.col("v")).collect()) and numbered(rows.limit(0), F.col("v")).count() == 0
+
+
 def test_config_and_width_are_checked(spark):
     config = spark.createDataFrame([(1, "m", 3)], schemas.EMBEDDING_CONFIG)
     knn.check_config(config, "m", 3)

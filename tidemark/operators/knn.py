@@ -38,14 +38,27 @@ def pool(limit: int, filtered: bool) -> int:
     return min(limit * schemas.FILTER_OVERSAMPLE, schemas.MAX_CANDIDATES) if filtered else limit
 
 
-def recall(vectors: DataFrame, queries: DataFrame, limit: int, width: int) -> DataFrame:
+#: Queries that are broadcast to the vectors; more are met block by block.
+MAX_BROADCAST_QUERIES = 4_096
+
+
+def recall(vectors: DataFrame, queries: DataFrame, limit: int, width: int, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """Per query (query_id, embedding): how many of the exact nearest the two stages find.
 
-    Queries are a stated set held against all rows; each side of the join keeps
-    its best rows per query in the map task (a rank limit) before any shuffle.
+    Queries are a stated set held against all rows: broadcast if a count shows
+    that they are few, else met in blocks of queries and vectors that a shuffle
+    deals out. The best rows of a query are cut in each task before they meet.
     """
     asked = queries.select("query_id", F.col("embedding").alias("q"), sign_bits(F.col("embedding"), width).alias("qb"))
-    met = vectors.join(F.broadcast(asked))
+    n = queries.count()
+    if n <= max_broadcast:
+        met = vectors.crossJoin(F.broadcast(asked))
+    else:
+        blocks, parts = -(-n // max_broadcast), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = vectors.withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+        right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+        met = left.join(right, ["part", "block"])
     near = Window.partitionBy("query_id")
     scored = met.select("query_id", "file_id", hamming(F.col("bits"), F.col("qb")).alias("h"), euclidean(F.col("embedding"), F.col("q")).alias("d"))
     best = scored.withColumn("k", F.row_number().over(near.orderBy("d", "file_id"))).where(F.col("k") <= limit)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark import schemas
 from tidemark.functions.text import joined, normal_path
+from tidemark.operators.numbering import numbered
 from tidemark.sources.shared import written
 
 
@@ -35,7 +36,7 @@ def tree_of(paths: DataFrame) -> DataFrame:
 def intern(names: DataFrame, name: str = "name") -> DataFrame:
     """One (id, name) per distinct name, numbered in the order of the names."""
     distinct = names.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct()
-    return distinct.select(F.dense_rank().over(Window.orderBy("name")).cast("long").alias("id"), "name")
+    return numbered(distinct, F.col("name"), "id").select(F.col("id").cast("long").alias("id"), "name")
 
 
 def resolve(files: DataFrame, wanted: DataFrame | None = None, depth: int = schemas.MAX_DEPTH) -> DataFrame:
