@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import n_words, shuffle_partitions, written
+from tidemark.operators.numbering import numbered
 
 
 def exponential_key(id_col: Column, weight: Column, seed: int) -> Column:
@@ -34,12 +35,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_e
     ``share`` times all words. A target above ``max_epochs`` times its source's
     size stops there, and what is over is shared again by weight until none is
     above. Each round is one aggregate over one row per source; the driver sees
-    sums only. Numbering the sources is one streaming sort over one row each.
+    sums only.
     """
     per_source = sizes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    ranked = written(per_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)), "mix-sources")
+    placed = numbered(per_source, F.col("source").asc_nulls_last(), "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    ranked = written(placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)), "mix-sources")
     total, rows = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     level, capped = 0.0, -1
     while True:
