@@ -364,3 +364,13 @@ def test_pdf_and_deadline():
     with pytest.raises(TimeoutError), office.deadline(0.05):
         while True:
             pass
+
+
+def test_overflow_comes_first_and_once(spark, tmp_path):
+    from tidemark.streaming import changes
+
+    spark.createDataFrame([(1, "touched"), (2, "overflow"), (3, "overflow"), (4, "removed")], "id long, kind string").coalesce(1).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema("id long, kind string").parquet(str(tmp_path / "feed"))
+    seen = []
+    changes.apply_batches(stream, lambda batch, n: seen.append((n, sorted(r["id"] for r in batch.collect()))), lambda n: seen.append((n, "rescan")))
+    assert seen == [(0, "rescan"), (0, [1, 4])]

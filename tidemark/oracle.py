@@ -229,6 +229,9 @@ SELECT p_partkey, CASE WHEN make IS NULL THEN model WHEN model IS NULL THEN make
     "stream_debounce": _with("raw AS (SELECT event_id AS id, user_id AS file_id, event_type AS kind, epoch_us(ts) AS at_unix_us FROM events)", BURSTS)
     + "SELECT file_id, kind, n, last_ms, first_ms FROM bursts WHERE last_us + 21600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)",
     "stream_rename": _with(EV, HALVES) + PAIRS,
+    "stream_rename_unpaired": _with(EV, HALVES)
+    + """SELECT id, tracker, CASE WHEN is_source THEN 'removed' ELSE 'touched' END AS change FROM mated m WHERE next_id IS NULL AND NOT EXISTS (SELECT 1 FROM mated o WHERE o.next_id = m.id)
+  AND (EXISTS (SELECT 1 FROM mated o WHERE o.tracker = m.tracker AND (o.t, o.id) > (m.t, m.id)) OR t + 21600001 < (SELECT max(t) FROM halves))""",
     "extract_html_title": r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages",
     "extract_exif": "SELECT doc_id AS id, 'Acme ' || length(coalesce(text, '')) AS camera, 1706933106::BIGINT AS taken_at, NULL::VARCHAR AS error FROM documents",
 }

@@ -591,12 +591,21 @@ def stream_debounce(spark, sf_dir):
     return changes.drained(changes.debounced(changes.event_stream(spark, sf_dir), GAP), "debounce")
 
 
-@query
-def stream_rename(spark, sf_dir):
+def _streamed_halves(spark, sf_dir):
     halves = changes.event_stream(spark, sf_dir).where("kind = 'purchase'").select("id", F.col("file_id").alias("tracker"), (F.col("id") % 2 == 0).alias("is_source"), "ts")
     return changes.drained(changes.paired(halves, GAP_MS), "renames")
 
 
+@query
+def stream_rename(spark, sf_dir):
+    return _streamed_halves(spark, sf_dir).where("change = 'renamed'").drop("change")
+
+
+@query
+def stream_rename_unpaired(spark, sf_dir):
+    return _streamed_halves(spark, sf_dir).where("change <> 'renamed'").select(F.coalesce("from_id", "to_id").alias("id"), "tracker", "change")
+
+
 def _zip(parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:

@@ -7,7 +7,7 @@ can be held against the batch operator of the same name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,39 +57,64 @@ def deduplicated(changes: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return changes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-PAIR = "tracker long, from_id long, to_id long, t long"
+def apply_batches(stream: DataFrame, on_changes: Callable[[DataFrame, int], None], on_overflow: Callable[[int], None], label: str = "changes") -> None:
+    """Hand each micro-batch of changes (with a kind) on; overflow marks come first, once a batch.
+
+    A feed that overflowed has lost changes, so ``on_overflow`` is to scan all
+    roots again. Both get the batch's number, to make a repeated batch harmless.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        if not batch.where("kind = 'overflow'").isEmpty():
+            on_overflow(number)
+        on_changes(batch.where("kind <> 'overflow'"), number)
+
+    log = shared_path(stream.sparkSession, f"{label}-log")
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
+PAIR = "tracker long, from_id long, to_id long, t long, change string"
 HALF = "id long, is_source boolean, t long"
 
 
 def paired(halves: DataFrame, gap_ms: int, delay: str = "0 seconds") -> DataFrame:
     """Rename halves (id, tracker, is_source, ts) paired by tracker.
 
-    The state of a tracker is the one half that waits; a half of the same
-    direction takes its place, one of the other direction within the gap pairs
-    with it. A waiting half is dropped once the watermark is past its gap.
+    The state of a tracker is the one half that waits. A half of the other
+    direction within the gap pairs with it (renamed). A half that another takes
+    the place of, or whose gap the watermark has passed, is told alone: a source
+    as removed, a destination as touched.
     """
 
+    def alone(tracker: int, half: tuple) -> tuple:
+        id_, is_source, t = half
+        return (tracker, id_, None, t, "removed") if is_source else (tracker, None, id_, t, "touched")
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting = state.get if state.exists else None
+        told = []
         if state.hasTimedOut:
+            told.append(alone(key[0], waiting))
             state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["t", "id"])
-        pairs = []
-        for id_, is_source, t in zip(rows["id"], rows["is_source"], rows["t"]):
-            half = (int(id_), bool(is_source), int(t))
-            if waiting and waiting[1] != half[1] and half[2] - waiting[2] <= gap_ms:
-                source, target = (waiting, half) if waiting[1] else (half, waiting)
-                pairs.append((key[0], source[0], target[0], half[2]))
-                waiting = None
-            else:
-                waiting = half
-        if waiting:
-            state.update(waiting)
-            state.setTimeoutTimestamp(max(waiting[2] + gap_ms + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(pairs, columns=["tracker", "from_id", "to_id", "t"])
+        else:
+            rows = pd.concat(list(frames)).sort_values(["t", "id"])
+            for id_, is_source, t in zip(rows["id"], rows["is_source"], rows["t"]):
+                half = (int(id_), bool(is_source), int(t))
+                if waiting and waiting[1] != half[1] and half[2] - waiting[2] <= gap_ms:
+                    source, target = (waiting, half) if waiting[1] else (half, waiting)
+                    told.append((key[0], source[0], target[0], half[2], "renamed"))
+                    waiting = None
+                else:
+                    if waiting:
+                        told.append(alone(key[0], waiting))
+                    waiting = half
+            if waiting:
+                state.update(waiting)
+                state.setTimeoutTimestamp(max(waiting[2] + gap_ms + 1, state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        frame = pd.DataFrame(told, columns=["tracker", "from_id", "to_id", "t", "change"])
+        yield frame.astype({c: "Int64" for c in ("tracker", "from_id", "to_id", "t")})
 
     rows = halves.withWatermark("ts", delay).withColumn("t", F.unix_millis("ts"))
     return rows.groupBy("tracker").applyInPandasWithState(step, PAIR, HALF, "append", GroupStateTimeout.EventTimeTimeout)
