@@ -38,6 +38,7 @@ MAX_TERMS = 4_096
 NEIGHBOURS = 15
 BLOCK = 64
 MIN_Z = 6.0
+MIN_RATIO = 4.0
 
 
 def words(text: str | None) -> list[str]:
@@ -45,7 +46,11 @@ def words(text: str | None) -> list[str]:
 
 
 def choose_terms(texts: list[str], labels: list[int], max_terms: int = MAX_TERMS, min_z: float = MIN_Z) -> list[str]:
-    """Terms whose shares of toxic and clean examples differ by ``min_z`` standard errors."""
+    """Terms whose shares of toxic and clean examples differ by ``min_z`` standard errors and ``MIN_RATIO`` times.
+
+    Without the ratio, a larger sample would let in ever more common words that
+    differ by a little.
+    """
     seen = (Counter(), Counter())
     for text, label in zip(texts, labels):
         seen[label].update(set(words(text)))
@@ -56,7 +61,8 @@ def choose_terms(texts: list[str], labels: list[int], max_terms: int = MAX_TERMS
         both = (a + b) / (n[0] + n[1])
         error = math.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1])) or 1.0
         z = abs(a / n[0] - b / n[1]) / error
-        if z >= min_z and a + b >= 3:
+        ratio = math.log((b + 0.5) / (n[1] + 1)) - math.log((a + 0.5) / (n[0] + 1))
+        if z >= min_z and a + b >= 3 and abs(ratio) >= math.log(MIN_RATIO):
             scored.append((-z, term))
     return [term for _, term in sorted(scored)[:max_terms]]
 
