@@ -36,7 +36,7 @@ WORD = regex.compile(r"\p{L}+")
 PER_CLASS = 4_000
 MAX_TERMS = 4_096
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 512
 MIN_Z = 6.0
 MIN_RATIO = 4.0
 
@@ -111,8 +111,10 @@ class BlockMaxIndex:
                 entry = self.postings.get(term, {}).get(b)
                 if entry:
                     sums[entry[1]] += query[term] * entry[2]
-            hits = np.flatnonzero(sums > 0)
-            best = sorted(best + [(-round(float(sums[i]), 12), b * self.block + int(i)) for i in hits])[:k]
+            sums = np.round(sums, 12)
+            hits = np.flatnonzero(sums > (-best[-1][0] - 1e-9 if len(best) == k else 0))
+            hits = hits[np.argsort(-sums[hits], kind="stable")[:k]]
+            best = sorted(best + [(-float(sums[i]), b * self.block + int(i)) for i in hits])[:k]
         return [(-s, i) for s, i in best]
 
 
