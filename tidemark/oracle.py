@@ -94,7 +94,7 @@ steps AS (SELECT page_id, p, 1 AS i, []::VARCHAR[] AS acc FROM lower_bound
 
 ORACLE_SQL: dict[str, str] = {
     "tl_default": _timeline(),
-    "tl_all_filters": _timeline("e.id < 9000 AND kind = 'modified' AND doc_type = 'pdf' AND author = 'src7' AND language = 'en' AND classification = 'good'", 500),
+    "tl_all_filters": _timeline("e.id < 9000 AND kind = 'modified' AND doc_type = 'pdf' AND author = 'src1' AND language = 'en' AND classification = 'good'", 500),
     "tl_kind": _timeline("kind = 'created'"),
     "tl_doc_type": _timeline("doc_type = 'docx'"),
     "tl_author": _timeline("author = 'src3'"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators.events import facet_filter, with_facts
 from tidemark.operators.paths import resolve
+from tidemark.sources.shared import written
 
 #: Fact columns of a timeline row, besides the event's own.
 FACTS = (
@@ -28,9 +29,10 @@ def timeline(
 ) -> DataFrame:
     """One page of events with the facts known of their files.
 
-    Filters come first and reach the scans; then the joins, then the page by
-    time and id; paths are resolved for the rows of the page only. Facets that
-    reject nulls make their outer join an inner one (Catalyst).
+    Filters on events come first and reach the scan. Without a facet the page is
+    cut before any join and facts are read for its files only; with one the
+    joins come first, and Catalyst makes those whose nulls it rejects inner
+    ones. Paths are resolved for the rows of the page only.
     """
     schemas.check_kind(kind)
     rows = events
@@ -40,11 +42,18 @@ def timeline(
         rows = rows.where(F.col("kind") == kind)
     facts = [c for c in metadata.columns if c in FACTS]
     more = [c for c in enrichment.columns if c in FACTS]
-    joined = with_facts(rows, metadata.select("file_id", *facts), enrichment.select("file_id", *more))
+    metadata, enrichment = metadata.select("file_id", *facts), enrichment.select("file_id", *more)
+    order, n = [F.desc("at_unix_ms"), F.desc("id")], schemas.clamp(limit)
     condition = facet_filter(facets)
+    if condition is None:
+        rows = written(rows.orderBy(*order).limit(n), "page")
+        # At most 500 ids.
+        ids = F.broadcast(rows.select("file_id").distinct())
+        metadata, enrichment = (t.join(ids, "file_id", "left_semi") for t in (metadata, enrichment))
+    joined = with_facts(rows, metadata, enrichment)
     if condition is not None:
         joined = joined.where(condition)
-    page = joined.select(*events.columns, *facts, *more).orderBy(F.desc("at_unix_ms"), F.desc("id")).limit(schemas.clamp(limit))
+    page = joined.select(*events.columns, *facts, *more).orderBy(*order).limit(n)
     if files is None:
         return page
     named = resolve(files, page.select(F.col("file_id").alias("id")).distinct()).withColumnRenamed("id", "file_id")

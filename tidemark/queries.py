@@ -46,7 +46,7 @@ def _timeline(name: str, **args) -> None:
 
 
 _timeline("tl_default")
-_timeline("tl_all_filters", limit=500, before_id=9_000, kind="modified", doc_type="pdf", author="src7", language="en", classification="good")
+_timeline("tl_all_filters", limit=500, before_id=9_000, kind="modified", doc_type="pdf", author="src1", language="en", classification="good")
 _timeline("tl_kind", kind="created")
 _timeline("tl_doc_type", doc_type="docx")
 _timeline("tl_author", author="src3")
