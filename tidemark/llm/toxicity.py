@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import clashing, least_rows
+from tidemark.llm.common import clashing, least_rows, written
 
 WORD = regex.compile(r"\p{L}+")
 
@@ -45,26 +45,41 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def choose_terms(texts: list[str], labels: list[int], max_terms: int = MAX_TERMS, min_z: float = MIN_Z) -> list[str]:
-    """Terms whose shares of toxic and clean examples differ by ``min_z`` standard errors and ``MIN_RATIO`` times.
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [(w, label) for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(words(text))]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([label for _, label in pairs], pa.int32())], names=["term", "label"])
+
+
+def choose_terms(rows: DataFrame, max_terms: int = MAX_TERMS, min_z: float = MIN_Z, min_ratio: float = MIN_RATIO) -> list[str]:
+    """Terms whose shares of toxic and clean examples (text, label) differ by ``min_z`` standard errors and ``min_ratio`` times.
 
     Without the ratio, a larger sample would let in ever more common words that
-    differ by a little.
+    differ by a little. Counting is a shuffle; the driver gets the terms only.
     """
-    seen = (Counter(), Counter())
-    for text, label in zip(texts, labels):
-        seen[label].update(set(words(text)))
-    n = [max(labels.count(0), 1), max(labels.count(1), 1)]
-    scored = []
-    for term in seen[0].keys() | seen[1].keys():
-        a, b = seen[0][term], seen[1][term]
-        both = (a + b) / (n[0] + n[1])
-        error = math.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1])) or 1.0
-        z = abs(a / n[0] - b / n[1]) / error
-        ratio = math.log((b + 0.5) / (n[1] + 1)) - math.log((a + 0.5) / (n[0] + 1))
-        if z >= min_z and a + b >= 3 and abs(ratio) >= math.log(MIN_RATIO):
-            scored.append((-z, term))
-    return [term for _, term in sorted(scored)[:max_terms]]
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    clean, toxic = (float(max(sizes.get(k, 0), 1)) for k in (0, 1))
+    counted = rows.select("text", "label").mapInArrow(_distinct_words, "term string, label int")
+    counted = counted.groupBy("term").agg(F.sum(1 - F.col("label")).alias("a"), F.sum("label").alias("b")).where("a + b >= 3")
+    a, b = F.col("a"), F.col("b")
+    both = (a + b) / (clean + toxic)
+    error = F.sqrt(both * (1 - both) * (1 / clean + 1 / toxic))
+    z = F.abs(a / clean - b / toxic) / F.when(error > 0, error).otherwise(1.0)
+    ratio = F.abs(F.log((b + 0.5) / (toxic + 1)) - F.log((a + 0.5) / (clean + 1)))
+    best = counted.where((z >= min_z) & (ratio >= math.log(min_ratio))).orderBy(z.desc(), "term").limit(max_terms)
+    return [r["term"] for r in best.collect()]
+
+
+def bare(rows: DataFrame, terms: list[str]) -> list[tuple[object, str, int]]:
+    """(id, chosen words of the text, label) of each example, cut down in the tasks."""
+    chosen = set(terms)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [" ".join(w for w in words(t) if w in chosen) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], names=["id", "text", "label"])
+
+    return [(r["id"], r["text"], r["label"]) for r in rows.select("id", "text", "label").mapInArrow(cut, rows.select("id", "text", "label").schema).orderBy("id").collect()]
 
 
 @dataclass
@@ -126,8 +141,8 @@ class Model:
         self.terms, self.idf, self.prior_weight = terms, idf, prior_weight
         vectors = [(name, self.vector(text), label) for name, text, label in rows]
         self.index = BlockMaxIndex.build([v for v in vectors if v[1]])
-        bare = [label for _, v, label in vectors if not v]
-        self.base = (sum(bare) + 0.5) / (len(bare) + 1) if rows else 0.0
+        empty = [label for _, v, label in vectors if not v]
+        self.base = (sum(empty) + 0.5) / (len(empty) + 1) if rows else 0.0
         self.cache: dict = {}
 
     def vector(self, text: str | None) -> dict[int, float]:
@@ -156,8 +171,8 @@ class Model:
         return self.cache[key]
 
 
-def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> list:
-    """At most ``per_class`` labelled documents a class, of least id hash.
+def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+    """(id, label, text) of at most ``per_class`` labelled documents a class, of least id hash.
 
     Rows are chosen by id before any text is read; a document labelled twice
     counts as toxic if one label says so.
@@ -166,7 +181,7 @@ def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id",
     chosen = least_rows(labelled.withColumn("draw", F.xxhash64("id")), per_class, "label").drop("draw")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    return rows.orderBy("id").collect()
+    return written(rows, "toxicity-examples")
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, list[int]]:
@@ -214,13 +229,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc
     go to the lower number in the index, which repeated runs share. Columns
     score, predicted and evidence of ``docs`` are replaced.
     """
-    rows = [(r["id"], r["text"], r["label"]) for r in examples(docs, labels, learn, id_col, text_col, per_class)]
-    terms = choose_terms([r[1] for r in rows], [r[2] for r in rows])
+    rows = examples(docs, labels, learn, id_col, text_col, per_class)
+    terms = choose_terms(rows)
     total, found = document_frequencies(docs, terms, text_col) if terms else (0, [])
     idf = [math.log((total + 1) / (n + 1)) + 1 for n in found]
-    chosen, key = set(terms), uuid.uuid4().hex
-    bare = [(name, " ".join(w for w in words(text) if w in chosen), label) for name, text, label in rows]
-    shared = docs.sparkSession.sparkContext.broadcast((terms, idf, bare))
+    shared, key = docs.sparkSession.sparkContext.broadcast((terms, idf, bare(rows, terms))), uuid.uuid4().hex
     evidence = "array<struct<doc_id:string,cosine:double,label:int,terms:array<string>>>"
     out = clashing(docs, ["score", "predicted", "evidence"]).withColumns({"score": F.lit(0.0), "evidence": F.array().cast(evidence)})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
