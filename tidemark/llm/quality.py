@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import clashing, least_rows
 
 #: Fixed bounds of the scorer.
-SAMPLE = 6_000
+SAMPLE, SAMPLE_BYTES = 4_000, 16 << 10
 BUCKETS = 1 << 16
 EPOCHS = 80
 
@@ -226,13 +226,14 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Labels of people are not used. A text without words (or null) scores 0. An
     empty table gives no rows; a table of one kind of document is scored by what
     its votes say. The scorer's sample are at most ``sample`` documents of least
-    id hash. Repeated rows get equal scores. Columns score, weak_label and
+    id hash, of at most 16 KiB; every text is voted on and scored whole. Repeated rows get equal scores. Columns score, weak_label and
     predicted of ``docs`` are replaced.
     """
     counts = docs.select(text_col).mapInArrow(_patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     posterior, _ = label_model({r["pattern"]: r["n"] for r in counts})
-    ids = least_rows(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("draw")), sample).select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
+    short = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES)
+    ids = least_rows(short.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("draw")), sample).select("id").distinct()
+    texts = short.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
     raws = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in texts.orderBy("id").collect()]
     raws = [r for r in raws if pattern_of(r) in posterior]
     weights = fit(raws, [posterior[pattern_of(r)] for r in raws])
