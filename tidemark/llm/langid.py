@@ -33,6 +33,7 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 3
 
 #: Fixed bounds of the fitted model.
 PER_LANGUAGE = 300
+SAMPLE_ROWS = 4_000
 LANDMARKS = 96
 SAMPLE_CHARS = 4_000
 RIDGE = 1e-2
@@ -139,7 +140,7 @@ def has_letter(text: str | None, raw: bytes) -> bool:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, learn, per_language: int = PER_LANGUAGE) -> list:
-    """At most ``per_language`` texts a language, of least hash; excerpts from within the text.
+    """At most ``per_language`` texts a language, and 4,000 together, of least hash; excerpts from within the text.
 
     The excerpt bounds what the driver holds; it begins at a place that the
     hash gives. Hashes are chosen first, so that no task gathers the texts of
@@ -147,7 +148,9 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, learn, per_language: i
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("draw"), F.col(text_col).alias("text"))
-    chosen = least_rows(rows.select("lang", "draw"), per_language, "lang").distinct()
+    languages = rows.select("lang").distinct().count()
+    each = max(1, min(per_language, SAMPLE_ROWS // max(languages, 1)))
+    chosen = least_rows(rows.select("lang", "draw"), each, "lang").distinct()
     begin = F.pmod(F.col("draw"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
     found = rows.join(F.broadcast(chosen), ["lang", "draw"]).select("lang", "draw", F.col("text").substr(begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     return found.groupBy("lang", "draw").agg(F.min("text").alias("text")).orderBy("lang", "draw").collect()
