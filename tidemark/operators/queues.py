@@ -6,10 +6,13 @@ version and never over the one being read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.sources.shared import written
 
 
 def enqueue(queue: DataFrame, ids: DataFrame, now: int, reset: bool = False) -> DataFrame:
@@ -39,6 +42,22 @@ def complete(queue: DataFrame, done: DataFrame) -> DataFrame:
     return queue.join(done.select("file_id"), "file_id", "left_anti")
 
 
+def drain_step(queue: DataFrame, inputs: DataFrame, work: Callable[[DataFrame], DataFrame], limit: int = schemas.QUEUE_BATCH) -> tuple[DataFrame, DataFrame]:
+    """One turn of a worker: the results that succeeded, and the queue after it.
+
+    The oldest pending rows are picked and their attempt is written before the
+    work begins, so that a lost driver has used it up. ``work`` maps the picked
+    rows of ``inputs`` to results with an error column; rows without an error
+    leave the queue, others stay for as long as they have attempts.
+    """
+    picked = written(pending(queue, limit), "picked")
+    tried = written(record_attempt(queue, picked), "queue")
+    # At most ``limit`` ids.
+    results = written(work(inputs.join(F.broadcast(picked.select("file_id")), "file_id", "left_semi")), "results")
+    done = results.where("error IS NULL")
+    return done, complete(tried, done)
+
+
 def to_requeue(metadata: DataFrame, live_files: DataFrame, queue: DataFrame, version: int) -> DataFrame:
     """Files of an old extractor version, and live files neither extracted nor queued."""
     stale = metadata.where(F.col("extractor_version") < version).select("file_id", F.lit("stale").alias("reason"))

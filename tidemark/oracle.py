@@ -183,6 +183,8 @@ SELECT r.query_id, count(s.file_id) AS hits, count(*) AS wanted FROM ranked r LE
     "queue_enqueue": _with(QUEUE, "news AS (SELECT doc_id AS file_id FROM documents WHERE doc_id % 10 IN (0, 3))")
     + "SELECT coalesce(q.file_id, n.file_id) AS file_id, CASE WHEN n.file_id IS NULL THEN q.queued_at_unix ELSE 20000 END AS queued_at_unix, coalesce(q.attempt_count, 0) AS attempt_count FROM queue q FULL JOIN news n ON q.file_id = n.file_id",
     "queue_record_attempt": _with(QUEUE, PENDING) + "SELECT q.file_id, q.queued_at_unix, q.attempt_count + (q.file_id IN (SELECT file_id FROM pend))::INTEGER AS attempt_count FROM queue q",
+    "queue_drain": _with(QUEUE, PENDING, FM)
+    + "SELECT q.file_id, q.queued_at_unix, q.attempt_count + (p.file_id IS NOT NULL)::INTEGER AS attempt_count FROM queue q LEFT JOIN pend p ON p.file_id = q.file_id LEFT JOIN fm m ON m.file_id = q.file_id WHERE p.file_id IS NULL OR m.word_count % 3 = 0",
     "queue_complete": _with(QUEUE, FM) + "SELECT * FROM queue WHERE file_id NOT IN (SELECT file_id FROM fm WHERE extractor_version = 2)",
     "queue_requeue_stale": _with(FM, HALF_QUEUE, REQUEUE) + "SELECT * FROM rq",
     "queue_requeued": _with(FM, HALF_QUEUE, REQUEUE)

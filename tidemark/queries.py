@@ -384,6 +384,14 @@ def queue_complete(spark, sf_dir):
     return queues.complete(tables.queue(spark, sf_dir), done)
 
 
+@query
+def queue_drain(spark, sf_dir):
+    def work(rows: DataFrame) -> DataFrame:
+        return rows.select("file_id", F.when(F.col("word_count") % 3 == 0, "unreadable").alias("error"))
+
+    return queues.drain_step(tables.queue(spark, sf_dir), tables.metadata(spark, sf_dir).select("file_id", "word_count"), work)[1]
+
+
 def _half_queue(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").where("doc_id % 15 = 0").select(F.col("doc_id").alias("file_id"), F.lit(1).cast("long").alias("queued_at_unix"), F.lit(3).alias("attempt_count"))
 
