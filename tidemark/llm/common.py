@@ -49,15 +49,18 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def least_rows(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
-    """The ``n`` rows of least ``draw`` (a 64-bit hash), of each value of ``by`` if given.
+    """One row for each of the ``n`` least draws (``draw``, a 64-bit hash), of each value of ``by`` if given.
 
-    Rows are counted first and all but a share of the draws that holds ``n`` of
-    them almost surely is filtered in the tasks that read them, so that what
-    meets in one task is bounded by ``n`` and not by the number of tasks. Where
-    many rows share a draw fewer than ``n`` may be left.
+    Rows that share a draw are made one first, so that copies neither count nor
+    crowd others out. The draws are written and counted, and all but a share
+    that holds ``n`` of them almost surely is filtered in the tasks that read
+    them, so that what meets in one task is bounded by ``n`` and not by the
+    number of tasks.
     """
     unit = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
     enough = n + 6 * n**0.5 + 10
+    keys = ["draw"] if by is None else [by, "draw"]
+    rows = written(rows.dropDuplicates(keys), "draws")
     if by is None:
         total = rows.count()
         return rows.where(unit < F.lit(enough / max(total, 1))).orderBy(unit, "draw").limit(n)

@@ -60,6 +60,8 @@ HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
 SAMPLE_PAGES = 200
 EPOCHS = 120
 BUCKETS = 1 << 12
+#: A longer page is trained on in pieces of so many blocks.
+PIECE = 2_048
 
 
 @dataclass
@@ -259,8 +261,8 @@ class ChainField:
     def fit(self, pages: list[list[Block]], labels: list[list[int]], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4) -> ChainField:
         """Ascend the mean log-likelihood of whole label sequences by block.
 
-        Pages of a sample are padded to a rectangle, so a forward and backward
-        pass is one vector step a position.
+        Pages of a sample, a long one in pieces, are padded to a rectangle, so a
+        forward and backward pass is one vector step a position.
         """
         kept = [(p, la) for p, la in zip(pages, labels) if p]
         if not kept:
@@ -273,13 +275,13 @@ class ChainField:
             rows.append(np.repeat(np.arange(total, total + len(p)), counts))
             total += len(p)
         flat, row = np.concatenate(flats), np.concatenate(rows)
-        lengths = np.array([len(p) for p, _ in kept])
+        lengths = np.array([min(PIECE, len(p) - at) for p, _ in kept for at in range(0, len(p), PIECE)])
         width = lengths.max()
         inside = np.arange(width)[None, :] < lengths[:, None]
         gold = np.concatenate([np.array(la) for _, la in kept])
         truth = np.zeros((total, 2))
         truth[np.arange(total), gold] = 1
-        grid = np.zeros((len(kept), width), int)
+        grid = np.zeros((len(lengths), width), int)
         grid[inside] = gold
         pairs = np.zeros((2, 2))
         both = inside[:, 1:]
@@ -289,7 +291,7 @@ class ChainField:
             emit = np.zeros((total, 2))
             for k in (0, 1):
                 emit[:, k] = np.bincount(row, self.state[flat, k], total)
-            cells = np.zeros((len(kept), width, 2))
+            cells = np.zeros((len(lengths), width, 2))
             cells[inside] = emit
             expect, pair_expect = self._expectations(cells, inside)
             miss = truth - expect[inside]
@@ -383,15 +385,25 @@ def main_text(field: ChainField, page: str | None) -> str:
 
 
 def sample_pages(pages: DataFrame, html_col: str, n: int = SAMPLE_PAGES, max_bytes: int = 16 << 10) -> list[str]:
-    """At most ``n`` pages of at most ``max_bytes``, those of least hash; repeated pages count once.
+    """At most ``n`` distinct pages of least hash, and of ``n`` times ``max_bytes`` together.
 
-    Hashes are chosen first, so that no task gathers the pages of others.
+    Where pages are large, fewer are taken: those above an eighth of the bytes
+    come last, a page that no longer fits is passed over, and if none fits the
+    smallest is taken. Hashes are chosen first, so that no task gathers the
+    pages of others.
     """
-    small = pages.where(F.octet_length(html_col) <= max_bytes).select(F.xxhash64(html_col).alias("draw"), F.col(html_col).alias("html"))
+    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("draw"), F.octet_length(html_col).alias("size"), F.col(html_col).alias("html"))
+    least = [(r["draw"], r["size"]) for r in least_rows(rows.select("draw", "size"), n).collect()]
+    room, chosen = n * max_bytes, []
+    for draw, size in sorted(least, key=lambda r: (r[1] > n * max_bytes // 8, r[0] & 0xFFFFFFFFFFFFFFFF)):
+        if size <= room:
+            chosen.append((draw,))
+            room -= size
+    chosen = chosen or [(draw,) for draw, _ in sorted(least, key=lambda r: (r[1], r[0]))[:1]]
     # At most n hashes: a bounded broadcast.
-    least = least_rows(small.select("draw"), n).distinct()
-    rows = small.join(F.broadcast(least), "draw").groupBy("draw").agg(F.min("html").alias("html"))
-    return [r["html"] for r in rows.orderBy("draw").collect()]
+    wanted = pages.sparkSession.createDataFrame(chosen, "draw long")
+    found = rows.join(F.broadcast(wanted), "draw").groupBy("draw").agg(F.min("html").alias("html"))
+    return [r["html"] for r in found.orderBy("draw").collect()]
 
 
 def _extract(batches: Iterator[pa.RecordBatch], shared, html_col: str, keep: list[str]) -> Iterator[pa.RecordBatch]:

@@ -150,7 +150,7 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, learn, per_language: i
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("draw"), F.col(text_col).alias("text"))
     languages = rows.select("lang").distinct().count()
     each = max(1, min(per_language, SAMPLE_ROWS // max(languages, 1)))
-    chosen = least_rows(rows.select("lang", "draw"), each, "lang").distinct()
+    chosen = least_rows(rows.select("lang", "draw"), each, "lang")
     begin = F.pmod(F.col("draw"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
     found = rows.join(F.broadcast(chosen), ["lang", "draw"]).select("lang", "draw", F.col("text").substr(begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     return found.groupBy("lang", "draw").agg(F.min("text").alias("text")).orderBy("lang", "draw").collect()

@@ -197,6 +197,34 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
 
 
+def excerpt(raw: bytes, draw: int, size: int = SAMPLE_BYTES) -> bytes:
+    """At most ``size`` bytes of a text, from a place that the draw gives."""
+    at = draw % (len(raw) - size + 1) if len(raw) > size else 0
+    return raw[at : at + size]
+
+
+def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(draw, excerpt, pattern of the whole text) of each row (draw, text)."""
+    for batch in batches:
+        draws = batch.column(0).to_pylist()
+        raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        columns = [batch.column(0), pa.array(map(excerpt, raws, draws), pa.binary()), pa.array(map(pattern_of, raws), pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["draw", "raw", "pattern"])
+
+
+def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLE) -> list:
+    """(raw, pattern) of the ``n`` documents of least hash of id and text; repeated rows count once.
+
+    A text above 16 KiB gives an excerpt, which bounds what the driver holds; its
+    pattern is the whole text's. Hashes are chosen first, so that no task
+    gathers the texts of others.
+    """
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).alias("text"))
+    least = least_rows(rows.select("draw"), n)
+    found = rows.join(F.broadcast(least), "draw").mapInArrow(_taught, "draw long, raw binary, pattern int")
+    return found.groupBy("draw").agg(F.min(F.struct("raw", "pattern")).alias("row")).orderBy("draw").select("row.*").collect()
+
+
 _held: dict = {}
 
 
@@ -226,17 +254,14 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Labels of people are not used. A text without words (or null) scores 0. An
     empty table gives no rows; a table of one kind of document is scored by what
     its votes say. The scorer's sample are at most ``sample`` documents of least
-    id hash, of at most 16 KiB; every text is voted on and scored whole. Repeated rows get equal scores. Columns score, weak_label and
-    predicted of ``docs`` are replaced.
+    hash of id and text, a longer one as an excerpt of 16 KiB; every text is
+    voted on and scored whole. Repeated rows get equal scores. Columns score,
+    weak_label and predicted of ``docs`` are replaced.
     """
     counts = docs.select(text_col).mapInArrow(_patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     posterior, _ = label_model({r["pattern"]: r["n"] for r in counts})
-    short = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES)
-    ids = least_rows(short.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("draw")), sample).select("id").distinct()
-    texts = short.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
-    raws = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in texts.orderBy("id").collect()]
-    raws = [r for r in raws if pattern_of(r) in posterior]
-    weights = fit(raws, [posterior[pattern_of(r)] for r in raws])
+    taught = sample_texts(docs, id_col, text_col, sample)
+    weights = fit([bytes(r["raw"]) for r in taught], [posterior[r["pattern"]] for r in taught])
     shared, key = docs.sparkSession.sparkContext.broadcast((weights, posterior)), uuid.uuid4().hex
     out = clashing(docs, ["score", "weak_label", "predicted"]).withColumns({"score": F.lit(0.0), "weak_label": F.lit(0.0)})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
