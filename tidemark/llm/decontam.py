@@ -139,7 +139,7 @@ def _scan_chunk(raws, machine, start, words, hits, spans, items) -> None:
         before = [(r["first"], r["last"]) for r in hits[start + doc]]
         merged = merge(before + [(a - base, b - base) for a, b in merge(ranges)])
         hits[start + doc] = [{"first": a, "last": b} for a, b in merged]
-        items[start + doc] = sorted(names | set(items[start + doc]))
+        items[start + doc] = sorted(names | set(items[start + doc]), key=lambda x: (x is not None, x))
         edges = [(int(chunk.starts[base + a]) - at, int(chunk.ends[base + b]) - at) for a, b in merged]
         chars = lambda end: len(raw[:end].decode("utf-8", "surrogatepass"))
         spans[start + doc] = [{"start": chars(a), "end": chars(b)} for a, b in edges]
@@ -154,7 +154,8 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     hit words in the original text, joined where hit words adjoin. A document is
     contaminated if at least a twentieth of its words, and at least one, is hit.
     Null or empty texts have no words; an empty benchmark hits nothing; an item
-    given twice counts once. Columns of ``docs`` with one of the new names are
+    given twice counts once; items without an id hit like others and stand as
+    one null, first among ``items``. Columns of ``docs`` with one of the new names are
     replaced.
     """
     docs = clashing(docs, ["n_words", "n_hit", "items", "spans", "contaminated", "_hits"])

@@ -246,13 +246,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal fingerprints are one node, whatever the number of documents; nodes
     within ``radius`` differing bits are linked. Texts without words, null ones
     included, have fingerprint zero and are linked like others. Rows that repeat
-    an id are one document's. The component is the smallest id reachable. An
-    empty table gives no rows.
+    an id are one document's. The nodes are the fingerprints themselves, so rows
+    without an id link what is near them. The component is the smallest id
+    reachable, null where no document reachable has one. An empty table gives no
+    rows.
     """
     prints = written(fingerprints(docs, id_col, text_col), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("id").alias("id")), "print-nodes")
-    linked = components(links(nodes, radius, shard))
-    named = nodes.join(linked, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
+    linked = components(links(nodes.select(F.col("print").alias("id"), "print"), radius, shard))
+    # A component's root is not among its linked ids.
+    roots = linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "print")
+    least = nodes.join(roots, "print").groupBy("component").agg(F.min("id").alias("least"))
+    linked = roots.join(least, "component").select("print", "least")
+    named = nodes.join(linked, "print", "left").select("print", F.coalesce("least", "id").alias("component_id"))
     # Hot fingerprints: a plain equi-join that adaptive execution may split.
     rows = prints.join(named, "print")
     return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
