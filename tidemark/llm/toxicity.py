@@ -1,13 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are chosen on the labelled examples by how far their document shares
-differ between the classes; document frequencies come from all documents. The
-examples lie in an inverted index whose postings are cut into blocks that know
-their greatest weight. A search goes through the query's terms, heaviest bound
-first, and leaves a block of examples out once what its bounds can still add
-cannot reach the k-th best score, so its result is exact. Distance-weighted
-votes of the neighbours give the score, and the neighbours with the terms that
-they share are the evidence.
+Terms are all words of the examples; document frequencies come from all
+documents. The examples lie in an inverted index whose postings are cut into
+blocks that know their greatest weight. A search goes through the blocks,
+greatest bound first, and leaves out those whose bounds cannot reach the k-th
+best score, so its result is exact. Distance-weighted votes of the neighbours
+give the score, and the neighbours with the terms that they share are the
+evidence.
 
 Examples are a bounded sample (``per_class`` rows a class, of least id hash);
 the index, its broadcast and a search are bounded by it. Texts are read whole.
@@ -15,11 +14,11 @@ the index, its broadcast and a search are bounded by it. Texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,114 +33,108 @@ WORD = regex.compile(r"\p{L}+")
 
 #: Fixed bounds of the model.
 PER_CLASS = 4_000
-MAX_TERMS = 4_096
 NEIGHBOURS = 15
 BLOCK = 512
-MIN_Z = 6.0
-MIN_RATIO = 4.0
+#: Neighbours that are told of, and judged texts that a worker remembers.
+EVIDENCE = 3
+CACHE = 2_000
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = [(w, label) for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(words(text))]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([label for _, label in pairs], pa.int32())], names=["term", "label"])
-
-
-def choose_terms(rows: DataFrame, max_terms: int = MAX_TERMS, min_z: float = MIN_Z, min_ratio: float = MIN_RATIO) -> list[str]:
-    """Terms whose shares of toxic and clean examples (text, label) differ by ``min_z`` standard errors and ``min_ratio`` times.
+def bare(rows: DataFrame) -> list[tuple[object, str, int]]:
+    """(id, words of the text, label) of each example."""
+    return [(r["id"], " ".join(words(r["text"])), r["label"]) for r in rows.select("id", "text", "label").orderBy("id").collect()]
 
-    Without the ratio, a larger sample would let in ever more common words that
-    differ by a little. Counting is a shuffle; the driver gets the terms only.
-    """
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    clean, toxic = (float(max(sizes.get(k, 0), 1)) for k in (0, 1))
-    counted = rows.select("text", "label").mapInArrow(_distinct_words, "term string, label int")
-    counted = counted.groupBy("term").agg(F.sum(1 - F.col("label")).alias("a"), F.sum("label").alias("b")).where("a + b >= 3")
-    a, b = F.col("a"), F.col("b")
-    both = (a + b) / (clean + toxic)
-    error = F.sqrt(both * (1 - both) * (1 / clean + 1 / toxic))
-    z = F.abs(a / clean - b / toxic) / F.when(error > 0, error).otherwise(1.0)
-    ratio = F.abs(F.log((b + 0.5) / (toxic + 1)) - F.log((a + 0.5) / (clean + 1)))
-    best = counted.where((z >= min_z) & (ratio >= math.log(min_ratio))).orderBy(z.desc(), "term").limit(max_terms)
-    return [r["term"] for r in best.collect()]
-
-
-def bare(rows: DataFrame, terms: list[str]) -> list[tuple[object, str, int]]:
-    """(id, chosen words of the text, label) of each example, cut down in the tasks."""
-    chosen = set(terms)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [" ".join(w for w in words(t) if w in chosen) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), batch.column(2)], names=["id", "text", "label"])
 
-    return [(r["id"], r["text"], r["label"]) for r in rows.select("id", "text", "label").mapInArrow(cut, rows.select("id", "text", "label").schema).orderBy("id").collect()]
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and the range of each."""
+    lengths = end - begin
+    owner = np.repeat(np.arange(len(begin)), lengths)
+    return np.arange(len(owner)) + (begin - (np.cumsum(lengths) - lengths))[owner], owner
 
 
-@dataclass
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of consecutive examples."""
+    """Postings of unit vectors by term, in blocks of consecutive examples.
 
-    block: int = BLOCK
-    vectors: list[dict[int, float]] = field(default_factory=list)
-    labels: list[int] = field(default_factory=list)
-    names: list = field(default_factory=list)
-    postings: dict[int, dict[int, tuple[float, np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    Flat arrays hold the vectors by example and the postings by term and block.
+    A group is the postings of one term in one block, and knows their greatest
+    weight; ``first`` has where each term's groups begin, ``start`` where each
+    group's postings do.
+    """
+
+    def __init__(self, rows: list[tuple[object, np.ndarray, np.ndarray, int]], block: int):
+        rows = sorted(rows, key=lambda r: (r[1].astype(">i4").tobytes(), str(r[0])))
+        self.block, self.blocks = block, -(-len(rows) // block)
+        self.names, self.labels = [r[0] for r in rows], [r[3] for r in rows]
+        lengths = np.array([len(r[1]) for r in rows], np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(lengths)))
+        self.terms = np.concatenate([np.zeros(0, np.int32), *[r[1].astype(np.int32) for r in rows]])
+        self.weights = np.concatenate([np.zeros(0), *[r[2] for r in rows]])
+        # Stable: numbers rise within a term, and so within a group.
+        by_term = np.argsort(self.terms, kind="stable")
+        number = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[by_term]
+        term, self.posted = self.terms[by_term], self.weights[by_term]
+        self.number, place = number % block, number // block
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (place[1:] != place[:-1])
+        self.start = np.append(np.flatnonzero(new), len(term))
+        self.group_block = place[new]
+        self.group_top = np.maximum.reduceat(self.posted, self.start[:-1]) if len(term) else np.zeros(0)
+        self.first = np.searchsorted(term[new], np.arange((int(term[-1]) if len(term) else -1) + 2))
 
     @classmethod
     def build(cls, rows: list[tuple[object, dict[int, float], int]], block: int = BLOCK) -> BlockMaxIndex:
         """Rows are (name, unit vector, label); like vectors are put side by side."""
-        index = cls(block)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for name, vector, label in sorted(rows, key=lambda r: (sorted(r[1]), str(r[0]))):
-            number = len(index.vectors)
-            index.names.append(name)
-            index.vectors.append(vector)
-            index.labels.append(label)
-            for term, weight in vector.items():
-                lists.setdefault(term, []).append((number, weight))
-        for term, entries in lists.items():
-            blocks: dict[int, list] = {}
-            for number, weight in entries:
-                blocks.setdefault(number // block, []).append((number % block, weight))
-            index.postings[term] = {b: (max(w for _, w in e), np.array([k for k, _ in e]), np.array([w for _, w in e])) for b, e in blocks.items()}
-        return index
+        return cls([(name, *_arrays(vector), label) for name, vector, label in rows], block)
+
+    def terms_of(self, number: int) -> np.ndarray:
+        return self.terms[self.begin[number] : self.begin[number + 1]]
+
+    @property
+    def vectors(self) -> list[dict[int, float]]:
+        return [dict(zip(self.terms_of(i).tolist(), self.weights[self.begin[i] : self.begin[i + 1]].tolist())) for i in range(len(self.names))]
 
     def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k examples of greatest cosine above 0; of equal ones the lower numbers."""
-        bounds: dict[int, float] = {}
-        for term, weight in query.items():
-            for b, entry in self.postings.get(term, {}).items():
-                bounds[b] = bounds.get(b, 0.0) + weight * entry[0]
+        ids, weights = _arrays(query)
+        known = ids < len(self.first) - 1
+        ids, weights = ids[known], weights[known]
+        group, owner = _spread(self.first[ids], self.first[ids + 1])
+        weight, place = weights[owner], self.group_block[group]
+        bounds = np.bincount(place, weight * self.group_top[group], self.blocks)
         best: list[tuple[float, int]] = []
-        for b in sorted(bounds, key=lambda x: (-bounds[x], x)):
-            if len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
                 break
-            sums = np.zeros(self.block)
-            for term in sorted(query):
-                entry = self.postings.get(term, {}).get(b)
-                if entry:
-                    sums[entry[1]] += query[term] * entry[2]
-            sums = np.round(sums, 12)
+            mine = np.flatnonzero(place == b)
+            at, owner = _spread(self.start[group[mine]], self.start[group[mine] + 1])
+            sums = np.round(np.bincount(self.number[at], weight[mine][owner] * self.posted[at], self.block), 12)
             hits = np.flatnonzero(sums > (-best[-1][0] - 1e-9 if len(best) == k else 0))
             hits = hits[np.argsort(-sums[hits], kind="stable")[:k]]
             best = sorted(best + [(-float(sums[i]), b * self.block + int(i)) for i in hits])[:k]
         return [(-s, i) for s, i in best]
 
 
+def _arrays(vector: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of a vector in order, and their weights."""
+    ids = sorted(vector)
+    return np.array(ids, np.int64), np.array([vector[i] for i in ids], np.float64)
+
+
 class Model:
     """Terms, their inverse document frequencies, and the index of examples."""
 
     def __init__(self, terms: list[str], idf: list[float], rows: list[tuple[object, str, int]], prior_weight: float = 1.0):
         self.number = {t: i for i, t in enumerate(terms)}
         self.terms, self.idf, self.prior_weight = terms, idf, prior_weight
-        vectors = [(name, self.vector(text), label) for name, text, label in rows]
-        self.index = BlockMaxIndex.build([v for v in vectors if v[1]])
-        empty = [label for _, v, label in vectors if not v]
+        vectors = [(name, *_arrays(self.vector(text)), label) for name, text, label in rows]
+        self.index = BlockMaxIndex([v for v in vectors if len(v[1])], BLOCK)
+        empty = [label for _, v, _, label in vectors if not len(v)]
+        # Without an example of no words, all examples say what to expect of one.
+        empty = empty or [label for *_, label in vectors]
         self.base = (sum(empty) + 0.5) / (len(empty) + 1) if rows else 0.0
         self.cache: dict = {}
 
@@ -157,15 +150,15 @@ class Model:
         query = self.vector(text)
         if not query:
             return self.base, []
-        key = tuple(sorted(query.items()))
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key in self.cache:
             return self.cache[key]
         near = self.index.search(query, k)
         weights = [1 / (1.05 - s) for s, _ in near]
         votes = sum(w for w, (_, i) in zip(weights, near) if self.index.labels[i])
         score = (votes + self.prior_weight * self.base) / (sum(weights) + self.prior_weight)
-        evidence = [(self.index.names[i], s, self.index.labels[i], [self.terms[t] for t in sorted(query.keys() & self.index.vectors[i].keys())]) for s, i in near]
-        if len(self.cache) > 20_000:
+        evidence = [(self.index.names[i], s, self.index.labels[i], [self.terms[t] for t in self.index.terms_of(i).tolist() if t in query]) for s, i in near[:EVIDENCE]]
+        if len(self.cache) > CACHE:
             self.cache.clear()
         self.cache[key] = score, evidence
         return self.cache[key]
@@ -214,7 +207,7 @@ def _judge(batches: Iterator[pa.RecordBatch], shared, key: str, text_col: str) -
     for batch in batches:
         names = batch.schema.names
         judged = [model.judge(t) for t in batch.column(names.index(text_col)).to_pylist()]
-        evidence = [[{"doc_id": str(n), "cosine": s, "label": la, "terms": t} for n, s, la, t in e[:3]] for _, e in judged]
+        evidence = [[{"doc_id": str(n), "cosine": s, "label": la, "terms": t} for n, s, la, t in e] for _, e in judged]
         done = {"score": pa.array([s for s, _ in judged], pa.float64()), "evidence": pa.array(evidence, kind)}
         yield pa.RecordBatch.from_arrays([done[n] if n in done else batch.column(i) for i, n in enumerate(names)], names=names)
 
@@ -223,17 +216,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc
     """``docs`` with score (0 to 1), predicted and evidence (up to 3 neighbours).
 
     ``learn`` is a condition on the rows of ``labels`` (id, toxic); only those
-    teach, and only a text decides its score. A text without any chosen term,
-    null and empty ones included, has the share of toxic ones among such
-    examples as score; without labels every score is 0. Ties between neighbours
+    teach, and only a text decides its score. A text without any word of the
+    examples, null and empty ones included, has the share of toxic ones among
+    the examples without words, or else among all, as score; without labels every score is 0. Ties between neighbours
     go to the lower number in the index, which repeated runs share. Columns
     score, predicted and evidence of ``docs`` are replaced.
     """
-    rows = examples(docs, labels, learn, id_col, text_col, per_class)
-    terms = choose_terms(rows)
+    rows = bare(examples(docs, labels, learn, id_col, text_col, per_class))
+    # Common terms first: examples of like common words share blocks.
+    counted = Counter(w for _, text, _ in rows for w in set(text.split()))
+    terms = sorted(counted, key=lambda w: (-counted[w], w))
     total, found = document_frequencies(docs, terms, text_col) if terms else (0, [])
     idf = [math.log((total + 1) / (n + 1)) + 1 for n in found]
-    shared, key = docs.sparkSession.sparkContext.broadcast((terms, idf, bare(rows, terms))), uuid.uuid4().hex
+    shared, key = docs.sparkSession.sparkContext.broadcast((terms, idf, rows)), uuid.uuid4().hex
     evidence = "array<struct<doc_id:string,cosine:double,label:int,terms:array<string>>>"
     out = clashing(docs, ["score", "predicted", "evidence"]).withColumns({"score": F.lit(0.0), "evidence": F.array().cast(evidence)})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
