@@ -3,8 +3,8 @@
 Every token is predicted from two tokens on each side: their embeddings, by
 position, feed a hidden layer and a softmax over word classes; a word's
 probability in its class is its share of the class's count. Word counts come
-from all documents. The network is trained in all tasks over positions spread
-through all texts, and its weights are averaged by the number of positions (two
+from all documents. The network is trained in all tasks over every position of
+every text, each in one of the rounds, and its weights are averaged by the number of positions (two
 rounds); the averages are summed in a shuffle, so the driver gets one weight
 vector of fixed size. Then every token of every text is scored.
 """
@@ -33,8 +33,6 @@ BANDS = 16
 CLASSES = SINGLE + BANDS
 SIDE = 2
 ROUNDS = 2
-#: One position in so many is trained on in a round; rounds take different ones.
-EVERY = 16
 
 _numbers: dict[bytes, int] = {}
 
@@ -138,14 +136,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["word", "n"])
 
 
-def _train(batches: Iterator[pa.RecordBatch], shared, turn: int) -> Iterator[pa.RecordBatch]:
-    """Weights after this task's positions, times their number; at -1 the number."""
+def in_round(words: np.ndarray, at: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Which positions a round trains on: each position is in one of the rounds."""
+    return (words[at] * 40_503 + at * 7 + turn) % rounds == 0
+
+
+def _train(batches: Iterator[pa.RecordBatch], shared, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """Weights after this task's positions of a round, times their number; at -1 the number."""
     flat, counts = shared.value
     network, seen, rest = Network(flat.copy(), counts), 0, []
     for batch in batches:
         for _, raws in text_chunks(batch.column(0).to_pylist(), 1 << 20):
             ids, words, at, _ = _laid_out(raws)
-            at = at[(words[at] * 40_503 + at * 7 + turn) % EVERY == 0]
+            at = at[in_round(words, at, turn, rounds)]
             rows, classes = network.context(ids, at), network.class_of[words[at]]
             seen += len(at)
             for i in range(0, len(at), 512):
@@ -188,7 +191,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
     flat = Network().flat
     for turn in range(rounds):
         shared = context.broadcast((flat, counts))
-        summed = texts.mapInArrow(lambda batches, shared=shared, turn=turn: _train(batches, shared, turn * 5), "weight int, value double")
+        summed = texts.mapInArrow(lambda batches, shared=shared, turn=turn: _train(batches, shared, turn, rounds), "weight int, value double")
         got = {r["weight"]: r["value"] for r in summed.groupBy("weight").agg(F.sum("value").alias("value")).collect()}
         if got:
             flat = np.array([got[i] for i in range(len(flat))]) / got[-1]
