@@ -34,7 +34,10 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements without an end tag, and elements whose content is not text (fixed values).
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea noscript template iframe svg math object canvas select button".split())
+RAW_TAGS = frozenset("script style textarea noscript template iframe svg object canvas select button".split())
+#: Of these, the ones whose content is characters up to the end tag, and those that end at the next of their kind.
+TEXT_ONLY = frozenset("script style textarea iframe".split())
+NOT_NESTED = frozenset("select button".split())
 #: Block elements that an open p ends at (fixed values).
 ENDS_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -54,7 +57,9 @@ ARTICLE_TAGS = frozenset("article main".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>])*)(?:>|\Z)", re.DOTALL)
 NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
+HIDDEN = re.compile(r"hidden|none", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 
 #: Bound of the training sample, and the length of training.
 SAMPLE_PAGES = 200
@@ -79,6 +84,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = []
     held: list[str] = []
     at = 0
+    endless: set[str] = set()
 
     def flush() -> None:
         if held:
@@ -109,8 +115,8 @@ def blocks(page: str | None) -> list[Block]:
                     pass
             continue
         if name in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            if name != "svg" or not found[3].rstrip().endswith("/"):
+                at = _raw_end(page, at, name, stack, endless)
             continue
         if name in BLOCK_TAGS:
             flush()
@@ -125,6 +131,59 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+def _raw_end(page: str, at: int, name: str, stack: list, endless: set[str]) -> int:
+    """Where the content of a raw element that begins at ``at`` has ended.
+
+    That is behind its end tag. Without one (but for script and style, which run
+    to the end of the page) it is where the container ends, by an end tag or as
+    a p or list item does, or where the next select or button begins.
+    ``endless`` keeps the names of elements that no tag up to the page's end has
+    ended, so that the page is not read through for each of them.
+    """
+    if name in TEXT_ONLY and name not in endless:
+        end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(page, at)
+        if end:
+            return end.end()
+        if name in ("script", "style"):
+            return len(page)
+        endless.add(name)
+    around = {tag for tag, _ in stack}
+    inner: list[str] = []
+    early = -1
+    while token := TOKEN.search(page, at):
+        tag = (token[2] or "").lower()
+        at = max(token.end(), token.start() + 1)
+        if not tag:
+            continue
+        if token[1]:
+            if tag in inner:
+                while inner.pop() != tag:
+                    pass
+            elif tag == name:
+                return token.end()
+            elif tag in around and _may_close(stack, tag):
+                return early if early >= 0 else token.start()
+            continue
+        if tag == name and name in NOT_NESTED:
+            return early if early >= 0 else token.start()
+        if early < 0 and not inner and _ends_container(stack, tag):
+            early = token.start()
+            if name in endless:
+                return early
+        if tag in ("script", "style"):
+            at = _raw_end(page, at, tag, [], endless)
+        elif tag not in VOID_TAGS and not token[3].rstrip().endswith("/"):
+            inner.append(tag)
+    endless.add(name)
+    return early if early >= 0 else len(page)
+
+
+def _ends_container(stack: list, name: str) -> bool:
+    """Whether the start of an element ends the innermost open block element."""
+    inmost = next((tag for tag, _ in reversed(stack) if tag in BLOCK_TAGS), "")
+    return inmost == "p" and name in ENDS_P or inmost in SAME_KIND.get(name, ())
+
+
 def _may_close(stack: list, name: str) -> bool:
     """An inline end tag does not reach over an open block element."""
     if name in BLOCK_TAGS:
@@ -149,7 +208,17 @@ def _close(stack: list, kinds: set[str]) -> None:
 
 def _names(attributes: str) -> frozenset[str]:
     words = {w.lower() for m in NAMED.finditer(attributes) for w in NAME_WORD.findall(m[1] or m[2] or m[3] or "")}
-    return frozenset(words | ({"hidden"} if HIDDEN.search(attributes) else set()))
+    words.discard("hidden")
+    return frozenset(words | ({"hidden"} if HIDDEN.search(attributes) and _hides(attributes) else set()))
+
+
+def _hides(attributes: str) -> bool:
+    """Whether an element is hidden by attribute, aria-hidden=true or its style."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and HIDING_STYLE.search(value):
+            return True
+    return False
 
 
 def kinds(path: tuple) -> list[str]:
