@@ -238,13 +238,14 @@ def test_kernel_is_blended_presence():
 def test_search_equals_brute_force():
     rng = random.Random(2)
     unit = lambda v: {k: x / sum(y * y for y in v.values()) ** 0.5 for k, x in v.items()}
-    rows = [(i, unit({rng.randrange(30): rng.random() + 0.1 for _ in range(rng.randint(1, 6))}), i % 2) for i in range(500)]
-    index = toxicity.BlockMaxIndex.build(rows, block=16)
-    for _ in range(60):
-        q = unit({rng.randrange(30): rng.random() + 0.1 for _ in range(4)})
-        every = sorted((-round(sum(w * v.get(t, 0) for t, w in sorted(q.items())), 9), n) for n, v in enumerate(index.vectors))
-        want = [-s for s, n in every if s < 0][:10]
-        assert np.allclose([s for s, _ in index.search(q, 10)], want)
+    arrays = lambda v: (np.array(sorted(v)), np.array([v[t] for t in sorted(v)]))
+    vectors = [unit({rng.randrange(30): rng.random() + 0.1 for _ in range(rng.randint(1, 6))}) for _ in range(500)]
+    for common, block in ((0, 16), (8, 16), (30, 7)):
+        index = toxicity.BlockMaxIndex([arrays(v) for v in vectors], 40, common, block)
+        queries = [unit({rng.randrange(40): rng.random() + 0.1 for _ in range(4)}) for _ in range(60)]
+        for q, found in zip(queries, index.search([arrays(q) for q in queries], 10)):
+            every = sorted((-round(sum(w * v.get(t, 0) for t, w in sorted(q.items())), 9), n) for n, v in enumerate(vectors))
+            assert np.allclose([s for s, _ in found], [-s for s, n in every if s < 0][:10])
 
 
 def test_toxicity_edges(spark):

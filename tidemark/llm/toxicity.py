@@ -1,12 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are all words of the examples; document frequencies come from all
-documents. The examples lie in an inverted index whose postings are cut into
-blocks that know their greatest weight. A search goes through the blocks,
-greatest bound first, and leaves out those whose bounds cannot reach the k-th
-best score, so its result is exact. Distance-weighted votes of the neighbours
-give the score, and the neighbours with the terms that they share are the
-evidence.
+documents. A term weighs TF times IDF times its information gain, the mutual
+information of its presence and the label among the examples: with TF times IDF
+alone the words that two texts share by chance drown the few that tell, and
+hardly any score reaches the threshold (README). The examples lie in an inverted index that is cut into blocks of
+consecutive examples. Of every term that many examples hold, each block knows
+the greatest weight; the few postings of the other terms are summed as they
+are. Texts are searched in batches: the block maxima bound what a block can
+hold for a text, blocks whose bound stays below the text's k-th best are left
+out, and what remains is scored by matrix products in single precision. All
+that come near the k-th best are scored again in double precision, term by
+term, so the result is exact and does not depend on the batch.
+Distance-weighted votes of the neighbours give the score, and the neighbours
+with the terms that weigh most in their cosine are the evidence.
 
 Examples are a bounded sample (``per_class`` rows a class, of least id hash);
 the index, its broadcast and a search are bounded by it. Texts are read whole.
@@ -15,40 +22,44 @@ the index, its broadcast and a search are bounded by it. Texts are read whole.
 from __future__ import annotations
 
 import hashlib
-import math
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import clashing, least_rows, written
 
-WORD = regex.compile(r"\p{L}+")
+#: Runs of letters.
+WORD = re.compile(r"[^\W\d_]+")
 
 #: Fixed bounds of the model.
 PER_CLASS = 4_000
 NEIGHBOURS = 15
-BLOCK = 512
-#: Neighbours that are told of, and judged texts that a worker remembers.
-EVIDENCE = 3
+BLOCK = 128
+#: A term is common if at least one in so many examples holds it.
+COMMON = 64
+#: Texts of one search, and what single precision may be off by.
+BATCH, SLACK = 128, 1e-4
+#: Neighbours and terms that are told of, and judged texts that a worker remembers.
+EVIDENCE, TOLD = 3, 5
 CACHE = 2_000
 
+#: A sparse vector: terms in order, and their weights.
+Vector = tuple[np.ndarray, np.ndarray]
+#: An example: its id, its words with their counts, and its label.
+Example = tuple[object, dict[str, int], int]
+
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def bare(rows: DataFrame) -> list[tuple[object, str, int]]:
-    """(id, words of the text, label) of each example."""
-    return [(r["id"], " ".join(words(r["text"])), r["label"]) for r in rows.select("id", "text", "label").orderBy("id").collect()]
-
-
 def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, one range after the other, and the range of each."""
     lengths = end - begin
@@ -57,137 +68,204 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of consecutive examples.
+    """Unit vectors of examples by term and by example, in blocks of consecutive ones.
 
-    Flat arrays hold the vectors by example and the postings by term and block.
-    A group is the postings of one term in one block, and knows their greatest
-    weight; ``first`` has where each term's groups begin, ``start`` where each
-    group's postings do.
+    Terms below ``common`` are held by many examples: their weights stand in a
+    matrix, with the maxima of each block beside it. The postings of the others
+    are flat arrays, with ``first`` where each term's begin.
     """
 
-    def __init__(self, rows: list[tuple[object, np.ndarray, np.ndarray, int]], block: int):
-        rows = sorted(rows, key=lambda r: (r[1].astype(">i4").tobytes(), str(r[0])))
-        self.block, self.blocks = block, -(-len(rows) // block)
-        self.names, self.labels = [r[0] for r in rows], [r[3] for r in rows]
-        lengths = np.array([len(r[1]) for r in rows], np.int64)
+    def __init__(self, vectors: list[Vector], n_terms: int, common: int, block: int = BLOCK):
+        self.n, self.n_terms, self.common, self.block = len(vectors), n_terms, common, block
+        self.blocks = -(-self.n // block)
+        lengths = np.array([len(t) for t, _ in vectors], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(lengths)))
-        self.terms = np.concatenate([np.zeros(0, np.int32), *[r[1].astype(np.int32) for r in rows]])
-        self.weights = np.concatenate([np.zeros(0), *[r[2] for r in rows]])
-        # Stable: numbers rise within a term, and so within a group.
-        by_term = np.argsort(self.terms, kind="stable")
-        number = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[by_term]
-        term, self.posted = self.terms[by_term], self.weights[by_term]
-        self.number, place = number % block, number // block
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (place[1:] != place[:-1])
-        self.start = np.append(np.flatnonzero(new), len(term))
-        self.group_block = place[new]
-        self.group_top = np.maximum.reduceat(self.posted, self.start[:-1]) if len(term) else np.zeros(0)
-        self.first = np.searchsorted(term[new], np.arange((int(term[-1]) if len(term) else -1) + 2))
-
-    @classmethod
-    def build(cls, rows: list[tuple[object, dict[int, float], int]], block: int = BLOCK) -> BlockMaxIndex:
-        """Rows are (name, unit vector, label); like vectors are put side by side."""
-        return cls([(name, *_arrays(vector), label) for name, vector, label in rows], block)
-
-    def terms_of(self, number: int) -> np.ndarray:
-        return self.terms[self.begin[number] : self.begin[number + 1]]
-
-    @property
-    def vectors(self) -> list[dict[int, float]]:
-        return [dict(zip(self.terms_of(i).tolist(), self.weights[self.begin[i] : self.begin[i + 1]].tolist())) for i in range(len(self.names))]
-
-    def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine above 0; of equal ones the lower numbers."""
-        ids, weights = _arrays(query)
-        known = ids < len(self.first) - 1
-        ids, weights = ids[known], weights[known]
-        group, owner = _spread(self.first[ids], self.first[ids + 1])
-        weight, place = weights[owner], self.group_block[group]
-        bounds = np.bincount(place, weight * self.group_top[group], self.blocks)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
-                break
-            mine = np.flatnonzero(place == b)
-            at, owner = _spread(self.start[group[mine]], self.start[group[mine] + 1])
-            sums = np.round(np.bincount(self.number[at], weight[mine][owner] * self.posted[at], self.block), 12)
-            hits = np.flatnonzero(sums > (-best[-1][0] - 1e-9 if len(best) == k else 0))
-            hits = hits[np.argsort(-sums[hits], kind="stable")[:k]]
-            best = sorted(best + [(-float(sums[i]), b * self.block + int(i)) for i in hits])[:k]
+        self.terms = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]])
+        self.weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        number = np.repeat(np.arange(self.n), lengths)
+        head = self.terms < common
+        self.matrix = np.zeros((common, self.blocks * block), np.float32)
+        self.matrix[self.terms[head], number[head]] = self.weights[head]
+        self.tops = self.matrix.reshape(common, self.blocks, block).max(axis=2)
+        order = np.argsort(self.terms[~head], kind="stable")
+        self.posted, self.posting = self.weights[~head][order].astype(np.float32), number[~head][order]
+        self.first = np.searchsorted(self.terms[~head][order], np.arange(n_terms + 1))
+        self.dense = np.zeros(n_terms)
+
+    def search(self, queries: list[Vector], k: int) -> list[list[tuple[float, int]]]:
+        """The k examples of greatest cosine above 0, by text; of equal ones the lower numbers."""
+        if not self.n or not queries:
+            return [[] for _ in queries]
+        width = self.blocks * self.block
+        owner = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        terms = np.concatenate([t for t, _ in queries])
+        weights = np.concatenate([w for _, w in queries]).astype(np.float32)
+        head = terms < self.common
+        common = np.zeros((len(queries), self.common), np.float32)
+        common[owner[head], terms[head]] = weights[head]
+        at, pair = _spread(self.first[terms[~head]], self.first[terms[~head] + 1])
+        cells = owner[~head][pair] * width + self.posting[at]
+        scores = np.bincount(cells, weights[~head][pair] * self.posted[at], len(queries) * width).astype(np.float32).reshape(len(queries), width)
+        bounds = common @ self.tops + scores.reshape(len(queries), self.blocks, self.block).max(axis=2)
+        least = self._visit(common, scores, bounds, k)
+        found = []
+        for i, query in enumerate(queries):
+            near = np.flatnonzero(scores[i] >= least[i])
+            if len(near) > 4 * k:
+                near = near[scores[i, near] >= np.partition(scores[i, near], len(near) - k)[len(near) - k] - SLACK]
+            found.append(self._exact(query, near, k))
+        return found
+
+    def _visit(self, common: np.ndarray, scores: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+        """Complete the scores of all blocks that a text may need; what each text's k best reach at least.
+
+        The best block of each text comes first and sets what others must reach.
+        A block that is left out keeps no score.
+        """
+        rows, block = np.arange(len(scores)), self.block
+        best, least = bounds.argmax(axis=1), np.full(len(scores), SLACK / 2, np.float32)
+        done = np.zeros(bounds.shape, bool)
+
+        def complete(of: np.ndarray, b: int) -> None:
+            cut = slice(b * block, (b + 1) * block)
+            scores[of, cut] += common[of] @ self.matrix[:, cut]
+            done[of, b] = True
+            if k <= block:
+                reached = np.partition(scores[of, cut], block - k, axis=1)[:, block - k]
+                least[of] = np.maximum(least[of], reached - SLACK)
+
+        for b in np.unique(best).tolist():
+            complete(np.flatnonzero(best == b), b)
+        for b in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+            of = rows[~done[:, b] & (bounds[:, b] >= least - SLACK)]
+            if len(of):
+                complete(of, b)
+        scores.reshape(len(scores), self.blocks, block)[~done] = -1
+        return np.maximum(least - SLACK, 0)
+
+    def _exact(self, query: Vector, near: np.ndarray, k: int) -> list[tuple[float, int]]:
+        terms, weights = query
+        near = near[near < self.n]
+        at, _ = _spread(self.begin[near], self.begin[near + 1])
+        if not len(at):
+            return []
+        self.dense[terms] = weights
+        sums = np.add.reduceat(self.dense[self.terms[at]] * self.weights[at], np.cumsum(self.begin[near + 1] - self.begin[near]) - (self.begin[near + 1] - self.begin[near]))
+        self.dense[terms] = 0
+        best = sorted((-s, i) for s, i in zip(np.round(sums, 12).tolist(), near.tolist()) if s > 0)[:k]
         return [(-s, i) for s, i in best]
 
+    def shared(self, query: Vector, number: int, n: int) -> np.ndarray:
+        """The terms that weigh most in the cosine of a text and an example."""
+        at = slice(self.begin[number], self.begin[number + 1])
+        self.dense[query[0]] = query[1]
+        parts = self.dense[self.terms[at]] * self.weights[at]
+        self.dense[query[0]] = 0
+        top = np.argsort(-parts, kind="stable")[:n]
+        return self.terms[at][top[parts[top] > 0]]
 
-def _arrays(vector: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of a vector in order, and their weights."""
-    ids = sorted(vector)
-    return np.array(ids, np.int64), np.array([vector[i] for i in ids], np.float64)
+
+def information_gain(rows: list[Example]) -> dict[str, float]:
+    """Mutual information of a term's presence and the label, in nats, of every term.
+
+    It is above 0, however little a term tells, so that no term drops out.
+    """
+    toxic = Counter(w for _, bag, label in rows if label for w in bag)
+    held = Counter(w for _, bag, _ in rows for w in bag)
+    n, n_toxic = len(rows), sum(label for *_, label in rows)
+    a, both = np.array([toxic[w] for w in held], float), np.array(list(held.values()), float)
+    gain = np.full(len(held), 1e-9)
+    for cell, row, column in ((a, both, n_toxic), (both - a, both, n - n_toxic), (n_toxic - a, n - both, n_toxic), (n - n_toxic - both + a, n - both, n - n_toxic)):
+        full = cell > 0
+        gain[full] += cell[full] / n * np.log(cell[full] * n / (row[full] * column))
+    return dict(zip(held, np.maximum(gain, 1e-9).tolist()))
 
 
 class Model:
     """Terms, their inverse document frequencies, and the index of examples."""
 
-    def __init__(self, terms: list[str], idf: list[float], rows: list[tuple[object, str, int]], prior_weight: float = 1.0):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.terms, self.idf, self.prior_weight = terms, idf, prior_weight
-        vectors = [(name, *_arrays(self.vector(text)), label) for name, text, label in rows]
-        self.index = BlockMaxIndex([v for v in vectors if len(v[1])], BLOCK)
-        empty = [label for _, v, _, label in vectors if not len(v)]
+    def __init__(self, idf: dict[str, float], rows: list[Example], prior_weight: float = 1.0):
+        # Common terms first: examples of like common words share blocks.
+        held = Counter(w for _, bag, _ in rows for w in bag)
+        self.terms = sorted(held, key=lambda w: (-held[w], w))
+        self.number = {t: i for i, t in enumerate(self.terms)}
+        gain = information_gain(rows)
+        self.term_weight, self.prior_weight = np.array([idf[t] * gain[t] for t in self.terms]), prior_weight
+        made = sorted(((name, self.vector(bag), label) for name, bag, label in rows), key=lambda r: (r[1][0].astype(">i4").tobytes(), str(r[0])))
+        empty = [label for _, v, label in made if not len(v[0])]
+        made = [r for r in made if len(r[1][0])]
+        self.names, self.labels = [r[0] for r in made], [r[2] for r in made]
+        common = sum(n * COMMON >= len(rows) for n in held.values())
+        self.index = BlockMaxIndex([v for _, v, _ in made], len(self.terms), common)
         # Without an example of no words, all examples say what to expect of one.
-        empty = empty or [label for *_, label in vectors]
+        empty = empty or [label for *_, label in rows]
         self.base = (sum(empty) + 0.5) / (len(empty) + 1) if rows else 0.0
         self.cache: dict = {}
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        number = self.number
-        counts = Counter(i for w in words(text) if (i := number.get(w)) is not None)
-        raw = {i: (1 + math.log(n)) * self.idf[i] for i, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {i: x / norm for i, x in raw.items()} if norm else {}
-
-    def judge(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[tuple[object, float, int, list[str]]]]:
-        """Score, and the evidence: neighbours with cosine, label and shared terms."""
-        query = self.vector(text)
-        if not query:
-            return self.base, []
-        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if key in self.cache:
-            return self.cache[key]
-        near = self.index.search(query, k)
-        weights = [1 / (1.05 - s) for s, _ in near]
-        votes = sum(w for w, (_, i) in zip(weights, near) if self.index.labels[i])
-        score = (votes + self.prior_weight * self.base) / (sum(weights) + self.prior_weight)
-        evidence = [(self.index.names[i], s, self.index.labels[i], [self.terms[t] for t in self.index.terms_of(i).tolist() if t in query]) for s, i in near[:EVIDENCE]]
+    def vector(self, bag: dict[str, int]) -> Vector:
+        """Unit vector of the words that are terms."""
+        known = [w for w in bag if w in self.number]
+        terms = np.array([self.number[w] for w in known], np.int64)
+        order = np.argsort(terms)
+        terms = terms[order]
+        weights = (1 + np.log(np.array([bag[w] for w in known], float)[order])) * self.term_weight[terms]
+        return terms, weights / (np.sqrt(weights @ weights) if len(terms) else 1.0)
+
+    def judge(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[tuple]]]:
+        """Score and evidence of each text: neighbours with cosine, label and shared terms."""
+        keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        self.cache[key] = score, evidence
-        return self.cache[key]
+        found = {key: self.cache[key] for key in keys if key in self.cache}
+        fresh = {key: text for key, text in zip(keys, texts) if key not in found}
+        queries = [self.vector(Counter(words(text))) for text in fresh.values()]
+        for key, query, near in zip(fresh, queries, self.index.search(queries, k)):
+            found[key] = self._vote(query, near) if near else (self.base, [])
+        self.cache.update(found)
+        return [found[key] for key in keys]
+
+    def _vote(self, query: Vector, near: list[tuple[float, int]]) -> tuple[float, list[tuple]]:
+        weights = [1 / (1.05 - s) for s, _ in near]
+        votes = sum(w for w, (_, i) in zip(weights, near) if self.labels[i])
+        score = (votes + self.prior_weight * self.base) / (sum(weights) + self.prior_weight)
+        return score, [(self.names[i], s, self.labels[i], [self.terms[t] for t in self.index.shared(query, i, TOLD)]) for s, i in near[:EVIDENCE]]
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, words, their counts) of each row (id, label, text)."""
+    for batch in batches:
+        bags = [Counter(words(t)) for t in batch.column(2).to_pylist()]
+        columns = [batch.column(0), batch.column(1), pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "words", "counts"])
 
 
-def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """(id, label, text) of at most ``per_class`` labelled documents a class, of least id hash.
+def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> list[Example]:
+    """At most ``per_class`` labelled documents a class, of least id hash.
 
     Rows are chosen by id before any text is read; a document labelled twice
-    counts as toxic if one label says so.
+    counts as toxic if one label says so. Words are counted in the tasks.
     """
     labelled = labels.where(learn & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
     chosen = least_rows(labelled.withColumn("draw", F.xxhash64("id")), per_class, "label").drop("draw")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    return written(rows, "toxicity-examples")
+    rows = written(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "toxicity-examples")
+    kind = T.StructType([rows.schema["id"], rows.schema["label"], T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    found = rows.select("id", "label", "text").mapInArrow(_bags, kind).collect()
+    return sorted(((r["id"], dict(zip(r["words"], r["counts"])), r["label"]) for r in found), key=lambda r: str(r[0]))
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, list[int]]:
     """Number of all documents, and of those that have each term."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, found, n = shared.value, Counter(), 0
+        number, found, n = {t: i for i, t in enumerate(shared.value)}, Counter(), 0
+        known = frozenset(number)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                found.update({i for w in words(text) if (i := number.get(w)) is not None})
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int32()), pa.array([n, *found.values()], pa.int64())], names=["term", "n"])
+                found.update(known.intersection(words(text)))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *[number[w] for w in found]], pa.int32()), pa.array([n, *found.values()], pa.int64())], names=["term", "n"])
 
     rows = docs.select(text_col).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     total = {r["term"]: r["n"] for r in rows}
@@ -206,7 +284,8 @@ def _judge(batches: Iterator[pa.RecordBatch], shared, key: str, text_col: str) -
     kind = pa.list_(pa.struct([("doc_id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32()), ("terms", pa.list_(pa.string()))]))
     for batch in batches:
         names = batch.schema.names
-        judged = [model.judge(t) for t in batch.column(names.index(text_col)).to_pylist()]
+        texts = batch.column(names.index(text_col)).to_pylist()
+        judged = [j for at in range(0, len(texts), BATCH) for j in model.judge(texts[at : at + BATCH])]
         evidence = [[{"doc_id": str(n), "cosine": s, "label": la, "terms": t} for n, s, la, t in e] for _, e in judged]
         done = {"score": pa.array([s for s, _ in judged], pa.float64()), "evidence": pa.array(evidence, kind)}
         yield pa.RecordBatch.from_arrays([done[n] if n in done else batch.column(i) for i, n in enumerate(names)], names=names)
@@ -218,17 +297,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc
     ``learn`` is a condition on the rows of ``labels`` (id, toxic); only those
     teach, and only a text decides its score. A text without any word of the
     examples, null and empty ones included, has the share of toxic ones among
-    the examples without words, or else among all, as score; without labels every score is 0. Ties between neighbours
-    go to the lower number in the index, which repeated runs share. Columns
-    score, predicted and evidence of ``docs`` are replaced.
+    the examples without words, or else among all, as score; without labels
+    every score is 0. Ties between neighbours go to the lower number in the
+    index, which repeated runs share. Columns score, predicted and evidence of
+    ``docs`` are replaced.
     """
-    rows = bare(examples(docs, labels, learn, id_col, text_col, per_class))
-    # Common terms first: examples of like common words share blocks.
-    counted = Counter(w for _, text, _ in rows for w in set(text.split()))
-    terms = sorted(counted, key=lambda w: (-counted[w], w))
+    rows = examples(docs, labels, learn, id_col, text_col, per_class)
+    terms = sorted({w for _, bag, _ in rows for w in bag})
     total, found = document_frequencies(docs, terms, text_col) if terms else (0, [])
-    idf = [math.log((total + 1) / (n + 1)) + 1 for n in found]
-    shared, key = docs.sparkSession.sparkContext.broadcast((terms, idf, rows)), uuid.uuid4().hex
+    idf = dict(zip(terms, (np.log((total + 1) / (np.array(found, float) + 1)) + 1).tolist()))
+    shared, key = docs.sparkSession.sparkContext.broadcast((idf, rows)), uuid.uuid4().hex
     evidence = "array<struct<doc_id:string,cosine:double,label:int,terms:array<string>>>"
     out = clashing(docs, ["score", "predicted", "evidence"]).withColumns({"score": F.lit(0.0), "evidence": F.array().cast(evidence)})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
