@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import clashing, least_rows
 
-#: Fixed bounds of the scorer.
-SAMPLE, SAMPLE_BYTES = 4_000, 16 << 10
+#: Fixed bounds of the scorer: documents that train it, and its buckets.
+SAMPLE = 4_000
 BUCKETS = 1 << 16
 EPOCHS = 80
 
@@ -172,12 +172,11 @@ def features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((plain, shapes, (_RUN, _LINE))), np.concatenate((weight / (np.linalg.norm(weight) or 1.0), shares))
 
 
-def fit(raws: list[bytes], targets: list[float], epochs: int = EPOCHS, decay: float = 1e-4) -> np.ndarray:
-    """Logistic weights by bucket; the last is the bias."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], targets: list[float], epochs: int = EPOCHS, decay: float = 1e-4) -> np.ndarray:
+    """Logistic weights by bucket, from features of texts; the last is the bias."""
     w, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-8)
-    if not raws:
+    if not rows:
         return w
-    rows = [features(r) for r in raws]
     row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
     at, x = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
     y = np.array(targets)
@@ -197,32 +196,32 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
 
 
-def excerpt(raw: bytes, draw: int, size: int = SAMPLE_BYTES) -> bytes:
-    """At most ``size`` bytes of a text, from a place that the draw gives."""
-    at = draw % (len(raw) - size + 1) if len(raw) > size else 0
-    return raw[at : at + size]
-
-
 def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(draw, excerpt, pattern of the whole text) of each row (draw, text)."""
+    """(draw, features of the whole text, pattern) of each row (draw, text)."""
     for batch in batches:
-        draws = batch.column(0).to_pylist()
         raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        columns = [batch.column(0), pa.array(map(excerpt, raws, draws), pa.binary()), pa.array(map(pattern_of, raws), pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["draw", "raw", "pattern"])
+        told = [summed(*features(r)) for r in raws]
+        columns = [batch.column(0), pa.array([a for a, _ in told], pa.list_(pa.int32())), pa.array([x for _, x in told], pa.list_(pa.float32())), pa.array(map(pattern_of, raws), pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["draw", "at", "x", "pattern"])
+
+
+def summed(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features with one entry a bucket, at most ``BUCKETS`` whatever the text."""
+    buckets, where = np.unique(at, return_inverse=True)
+    return buckets.astype(np.int32), np.bincount(where, x, len(buckets)).astype(np.float32)
 
 
 def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLE) -> list:
-    """(raw, pattern) of the ``n`` documents of least hash of id and text; repeated rows count once.
+    """(at, x, pattern) of the ``n`` documents of least hash of id and text; repeated rows count once.
 
-    A text above 16 KiB gives an excerpt, which bounds what the driver holds; its
-    pattern is the whole text's. Hashes are chosen first, so that no task
+    The tasks read whole texts and send their features, one entry a bucket,
+    which bounds what the driver holds. Hashes are chosen first, so that no task
     gathers the texts of others.
     """
     rows = docs.select(F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).alias("text"))
     least = least_rows(rows.select("draw"), n)
-    found = rows.join(F.broadcast(least), "draw").mapInArrow(_taught, "draw long, raw binary, pattern int")
-    return found.groupBy("draw").agg(F.min(F.struct("raw", "pattern")).alias("row")).orderBy("draw").select("row.*").collect()
+    found = rows.join(F.broadcast(least), "draw").mapInArrow(_taught, "draw long, at array<int>, x array<float>, pattern int")
+    return found.groupBy("draw").agg(F.min(F.struct("at", "x", "pattern")).alias("row")).orderBy("draw").select("row.*").collect()
 
 
 _held: dict = {}
@@ -254,14 +253,13 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Labels of people are not used. A text without words (or null) scores 0. An
     empty table gives no rows; a table of one kind of document is scored by what
     its votes say. The scorer's sample are at most ``sample`` documents of least
-    hash of id and text, a longer one as an excerpt of 16 KiB; every text is
-    voted on and scored whole. Repeated rows get equal scores. Columns score,
+    hash of id and text; every text is voted on, learned from and scored whole. Repeated rows get equal scores. Columns score,
     weak_label and predicted of ``docs`` are replaced.
     """
     counts = docs.select(text_col).mapInArrow(_patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     posterior, _ = label_model({r["pattern"]: r["n"] for r in counts})
     taught = sample_texts(docs, id_col, text_col, sample)
-    weights = fit([bytes(r["raw"]) for r in taught], [posterior[r["pattern"]] for r in taught])
+    weights = fit([(np.array(r["at"], np.int64), np.array(r["x"])) for r in taught], [posterior[r["pattern"]] for r in taught])
     shared, key = docs.sparkSession.sparkContext.broadcast((weights, posterior)), uuid.uuid4().hex
     out = clashing(docs, ["score", "weak_label", "predicted"]).withColumns({"score": F.lit(0.0), "weak_label": F.lit(0.0)})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
