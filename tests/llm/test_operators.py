@@ -226,7 +226,7 @@ def test_language_edges(spark):
 
 
 def test_kernel_is_blended_presence():
-    model = langid.fit(["abc abd", "xyz"], ["a", "b"], 2)
+    model = langid.fit([langid.distinct_grams(t) for t in (b"abc abd", b"xyz")], ["a", "b"], 2)
     sets = [{g for n in (1, 2, 3) for g in zip(*[langid.fold(t)[k:] for k in range(n)])} for t in (b"abc abd", b"xyz")]
     own = len(sets[0]) ** 0.5 * len(sets[1]) ** 0.5
     assert np.allclose(model.kernel([b"xyz"])[0], [len(sets[0] & sets[1]) / own, 1], atol=1e-6)

@@ -36,7 +36,7 @@ def test_large_pages_are_learned_from(spark):
 def test_a_language_of_copies_is_learned(spark):
     rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("le renard brun et le chien "), F.col("id") % 5)).otherwise(F.concat(F.lit("the quick fox and the dog "), F.col("id"))).alias("text"), F.when(F.col("id") % 2 == 0, "fr").otherwise("en").alias("lang"))
     found = langid.sample(rows, "text", "lang", F.lit(True))
-    assert {la: sum(r["lang"] == la for r in found) for la in ("en", "fr")} == {"en": 300, "fr": 5}
+    assert {la: sum(lang == la for lang, _ in found) for la in ("en", "fr")} == {"en": 300, "fr": 5}
 
 
 def test_quality_learns_from_long_texts_and_rows_without_ids(spark):
@@ -45,6 +45,15 @@ def test_quality_learns_from_long_texts_and_rows_without_ids(spark):
     texts = ["".join(sentence() for _ in range(300)) for _ in range(30)] + ["SPAM$$$ WORDS### NOW&&& " * 1_000] * 12
     docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
     taught = quality.sample_texts(docs)
-    assert len(taught) == 31 and max(len(r["raw"]) for r in taught) == quality.SAMPLE_BYTES
+    assert len(taught) == 31
+    whole = {tuple(quality.summed(*quality.features(t.encode()))[0].tolist()) for t in texts}
+    assert {tuple(r["at"]) for r in taught} == whole
     got = quality.score_quality(docs).collect()
     assert all(r["predicted"] == int(not r["text"].startswith("SPAM")) and r["score"] != 0.5 for r in got)
+
+
+def test_every_language_has_a_landmark():
+    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5 for i in range(120)]
+    model = langid.fit([langid.distinct_grams(t.encode()) for t in texts], [f"l{i}" for i in range(120)])
+    assert model.landmarks.shape[1] == 120
+    assert [model.languages[k] for k in model.scores([t.encode() for t in texts]).argmax(axis=1)] == [f"l{i}" for i in range(120)]

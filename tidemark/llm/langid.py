@@ -31,12 +31,14 @@ _LETTER_BYTES = bytes(range(65, 91)) + bytes(range(97, 123))
 #: Upper-case ASCII to lower case, digits and signs to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Fixed bounds of the fitted model.
+#: Bounds of the fitted model (parameters): texts a language and together, and
+#: landmarks, of which each language has one at least.
 PER_LANGUAGE = 300
 SAMPLE_ROWS = 4_000
 LANDMARKS = 96
-SAMPLE_CHARS = 4_000
 RIDGE = 1e-2
+#: Lengths of n-grams.
+LENGTHS = (1, 2, 3)
 
 
 def grams(folded: np.ndarray, n: int) -> np.ndarray:
@@ -52,6 +54,12 @@ def fold(raw: bytes) -> np.ndarray:
     return np.frombuffer(b" " + b" ".join(raw.translate(FOLD).split()) + b" ", np.uint8)
 
 
+def distinct_grams(raw: bytes) -> list[np.ndarray]:
+    """Codes of the n-grams of a whole text, by length; at most 2^24 whatever the text."""
+    folded = fold(raw)
+    return [np.unique(grams(folded, n)) if len(folded) >= n else np.zeros(0, np.int32) for n in LENGTHS]
+
+
 _lookups: dict = {}
 
 
@@ -91,7 +99,9 @@ class Model:
         return out[:, :-1]
 
     def kernel(self, raws: list[bytes]) -> np.ndarray:
-        present = self.presence(raws)
+        return self.kernel_of(self.presence(raws))
+
+    def kernel_of(self, present: np.ndarray) -> np.ndarray:
         own = np.sqrt(np.maximum(present.sum(axis=1), 1))
         return present @ self.landmarks / (own[:, None] * self.sizes[None, :])
 
@@ -100,26 +110,31 @@ class Model:
         return self.kernel(raws) @ self.weights + self.bias
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on labelled texts (a bounded sample). Landmarks go round the languages."""
+def fit(texts: list[list[np.ndarray]], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Fit on the n-grams of labelled texts (a bounded sample). Landmarks go round the languages."""
     languages = sorted(set(langs))
     by_lang = {la: [i for i, x in enumerate(langs) if x == la] for la in languages}
-    chosen = [ids[k] for k in range(max(map(len, by_lang.values()))) for ids in by_lang.values() if k < len(ids)][:landmarks]
-    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
-    codes = [[np.unique(grams(f, n)) if len(f) >= n else np.zeros(0, np.int32) for n in (1, 2, 3)] for f in map(fold, raws)]
-    known = [np.unique(np.concatenate([codes[i][n] for i in chosen])) for n in range(3)]
+    chosen = [ids[k] for k in range(max(map(len, by_lang.values()))) for ids in by_lang.values() if k < len(ids)][: max(landmarks, len(languages))]
+    known = [np.unique(np.concatenate([texts[i][n] for i in chosen])) for n in range(len(LENGTHS))]
     first = np.cumsum([0] + [len(k) for k in known])
     marks = np.zeros((first[-1], len(chosen)), np.float32)
     for j, i in enumerate(chosen):
-        for n in range(3):
-            marks[first[n] + np.searchsorted(known[n], codes[i][n]), j] = 1
+        for n in range(len(LENGTHS)):
+            marks[first[n] + np.searchsorted(known[n], texts[i][n]), j] = 1
     sizes = np.sqrt(np.maximum(marks.sum(axis=0), 1))
     model = Model(known, marks, sizes, np.zeros((len(chosen), len(languages)), np.float32), np.zeros(len(languages), np.float32), languages)
     between = (marks.T @ marks) / (sizes[:, None] * sizes[None, :])
     values, vectors = np.linalg.eigh(between.astype(np.float64))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features = model.kernel(raws).astype(np.float64) @ whiten
+    lookups = model.lookups()
+    features = np.empty((len(texts), int(good.sum())))
+    for at in range(0, len(texts), 256):
+        present = np.zeros((len(texts[at : at + 256]), len(marks) + 1), np.float32)
+        for row, codes in zip(present, texts[at : at + 256]):
+            for lookup, part in zip(lookups, codes):
+                row[lookup[part]] = 1
+        features[at : at + 256] = model.kernel_of(present[:, :-1]).astype(np.float64) @ whiten
     targets = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     weight = 1.0 / np.array([len(by_lang[x]) for x in langs])
     weight *= len(langs) / weight.sum()
@@ -139,21 +154,29 @@ def has_letter(text: str | None, raw: bytes) -> bool:
     return bool(text) and LETTER.search(text) is not None
 
 
-def sample(docs: DataFrame, text_col: str, lang_col: str, learn, per_language: int = PER_LANGUAGE) -> list:
-    """At most ``per_language`` texts a language, and 4,000 together, of least hash; excerpts from within the text.
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, draw, codes of the n-grams by length, as bytes) of each row (lang, draw, text)."""
+    for batch in batches:
+        found = [distinct_grams(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+        codes = pa.array([[c.astype(np.int32).tobytes() for c in f] for f in found], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["lang", "draw", "codes"])
+
+
+def sample(docs: DataFrame, text_col: str, lang_col: str, learn, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> list:
+    """(lang, n-grams) of at most ``per_language`` texts a language, and ``sample_rows`` together, of least hash.
 
-    The excerpt bounds what the driver holds; it begins at a place that the
-    hash gives. Hashes are chosen first, so that no task gathers the texts of
-    others.
+    Each language has one text at least. The tasks read whole texts and send
+    their distinct n-grams. Hashes are chosen first, so that no task gathers
+    the texts of others.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("draw"), F.col(text_col).alias("text"))
     languages = rows.select("lang").distinct().count()
-    each = max(1, min(per_language, SAMPLE_ROWS // max(languages, 1)))
+    each = max(1, min(per_language, sample_rows // max(languages, 1)))
     chosen = least_rows(rows.select("lang", "draw"), each, "lang")
-    begin = F.pmod(F.col("draw"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    found = rows.join(F.broadcast(chosen), ["lang", "draw"]).select("lang", "draw", F.col("text").substr(begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
-    return found.groupBy("lang", "draw").agg(F.min("text").alias("text")).orderBy("lang", "draw").collect()
+    found = rows.join(F.broadcast(chosen), ["lang", "draw"]).select("lang", "draw", "text").mapInArrow(_grams, "lang string, draw long, codes array<binary>")
+    found = found.groupBy("lang", "draw").agg(F.min("codes").alias("codes")).orderBy("lang", "draw").collect()
+    return [(r["lang"], [np.frombuffer(bytes(c), np.int32) for c in r["codes"]]) for r in found]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator[pa.RecordBatch]:
@@ -186,7 +209,7 @@ def identify(docs: DataFrame, train: DataFrame, learn, text_col: str = "text", l
     get equal answers. Columns lang_pred and score of ``docs`` are replaced.
     """
     rows = sample(train, text_col, lang_col, learn, per_language)
-    model = fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks) if rows else None
+    model = fit([codes for _, codes in rows], [lang for lang, _ in rows], landmarks) if rows else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = clashing(docs, ["lang_pred", "score"]).withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(0.0)})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
