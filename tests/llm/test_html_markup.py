@@ -2,7 +2,9 @@
 
 import pytest
 
-from tidemark.llm.html_extract import blocks, declared
+from tidemark.llm.html_extract import ChainField, blocks, declared, lessons, main_text, train, undressed
+from tidemark.llm.queries import QUERIES
+from tests.llm.test_contracts import MID, rows_of
 
 
 def kept(page):
@@ -23,7 +25,8 @@ def kept(page):
         ("<ul><li>a <button>no<li>b</ul>", "a b"),
         ("<p>a <textarea>no</p><p>b</p>", "a b"),
         ("<p>a</p><script>no </p> no</script><p>b</p>", "a b"),
-        ("<p>a</p><object><object>no</object>no</object><p>b</p>", "a b"),
+        ("<p>a</p><object><object>x</object>y</object><p>b</p>", "a xy b"),
+        ("<p>a <canvas>x</canvas></p><noscript>y</noscript>", "a x y"),
         ("<div style='overflow:hidden'>a</div>", "a"),
         ("<div class='overflow-hidden'>a</div>", "a"),
         ("<div aria-hidden=false>a</div>", "a"),
@@ -39,3 +42,44 @@ def test_article_text_stays(inside, text):
 def test_many_unclosed_elements_are_read_in_one_pass():
     page = "<article>" + "<p>word <svg>no" * 20_000
     assert kept(page).split() == ["word"] * 20_000
+
+
+def test_deep_pages_take_room_in_proportion():
+    import tracemalloc
+
+    peaks = []
+    for n in (4_000, 16_000):
+        tracemalloc.start()
+        field = ChainField()
+        assert main_text(field, "<div>a " * n) == ""
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 50 << 20
+
+
+def test_pages_that_declare_nothing_have_text():
+    prose = "This is a sentence of page {0} that goes on for a while, as sentences do."
+    page = f"<div><a>Home {{0}}</a> | <a>About</a></div><div><h1>Head {{0}}</h1><p>{prose}</p><p>{prose}</p></div><div>© 2024 Foo {{0}}</div>"
+    field = train([page.format(i) for i in range(50)])
+    assert main_text(field, page.format(7)) == "\n".join(["Head 7", prose.format(7), prose.format(7)])
+
+
+def test_the_query_against_the_declared_article(spark):
+    """The given pages declare their articles; the field, told of no declaration, must find them."""
+    rows = {r["page_id"]: r for r in QUERIES["op7_html_extraction"](spark, MID).collect()}
+    pages = rows_of(MID, "pages")
+    assert len(rows) == len(pages)
+    for page in pages:
+        want = "\n".join(b.text for b in blocks(page["html"]) if declared(b) == 1)
+        assert (rows[page["page_id"]]["text"], rows[page["page_id"]]["n_chars"]) == (want, len(want))
+
+
+def test_pages_without_names_are_mostly_found():
+    pages = [r["html"] for r in rows_of(MID, "pages")]
+    field = ChainField().fit([x for i, p in enumerate(pages[:100]) for x in lessons(p, i)])
+    right = wrong = missed = 0
+    for page in map(blocks, pages[100:]):
+        for block, label in zip(page, field.decode(undressed(page))):
+            want = int(declared(block) == 1)
+            right, wrong, missed = right + (label and want), wrong + (label > want), missed + (label < want)
+    assert right > 0.95 * (right + missed) and right > 0.95 * (right + wrong)

@@ -20,7 +20,7 @@ def test_least_rows_count_draws_and_not_copies(spark):
 def test_copies_leave_pages_to_learn_from(spark):
     few = [(PAGE.format(i),) for i in range(5)]
     pages = spark.createDataFrame(few, "html string").crossJoin(spark.range(4_000))
-    assert sorted(html_extract.sample_pages(pages, "html")) == sorted(p for p, in few)
+    assert len(html_extract.sample_lessons(pages, "html")) == 4 * 5
 
 
 def test_large_pages_are_learned_from(spark):
@@ -28,9 +28,8 @@ def test_large_pages_are_learned_from(spark):
     pages = spark.createDataFrame([(i, p) for i, p in enumerate(large)], "page_id long, html string")
     got = html_extract.extract(pages).collect()
     assert all(r["text"].startswith("Head") and r["text"].count("More prose") == 600 for r in got)
-    few = html_extract.sample_pages(pages, "html", n=4, max_bytes=16 << 10)
-    assert 0 < sum(map(len, few)) <= 4 * (16 << 10)
-    assert len(html_extract.sample_pages(pages, "html", n=1, max_bytes=10)) == 1
+    few = html_extract.sample_lessons(pages, "html", n=4, most=100)
+    assert len(few) == 16 and len(few[0][2]) == 100
 
 
 def test_a_language_of_copies_is_learned(spark):

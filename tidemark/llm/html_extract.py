@@ -1,20 +1,24 @@
 """Main text of web pages by a linear-chain conditional random field.
 
 A page is cut into its leaf blocks: runs of text without a block tag between.
-Features of a block are the names and classes of its ancestors, its own tag,
-and what its text is like; the field labels the blocks of a page together as
-article or other (Viterbi), trained by gradient ascent on the likelihood of
-labelled pages.
-
-Pages are labelled by what their markup declares (:func:`declared`), for the
-training sample only; the field then judges every page, also those that declare
-nothing. The sample has a fixed bound; every page is read as a whole.
+Features of a block are the tags around it, whatever words their classes and
+ids have, its own tag, and what its text is like (length, ending, share of
+links, place); the field labels the blocks of a page together as article or
+other (Viterbi), trained by gradient ascent on the likelihood of labelled pages.
+
+Pages of the training sample are labelled by what their markup declares
+(:func:`declared`), or, where it declares no article, by :func:`prose`; neither
+is a feature. Each is learned in other dress too, among others without any name
+that declares, so that the text's features carry pages that declare nothing.
+The sample has a fixed bound; every page is judged as a whole.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +38,7 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements without an end tag, and elements whose content is not text (fixed values).
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea noscript template iframe svg object canvas select button".split())
+RAW_TAGS = frozenset("script style textarea template iframe svg select button".split())
 #: Of these, the ones whose content is characters up to the end tag, and those that end at the next of their kind.
 TEXT_ONLY = frozenset("script style textarea iframe".split())
 NOT_NESTED = frozenset("select button".split())
@@ -61,77 +65,128 @@ HIDDEN = re.compile(r"hidden|none", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 
-#: Bound of the training sample, and the length of training.
+#: Bounds of the training sample (parameters): pages, and blocks in a row of one page.
 SAMPLE_PAGES = 200
+SAMPLE_BLOCKS = 512
+#: Times a page is learned in other dress, and length of training.
+DRESSED = 4
 EPOCHS = 120
-BUCKETS = 1 << 12
-#: A longer page is trained on in pieces of so many blocks.
-PIECE = 2_048
+BUCKETS = 1 << 16
+#: Elements with names whose words a block is told by, innermost first.
+NEAR = 6
 
 
-@dataclass
+class Element:
+    """An element with its parent; what blocks in it share is worked out once."""
+
+    __slots__ = ("tag", "parent", "depth", "tags", "near", "hidden", "said", "told")
+
+    def __init__(self, tag: str, words: frozenset[str], parent: Element | None):
+        self.tag, self.parent, self.told = tag, parent, None
+        if parent is None:
+            self.depth, self.tags, self.near, self.hidden, self.said = 0, frozenset(), (), False, None
+            return
+        self.depth = parent.depth + 1
+        self.tags = parent.tags if tag in parent.tags or tag not in BLOCK_TAGS else parent.tags | {tag}
+        self.near = (words, *parent.near[: NEAR - 1]) if words else parent.near
+        self.hidden = parent.hidden or "hidden" in words
+        # A header inside an article holds its title, so it declares nothing there.
+        other = words & OTHER_WORDS or self.hidden or tag in OTHER_TAGS and not (tag == "header" and parent.said)
+        article = tag in ARTICLE_TAGS or words & ARTICLE_WORDS
+        self.said = 0 if other or parent.said == 0 else 1 if article else parent.said
+
+
+ROOT = Element("", frozenset(), None)
+
+
+def chain(*path: tuple[str, frozenset[str]]) -> Element:
+    """The innermost of elements, given outermost first."""
+    at = ROOT
+    for tag, words in path:
+        at = Element(tag, words, at)
+    return at
+
+
+@dataclass(slots=True)
 class Block:
-    """Text of a leaf block; names of the elements around it, outermost first."""
+    """Text of a leaf block, the element that holds it, and the share of its text in links."""
 
     text: str
-    path: tuple[tuple[str, frozenset[str]], ...]
+    element: Element
+    linked: float = 0.0
 
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order; blocks without text are left out."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = [ROOT]
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    at = 0
+    at, linked = 0, 0
     endless: set[str] = set()
 
+    def hold(text: str) -> None:
+        nonlocal linked
+        held.append(text)
+        linked += len(text) if opened["a"] else 0
+
     def flush() -> None:
+        nonlocal linked
         if held:
-            text = " ".join(htmllib.unescape("".join(held)).split())
-            held.clear()
+            raw = "".join(held)
+            text = " ".join(htmllib.unescape(raw).split())
             if text:
-                out.append(Block(text, tuple(stack)))
+                out.append(Block(text, stack[-1], linked / len(raw)))
+            held.clear()
+            linked = 0
+
+    def leave(upto: int) -> None:
+        while len(stack) > upto:
+            opened[stack.pop().tag] -= 1
 
     while at < len(page):
         found = TOKEN.search(page, at)
         if not found:
-            held.append(page[at:])
+            hold(page[at:])
             break
         if found.start() > at:
-            held.append(page[at : found.start()])
+            hold(page[at : found.start()])
         at = max(found.end(), found.start() + 1)
         name = (found[2] or "").lower()
         if not name:
             continue
         if name == "br":
-            held.append(" ")
+            hold(" ")
             continue
         if found[1]:
             if name in BLOCK_TAGS:
                 flush()
-            if any(tag == name for tag, _ in stack) and _may_close(stack, name):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name] and _may_close(stack, name):
+                upto = len(stack) - 1
+                while stack[upto].tag != name:
+                    upto -= 1
+                leave(upto)
             continue
         if name in RAW_TAGS:
             if name != "svg" or not found[3].rstrip().endswith("/"):
-                at = _raw_end(page, at, name, stack, endless)
+                at = _raw_end(page, at, name, stack, opened, endless)
             continue
         if name in BLOCK_TAGS:
             flush()
             if name in ENDS_P:
-                _close(stack, {"p"})
+                leave(_closed(stack, {"p"}))
             if name in SAME_KIND:
-                _close(stack, SAME_KIND[name])
+                leave(_closed(stack, SAME_KIND[name]))
         if name not in VOID_TAGS and not found[3].rstrip().endswith("/"):
             words = _names(found[3]) if found[3].strip() else frozenset()
-            stack.append((name, words))
+            stack.append(Element(name, words, stack[-1]))
+            opened[name] += 1
     flush()
     return out
 
 
-def _raw_end(page: str, at: int, name: str, stack: list, endless: set[str]) -> int:
+def _raw_end(page: str, at: int, name: str, stack: list[Element], opened: Counter[str], endless: set[str]) -> int:
     """Where the content of a raw element that begins at ``at`` has ended.
 
     That is behind its end tag. Without one (but for script and style, which run
@@ -147,7 +202,6 @@ def _raw_end(page: str, at: int, name: str, stack: list, endless: set[str]) -> i
         if name in ("script", "style"):
             return len(page)
         endless.add(name)
-    around = {tag for tag, _ in stack}
     inner: list[str] = []
     early = -1
     while token := TOKEN.search(page, at):
@@ -161,7 +215,7 @@ def _raw_end(page: str, at: int, name: str, stack: list, endless: set[str]) -> i
                     pass
             elif tag == name:
                 return token.end()
-            elif tag in around and _may_close(stack, tag):
+            elif opened[tag] and _may_close(stack, tag):
                 return early if early >= 0 else token.start()
             continue
         if tag == name and name in NOT_NESTED:
@@ -171,39 +225,39 @@ def _raw_end(page: str, at: int, name: str, stack: list, endless: set[str]) -> i
             if name in endless:
                 return early
         if tag in ("script", "style"):
-            at = _raw_end(page, at, tag, [], endless)
+            at = _raw_end(page, at, tag, [], Counter(), endless)
         elif tag not in VOID_TAGS and not token[3].rstrip().endswith("/"):
             inner.append(tag)
     endless.add(name)
     return early if early >= 0 else len(page)
 
 
-def _ends_container(stack: list, name: str) -> bool:
+def _ends_container(stack: list[Element], name: str) -> bool:
     """Whether the start of an element ends the innermost open block element."""
-    inmost = next((tag for tag, _ in reversed(stack) if tag in BLOCK_TAGS), "")
+    inmost = next((e.tag for e in reversed(stack) if e.tag in BLOCK_TAGS), "")
     return inmost == "p" and name in ENDS_P or inmost in SAME_KIND.get(name, ())
 
 
-def _may_close(stack: list, name: str) -> bool:
+def _may_close(stack: list[Element], name: str) -> bool:
     """An inline end tag does not reach over an open block element."""
     if name in BLOCK_TAGS:
         return True
-    for tag, _ in reversed(stack):
-        if tag == name:
+    for element in reversed(stack):
+        if element.tag == name:
             return True
-        if tag in BLOCK_TAGS:
+        if element.tag in BLOCK_TAGS:
             return False
     return False
 
 
-def _close(stack: list, kinds: set[str]) -> None:
-    """Close the innermost element of the kinds, unless a container is in between."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in kinds:
-            del stack[i:]
-            return
-        if stack[i][0] in BLOCK_TAGS and stack[i][0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            return
+def _closed(stack: list[Element], kinds: set[str]) -> int:
+    """Height of the stack once the innermost element of the kinds is closed, unless a container is in between."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in kinds:
+            return i
+        if stack[i].tag in BLOCK_TAGS and stack[i].tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            break
+    return len(stack)
 
 
 def _names(attributes: str) -> frozenset[str]:
@@ -221,80 +275,82 @@ def _hides(attributes: str) -> bool:
     return False
 
 
-def kinds(path: tuple) -> list[str]:
-    """What the elements around a block declare, outermost first.
+def declared(block: Block) -> int | None:
+    """1 for article, 0 for other, None where the markup around a block says neither."""
+    return block.element.said
 
-    A header inside an article holds its title, so it declares nothing there.
-    """
-    found: list[str] = []
-    for tag, words in path:
-        if words & OTHER_WORDS or "hidden" in words or tag in OTHER_TAGS and not (tag == "header" and "article" in found):
-            found.append("other")
-        elif tag in ARTICLE_TAGS or words & ARTICLE_WORDS:
-            found.append("article")
-    return found
+
+_ENDS = tuple(".!?…:;\"”»)")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def declared(block: Block) -> int | None:
-    """1 for article, 0 for other, None where the markup around a block says neither."""
-    found = kinds(block.path)
-    return 0 if "other" in found else 1 if found else None
+def prose(page: list[Block]) -> list[int]:
+    """Labels of a page that declares no article: sentences, and headings that lead to them.
+
+    What the markup declares to be something else stays so.
+    """
+    labels: list[int] = []
+    for block in reversed(page):
+        long = len(block.text) >= 40 and block.linked < 0.3 and block.text.endswith(_ENDS) and "©" not in block.text
+        leads = block.element.tag in _HEADINGS and bool(labels and labels[-1])
+        labels.append(int((long or leads) and declared(block) is None))
+    return labels[::-1]
 
 
-_ids: dict[str, int] = {}
+def labels_of(page: list[Block]) -> list[int]:
+    """What a page of the training sample teaches."""
+    said = [declared(b) for b in page]
+    return [x or 0 for x in said] if 1 in said else prose(page)
 
 
 def _id(name: str) -> int:
     """Number of a feature: a hash that all workers share."""
-    number = _ids.get(name)
-    if number is None:
-        import zlib
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+
 
-        number = zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
-        if len(_ids) < 100_000:
-            _ids[name] = number
-    return number
+def element_features(element: Element) -> np.ndarray:
+    """Features that all blocks of an element share."""
+    if element.told is None:
+        names = {f"in:{tag}" for tag in element.tags} | {f"own:{element.tag}", f"deep:{min(element.depth, 8)}"}
+        for rank, words in enumerate(element.near):
+            names |= {f"word:{w}" for w in words} | {f"word{min(rank, 2)}:{w}" for w in words}
+        if element.hidden:
+            names.add("hidden")
+        element.told = np.array(sorted({_id(n) for n in names}), np.int32)
+    return element.told
 
 
-_paths: dict = {}
+#: Numbers of the features of texts.
+_SIZES = [_id(f"size:{k}") for k in range(64)]
+_OTHERS = {name: _id(name) for name in ["end:0", "end:1", "sign", "bias", *(f"place:{k}" for k in range(4)), *(f"link:{k}" for k in range(4)), *(f"comma:{k}" for k in range(3))]}
 
 
-def _path_features(path: tuple) -> list[int]:
-    """Features of the elements around a block; pages of a site repeat them."""
-    found = _paths.get(path)
-    if found is None:
-        # What stands in something other than the article is not told by what that stands in.
-        said = kinds(path)
-        strange = "other" in said
-        names = {f"in:{tag}" for tag, _ in path if not (strange and tag in ARTICLE_TAGS)}
-        known = OTHER_WORDS | {"hidden"} if strange else ARTICLE_WORDS
-        names |= {f"word:{w}" for _, words in path for w in words & known}
-        names |= {f"kind:{'+'.join(sorted(set(said)))}", f"own:{path[-1][0] if path else ''}", f"deep:{min(len(path), 8)}"}
-        found = sorted({_id(n) for n in names})
-        if len(_paths) > 50_000:
-            _paths.clear()
-        _paths[path] = found
-    return found
+def text_features(page: list[Block]) -> list[list[int]]:
+    """Features of each block's text."""
+    out = []
+    for i, block in enumerate(page):
+        text, o = block.text, _OTHERS
+        told = [
+            _SIZES[len(text).bit_length()],
+            o["end:1" if text.endswith(_ENDS) else "end:0"],
+            o[f"place:{4 * i // len(page)}"],
+            o[f"link:{min(3, int(block.linked * 3 + 0.999))}"],
+            o[f"comma:{min(2, text.count(','))}"],
+            o["bias"],
+        ]
+        if "©" in text or "|" in text or "·" in text:
+            told.append(o["sign"])
+        out.append(told)
+    return out
 
 
-_ENDS = tuple(".!?…:;\"”»)")
+#: A page to learn from: feature numbers, number of features and label of each block.
+Lesson = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all blocks of a page, and where each block's begin."""
-    flat: list[int] = []
-    begins = []
-    n = len(page)
-    for i, block in enumerate(page):
-        begins.append(len(flat))
-        text = block.text
-        flat += _path_features(block.path)
-        size = len(text).bit_length()
-        flat += (_id(f"size:{size}"), _id(f"end:{text.endswith(_ENDS)}"), _id(f"place:{4 * i // n}"))
-        if "©" in text or "|" in text or "·" in text:
-            flat.append(_id("sign"))
-        flat.append(_id("bias"))
-    return np.array(flat, np.int32), np.array(begins, np.int64)
+def lesson(page: list[Block], labels: list[int]) -> Lesson:
+    told = [np.concatenate((element_features(b.element), np.array(t, np.int32))) for b, t in zip(page, text_features(page))]
+    return np.concatenate(told), np.array([len(t) for t in told], np.int32), np.array(labels, np.int32)
 
 
 class ChainField:
@@ -305,8 +361,17 @@ class ChainField:
         self.step = np.zeros((2, 2)) if step is None else step
 
     def emissions(self, page: list[Block]) -> np.ndarray:
-        flat, begins = features(page)
-        return np.add.reduceat(self.state[flat], begins, axis=0) if len(begins) else np.zeros((0, 2))
+        if not page:
+            return np.zeros((0, 2))
+        told = text_features(page)
+        out = np.add.reduceat(self.state[[k for t in told for k in t]], np.cumsum([0] + [len(t) for t in told[:-1]]), axis=0)
+        around: dict[int, np.ndarray] = {}
+        for i, block in enumerate(page):
+            key = id(block.element)
+            if key not in around:
+                around[key] = self.state[element_features(block.element)].sum(axis=0)
+            out[i] += around[key]
+        return out
 
     def decode(self, page: list[Block]) -> list[int]:
         """The likeliest labels of the whole page (Viterbi)."""
@@ -327,49 +392,48 @@ class ChainField:
             labels.append(label)
         return labels[::-1]
 
-    def fit(self, pages: list[list[Block]], labels: list[list[int]], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4) -> ChainField:
+    def fit(self, lessons: list[Lesson], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-5) -> ChainField:
         """Ascend the mean log-likelihood of whole label sequences by block.
 
-        Pages of a sample, a long one in pieces, are padded to a rectangle, so a
-        forward and backward pass is one vector step a position.
+        Pages of like length are padded to a rectangle, so a forward and
+        backward pass is one vector step a position.
         """
-        kept = [(p, la) for p, la in zip(pages, labels) if p]
-        if not kept:
+        if not lessons:
             return self
-        flats, rows, total = [], [], 0
-        for p, _ in kept:
-            flat, begins = features(p)
-            counts = np.diff(np.append(begins, len(flat)))
-            flats.append(flat)
-            rows.append(np.repeat(np.arange(total, total + len(p)), counts))
-            total += len(p)
-        flat, row = np.concatenate(flats), np.concatenate(rows)
-        lengths = np.array([min(PIECE, len(p) - at) for p, _ in kept for at in range(0, len(p), PIECE)])
-        width = lengths.max()
-        inside = np.arange(width)[None, :] < lengths[:, None]
-        gold = np.concatenate([np.array(la) for _, la in kept])
+        lessons = sorted(lessons, key=lambda x: len(x[2]))
+        used, flat = np.unique(np.concatenate([f for f, _, _ in lessons]), return_inverse=True)
+        gold = np.concatenate([g for _, _, g in lessons])
+        sizes = np.concatenate([n for _, n, _ in lessons])
+        row, begins, total = np.repeat(np.arange(len(gold)), sizes), np.cumsum(sizes) - sizes, len(gold)
+        lengths = np.array([len(g) for _, _, g in lessons])
+        first = np.concatenate(([0], np.cumsum(lengths)))
+        cuts = np.flatnonzero(np.diff(np.log2(lengths).astype(int), prepend=-1)).tolist() + [len(lengths)]
+        groups = [(first[a], first[b], np.arange(lengths[b - 1])[None, :] < lengths[a:b, None]) for a, b in zip(cuts, cuts[1:])]
         truth = np.zeros((total, 2))
         truth[np.arange(total), gold] = 1
-        grid = np.zeros((len(lengths), width), int)
-        grid[inside] = gold
         pairs = np.zeros((2, 2))
-        both = inside[:, 1:]
-        np.add.at(pairs, (grid[:, :-1][both], grid[:, 1:][both]), 1)
-        squares, step_squares = np.full_like(self.state, 1e-8), np.full_like(self.step, 1e-8)
+        inner = np.ones(total, bool)
+        inner[first[:-1]] = False
+        np.add.at(pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
+        state = np.ascontiguousarray(self.state[used].T)
+        squares, step_squares = np.full_like(state, 1e-8), np.full_like(self.step, 1e-8)
         for _ in range(epochs):
-            emit = np.zeros((total, 2))
-            for k in (0, 1):
-                emit[:, k] = np.bincount(row, self.state[flat, k], total)
-            cells = np.zeros((len(lengths), width, 2))
-            cells[inside] = emit
-            expect, pair_expect = self._expectations(cells, inside)
-            miss = truth - expect[inside]
-            grad = np.stack([np.bincount(flat, miss[row, k], BUCKETS) for k in (0, 1)], axis=1) / total - decay * self.state
+            emit = np.stack([np.add.reduceat(s[flat], begins) for s in state], axis=1)
+            expect, pair_expect = np.empty((total, 2)), np.zeros((2, 2))
+            for a, b, inside in groups:
+                cells = np.zeros((*inside.shape, 2))
+                cells[inside] = emit[a:b]
+                found, pair = self._expectations(cells, inside)
+                expect[a:b] = found[inside]
+                pair_expect += pair
+            miss = truth - expect
+            grad = np.stack([np.bincount(flat, miss[:, k][row], len(used)) for k in (0, 1)]) / total - decay * state
             step_grad = (pairs - pair_expect) / total - decay * self.step
             squares += grad**2
             step_squares += step_grad**2
-            self.state += rate * grad / np.sqrt(squares)
+            state += rate * grad / np.sqrt(squares)
             self.step += rate * step_grad / np.sqrt(step_squares)
+        self.state[used] = state.T
         return self
 
     def _expectations(self, cells: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -405,10 +469,11 @@ ARTICLE_DRESS = [
     (("div", frozenset()), ("div", frozenset())),
 ]
 ARTICLE_LEAVES = ("p", "p", "p", "p", "h1", "h2", "h3", "li", "blockquote", "pre", "td", "dd", "figcaption", "div")
-OTHER_LEAVES = ("p", "p", "li", "div", "h2", "h3", "h4", "td", "a", "label")
+BOXES = ("div", "div", "section", "ul")
+OTHER_LEAVES = ("p", "p", "p", "p", "li", "div", "h2", "h3", "h4", "td", "a", "label")
 
 
-def variants(page: list[Block], texts: list[str], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+def dressed(page: list[Block], labels: list[int], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     """A labelled page in other dress: other containers, with other blocks put in.
 
     The added blocks borrow article text, so that where a block stands decides
@@ -417,35 +482,55 @@ def variants(page: list[Block], texts: list[str], rng: np.random.Generator) -> t
     outer = (("html", frozenset()), ("body", frozenset()))
     dress = ARTICLE_DRESS[rng.integers(len(ARTICLE_DRESS))]
     words, tags = sorted(OTHER_WORDS), sorted(OTHER_TAGS - {"header"})
+    texts = [b.text for b, label in zip(page, labels) if label]
     out: list[tuple[Block, int]] = []
 
     def strange() -> None:
-        box = (("div", frozenset({words[rng.integers(len(words))]})),) if rng.random() < 0.6 else ((tags[rng.integers(len(tags))], frozenset()),)
+        box = ((BOXES[rng.integers(len(BOXES))], frozenset({words[rng.integers(len(words))]})),) if rng.random() < 0.6 else ((tags[rng.integers(len(tags))], frozenset()),)
         inside = dress if rng.random() < 0.5 else ()
         for _ in range(rng.integers(1, 4)):
             leaf = (OTHER_LEAVES[rng.integers(len(OTHER_LEAVES))], frozenset())
-            out.append((Block(texts[rng.integers(len(texts))], outer + inside + box + (leaf,)), 0))
+            out.append((Block(texts[rng.integers(len(texts))], chain(*outer, *inside, *box, leaf)), 0))
 
-    for block in page:
-        if declared(block) != 1:
+    strange()
+    for block, label in zip(page, labels):
+        if not label:
             out.append((block, 0))
             continue
-        if rng.random() < 0.3:
+        if rng.random() < 0.5:
             strange()
         leaf = (ARTICLE_LEAVES[rng.integers(len(ARTICLE_LEAVES))], frozenset())
-        out.append((Block(block.text, outer + dress + (leaf,)), 1))
+        out.append((Block(block.text, chain(*outer, *dress, leaf), block.linked), 1))
     strange()
     return [b for b, _ in out], [label for _, label in out]
 
 
-def train(pages: list[str], seed: int = 42) -> ChainField:
-    """Fit on pages that declare their article, and on three variants of each."""
-    cut = [b for b in map(blocks, pages) if any(declared(x) == 1 for x in b)]
-    labels = [[declared(x) or 0 for x in page] for page in cut]
-    texts = [b.text for page in cut for b in page if declared(b) == 1]
-    rng = np.random.default_rng(seed)
-    dressed = [variants(page, texts, rng) for page in cut for _ in range(3)]
-    return ChainField().fit(cut + [p for p, _ in dressed], labels + [la for _, la in dressed])
+def undressed(page: list[Block]) -> list[Block]:
+    """A page without the names that declare: plain containers, plain leaves."""
+    plain = frozenset("p li td dd dt blockquote pre a h1 h2 h3 h4 h5 h6".split())
+    return [Block(b.text, chain(("html", frozenset()), ("body", frozenset()), ("div", frozenset()), (b.element.tag if b.element.tag in plain else "div", frozenset())), b.linked) for b in page]
+
+
+def lessons(page: str | None, draw: int, most: int = SAMPLE_BLOCKS) -> list[Lesson]:
+    """What a page teaches: as it is, some times in other dress, once undressed.
+
+    Of a page of more than ``most`` blocks, so many in a row teach, from a place
+    that the draw gives.
+    """
+    found = blocks(page)
+    labels = labels_of(found)
+    at = draw % max(len(found) - most + 1, 1)
+    found, labels = found[at : at + most], labels[at : at + most]
+    if not found:
+        return []
+    rng = np.random.default_rng(draw & 0xFFFFFFFFFFFFFFFF)
+    others = [dressed(found, labels, rng) for _ in range(DRESSED)] if any(labels) else []
+    return [lesson(p, la) for p, la in [(found, labels), *others, (undressed(found), labels)]]
+
+
+def train(pages: list[str]) -> ChainField:
+    """Fit on pages of a sample."""
+    return ChainField().fit([x for draw, page in enumerate(pages) for x in lessons(page, draw)])
 
 
 def main_text(field: ChainField, page: str | None) -> str:
@@ -453,26 +538,28 @@ def main_text(field: ChainField, page: str | None) -> str:
     return "\n".join(b.text for b, label in zip(found, field.decode(found)) if label)
 
 
-def sample_pages(pages: DataFrame, html_col: str, n: int = SAMPLE_PAGES, max_bytes: int = 16 << 10) -> list[str]:
-    """At most ``n`` distinct pages of least hash, and of ``n`` times ``max_bytes`` together.
+def _teach(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(draw, lessons) of each row (draw, html)."""
+    kind = pa.list_(pa.struct([("flat", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32()))]))
+    for batch in batches:
+        draws, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        taught = [[{"flat": f, "sizes": n, "labels": g} for f, n, g in lessons(page, draw, most)] for draw, page in zip(draws, pages)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taught, kind)], names=["draw", "lessons"])
+
+
+def sample_lessons(pages: DataFrame, html_col: str, n: int = SAMPLE_PAGES, most: int = SAMPLE_BLOCKS) -> list[Lesson]:
+    """Lessons of at most ``n`` distinct pages of least hash, ``most`` blocks of each.
 
-    Where pages are large, fewer are taken: those above an eighth of the bytes
-    come last, a page that no longer fits is passed over, and if none fits the
-    smallest is taken. Hashes are chosen first, so that no task gathers the
-    pages of others.
+    The tasks parse the pages and send numbers of features, so what the driver
+    holds is bounded however large the pages are. Hashes are chosen first.
     """
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("draw"), F.octet_length(html_col).alias("size"), F.col(html_col).alias("html"))
-    least = [(r["draw"], r["size"]) for r in least_rows(rows.select("draw", "size"), n).collect()]
-    room, chosen = n * max_bytes, []
-    for draw, size in sorted(least, key=lambda r: (r[1] > n * max_bytes // 8, r[0] & 0xFFFFFFFFFFFFFFFF)):
-        if size <= room:
-            chosen.append((draw,))
-            room -= size
-    chosen = chosen or [(draw,) for draw, _ in sorted(least, key=lambda r: (r[1], r[0]))[:1]]
+    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("draw"), F.col(html_col).alias("html"))
     # At most n hashes: a bounded broadcast.
-    wanted = pages.sparkSession.createDataFrame(chosen, "draw long")
-    found = rows.join(F.broadcast(wanted), "draw").groupBy("draw").agg(F.min("html").alias("html"))
-    return [r["html"] for r in found.orderBy("draw").collect()]
+    wanted = least_rows(rows.select("draw"), n)
+    kind = "draw long, lessons array<struct<flat:array<int>,sizes:array<int>,labels:array<int>>>"
+    found = rows.join(F.broadcast(wanted), "draw").mapInArrow(lambda batches: _teach(batches, most), kind)
+    found = found.groupBy("draw").agg(F.min("lessons").alias("lessons")).orderBy("draw").collect()
+    return [tuple(np.array(x[k], np.int32) for k in ("flat", "sizes", "labels")) for r in found for x in r["lessons"]]
 
 
 def _extract(batches: Iterator[pa.RecordBatch], shared, html_col: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -490,12 +577,12 @@ def extract(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES
     Character references are decoded, white space inside a block becomes one
     space, blocks are joined in page order by one line feed. A null or empty
     page, or one without article blocks, has an empty text. Malformed markup is
-    read as far as it goes. Where no page declares an article, there is nothing
-    to learn and every text is empty. Repeated rows get equal texts. Columns
-    text and n_chars of ``pages`` are replaced.
+    read as far as it goes. Where no page declares an article, the field learns
+    from what looks like prose. Repeated rows get equal texts. Columns text and
+    n_chars of ``pages`` are replaced.
     """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    field = train(sample_pages(pages, html_col, sample))
+    field = ChainField().fit(sample_lessons(pages, html_col, sample))
     shared = pages.sparkSession.sparkContext.broadcast((field.state, field.step))
     base = clashing(pages, ["text", "n_chars"])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in base.schema if f.name != html_col] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
