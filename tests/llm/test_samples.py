@@ -20,7 +20,7 @@ def test_least_rows_count_draws_and_not_copies(spark):
 def test_copies_leave_pages_to_learn_from(spark):
     few = [(PAGE.format(i),) for i in range(5)]
     pages = spark.createDataFrame(few, "html string").crossJoin(spark.range(4_000))
-    assert len(html_extract.sample_lessons(pages, "html")) == 4 * 5
+    assert len(html_extract.sample_lessons(pages, "html")) == 6 * 5
 
 
 def test_large_pages_are_learned_from(spark):
@@ -29,7 +29,7 @@ def test_large_pages_are_learned_from(spark):
     got = html_extract.extract(pages).collect()
     assert all(r["text"].startswith("Head") and r["text"].count("More prose") == 600 for r in got)
     few = html_extract.sample_lessons(pages, "html", n=4, most=100)
-    assert len(few) == 16 and len(few[0][2]) == 100
+    assert len(few) == 24 and len(few[0][2]) == 100
 
 
 def test_a_language_of_copies_is_learned(spark):
