@@ -241,7 +241,8 @@ def test_search_equals_brute_force():
     arrays = lambda v: (np.array(sorted(v)), np.array([v[t] for t in sorted(v)]))
     vectors = [unit({rng.randrange(30): rng.random() + 0.1 for _ in range(rng.randint(1, 6))}) for _ in range(500)]
     for common, block in ((0, 16), (8, 16), (30, 7)):
-        index = toxicity.BlockMaxIndex([arrays(v) for v in vectors], 40, common, block)
+        begin = np.cumsum([0] + [len(v) for v in vectors])
+        index = toxicity.BlockMaxIndex(begin, *(np.concatenate([arrays(v)[k] for v in vectors]) for k in (0, 1)), 40, common, block)
         queries = [unit({rng.randrange(40): rng.random() + 0.1 for _ in range(4)}) for _ in range(60)]
         for q, found in zip(queries, index.search([arrays(q) for q in queries], 10)):
             every = sorted((-round(sum(w * v.get(t, 0) for t, w in sorted(q.items())), 9), n) for n, v in enumerate(vectors))

@@ -26,6 +26,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,6 @@ CACHE = 2_000
 
 #: A sparse vector: terms in order, and their weights.
 Vector = tuple[np.ndarray, np.ndarray]
-#: An example: its id, its words with their counts, and its label.
-Example = tuple[object, dict[str, int], int]
 
 
 def words(text: str | None) -> list[str]:
@@ -75,14 +74,11 @@ class BlockMaxIndex:
     are flat arrays, with ``first`` where each term's begin.
     """
 
-    def __init__(self, vectors: list[Vector], n_terms: int, common: int, block: int = BLOCK):
-        self.n, self.n_terms, self.common, self.block = len(vectors), n_terms, common, block
+    def __init__(self, begin: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, common: int, block: int = BLOCK):
+        self.n, self.n_terms, self.common, self.block = len(begin) - 1, n_terms, common, block
         self.blocks = -(-self.n // block)
-        lengths = np.array([len(t) for t, _ in vectors], np.int64)
-        self.begin = np.concatenate(([0], np.cumsum(lengths)))
-        self.terms = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]])
-        self.weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
-        number = np.repeat(np.arange(self.n), lengths)
+        self.begin, self.terms, self.weights = begin, terms, weights
+        number = np.repeat(np.arange(self.n), np.diff(begin))
         head = self.terms < common
         self.matrix = np.zeros((common, self.blocks * block), np.float32)
         self.matrix[self.terms[head], number[head]] = self.weights[head]
@@ -165,52 +161,75 @@ class BlockMaxIndex:
         return self.terms[at][top[parts[top] > 0]]
 
 
-def information_gain(rows: list[Example]) -> dict[str, float]:
-    """Mutual information of a term's presence and the label, in nats, of every term.
+def information_gain(held: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """Mutual information of a term's presence and the label, in nats, by term.
 
-    It is above 0, however little a term tells, so that no term drops out.
+    Of ``n`` examples, ``n_toxic`` of them toxic, ``held`` and ``toxic`` have the
+    term. It is above 0, however little a term tells, so that no term drops out.
     """
-    toxic = Counter(w for _, bag, label in rows if label for w in bag)
-    held = Counter(w for _, bag, _ in rows for w in bag)
-    n, n_toxic = len(rows), sum(label for *_, label in rows)
-    a, both = np.array([toxic[w] for w in held], float), np.array(list(held.values()), float)
     gain = np.full(len(held), 1e-9)
-    for cell, row, column in ((a, both, n_toxic), (both - a, both, n - n_toxic), (n_toxic - a, n - both, n_toxic), (n - n_toxic - both + a, n - both, n - n_toxic)):
+    for cell, row, column in ((toxic, held, n_toxic), (held - toxic, held, n - n_toxic), (n_toxic - toxic, n - held, n_toxic), (n - n_toxic - held + toxic, n - held, n - n_toxic)):
         full = cell > 0
         gain[full] += cell[full] / n * np.log(cell[full] * n / (row[full] * column))
-    return dict(zip(held, np.maximum(gain, 1e-9).tolist()))
+    return np.maximum(gain, 1e-9)
 
 
-class Model:
-    """Terms, their inverse document frequencies, and the index of examples."""
-
-    def __init__(self, idf: dict[str, float], rows: list[Example], prior_weight: float = 1.0):
-        # Common terms first: examples of like common words share blocks.
-        held = Counter(w for _, bag, _ in rows for w in bag)
-        self.terms = sorted(held, key=lambda w: (-held[w], w))
-        self.number = {t: i for i, t in enumerate(self.terms)}
-        gain = information_gain(rows)
-        self.term_weight, self.prior_weight = np.array([idf[t] * gain[t] for t in self.terms]), prior_weight
-        made = sorted(((name, self.vector(bag), label) for name, bag, label in rows), key=lambda r: (r[1][0].astype(">i4").tobytes(), str(r[0])))
-        empty = [label for _, v, label in made if not len(v[0])]
-        made = [r for r in made if len(r[1][0])]
-        self.names, self.labels = [r[0] for r in made], [r[2] for r in made]
-        common = sum(n * COMMON >= len(rows) for n in held.values())
-        self.index = BlockMaxIndex([v for _, v, _ in made], len(self.terms), common)
-        # Without an example of no words, all examples say what to expect of one.
-        empty = empty or [label for *_, label in rows]
-        self.base = (sum(empty) + 0.5) / (len(empty) + 1) if rows else 0.0
-        self.cache: dict = {}
+class Terms:
+    """All words of the examples, most frequent first, and what they weigh."""
 
-    def vector(self, bag: dict[str, int]) -> Vector:
-        """Unit vector of the words that are terms."""
-        known = [w for w in bag if w in self.number]
-        terms = np.array([self.number[w] for w in known], np.int64)
+    def __init__(self, words: list[str], weight: np.ndarray, common: int):
+        self.words, self.weight, self.common = words, weight, common
+        self.number = {w: i for i, w in enumerate(words)}
+
+    def vector(self, text: str | None) -> Vector:
+        """Unit vector of the words of a text that are terms."""
+        bag, number = Counter(words(text)), self.number
+        known = [w for w in bag if w in number]
+        terms = np.array([number[w] for w in known], np.int64)
         order = np.argsort(terms)
         terms = terms[order]
-        weights = (1 + np.log(np.array([bag[w] for w in known], float)[order])) * self.term_weight[terms]
+        weights = (1 + np.log(np.array([bag[w] for w in known], float)[order])) * self.weight[terms]
         return terms, weights / (np.sqrt(weights @ weights) if len(terms) else 1.0)
 
+
+@dataclass
+class Examples:
+    """The examples as flat arrays: ids, labels, and where each vector's terms and weights begin."""
+
+    names: list[str]
+    labels: np.ndarray
+    begin: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Examples:
+        """From rows (id, label, terms, weights); examples of like common words are put side by side."""
+        table = table.combine_chunks()
+        ids, labels = table.column("id").to_pylist(), np.array(table.column("label").to_pylist(), np.int64)
+        lists = [table.column(c).chunk(0) if len(table) else pa.array([], pa.list_(pa.float64())) for c in ("terms", "weights")]
+        terms, weights = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        begin = np.concatenate(([0], np.cumsum([len(x) for x in lists[0]]))).astype(np.int64)
+        order = sorted(range(len(ids)), key=lambda i: (terms[begin[i] : begin[i + 1]].astype(">i4").tobytes(), str(ids[i])))
+        at, _ = _spread(begin[order], begin[1:][order])
+        lengths = np.diff(begin)[order]
+        return cls([str(ids[i]) for i in order], labels[order], np.concatenate(([0], np.cumsum(lengths))), terms[at].astype(np.int32), weights[at])
+
+
+class Model:
+    """Terms, and the index of the examples that have any."""
+
+    def __init__(self, terms: Terms, examples: Examples, prior_weight: float = 1.0):
+        self.terms, self.prior_weight = terms, prior_weight
+        # Examples without terms sort first.
+        empty = int((np.diff(examples.begin) == 0).sum())
+        self.names, self.labels = examples.names[empty:], examples.labels[empty:].tolist()
+        self.index = BlockMaxIndex(examples.begin[empty:], examples.terms, examples.weights, len(terms.words), terms.common)
+        # Without an example of no words, all examples say what to expect of one.
+        likely = examples.labels[:empty] if empty else examples.labels
+        self.base = float((likely.sum() + 0.5) / (len(likely) + 1)) if len(likely) else 0.0
+        self.cache: dict = {}
+
     def judge(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[tuple]]]:
         """Score and evidence of each text: neighbours with cosine, label and shared terms."""
         keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
@@ -218,7 +237,7 @@ class Model:
             self.cache.clear()
         found = {key: self.cache[key] for key in keys if key in self.cache}
         fresh = {key: text for key, text in zip(keys, texts) if key not in found}
-        queries = [self.vector(Counter(words(text))) for text in fresh.values()]
+        queries = [self.terms.vector(text) for text in fresh.values()]
         for key, query, near in zip(fresh, queries, self.index.search(queries, k)):
             found[key] = self._vote(query, near) if near else (self.base, [])
         self.cache.update(found)
@@ -228,33 +247,46 @@ class Model:
         weights = [1 / (1.05 - s) for s, _ in near]
         votes = sum(w for w, (_, i) in zip(weights, near) if self.labels[i])
         score = (votes + self.prior_weight * self.base) / (sum(weights) + self.prior_weight)
-        return score, [(self.names[i], s, self.labels[i], [self.terms[t] for t in self.index.shared(query, i, TOLD)]) for s, i in near[:EVIDENCE]]
-
-
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, words, their counts) of each row (id, label, text)."""
-    for batch in batches:
-        bags = [Counter(words(t)) for t in batch.column(2).to_pylist()]
-        columns = [batch.column(0), batch.column(1), pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "words", "counts"])
+        return score, [(self.names[i], s, self.labels[i], [self.terms.words[t] for t in self.index.shared(query, i, TOLD)]) for s, i in near[:EVIDENCE]]
 
 
-def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> list[Example]:
-    """At most ``per_class`` labelled documents a class, of least id hash.
+def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+    """(id, label, text) of at most ``per_class`` labelled documents a class, of least id hash.
 
     Rows are chosen by id before any text is read; a document labelled twice
-    counts as toxic if one label says so. Words are counted in the tasks.
+    counts as toxic if one label says so.
     """
     labelled = labels.where(learn & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
     chosen = least_rows(labelled.withColumn("draw", F.xxhash64("id")), per_class, "label").drop("draw")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = written(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "toxicity-examples")
-    kind = T.StructType([rows.schema["id"], rows.schema["label"], T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    found = rows.select("id", "label", "text").mapInArrow(_bags, kind).collect()
-    return sorted(((r["id"], dict(zip(r["words"], r["counts"])), r["label"]) for r in found), key=lambda r: str(r[0]))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    return written(rows.select("id", "label", "text"), "toxicity-examples")
 
 
-def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, list[int]]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, examples, toxic examples) of a task's rows (id, label, text)."""
+    held, toxic = Counter(), Counter()
+    for batch in batches:
+        for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            found = set(words(text))
+            held.update(found)
+            toxic.update(found if label else ())
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([toxic[w] for w in held], pa.int64())], names=["word", "held", "toxic"])
+
+
+def terms_of(docs: DataFrame, taught: DataFrame, text_col: str = "text") -> Terms:
+    """All words of the examples, weighed by IDF over all documents and information gain."""
+    n, n_toxic = taught.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counted = taught.mapInArrow(_held, "word string, held long, toxic long").groupBy("word").agg(F.sum("held").alias("held"), F.sum("toxic").alias("toxic"))
+    counted = counted.orderBy(F.col("held").desc(), "word").toArrow()
+    found, held, toxic = (counted.column(c) for c in ("word", "held", "toxic"))
+    found, held, toxic = found.to_pylist(), held.to_numpy().astype(float), toxic.to_numpy().astype(float)
+    total, frequency = document_frequencies(docs, found, text_col) if found else (0, np.zeros(0))
+    idf = np.log((total + 1) / (frequency + 1)) + 1
+    return Terms(found, idf * information_gain(held, toxic, n, n_toxic), int((held * COMMON >= n).sum()))
+
+
+def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, np.ndarray]:
     """Number of all documents, and of those that have each term."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
@@ -267,9 +299,28 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
                 found.update(known.intersection(words(text)))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *[number[w] for w in found]], pa.int32()), pa.array([n, *found.values()], pa.int64())], names=["term", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    total = {r["term"]: r["n"] for r in rows}
-    return total.get(-1, 0), [total.get(i, 0) for i in range(len(terms))]
+    rows = docs.select(text_col).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    term, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
+    frequency = np.zeros(len(terms))
+    frequency[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), frequency
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(id, label, terms, weights) of each row (id, label, text)."""
+    terms = Terms(*shared.value)
+    for batch in batches:
+        found = [terms.vector(t) for t in batch.column(2).to_pylist()]
+        columns = [batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "terms", "weights"])
+
+
+def vectors(taught: DataFrame, terms: Terms) -> Examples:
+    """The examples as unit vectors, made in the tasks."""
+    shared = taught.sparkSession.sparkContext.broadcast((terms.words, terms.weight, terms.common))
+    kind = T.StructType([taught.schema["id"], taught.schema["label"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    return Examples.of(taught.mapInArrow(lambda batches: _vectors(batches, shared), kind).toArrow())
 
 
 #: The model this worker built last, by the run's key.
@@ -279,14 +330,15 @@ _models: dict = {}
 def _judge(batches: Iterator[pa.RecordBatch], shared, key: str, text_col: str) -> Iterator[pa.RecordBatch]:
     if key not in _models:
         _models.clear()
-        _models[key] = Model(*shared.value)
+        terms, taught = shared.value
+        _models[key] = Model(Terms(*terms), taught)
     model = _models[key]
     kind = pa.list_(pa.struct([("doc_id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32()), ("terms", pa.list_(pa.string()))]))
     for batch in batches:
         names = batch.schema.names
         texts = batch.column(names.index(text_col)).to_pylist()
         judged = [j for at in range(0, len(texts), BATCH) for j in model.judge(texts[at : at + BATCH])]
-        evidence = [[{"doc_id": str(n), "cosine": s, "label": la, "terms": t} for n, s, la, t in e] for _, e in judged]
+        evidence = [[{"doc_id": n, "cosine": s, "label": la, "terms": t} for n, s, la, t in e] for _, e in judged]
         done = {"score": pa.array([s for s, _ in judged], pa.float64()), "evidence": pa.array(evidence, kind)}
         yield pa.RecordBatch.from_arrays([done[n] if n in done else batch.column(i) for i, n in enumerate(names)], names=names)
 
@@ -302,11 +354,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc
     index, which repeated runs share. Columns score, predicted and evidence of
     ``docs`` are replaced.
     """
-    rows = examples(docs, labels, learn, id_col, text_col, per_class)
-    terms = sorted({w for _, bag, _ in rows for w in bag})
-    total, found = document_frequencies(docs, terms, text_col) if terms else (0, [])
-    idf = dict(zip(terms, (np.log((total + 1) / (np.array(found, float) + 1)) + 1).tolist()))
-    shared, key = docs.sparkSession.sparkContext.broadcast((idf, rows)), uuid.uuid4().hex
+    taught = examples(docs, labels, learn, id_col, text_col, per_class)
+    terms = terms_of(docs, taught, text_col)
+    model = (terms.words, terms.weight, terms.common), vectors(taught, terms)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     evidence = "array<struct<doc_id:string,cosine:double,label:int,terms:array<string>>>"
     out = clashing(docs, ["score", "predicted", "evidence"]).withColumns({"score": F.lit(0.0), "evidence": F.array().cast(evidence)})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
