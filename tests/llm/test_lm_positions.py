@@ -1,12 +1,73 @@
-"""All positions train the network."""
+"""All positions train the network; scores against a plain reference and any split."""
+
+import math
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from tests.llm.test_contracts import MID, rows_of
 from tidemark.llm import lm_score
 
 
+def vocabulary(raws):
+    found, counts = np.unique(np.concatenate([lm_score.tokens(r) for r in raws]), return_counts=True)
+    return lm_score.Vocabulary(found, counts)
+
+
 def test_every_position_trains_in_one_round():
-    _, words, at, _ = lm_score._laid_out([b"a b c d e f g", b"", b"h a a a b"])
+    raws = [b"a b c d e f g", b"", b"h a a a b"]
+    _, numbers, at = lm_score.laid_out([lm_score.tokens(r) for r in raws], vocabulary(raws))
+    assert len(at) == 12
     for rounds in (1, 2, 3):
-        taken = sum(lm_score.in_round(words, at, turn, rounds).astype(int) for turn in range(rounds))
+        taken = sum(lm_score.in_round(numbers, at, turn, rounds).astype(int) for turn in range(rounds))
         assert np.array_equal(taken, np.ones(len(at)))
+
+
+def test_log_probs_equal_a_plain_network():
+    raws = [b"the cat sat on the mat", b"the dog", b"cat"]
+    words = vocabulary(raws)
+    net = lm_score.Network(words=words, seed=3)
+    rows, numbers, at = lm_score.laid_out([lm_score.tokens(r) for r in raws], words)
+    got = net.log_probs(rows, numbers, at)
+    table, inner, shift, outer, bias = net.parts
+    every = Counter(n for r in raws for n in lm_score.tokens(r).tolist())
+    want = []
+    for raw in raws:
+        text = lm_score.tokens(raw).tolist()
+        for i, word in enumerate(text):
+            x = []
+            for k, d in enumerate((-2, -1, 1, 2)):
+                row = words.context_of[text[i + d]] if 0 <= i + d < len(text) else lm_score.CONTEXT
+                x += table[int(row) + k * (lm_score.CONTEXT + 1)].tolist()
+            h = [math.tanh(sum(a * inner[j, m] for j, a in enumerate(x)) + shift[m]) for m in range(lm_score.HIDDEN)]
+            logits = [sum(a * outer[j, c] for j, a in enumerate(h)) + bias[c] for c in range(lm_score.CLASSES)]
+            own = int(words.class_of[word])
+            inside = sum(n for w, n in every.items() if words.class_of[w] == own)
+            want.append(logits[own] - math.log(sum(map(math.exp, logits))) + math.log(every[word] / inside))
+    # Numbers without a text weigh a thousandth each in a class of words that end alike.
+    assert np.allclose(got, want, atol=1e-3) or np.all(got <= np.array(want) + 1e-3)
+    single = [i for i, n in enumerate(numbers[at]) if words.class_of[n] < lm_score.SINGLE]
+    assert single and np.allclose(got[single], np.array(want)[single], atol=1e-4)
+
+
+def test_numbers_tell_the_ending():
+    assert lm_score.number_of(b"nation") % lm_score.ENDINGS == lm_score.number_of(b"station") % lm_score.ENDINGS == zlib.crc32(b"on") % lm_score.ENDINGS
+
+
+def test_scores_do_not_depend_on_the_split_and_beat_word_counts(spark):
+    rows = [(r["doc_id"], r["text"]) for r in rows_of(MID, "documents")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for n in (1, 7):
+        scored = lm_score.score_documents(docs.repartition(n), slice_tokens=60_000)
+        scores.append({r["doc_id"]: (r["n_tokens"], r["log_prob"]) for r in scored.select("doc_id", "n_tokens", "log_prob").collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(scores[1][i] == (n, pytest.approx(s, rel=1e-5, abs=1e-6)) for i, (n, s) in scores[0].items())
+    whole = lm_score.score_documents(docs).agg(F.sum("log_prob")).first()[0]
+    words = Counter(w for _, t in rows for w in lm_score.tokens((t or "").encode()).tolist())
+    total = sum(words.values())
+    plain = sum(n * math.log(n / total) for n in words.values()) / total
+    assert whole / total > plain + 0.3 and sum(s for _, s in scores[0].values()) / total > plain + 0.1

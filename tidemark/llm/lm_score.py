@@ -2,11 +2,16 @@
 
 Every token is predicted from two tokens on each side: their embeddings, by
 position, feed a hidden layer and a softmax over word classes; a word's
-probability in its class is its share of the class's count. Word counts come
-from all documents. The network is trained in all tasks over every position of
-every text, each in one of the rounds, and its weights are averaged by the number of positions (two
-rounds); the averages are summed in a shuffle, so the driver gets one weight
-vector of fixed size. Then every token of every text is scored.
+probability in its class is its share of the class's count. The most frequent
+words are classes of their own, the others share a class with the words that
+end alike. Word counts come from all documents.
+
+Texts are tokenised once, into the shared folder. They are dealt to slices by a
+hash of id and text, so that what a slice learns does not depend on how the
+input is split; every position of every text trains in one of the rounds, and
+the networks of the slices are averaged by their positions after each. The sums
+are made in tasks, and the driver gets about as many weight vectors as the root
+of the number of slices. Then every token of every text is scored.
 """
 
 from __future__ import annotations
@@ -21,18 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import clashing, text_chunks
-
-#: Sizes of the network (fixed bounds of what is sent and broadcast).
-WORDS = 1 << 16
-CONTEXT = 1 << 12
+from tidemark.llm.common import clashing, text_chunks, written
+
+#: Word numbers: a hash, whose last digits tell the ending. Counts of words are
+#: gathered by number, so they grow with the words of the input up to this bound.
+ENDINGS = 64
+WORDS = 1 << 22
+#: Sizes of the network: words with an embedding of their own (the others have
+#: their ending's), and words that are a class of their own.
+OWN = 2_048
+CONTEXT = OWN + ENDINGS
+SINGLE = 64
+CLASSES = SINGLE + ENDINGS
 DEPTH = 8
 HIDDEN = 32
-SINGLE = 48
-BANDS = 16
-CLASSES = SINGLE + BANDS
 SIDE = 2
 ROUNDS = 2
+#: Tokens of a slice, about.
+SLICE = 2_000_000
 
 _numbers: dict[bytes, int] = {}
 
@@ -40,7 +51,7 @@ _numbers: dict[bytes, int] = {}
 def number_of(word: bytes) -> int:
     found = _numbers.get(word)
     if found is None:
-        found = zlib.crc32(word) % WORDS
+        found = zlib.crc32(word) % (WORDS // ENDINGS) * ENDINGS + zlib.crc32(word[-2:]) % ENDINGS
         if len(_numbers) > 500_000:
             _numbers.clear()
         _numbers[word] = found
@@ -49,7 +60,23 @@ def number_of(word: bytes) -> int:
 
 def tokens(raw: bytes) -> np.ndarray:
     words = raw.lower().split()
-    return np.fromiter(map(number_of, words), np.int64, len(words))
+    return np.fromiter(map(number_of, words), np.int32, len(words))
+
+
+class Vocabulary:
+    """What the counts of all words say: embedding row, class, and share in the class, by number."""
+
+    def __init__(self, found: np.ndarray, counts: np.ndarray):
+        top = np.lexsort((found, -counts))[:OWN]
+        numbers = np.arange(WORDS) % ENDINGS
+        self.context_of = (OWN + numbers).astype(np.int16)
+        self.context_of[found[top]] = np.arange(len(top))
+        self.class_of = (SINGLE + numbers).astype(np.uint8)
+        self.class_of[found[top[:SINGLE]]] = np.arange(len(top[:SINGLE]))
+        # Numbers that no text has weigh next to nothing.
+        smooth = np.full(WORDS, 1e-3)
+        smooth[found] = counts
+        self.within = np.log(smooth / np.bincount(self.class_of, smooth, CLASSES)[self.class_of]).astype(np.float32)
 
 
 class Network:
@@ -57,22 +84,13 @@ class Network:
 
     SHAPES = ((2 * SIDE * (CONTEXT + 1), DEPTH), (2 * SIDE * DEPTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
-    def __init__(self, flat: np.ndarray | None = None, counts: np.ndarray | None = None, seed: int = 42):
+    def __init__(self, flat: np.ndarray | None = None, words: Vocabulary | None = None, seed: int = 42):
         if flat is None:
             rng = np.random.default_rng(seed)
             flat = np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0.1 if len(s) > 1 else 0)) for s in self.SHAPES])
-        self.flat = flat.astype(np.float32)
+        self.flat, self.words = flat.astype(np.float32), words
         cuts = np.cumsum([int(np.prod(s)) for s in self.SHAPES])[:-1]
         self.parts = [p.reshape(s) for p, s in zip(np.split(self.flat, cuts), self.SHAPES)]
-        counts = np.zeros(WORDS) if counts is None else counts
-        order = np.argsort(-counts, kind="stable")
-        self.class_of = np.empty(WORDS, np.int64)
-        self.class_of[order[:SINGLE]] = np.arange(SINGLE)
-        rest = counts[order[SINGLE:]] + 1
-        band = np.minimum((np.cumsum(rest) - rest) * BANDS / rest.sum(), BANDS - 1).astype(np.int64)
-        self.class_of[order[SINGLE:]] = SINGLE + band
-        smooth = counts + 1
-        self.within = np.log(smooth / np.bincount(self.class_of, smooth, CLASSES)[self.class_of]).astype(np.float32)
         self.squares = [np.full(p.shape, 1e-4, np.float32) for p in self.parts]
 
     def context(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -113,66 +131,124 @@ class Network:
             part = at[i : i + 8192]
             _, _, logs = self.forward(self.context(ids, part))
             w = words[part]
-            out[i : i + 8192] = logs[np.arange(len(part)), self.class_of[w]] + self.within[w]
+            out[i : i + 8192] = logs[np.arange(len(part)), self.words.class_of[w]] + self.words.within[w]
         return out
 
 
-def _laid_out(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of several texts with padding between: context ids, words, positions, tokens by text."""
-    each = [tokens(r) for r in raws]
-    lengths = np.array([len(e) for e in each])
-    pad = np.full(SIDE, -1, np.int64)
-    words = np.concatenate([x for e in each for x in (pad, e)] + [pad])
-    at = np.flatnonzero(words >= 0)
-    return np.where(words < 0, CONTEXT, words % CONTEXT), words, at, lengths
+def laid_out(each: list[np.ndarray], words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of several texts with padding between: context rows, numbers, positions."""
+    pad = np.full(SIDE, -1, np.int32)
+    numbers = np.concatenate([x for e in each for x in (pad, e)] + [pad])
+    return np.where(numbers < 0, CONTEXT, words.context_of[numbers]), numbers, np.flatnonzero(numbers >= 0)
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(draw, numbers as bytes) of each row (draw, text) that has tokens."""
+    for batch in batches:
+        draws = batch.column(0).to_pylist()
+        for start, raws in text_chunks(batch.column(1).to_pylist(), 4 << 20):
+            found = [(draws[start + i], t) for i, r in enumerate(raws) if len(t := tokens(r))]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([t.tobytes() for _, t in found], pa.binary()), pa.array([len(t) for _, t in found], pa.int64())], names=["draw", "numbers", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(WORDS, np.int64)
     for batch in batches:
-        for _, raws in text_chunks(batch.column(0).to_pylist(), 1 << 20):
-            total += np.bincount(np.concatenate([tokens(r) for r in raws]), minlength=WORDS)
+        if len(batch):
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), minlength=WORDS)
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["word", "n"])
 
 
-def in_round(words: np.ndarray, at: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+def in_round(numbers: np.ndarray, at: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """Which positions a round trains on: each position is in one of the rounds."""
-    return (words[at] * 40_503 + at * 7 + turn) % rounds == 0
+    return (numbers[at].astype(np.int64) * 40_503 + at * 7 + turn) % rounds == 0
+
 
+#: Texts are learned from in runs of so many tokens.
+RUN = 100_000
 
-def _train(batches: Iterator[pa.RecordBatch], shared, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
-    """Weights after this task's positions of a round, times their number; at -1 the number."""
-    flat, counts = shared.value
-    network, seen, rest = Network(flat.copy(), counts), 0, []
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The texts of each slice in runs; rows come sorted by slice and draw."""
+    held, size, of = [], 0, None
     for batch in batches:
-        for _, raws in text_chunks(batch.column(0).to_pylist(), 1 << 20):
-            ids, words, at, _ = _laid_out(raws)
-            at = at[in_round(words, at, turn, rounds)]
-            rows, classes = network.context(ids, at), network.class_of[words[at]]
-            seen += len(at)
-            for i in range(0, len(at), 512):
-                network.learn(rows[i : i + 512], classes[i : i + 512])
-    if not seen:
-        return
-    flat = np.concatenate([p.ravel() for p in network.parts]).astype(np.float64) * seen
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.concatenate(([seen], flat)))], names=["weight", "value"])
+        for slice_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and (slice_ != of or size >= RUN):
+                yield of, held
+                held, size = [], 0
+            of = slice_
+            held.append(np.frombuffer(raw, np.int32))
+            size += len(held[-1])
+    if held:
+        yield of, held
+
+
+def _train(batches: Iterator[pa.RecordBatch], shared, key: str, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """A row for each slice: its weights after a round times its positions, and their number."""
+    flat, words = shared.value[0], _vocabulary(key, shared)
+    network, seen, of = None, 0, None
+
+    def done() -> pa.RecordBatch:
+        weights = np.concatenate([p.ravel() for p in network.parts]).astype(np.float64) * seen
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["slice", "seen", "weights"])
+
+    for slice_, each in _runs(batches):
+        if slice_ != of:
+            if seen:
+                yield done()
+            network, seen, of = Network(flat.copy(), words), 0, slice_
+        rows, numbers, at = laid_out(each, words)
+        at = at[in_round(numbers, at, turn, rounds)]
+        seen += len(at)
+        around, classes = network.context(rows, at), words.class_of[numbers[at]]
+        for i in range(0, len(at), 512):
+            network.learn(around[i : i + 512], classes[i : i + 512])
+    if seen:
+        yield done()
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the slices' rows, in order, by group (rows come sorted by group and slice)."""
+    of, seen, total = None, 0, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "seen", "weights"])
+
+    for batch in batches:
+        for group, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            weights = np.frombuffer(raw, np.float64)
+            if group != of:
+                if total is not None:
+                    yield done()
+                of, seen, total = group, n, weights.copy()
+            else:
+                seen, total = seen + n, total + weights
+    if total is not None:
+        yield done()
+
+
+def _vocabulary(key: str, shared) -> Vocabulary:
+    """The run's vocabulary; a worker makes it once."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Vocabulary(*shared.value[1])
+    return _held[key]
 
 
 _held: dict = {}
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, key: str, text_col: str) -> Iterator[pa.RecordBatch]:
-    if key not in _held:
-        _held.clear()
-        _held[key] = Network(*shared.value)
-    network = _held[key]
+    network = Network(shared.value[0], _vocabulary(key, shared))
     for batch in batches:
         names = batch.schema.names
         counts, sums = [], []
         for _, raws in text_chunks(batch.column(names.index(text_col)).to_pylist(), 1 << 20):
-            ids, words, at, lengths = _laid_out(raws)
-            logs = np.append(np.cumsum(network.log_probs(ids, words, at)), 0.0) if len(at) else np.zeros(1)
+            each = [tokens(r) for r in raws]
+            rows, numbers, at = laid_out(each, network.words)
+            logs = np.append(np.cumsum(network.log_probs(rows, numbers, at)), 0.0) if len(at) else np.zeros(1)
+            lengths = np.array([len(e) for e in each])
             ends = np.cumsum(lengths)
             upto = np.where(ends > 0, logs[ends - 1], 0.0)
             counts += lengths.tolist()
@@ -181,32 +257,42 @@ def _score(batches: Iterator[pa.RecordBatch], shared, key: str, text_col: str) -
         yield pa.RecordBatch.from_arrays([done[n] if n in done else batch.column(i) for i, n in enumerate(names)], names=names)
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Flat weights and word counts, gathered over all documents."""
-    texts, context = docs.select(text_col), docs.sparkSession.sparkContext
-    rows = texts.mapInArrow(_count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(WORDS)
-    for r in rows:
-        counts[r["word"]] = r["n"]
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, slice_tokens: int = SLICE) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], str]:
+    """Flat weights, word numbers with their counts, and the run's key."""
+    context, key = docs.sparkSession.sparkContext, uuid.uuid4().hex
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).alias("text"))
+    texts = written(rows.mapInArrow(_tokenise, "draw long, numbers binary, n long"), "lm-tokens")
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = texts.select("numbers").mapInArrow(_count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counts = counted.column("word").to_numpy(), counted.column("n").to_numpy()
+    slices = max(1, -(-total // slice_tokens))
+    groups = max(1, round(slices**0.5))
+    dealt = texts.select(F.pmod("draw", F.lit(slices)).cast("int").alias("slice"), "draw", "numbers")
+    dealt = dealt.repartition(slices, "slice").sortWithinPartitions("slice", "draw").select("slice", "numbers")
     flat = Network().flat
     for turn in range(rounds):
         shared = context.broadcast((flat, counts))
-        summed = texts.mapInArrow(lambda batches, shared=shared, turn=turn: _train(batches, shared, turn, rounds), "weight int, value double")
-        got = {r["weight"]: r["value"] for r in summed.groupBy("weight").agg(F.sum("value").alias("value")).collect()}
+        kind = "slice int, seen long, weights binary"
+        learned = dealt.mapInArrow(lambda batches, shared=shared, turn=turn: _train(batches, shared, key, turn, rounds), kind)
+        learned = learned.repartition(groups, F.pmod("slice", F.lit(groups))).sortWithinPartitions(F.pmod("slice", F.lit(groups)), "slice")
+        summed = learned.select(F.pmod("slice", F.lit(groups)).alias("slice"), "seen", "weights").mapInArrow(_add_up, kind)
+        got = sorted(summed.collect(), key=lambda r: r["slice"])
         if got:
-            flat = np.array([got[i] for i in range(len(flat))]) / got[-1]
-    return flat.astype(np.float32), counts
+            flat = (sum(np.frombuffer(bytes(r["weights"]), np.float64) for r in got) / sum(r["seen"] for r in got)).astype(np.float32)
+    return flat, counts, key
 
 
-def score_documents(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, slice_tokens: int = SLICE) -> DataFrame:
     """``docs`` with n_tokens, log_prob (sum over all tokens) and mean_log_prob.
 
     Tokens are runs without ASCII white space, A-Z lower-cased. A text without
     tokens (or null) has log_prob 0 and a null mean. An empty table gives no
-    rows. Repeated rows score alike up to rounding. Columns with the three
-    names are replaced.
+    rows. Repeated rows score alike up to rounding, and any split of the input
+    gives the same scores up to rounding. Columns with the three names are
+    replaced.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast(train(docs, text_col, rounds)), uuid.uuid4().hex
+    flat, counts, key = train(docs, id_col, text_col, rounds, slice_tokens)
+    shared = docs.sparkSession.sparkContext.broadcast((flat, counts))
     out = clashing(docs, ["n_tokens", "log_prob", "mean_log_prob"]).withColumns({"n_tokens": F.lit(0).cast("long"), "log_prob": F.lit(0.0)})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
     out = out.mapInArrow(lambda batches: _score(batches, shared, key, text_col), schema)
