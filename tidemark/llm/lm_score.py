@@ -45,22 +45,23 @@ ROUNDS = 2
 #: Tokens of a slice, about.
 SLICE = 2_000_000
 
-_numbers: dict[bytes, int] = {}
+class Numbers(dict):
+    """Words to their numbers, worked out at the first look-up."""
 
-
-def number_of(word: bytes) -> int:
-    found = _numbers.get(word)
-    if found is None:
+    def __missing__(self, word: bytes) -> int:
         found = zlib.crc32(word) % (WORDS // ENDINGS) * ENDINGS + zlib.crc32(word[-2:]) % ENDINGS
-        if len(_numbers) > 500_000:
-            _numbers.clear()
-        _numbers[word] = found
-    return found
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found
+        return found
+
+
+_numbers = Numbers()
 
 
 def tokens(raw: bytes) -> np.ndarray:
     words = raw.lower().split()
-    return np.fromiter(map(number_of, words), np.int32, len(words))
+    return np.fromiter(map(_numbers.__getitem__, words), np.int32, len(words))
 
 
 class Vocabulary:
@@ -99,39 +100,49 @@ class Network:
         return np.stack([ids[at + d] + k * (CONTEXT + 1) for k, d in enumerate(steps)], axis=1)
 
     def forward(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, hidden layer and class log-probabilities up to a constant of the row, taken away by callers."""
         table, inner, shift, outer, bias = self.parts
         x = table[rows].reshape(len(rows), -1)
-        h = np.tanh(x @ inner + shift)
-        logits = h @ outer + bias
+        h = x @ inner
+        h += shift
+        np.tanh(h, out=h)
+        logits = h @ outer
+        logits += bias
         logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return x, h, logits
 
     def learn(self, rows: np.ndarray, classes: np.ndarray, rate: float = 0.05) -> None:
         """One step of adaptive gradient ascent on a batch."""
         _, inner, _, outer, _ = self.parts
-        x, h, logs = self.forward(rows)
-        miss = -np.exp(logs)
-        miss[np.arange(len(rows)), classes] += 1
-        miss /= len(rows)
-        back = (miss @ outer.T) * (1 - h * h)
+        x, h, miss = self.forward(rows)
+        np.exp(miss, out=miss)
+        miss *= -1 / (miss.sum(axis=1, keepdims=True) * len(rows))
+        miss[np.arange(len(rows)), classes] += 1 / len(rows)
+        back = miss @ outer.T
+        back *= 1 - h * h
         grads = [None, x.T @ back, back.sum(axis=0), h.T @ miss, miss.sum(axis=0)]
-        used, where = np.unique(rows.ravel(), return_inverse=True)
         spread = (back @ inner.T).reshape(-1, DEPTH)
-        dense = np.stack([np.bincount(where.ravel(), spread[:, k], len(used)) for k in range(DEPTH)], axis=1).astype(np.float32)
-        self.squares[0][used] += dense**2
-        self.parts[0][used] += rate * dense / np.sqrt(self.squares[0][used])
+        flat = rows.ravel()
+        order = np.argsort(flat, kind="stable")
+        sorted_ = flat[order]
+        begins = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        used, dense = sorted_[begins], np.add.reduceat(spread[order], begins, axis=0)
+        squares = self.squares[0][used] + dense**2
+        self.squares[0][used] = squares
+        self.parts[0][used] += rate * dense / np.sqrt(squares)
         for k in range(1, len(grads)):
             self.squares[k] += grads[k] ** 2
             self.parts[k] += rate * grads[k] / np.sqrt(self.squares[k])
 
     def log_probs(self, ids: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.float64)
-        for i in range(0, len(at), 8192):
-            part = at[i : i + 8192]
-            _, _, logs = self.forward(self.context(ids, part))
+        for i in range(0, len(at), 2048):
+            part = at[i : i + 2048]
+            _, _, logits = self.forward(self.context(ids, part))
             w = words[part]
-            out[i : i + 8192] = logs[np.arange(len(part)), self.words.class_of[w]] + self.words.within[w]
+            own = logits[np.arange(len(part)), self.words.class_of[w]]
+            np.exp(logits, out=logits)
+            out[i : i + 2048] = own - np.log(logits.sum(axis=1)) + self.words.within[w]
         return out
 
 
