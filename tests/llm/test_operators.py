@@ -144,6 +144,27 @@ def test_quality_weights_favour_documents(spark):
     assert n[True] > 1.5 * n[False] and abs(n[True] + n[False] - 3000) <= 6
 
 
+@pytest.mark.parametrize("weights", [{0: 0.01}, {0: 100.0}, {0: 0.01, 1: 100.0, 2: 0.0, 3: None}])
+def test_no_piece_holds_a_source(spark, weights):
+    """Pieces of a hot source stay small whatever the weights; the rows are mixed whole."""
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    weight = F.element_at(F.array(*[F.lit(w).cast("double") for w in weights.values()]), (F.col("id") % len(weights) + 1).cast("int"))
+    given = spark.range(6_000).select("id", weight.alias("weight"))
+    rows = mixing.mix(docs, quality=given, weights=(1,), share=0.5).collect()
+    assert len(rows) == 6_000 and abs(sum(r["taken"] for r in rows) - 9_000) <= 3
+    keys = docs.join(given, F.col("doc_id") == F.col("id")).select(F.floor(F.log(mixing.exponential_key(F.col("doc_id"), F.coalesce("weight", F.lit(1.0)), 42)) * 12).alias("piece"))
+    assert keys.groupBy("piece").count().agg(F.max("count")).first()[0] < 0.06 * 6_000
+    if len(weights) > 1:
+        assert not any(r["taken"] for r in rows if r["doc_id"] % 4 == 2)
+
+
+def test_repeated_rows_and_null_weights_are_mixed(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", None), (2, None, "s")], "doc_id long, text string, source string")
+    given = spark.createDataFrame([(1, None), (2, -1.0)], "id long, weight double")
+    rows = mixing.mix(docs, quality=given).collect()
+    assert sorted(r["size"] for r in rows) == [0, 1, 2, 2]
+
+
 # --- decontamination
 
 
@@ -246,7 +267,7 @@ def test_search_equals_brute_force():
         queries = [unit({rng.randrange(40): rng.random() + 0.1 for _ in range(4)}) for _ in range(60)]
         for q, found in zip(queries, index.search([arrays(q) for q in queries], 10)):
             every = sorted((-round(sum(w * v.get(t, 0) for t, w in sorted(q.items())), 9), n) for n, v in enumerate(vectors))
-            assert np.allclose([s for s, _ in found], [-s for s, n in every if s < 0][:10])
+            assert np.allclose([s for s, *_ in found], [-s for s, n in every if s < 0][:10])
 
 
 def test_toxicity_edges(spark):

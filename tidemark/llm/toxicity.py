@@ -27,6 +27,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +37,19 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import clashing, least_rows, written
 
-#: Runs of letters.
-WORD = re.compile(r"[^\W\d_]+")
+#: Lower-case UTF-8 to words and spaces: ASCII but for letters parts words, as
+#: do the signs beyond ASCII below (Latin-1, general and CJK punctuation).
+FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+SIGNS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u3000-\u3004\u3007-\u3020\u3030]+")
 
 #: Fixed bounds of the model.
 PER_CLASS = 4_000
 NEIGHBOURS = 15
-BLOCK = 128
+BLOCK = 256
 #: A term is common if at least one in so many examples holds it.
-COMMON = 64
+COMMON = 24
 #: Texts of one search, and what single precision may be off by.
-BATCH, SLACK = 128, 1e-4
+BATCH, SLACK = 128, 2e-5
 #: Neighbours and terms that are told of, and judged texts that a worker remembers.
 EVIDENCE, TOLD = 3, 5
 CACHE = 2_000
@@ -55,8 +58,12 @@ CACHE = 2_000
 Vector = tuple[np.ndarray, np.ndarray]
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words(text: str | None) -> list[bytes]:
+    """Runs of letters, in lower case, as UTF-8."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = SIGNS.sub(" ", text)
+    return text.encode("utf-8", "replace").translate(FOLD).split()
 
 
 def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +95,11 @@ class BlockMaxIndex:
         self.first = np.searchsorted(self.terms[~head][order], np.arange(n_terms + 1))
         self.dense = np.zeros(n_terms)
 
-    def search(self, queries: list[Vector], k: int) -> list[list[tuple[float, int]]]:
-        """The k examples of greatest cosine above 0, by text; of equal ones the lower numbers."""
+    def search(self, queries: list[Vector], k: int) -> list[list[tuple[float, int, list[int]]]]:
+        """The k examples of greatest cosine above 0, by text; of equal ones the lower numbers.
+
+        With the first ones come the terms that weigh most in the cosine.
+        """
         if not self.n or not queries:
             return [[] for _ in queries]
         width = self.blocks * self.block
@@ -107,7 +117,7 @@ class BlockMaxIndex:
         found = []
         for i, query in enumerate(queries):
             near = np.flatnonzero(scores[i] >= least[i])
-            if len(near) > 4 * k:
+            if len(near) > k:
                 near = near[scores[i, near] >= np.partition(scores[i, near], len(near) - k)[len(near) - k] - SLACK]
             found.append(self._exact(query, near, k))
         return found
@@ -139,26 +149,28 @@ class BlockMaxIndex:
         scores.reshape(len(scores), self.blocks, block)[~done] = -1
         return np.maximum(least - SLACK, 0)
 
-    def _exact(self, query: Vector, near: np.ndarray, k: int) -> list[tuple[float, int]]:
-        terms, weights = query
+    def _exact(self, query: Vector, near: np.ndarray, k: int) -> list[tuple[float, int, list[int]]]:
         near = near[near < self.n]
         at, _ = _spread(self.begin[near], self.begin[near + 1])
         if not len(at):
             return []
-        self.dense[terms] = weights
-        sums = np.add.reduceat(self.dense[self.terms[at]] * self.weights[at], np.cumsum(self.begin[near + 1] - self.begin[near]) - (self.begin[near + 1] - self.begin[near]))
-        self.dense[terms] = 0
-        best = sorted((-s, i) for s, i in zip(np.round(sums, 12).tolist(), near.tolist()) if s > 0)[:k]
-        return [(-s, i) for s, i in best]
-
-    def shared(self, query: Vector, number: int, n: int) -> np.ndarray:
-        """The terms that weigh most in the cosine of a text and an example."""
-        at = slice(self.begin[number], self.begin[number + 1])
         self.dense[query[0]] = query[1]
-        parts = self.dense[self.terms[at]] * self.weights[at]
+        terms = self.terms[at]
+        parts = self.dense[terms] * self.weights[at]
         self.dense[query[0]] = 0
-        top = np.argsort(-parts, kind="stable")[:n]
-        return self.terms[at][top[parts[top] > 0]]
+        ends = np.cumsum(self.begin[near + 1] - self.begin[near])
+        begins = ends - (self.begin[near + 1] - self.begin[near])
+        sums = np.round(np.add.reduceat(parts, begins), 12).tolist()
+        best = sorted((-s, i, j) for j, (s, i) in enumerate(zip(sums, near.tolist())) if s > 0)[:k]
+        found = []
+        for n, (s, i, j) in enumerate(best):
+            told: list[int] = []
+            if n < EVIDENCE:
+                own = parts[begins[j] : ends[j]]
+                top = np.argsort(-own, kind="stable")[:TOLD]
+                told = terms[begins[j] : ends[j]][top[own[top] > 0]].tolist()
+            found.append((-s, i, told))
+        return found
 
 
 def information_gain(held: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
@@ -179,16 +191,16 @@ class Terms:
 
     def __init__(self, words: list[str], weight: np.ndarray, common: int):
         self.words, self.weight, self.common = words, weight, common
-        self.number = {w: i for i, w in enumerate(words)}
+        self.number = {w.encode(): i for i, w in enumerate(words)}
 
     def vector(self, text: str | None) -> Vector:
         """Unit vector of the words of a text that are terms."""
-        bag, number = Counter(words(text)), self.number
-        known = [w for w in bag if w in number]
-        terms = np.array([number[w] for w in known], np.int64)
-        order = np.argsort(terms)
+        bag = Counter(words(text))
+        terms = np.fromiter(map(self.number.get, bag, repeat(-1)), np.int64, len(bag))
+        counts = np.fromiter(bag.values(), float, len(bag))
+        order = np.argsort(terms)[np.count_nonzero(terms < 0) :]
         terms = terms[order]
-        weights = (1 + np.log(np.array([bag[w] for w in known], float)[order])) * self.weight[terms]
+        weights = (1 + np.log(counts[order])) * self.weight[terms]
         return terms, weights / (np.sqrt(weights @ weights) if len(terms) else 1.0)
 
 
@@ -238,16 +250,16 @@ class Model:
         found = {key: self.cache[key] for key in keys if key in self.cache}
         fresh = {key: text for key, text in zip(keys, texts) if key not in found}
         queries = [self.terms.vector(text) for text in fresh.values()]
-        for key, query, near in zip(fresh, queries, self.index.search(queries, k)):
-            found[key] = self._vote(query, near) if near else (self.base, [])
+        for key, near in zip(fresh, self.index.search(queries, k)):
+            found[key] = self._vote(near) if near else (self.base, [])
         self.cache.update(found)
         return [found[key] for key in keys]
 
-    def _vote(self, query: Vector, near: list[tuple[float, int]]) -> tuple[float, list[tuple]]:
-        weights = [1 / (1.05 - s) for s, _ in near]
-        votes = sum(w for w, (_, i) in zip(weights, near) if self.labels[i])
+    def _vote(self, near: list[tuple[float, int, list[int]]]) -> tuple[float, list[tuple]]:
+        weights = [1 / (1.05 - s) for s, *_ in near]
+        votes = sum(w for w, (_, i, _) in zip(weights, near) if self.labels[i])
         score = (votes + self.prior_weight * self.base) / (sum(weights) + self.prior_weight)
-        return score, [(self.names[i], s, self.labels[i], [self.terms.words[t] for t in self.index.shared(query, i, TOLD)]) for s, i in near[:EVIDENCE]]
+        return score, [(self.names[i], s, self.labels[i], [self.terms.words[t] for t in told]) for s, i, told in near[:EVIDENCE]]
 
 
 def examples(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
@@ -271,7 +283,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = set(words(text))
             held.update(found)
             toxic.update(found if label else ())
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([toxic[w] for w in held], pa.int64())], names=["word", "held", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([toxic[w] for w in held], pa.int64())], names=["word", "held", "toxic"])
 
 
 def terms_of(docs: DataFrame, taught: DataFrame, text_col: str = "text") -> Terms:
@@ -291,7 +303,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, found, n = {t: i for i, t in enumerate(shared.value)}, Counter(), 0
+        number, found, n = {t.encode(): i for i, t in enumerate(shared.value)}, Counter(), 0
         known = frozenset(number)
         for batch in batches:
             for text in batch.column(0).to_pylist():
