@@ -40,7 +40,8 @@ def reversed_host(host: Column) -> Column:
 
 def rule_table(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(verdict, host, path) tuples as a DataFrame; an empty host fits every URL."""
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    rows = [F.struct(F.lit(verdict).alias("verdict"), F.lit(host).alias("host"), F.lit(path).alias("path")) for verdict, host, path in rules]
+    return spark.range(1).select(F.inline(F.array(*rows).cast("array<struct<verdict:string,host:string,path:string>>")))
 
 
 def _events(rules: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def _sweep(urls: DataFrame, events: DataFrame, depth: int, partitions: int) -> D
     suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     suffixes = F.concat(F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(suffixes), F.array(F.lit("")))
     hosts = bounded(events.select(F.col("host").alias("at")).distinct(), MAX_BROADCAST_HOSTS)
-    keys = urls.select("host", "path", F.explode(suffixes).alias("at")).join(hosts, "at")
+    keys = written(urls.select("host", "path", F.explode(suffixes).alias("at")).join(hosts, "at"), "url-sought")
     per_host = keys.groupBy("at").agg(F.count("*").alias("keys"))
     total = max(keys.count(), 1)
     sweeps = per_host.select("at", F.ceil(F.col("keys") * 4 * partitions / total).cast("int").alias("sweeps"))
