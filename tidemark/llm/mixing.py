@@ -5,8 +5,11 @@ Every document gets an exponential key divided by its quality weight
 and their sizes summed up to the source's word budget. Whole epochs of a
 source come first, the rest is the head of the sorted order.
 
-A hot source is cut into key ranges: each range is sorted on its own and starts
-from the sum of the ranges before it, so no task sorts a whole source.
+A hot source is cut into ranges of the logarithm of the key: each range is sorted
+on its own and starts from the sum of the ranges before it, so no task sorts a
+whole source. Whatever the weights, the logarithm of an exponential draw lies in
+any range of length r with a chance of at most r / e, so that ranges of like
+length bound the pieces for equal, extreme and mixed weights alike.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ from tidemark.llm.common import n_words, shuffle_partitions, written
 from tidemark.operators.numbering import numbered
 
 
+#: Weights below (0 and negative ones) count as this.
+LEAST_WEIGHT = 1e-9
+
+
 def exponential_key(id_col: Column, weight: Column, seed: int) -> Column:
     """-ln(u) / weight with u in (0, 1) drawn from 52 bits of md5(seed:id)."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
     bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
-    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / weight
+    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / F.greatest(weight, F.lit(LEAST_WEIGHT))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_epochs: float) -> tuple[DataFrame, int]:
@@ -66,8 +73,9 @@ def mix(
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken.
 
-    ``quality`` has columns (id, weight > 0), one row an id; a document without
-    one weighs 1. Sizes are words; a null text has 0. ``taken`` is a multiple of
+    ``quality`` has columns (id, weight), one row an id; a document without one
+    weighs 1, as does a null weight, and weights below 1e-9 count as 1e-9: such
+    documents come last. Other columns of ``docs`` are ignored. Sizes are words; a null text has 0. ``taken`` is a multiple of
     the size: whole epochs of the source, and once more for documents at the
     head of the key order. The document that the budget ends in is taken if that
     comes nearer to the target. Equal keys (repeated rows) go by id, then size.
@@ -84,7 +92,7 @@ def mix(
     targets, rows = source_targets(drawn, weights, share, max_epochs)
     pieces = 3 * shuffle_partitions(docs.sparkSession)
     ranges = F.greatest(F.lit(1), F.ceil(F.col("rows") * pieces / max(rows, 1)))
-    placed = drawn.join(targets, "source_key").withColumn("piece", F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), ranges - 1))
+    placed = drawn.join(targets, "source_key").withColumn("piece", F.floor(F.log("key") * ranges))
     placed = written(placed.select("id", "source", "source_key", "size", "key", "source_size", "target", "piece"), "mix-placed")
     before = Window.partitionBy("source_key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("source_key", "piece").agg(F.sum("size").alias("words"))
