@@ -374,3 +374,29 @@ def test_overflow_comes_first_and_once(spark, tmp_path):
     seen = []
     changes.apply_batches(stream, lambda batch, n: seen.append((n, sorted(r["id"] for r in batch.collect()))), lambda n: seen.append((n, "rescan")))
     assert seen == [(0, "rescan"), (0, [1, 4])]
+
+
+def test_few_wanted_ids_are_walked_up(spark):
+    from tidemark.operators import paths
+
+    files = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 99, "lost"), (5, 6, "x"), (6, 5, "y"), (7, None, "z")], "id long, parent_id long, name string")
+    wanted = spark.createDataFrame([(3,), (1,), (4,), (8,), (5,)], "id long")
+    got = {r["id"]: r["path"] for r in paths.resolve(files, wanted, depth=8).collect()}
+    assert got == {3: "/a/b/c", 1: "/a", 4: "/lost", 8: "", 5: "/y/x" * 4}
+    found = {r["path"]: r["id"] for r in paths.lookup(files, spark.createDataFrame([(p,) for p in ("/a/b/c", "/a/b", "/z", "/b", "/a/c", "/", "/a/b/c/d")], "path string")).collect()}
+    assert found == {"/a/b/c": 3, "/a/b": 2, "/z": 7, "/b": None, "/a/c": None, "/": None, "/a/b/c/d": None}
+
+
+def test_trimmed_takes_all_white_space(spark):
+    from tidemark.functions.text import trimmed
+
+    rows = spark.createDataFrame([("\n\t a b   ",), ("\n",), ("",), (None,), ("x",)], "s string")
+    assert [r[0] for r in rows.select(trimmed(F.col("s"))).collect()] == ["a b", None, None, None, "x"]
+
+
+def test_repeated_new_keys_upsert_once(spark):
+    from tidemark.operators.cdc import keep_newest
+
+    old = spark.createDataFrame([(1, "old"), (2, "old")], "k long, v string")
+    new = spark.createDataFrame([(1, "new"), (1, "new")], "k long, v string")
+    assert sorted((r["k"], r["v"]) for r in keep_newest(old, new, "k").collect()) == [(1, "new"), (2, "old")]

@@ -30,8 +30,9 @@ def cap(text: Column, chars: int = schemas.MAX_BODY_CHARS) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Trimmed text, or null if nothing is left."""
-    return F.nullif(F.trim(text), F.lit(""))
+    """Text without Unicode white space at its ends, or null if nothing is left."""
+    space = r"[\s\x0B\x{85}\p{Z}]+"
+    return F.nullif(F.regexp_replace(text, f"^{space}|{space}$", ""), F.lit(""))
 
 
 def normal_path(path: Column) -> Column:

@@ -61,7 +61,8 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def keep_newest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows by key, those of ``new`` in place of old ones."""
+    """Rows by key, those of ``new`` in place of old ones; of new rows that repeat a key one stays."""
+    new = new.dropDuplicates([key])
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 

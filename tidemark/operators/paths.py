@@ -39,6 +39,46 @@ def intern(names: DataFrame, name: str = "name") -> DataFrame:
     return numbered(distinct, F.col("name"), "id").select(F.col("id").cast("long").alias("id"), "name")
 
 
+#: Up to so many wanted ids are walked up by broadcast joins, level by level.
+FEW = 10_000
+
+
+def _walked_up(files: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
+    """(id, path) of at most ``FEW`` ids: each level is one scan of the tree, filtered by a broadcast."""
+    nodes = files.select("id", "parent_id", "name")
+    found = nodes.join(F.broadcast(wanted.distinct()), "id", "left_semi")
+    steps = written(found.select("id", F.col("parent_id").alias("up"), F.array("name").alias("parts")), "paths")
+    for _ in range(depth - 1):
+        ups = steps.where("up IS NOT NULL").select(F.col("up").alias("id")).distinct()
+        if ups.isEmpty():
+            break
+        above = nodes.join(F.broadcast(ups), "id", "left_semi").select(F.col("id").alias("up"), F.col("parent_id").alias("next"), F.array("name").alias("more"))
+        grown = steps.join(F.broadcast(above), "up", "left")
+        steps = written(grown.select("id", F.col("next").alias("up"), F.concat(F.coalesce("more", F.array().cast("array<string>")), "parts").alias("parts")), "paths")
+    return steps.select("id", joined(F.col("parts")).alias("path"))
+
+
+def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, id) of each path of ``wanted``, found from the root down by one equi-join a level.
+
+    A path whose components are not all in ``files`` (id, parent_id, name), or
+    that has none, has a null id. Every eighth level is written, so plans stay
+    short for deep trees.
+    """
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    rows = written(wanted.select("path").distinct().select("path", parts.alias("parts"), F.lit(None).cast("long").alias("at"), (F.size(parts) == 0).alias("lost")), "lookup")
+    levels = rows.agg(F.max(F.size("parts"))).first()[0] or 0
+    nodes = files.select(F.col("parent_id").alias("_up"), F.col("name").alias("_name"), F.col("id").alias("_id"))
+    for level in range(min(levels, schemas.MAX_DEPTH)):
+        here = F.when(~F.col("lost"), F.get("parts", F.lit(level)))
+        met = rows.join(nodes, F.col("at").eqNullSafe(F.col("_up")) & (here == F.col("_name")), "left")
+        deep = F.size("parts") > level
+        rows = met.select("path", "parts", F.when(deep, F.col("_id")).otherwise(F.col("at")).alias("at"), (F.col("lost") | (deep & F.col("_id").isNull())).alias("lost"))
+        if level % 8 == 7:
+            rows = written(rows, "lookup")
+    return rows.select("path", F.when(~F.col("lost") & (F.size("parts") <= schemas.MAX_DEPTH), F.col("at")).alias("id"))
+
+
 def resolve(files: DataFrame, wanted: DataFrame | None = None, depth: int = schemas.MAX_DEPTH) -> DataFrame:
     """(id, path) of each node of ``files`` (id, parent_id, name), or of the ``wanted`` ids.
 
@@ -46,8 +86,14 @@ def resolve(files: DataFrame, wanted: DataFrame | None = None, depth: int = sche
     its pointer, so ``depth`` components take log2(depth) joins. A missing
     parent ends the path; a cycle ends at ``depth`` components; a wanted id that
     is not in the tree has the empty path. Rounds end early once no pointer is
-    left, and each is written to the shared folder.
+    left, and each is written to the shared folder. A few wanted ids (as many as
+    a page has) are walked up instead, so that only their ancestors are carried.
     """
+    if wanted is not None:
+        wanted = written(wanted.select("id"), "wanted")
+        if wanted.limit(FEW + 1).count() <= FEW:
+            paths = _walked_up(files, wanted, depth)
+            return wanted.join(F.broadcast(paths), "id", "left").select("id", F.coalesce("path", F.lit("")).alias("path"))
     steps = files.select("id", F.col("parent_id").alias("up"), F.array("name").alias("parts"))
     reached = 1
     while reached < depth:

@@ -8,7 +8,7 @@ EV = """ev AS (SELECT event_id AS id, user_id AS file_id,
 WORDS = r"len(regexp_extract_all(coalesce({0}, ''), '[^\s\x0B\x{{85}}\p{{Z}}]+'))::BIGINT"
 FM = f"""fm AS (SELECT doc_id AS file_id, CASE WHEN n_chars < 300 THEN 'text' WHEN n_chars < 2000 THEN 'docx' ELSE 'pdf' END AS doc_type,
   source AS author, lang AS language, {WORDS.format('text')} AS word_count, text[:8000] AS body_text,
-  CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 2 END AS extractor_version FROM documents WHERE doc_id % 5 <> 0)"""
+  CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 2 END AS extractor_version FROM documents)"""
 FE = """fe AS (SELECT doc_id AS file_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'junk' END AS classification,
   (doc_id % 3)::INTEGER AS enrichment_version FROM labels)"""
 PP = r"""pp AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', '') AS path FROM pages)"""
@@ -23,7 +23,7 @@ resolved AS (WITH RECURSIVE walk AS (SELECT id, '/' || name AS path FROM tree2 W
   UNION ALL SELECT t.id, w.path || '/' || t.name FROM tree2 t JOIN walk w ON t.parent_id = w.id) SELECT id, path FROM walk)"""
 SNAP = """snap_old AS (SELECT '/' || source || '/' || lang || '/' || doc_id AS path, n_chars AS size_bytes, doc_id * 60 AS mtime_unix, doc_id FROM documents WHERE doc_id % 10 <> 0),
 snap_new AS (SELECT '/' || source || '/' || lang || '/' || doc_id AS path, n_chars + (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) AS size_bytes, doc_id * 60 AS mtime_unix, doc_id FROM documents WHERE doc_id % 7 <> 0)"""
-QUEUE = "queue AS (SELECT doc_id AS file_id, doc_id * 7919 % 10007 AS queued_at_unix, (doc_id % 7)::INTEGER AS attempt_count FROM documents WHERE doc_id % 5 <> 0)"
+QUEUE = "queue AS (SELECT doc_id AS file_id, doc_id * 7919 % 10007 AS queued_at_unix, (doc_id % 7)::INTEGER AS attempt_count FROM documents)"
 EMB = """q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1),
 scored AS (SELECT vec_id AS file_id,
   list_sum(list_transform(range(1, 65), lambda i: ((embedding[i] >= 0) <> (e[i] >= 0))::INTEGER))::INTEGER AS h,
@@ -63,8 +63,9 @@ STATE = SNAP + ", state AS (SELECT path, size_bytes, mtime_unix, CASE WHEN doc_i
 DIFF = """SELECT n.path, CASE WHEN o.path IS NULL THEN 'created' ELSE 'modified' END AS kind, n.size_bytes FROM snap_new n LEFT JOIN snap_old o ON n.path = o.path
   WHERE o.path IS NULL OR n.size_bytes IS DISTINCT FROM o.size_bytes OR n.mtime_unix IS DISTINCT FROM o.mtime_unix"""
 HALF_QUEUE = "hq AS (SELECT doc_id AS file_id, 1::BIGINT AS queued_at_unix, 3 AS attempt_count FROM documents WHERE doc_id % 15 = 0)"
-REQUEUE = """rq AS (SELECT file_id, 'stale' AS reason FROM fm WHERE extractor_version < 2
-  UNION ALL SELECT doc_id, 'never' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM fm WHERE fm.file_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM hq WHERE hq.file_id = d.doc_id))"""
+REQUEUE = """fm5 AS (SELECT * FROM fm WHERE file_id % 5 <> 0),
+rq AS (SELECT file_id, 'stale' AS reason FROM fm5 WHERE extractor_version < 2
+  UNION ALL SELECT doc_id, 'never' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM fm5 WHERE fm5.file_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM hq WHERE hq.file_id = d.doc_id))"""
 PENDING = "pend AS (SELECT * FROM queue WHERE attempt_count < 5 ORDER BY queued_at_unix, file_id LIMIT 16)"
 RENAMES = """st AS (SELECT doc_id AS id, '/f/' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 1::BIGINT END AS deleted_at FROM documents WHERE doc_id % 7 <> 0),
 ren AS (SELECT '/f/' || doc_id AS from_path, CASE WHEN doc_id % 4 = 0 THEN '/f/' || (doc_id + 1) WHEN doc_id % 4 = 2 THEN '/g/' || doc_id END AS to_path FROM documents WHERE doc_id % 4 IN (0, 2) OR doc_id % 12 = 3),
@@ -180,8 +181,8 @@ SELECT r.query_id, count(s.file_id) AS hits, count(*) AS wanted FROM ranked r LE
   UNION ALL SELECT NULL, to_path, 'created', NULL FROM ren WHERE to_path IS NOT NULL AND from_path NOT IN (SELECT path FROM st WHERE deleted_at IS NULL)""",
     "rename_supersedes": _with(RENAMES) + "SELECT id, path FROM st WHERE path NOT IN (SELECT from_path FROM ren) AND path NOT IN (SELECT to_path FROM ren WHERE to_path IS NOT NULL)",
     "queue_pending": _with(QUEUE, PENDING) + "SELECT * FROM pend",
-    "queue_enqueue": _with(QUEUE, "news AS (SELECT doc_id AS file_id FROM documents WHERE doc_id % 10 IN (0, 3))")
-    + "SELECT coalesce(q.file_id, n.file_id) AS file_id, CASE WHEN n.file_id IS NULL THEN q.queued_at_unix ELSE 20000 END AS queued_at_unix, coalesce(q.attempt_count, 0) AS attempt_count FROM queue q FULL JOIN news n ON q.file_id = n.file_id",
+    "queue_enqueue": _with(QUEUE, "kept AS (SELECT * FROM queue WHERE file_id % 5 <> 0)", "news AS (SELECT doc_id AS file_id FROM documents WHERE doc_id % 10 IN (0, 3))")
+    + "SELECT coalesce(q.file_id, n.file_id) AS file_id, CASE WHEN n.file_id IS NULL THEN q.queued_at_unix ELSE 20000 END AS queued_at_unix, coalesce(q.attempt_count, 0) AS attempt_count FROM kept q FULL JOIN news n ON q.file_id = n.file_id",
     "queue_record_attempt": _with(QUEUE, PENDING) + "SELECT q.file_id, q.queued_at_unix, q.attempt_count + (q.file_id IN (SELECT file_id FROM pend))::INTEGER AS attempt_count FROM queue q",
     "queue_drain": _with(QUEUE, PENDING, FM)
     + "SELECT q.file_id, q.queued_at_unix, q.attempt_count + (p.file_id IS NOT NULL)::INTEGER AS attempt_count FROM queue q LEFT JOIN pend p ON p.file_id = q.file_id LEFT JOIN fm m ON m.file_id = q.file_id WHERE p.file_id IS NULL OR m.word_count % 3 = 0",
@@ -234,6 +235,21 @@ SELECT p_partkey, CASE WHEN make IS NULL THEN model WHEN model IS NULL THEN make
     "stream_rename_unpaired": _with(EV, HALVES)
     + """SELECT id, tracker, CASE WHEN is_source THEN 'removed' ELSE 'touched' END AS change FROM mated m WHERE next_id IS NULL AND NOT EXISTS (SELECT 1 FROM mated o WHERE o.next_id = m.id)
   AND (EXISTS (SELECT 1 FROM mated o WHERE o.tracker = m.tracker AND (o.t, o.id) > (m.t, m.id)) OR t + 21600001 < (SELECT max(t) FROM halves))""",
-    "extract_html_title": r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages",
+    "extract_html_title": r"SELECT page_id, nullif(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$', '', 'g'), '') AS title FROM pages",
     "extract_exif": "SELECT doc_id AS id, 'Acme ' || length(coalesce(text, '')) AS camera, 1706933106::BIGINT AS taken_at, NULL::VARCHAR AS error FROM documents",
+    "tl_json_rows": _with(EV, FM)
+    + """SELECT e.id, '{"file_id":' || e.file_id || ',"id":' || e.id || ',"kind":"' || e.kind || '","at_unix_ms":' || e.at_unix_ms || coalesce(',"size_bytes":' || e.size_bytes, '')
+  || coalesce(',"doc_type":"' || m.doc_type || '"', '') || coalesce(',"language":"' || m.language || '"', '') || '}' AS json FROM ev e LEFT JOIN fm m ON e.file_id = m.file_id""",
+    "facet_git_branch": _with(FM) + "SELECT CASE WHEN file_id % 2 = 0 THEN 'main' ELSE 'dev' END AS value, count(*) AS count FROM fm GROUP BY 1",
+    "path_lookup": _with(TREE2) + "SELECT path, id FROM resolved UNION ALL SELECT path || '/none', NULL FROM resolved",
+    "path_children": _with(TREE2) + "SELECT id, parent_id, name FROM tree2 WHERE parent_id IS NULL AND name = (SELECT min(r_name) FROM region)",
+    "orphan_metadata": _with(EV, FM) + "SELECT file_id FROM fm WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.file_id = fm.file_id)",
+    "orphan_enrichment": _with(EV, FE) + "SELECT file_id FROM fe WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.file_id = fe.file_id)",
+    "cdc_tombstone_state": _with(STATE) + "SELECT path, size_bytes, mtime_unix, CASE WHEN deleted_at IS NULL AND path NOT IN (SELECT path FROM snap_new) THEN 5000 ELSE deleted_at END AS deleted_at FROM state",
+    "upsert_enrichment": _with(FE)
+    + "SELECT doc_id AS file_id, 'reviewed' AS classification, 9 AS enrichment_version FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT file_id, classification, enrichment_version FROM fe WHERE file_id % 4 <> 0",
+    "vec_checked": "SELECT vec_id AS file_id, len(embedding)::INTEGER AS width FROM embeddings",
+    "knn_config": "SELECT 1 AS id, 'given' AS model, max(len(embedding))::INTEGER AS dimensions FROM embeddings",
+    "json_chat_request": """SELECT doc_id, md5('{"model":"m","messages":[{"role":"system","content":"Describe."},{"role":"user","content":' || to_json(text[:8000])::VARCHAR || '}],"temperature":0.2}') AS md5 FROM documents""",
+    "fn_valid_text": "SELECT doc_id, lang || chr(65533) || source AS text FROM documents",
 }

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidemark import schemas
 from tidemark.operators import knn
 from tidemark.operators.events import facet_filter, latest_ranked, with_facts
+from tidemark.sources.shared import written
 
 
 def search(vectors: DataFrame, events: DataFrame, metadata: DataFrame, enrichment: DataFrame, query: Sequence[float], limit: int | None = None, before: bool = False, **facets: str | None) -> DataFrame:
@@ -27,9 +28,10 @@ def search(vectors: DataFrame, events: DataFrame, metadata: DataFrame, enrichmen
         near = knn.exact(vectors.join(facts, "file_id", "left_semi"), query, limit)
     else:
         near = knn.two_stage(vectors, query, knn.pool(limit, condition is not None))
-    # At most 500 rows from here on.
+    # At most 500 rows from here on, ranked once for the two joins that need them.
+    near = written(near, "ranked")
     ranked = near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "file_id")))
-    hits = with_facts(latest_ranked(events, F.broadcast(ranked)), metadata, enrichment)
+    hits = with_facts(latest_ranked(events, ranked), metadata, enrichment)
     if condition is not None:
         hits = hits.where(condition)
     return hits.orderBy("rank").limit(limit)

@@ -58,13 +58,17 @@ _timeline("tl_limit_clamp_zero", limit=0)
 _timeline("tl_limit_clamp_huge", limit=100_000)
 
 
+def _with_branch(metadata: DataFrame) -> DataFrame:
+    return metadata.withColumn("git_branch", F.when(F.col("file_id") % 2 == 0, "main").otherwise("dev"))
+
+
 def _customer_events(spark, sf_dir):
     return tables.events(spark, sf_dir).withColumn("file_id", F.col("file_id") + 1_000_001)
 
 
 @query
 def tl_git_branch(spark, sf_dir):
-    facts = tables.metadata(spark, sf_dir).withColumn("git_branch", F.when(F.col("file_id") % 2 == 0, "main").otherwise("dev")).drop("body_text")
+    facts = _with_branch(tables.metadata(spark, sf_dir)).drop("body_text")
     return timeline.timeline(tables.events(spark, sf_dir), facts, tables.enrichment(spark, sf_dir), git_branch="main")
 
 
@@ -109,6 +113,7 @@ def _facet(field: str, source: Callable) -> None:
 for _field in ("doc_type", "author", "language"):
     _facet(_field, tables.metadata)
 _facet("classification", tables.enrichment)
+_facet("git_branch", lambda spark, sf_dir: _with_branch(tables.metadata(spark, sf_dir)))
 
 
 def _files(spark, sf_dir):
@@ -165,6 +170,16 @@ def orphan_events(spark, sf_dir):
     return tables.events(spark, sf_dir).join(known, "file_id", "left_anti").select("id", "file_id")
 
 
+@query
+def orphan_metadata(spark, sf_dir):
+    return tables.metadata(spark, sf_dir).select("file_id").join(tables.events(spark, sf_dir), "file_id", "left_anti")
+
+
+@query
+def orphan_enrichment(spark, sf_dir):
+    return tables.enrichment(spark, sf_dir).select("file_id").join(tables.events(spark, sf_dir), "file_id", "left_anti")
+
+
 @query
 def page_merge_new(spark, sf_dir):
     rows = tables.events(spark, sf_dir)
@@ -182,6 +197,20 @@ def path_resolve_pages(spark, sf_dir):
     return paths.resolve(tree.select("id", "parent_id", "name")).select("path")
 
 
+@query
+def path_lookup(spark, sf_dir):
+    """Every path of the tree from the root down, and one below each that is not there."""
+    tree = tables.nation_tree(spark, sf_dir)
+    known = paths.resolve(tree).select("path")
+    return paths.lookup(tree, known.unionByName(known.select(F.concat("path", F.lit("/none")).alias("path"))))
+
+
+@query
+def path_children(spark, sf_dir):
+    name = tables.table(spark, sf_dir, "region").agg(F.min("r_name")).first()[0]
+    return paths.child_of(tables.nation_tree(spark, sf_dir), None, name)
+
+
 @query
 def path_intern(spark, sf_dir):
     return paths.intern(tables.page_tree(spark, sf_dir))
@@ -321,6 +350,12 @@ def cdc_tombstones(spark, sf_dir):
     return cdc.tombstoned(old, old.join(new, "path", "left_anti"), F.lit(5_000).cast("long"))[1]
 
 
+@query
+def cdc_tombstone_state(spark, sf_dir):
+    old, new = _state(spark, sf_dir), tables.snapshot(spark, sf_dir, True)
+    return cdc.tombstoned(old, old.join(new, "path", "left_anti"), F.lit(5_000).cast("long"))[0]
+
+
 @query
 def cdc_state_fold(spark, sf_dir):
     return cdc.fold(tables.events(spark, sf_dir))
@@ -369,7 +404,7 @@ def _new_ids(spark, sf_dir):
 
 @query
 def queue_enqueue(spark, sf_dir):
-    return queues.enqueue(tables.queue(spark, sf_dir), _new_ids(spark, sf_dir), 20_000)
+    return queues.enqueue(tables.queue(spark, sf_dir).where("file_id % 5 <> 0"), _new_ids(spark, sf_dir), 20_000)
 
 
 @query
@@ -399,7 +434,7 @@ def _half_queue(spark, sf_dir):
 @query
 def queue_requeue_stale(spark, sf_dir):
     live = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"))
-    return queues.to_requeue(tables.metadata(spark, sf_dir), live, _half_queue(spark, sf_dir), 2)
+    return queues.to_requeue(tables.metadata(spark, sf_dir).where("file_id % 5 <> 0"), live, _half_queue(spark, sf_dir), 2)
 
 
 @query
@@ -429,6 +464,37 @@ def upsert_metadata(spark, sf_dir):
     return cdc.keep_newest(old, new, "file_id")
 
 
+@query
+def upsert_enrichment(spark, sf_dir):
+    new = tables.table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("file_id"), F.lit("reviewed").alias("classification"), F.lit(9).alias("enrichment_version"))
+    return cdc.keep_newest(tables.enrichment(spark, sf_dir), new, "file_id")
+
+
+@query
+def vec_checked(spark, sf_dir):
+    vectors_ = tables.table(spark, sf_dir, "embeddings")
+    return vectors_.select(F.col("vec_id").alias("file_id"), F.size(vectors.checked(F.col("embedding"), 64)).alias("width"))
+
+
+@query
+def knn_config(spark, sf_dir):
+    """The stored model and width, which the given ones must equal."""
+    config = tables.table(spark, sf_dir, "embeddings").agg(F.lit(1).alias("id"), F.lit("given").alias("model"), F.max(F.size("embedding")).alias("dimensions"))
+    knn.check_config(config, "given", 64)
+    return config
+
+
+@query
+def json_chat_request(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(json_text.chat_request("m", "Describe.", F.col("text")).cast("binary")).alias("md5"))
+
+
+@query
+def fn_valid_text(spark, sf_dir):
+    raw = F.concat(F.col("lang").cast("binary"), F.unhex(F.lit("FF")), F.col("source").cast("binary"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", text.valid_text(raw).alias("text"))
+
+
 @query
 def fn_word_count(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))

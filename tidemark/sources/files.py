@@ -29,9 +29,16 @@ def heads(spark: SparkSession, root: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of files of at most 64 MiB; larger ones are left out before they are read."""
+    """(path, content, error): the first 64 MiB of each file.
+
+    Spark holds a file in one value, so one above 2 GiB cannot be read: its
+    content is null and ``error`` says so, else it is null.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(F.col("length") <= schemas.MAX_READ_BYTES).select("path", "content")
+    fits = F.col("length") <= (1 << 31) - 1
+    read = files.where(fits).select("path", F.substring("content", 1, schemas.MAX_READ_BYTES).alias("content"), F.lit(None).cast("string").alias("error"))
+    large = files.where(~fits).select("path", F.lit(None).cast("binary").alias("content"), F.lit("larger than 2 GiB").alias("error"))
+    return read.unionByName(large)
 
 
 def append(rows: DataFrame, path: str) -> None:
