@@ -5,9 +5,11 @@ is normalised and scanned once, many documents to a chunk. Matches are mapped
 back to word numbers and to character offsets in the original text.
 
 The automaton is built once per Python worker from a broadcast list of items of
-bounded size. A benchmark above the bound is cut into shards that are scanned
-one after the other in the same stage; hits add up along the row, so there is
-no shuffle in either case.
+bounded size. A benchmark above the bound is cut into shards, long items into
+pieces that overlap by a window less a word; each shard is a pass of its own
+over the texts, written to the shared folder before the next one, so that one
+automaton lives at a time. Hits add up along the row, so there is no shuffle in
+either case.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import clashing, text_chunks
+from tidemark.llm.common import clashing, text_chunks, written
 
 #: UTF-8 bytes to search bytes: A-Z to lower case, 0-9, a-z and bytes of
 #: non-ASCII characters as they are, every other ASCII character to a space.
@@ -145,6 +147,15 @@ def _scan_chunk(raws, machine, start, words, hits, spans, items) -> None:
         spans[start + doc] = [{"start": chars(a), "end": chars(b)} for a, b in edges]
 
 
+def pieces(items: DataFrame, size: int, step: int) -> DataFrame:
+    """(id, text) of the items' words in lower case, in pieces of about ``step`` windows that lose none."""
+    plain = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.split(F.trim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " ")
+    last = F.greatest(F.ceil((F.size("words") - size + 1) / step).cast("int") - 1, F.lit(0))
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("words", i * step + 1, step + size - 1), " "))
+    return items.select("id", words.alias("words")).select("id", F.explode(each).alias("text"))
+
+
 def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, items, spans and contaminated.
 
@@ -159,16 +170,25 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     replaced.
     """
     docs = clashing(docs, ["n_words", "n_hit", "items", "spans", "contaminated", "_hits"])
-    total = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_bytes))
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if total > shard_bytes:
+        items = written(pieces(items, size, max(1, shard_bytes // 16)), "items")
+        total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_bytes))
+    if shards > 1:
+        # A shard's rows lie together, so that reading one skips the others' files.
+        shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
+        items = written(items.select("id", "text", shard.alias("shard")).repartition(min(shards, 1_000), "shard").sortWithinPartitions("shard"), "item-shards")
     none = lambda kind: F.array().cast(kind)
     found = docs.withColumns({"n_words": F.lit(0).cast("long"), "_hits": none("array<struct<first:int,last:int>>"), "spans": none("array<struct<start:int,end:int>>"), "items": none("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in found.schema])
     for shard in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard).collect()
+        rows = (items if shards == 1 else items.where(F.col("shard") == shard)).collect()
         shared = docs.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in rows])
         found = found.mapInArrow(lambda batches, shared=shared, key=uuid.uuid4().hex: _scan_batches(batches, shared, key, size, text_col), schema)
+        if shard + 1 < shards:
+            found = written(found, "decontam-pass")
     n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     found = found.withColumn("n_hit", n_hit).drop("_hits")
     return found.withColumn("contaminated", is_contaminated(F.col("n_words"), F.col("n_hit")))
