@@ -21,3 +21,9 @@ def test_items_without_an_id_hit(spark):
     for shard_bytes in (1 << 20, 12):
         got = {r["doc_id"]: (r["items"], r["n_hit"]) for r in decontam.find_items(docs, items, shard_bytes=shard_bytes).collect()}
         assert got == {1: ([None, "3", "7"], 4), 2: ([], 0)}
+
+
+def test_ids_may_be_strings(spark):
+    docs = spark.createDataFrame([("b", "one two three four"), ("a", "ONE two three four"), (None, "other words here now"), ("c", "quite another text again")], "doc_id string, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", None: None}
