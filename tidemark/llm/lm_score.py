@@ -45,11 +45,16 @@ ROUNDS = 2
 #: Tokens of a slice, about.
 SLICE = 2_000_000
 
+
+def number_of(word: bytes) -> int:
+    return zlib.crc32(word) % (WORDS // ENDINGS) * ENDINGS + zlib.crc32(word[-2:]) % ENDINGS
+
+
 class Numbers(dict):
     """Words to their numbers, worked out at the first look-up."""
 
     def __missing__(self, word: bytes) -> int:
-        found = zlib.crc32(word) % (WORDS // ENDINGS) * ENDINGS + zlib.crc32(word[-2:]) % ENDINGS
+        found = number_of(word)
         if len(self) > 500_000:
             self.clear()
         self[word] = found
