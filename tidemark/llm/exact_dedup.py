@@ -26,7 +26,8 @@ MAX_BROADCAST_HITS = 200_000
 
 
 def sha256(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+    # Declared as never null, so that a join on it infers no filter that normalises and hashes every text once more.
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
 
 class DigestIndex:
