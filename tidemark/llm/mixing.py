@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import n_words, shuffle_partitions, written
+from tidemark.llm.common import MAX_BROADCAST_IDS, SPACES, bounded, clashing, n_words, shuffle_partitions, written
 from tidemark.operators.numbering import numbered
 
 
 #: Weights below (0 and negative ones) count as this.
 LEAST_WEIGHT = 1e-9
+#: Up to so many sources meet the texts by a broadcast; more by a shuffle.
+MAX_SOURCES = 100_000
 
 
 def exponential_key(id_col: Column, weight: Column, seed: int) -> Column:
@@ -81,8 +83,60 @@ def mix(
     comes nearer to the target. Equal keys (repeated rows) go by id, then size.
     A null source is a source of its own. An empty table gives no rows.
     """
-    key = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("source:"), F.col("source")))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")).withColumn("source_key", key)
+    summed = _summed(docs, id_col, text_col, source_col, quality, weights, share, max_epochs, seed)
+    taken = F.col("size") * (F.col("epochs") + F.when(F.col("once_more"), 1).otherwise(0))
+    return summed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def take(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    quality: DataFrame | None = None,
+    weights: Sequence[int] = (5, 2, 1),
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: int = 42,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` takes words of, with size, source_size, target and taken.
+
+    What a source takes in part is the head of its key order, so a source's
+    decisions are its epochs and its last (key, id). Those, one row a source,
+    meet the texts, which are not shuffled for them. The keys are drawn again from
+    the ids; weights other than 1 are written and counted, and up to a million
+    are broadcast, more join by a shuffle of the texts.
+
+    Every row comes back once; rows of a source that repeat an id (or lack one)
+    are taken alike, as often as the most taken of them. Columns of ``docs`` by
+    the four names give way. Texts without a word and empty tables give no rows.
+    """
+    summed = _summed(docs, id_col, text_col, source_col, quality, weights, share, max_epochs, seed)
+    last = F.max(F.when(F.col("once_more") & (F.col("size") > 0), F.struct("key", "id"))).alias("_mix_last")
+    heads = summed.groupBy("source_key").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("_mix_epochs"), last)
+    heads = bounded(written(heads, "mix-heads"), MAX_SOURCES).withColumnRenamed("source_key", "_mix_source")
+    rows = clashing(docs, ["size", "source_size", "target", "taken"])
+    names = rows.columns
+    weight = F.lit(1.0)
+    if quality is not None:
+        given = quality.toDF("_mix_id", "_mix_weight").where(F.col("_mix_weight").cast("double") != 1.0)
+        rows = rows.join(bounded(written(given, "mix-weights"), MAX_BROADCAST_IDS), F.col(id_col) == F.col("_mix_id"), "left")
+        weight = F.coalesce(F.col("_mix_weight").cast("double"), F.lit(1.0))
+    drawn = F.struct(exponential_key(F.col(id_col), weight, seed).alias("key"), F.col(id_col).alias("id"))
+    times = F.coalesce(F.col("_mix_epochs"), F.lit(0)) + F.when(drawn <= F.col("_mix_last"), 1).otherwise(0)
+    met = rows.join(heads, _source_key(F.col(source_col)) == F.col("_mix_source"))
+    some = met.where((times > 0) & (F.ltrim(F.col(text_col), F.lit(SPACES)) != ""))
+    sized = some.select(*names, n_words(F.col(text_col)).alias("size"), "source_size", "target", times.alias("_mix_times"))
+    return sized.select(*names, "size", "source_size", "target", (F.col("size") * F.col("_mix_times")).cast("long").alias("taken"))
+
+
+def _source_key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("source:"), source.cast("string")))
+
+
+def _summed(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: DataFrame | None, weights: Sequence[int], share: float, max_epochs: float, seed: int) -> DataFrame:
+    """Every document with its source's sums, whole epochs, and whether it is taken once more."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")).withColumn("source_key", _source_key(F.col("source")))
     if quality is None:
         sized = sized.withColumn("weight", F.lit(1.0))
     else:
@@ -103,5 +157,4 @@ def mix(
     summed = summed.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("upto", F.col("start") + F.col("within"))
     under = F.col("rest") - (F.col("upto") - F.col("size"))
     once_more = (F.col("upto") <= F.col("rest")) | ((under > 0) & (F.col("upto") - F.col("rest") < under))
-    taken = F.col("size") * (F.col("epochs") + F.when(once_more, 1).otherwise(0))
-    return summed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return summed.withColumn("once_more", once_more)
