@@ -15,35 +15,53 @@ from tidemark.llm.common import split_of, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; texts without a letter go."""
+    """Documents whose language is identified.
+
+    Texts that are null, empty or without a letter go; long texts are read whole.
+    Every row is judged by itself, so repeated rows and rows without an id share
+    one fate, and nothing but the text counts. Without a labelled text to learn
+    from, or with no rows at all, every document goes. Other columns stay.
+    """
     learn = split_of(F.col("doc_id"), 5) != 0
     return langid.identify(docs, docs, learn).where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the smallest id, a null id last.
+
+    A null text equals the empty one. Rows alike in id and text leave one of
+    them. An empty table gives no rows. Other columns stay.
+    """
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash."""
+    """One document of each group linked by SimHash: the smallest id.
+
+    Texts without a word, null ones too, are linked to each other. Rows without an
+    id stay, though others may be linked through them; rows that repeat a
+    smallest id stay too. An empty table gives no rows. Other columns stay.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    Every row is judged by its own text; null and empty texts have no words and
+    stay, as do all rows if the benchmark is empty. Other columns stay.
+    """
     return decontam.find_items(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their words and those taken.
 
-    Rows that repeat an id (or lack one) share what the mix takes most of among
-    them, so that each row comes back once.
+    Every row comes back once; rows that repeat an id in a source are taken
+    alike. Texts without a word and empty tables give no rows, a null source is a
+    source of its own, and repeated rows each come back.
     """
-    mixed = mixing.mix(docs, quality=queries.quality_weights(spark, sf_dir)).where("taken > 0")
-    most = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max_by(F.struct("size", "source_size", "target", "taken"), F.struct("taken", "size")).alias("m"))
-    return docs.join(most, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "m.*")
+    return mixing.take(docs, quality=queries.quality_weights(spark, sf_dir))
 
 
 STAGES = [
