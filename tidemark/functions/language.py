@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import trimmed
+
 #: Common words by ISO 639-3 code (fixed values).
 COMMON = {
     "eng": "the of and to in is that for it as was with be by on not he his but at are this have from or".split(),
@@ -21,4 +23,4 @@ def detect(text: Column) -> Column:
     words = F.split(F.lower(text), r"[^\p{L}]+")
     hits = {code: F.size(F.array_intersect(words, F.array(*map(F.lit, common)))) for code, common in COMMON.items()}
     best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(code).alias("code")) for code, n in hits.items()]))
-    return F.when((F.length(F.trim(text)) >= LEAST_CHARS) & (best["n"] > 0), best["code"])
+    return F.when((F.length(trimmed(text)) >= LEAST_CHARS) & (best["n"] > 0), best["code"])
