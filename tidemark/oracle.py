@@ -54,6 +54,9 @@ def _facet(field: str, view: str) -> str:
     return _with(FM, FE) + f"SELECT {field} AS value, count(*) AS count FROM {view} WHERE {field} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"
 
 
+#: The first 8 KiB of each content, as hex digits.
+HEADS = """heads AS (SELECT doc_id, substr(hex(from_hex((['25504446', 'FFD8FF', '49492A00', '504B0304', '00'])[doc_id % 5 + 1]) || encode(coalesce(text, ''))), 1, 16384) AS head FROM documents)"""
+
 NAMES = """names AS (SELECT doc_id, text, CASE WHEN doc_id % 13 = 0 THEN '.' || source ELSE doc_id || CASE WHEN doc_id % 9 = 8 THEN '' ELSE '.' || (['txt', 'PDF', 'docx', 'XLSX', 'pptx', 'jpg', 'html', 'gz'])[doc_id % 8 + 1] END END AS name FROM documents),
 exts AS (SELECT *, nullif(lower(regexp_extract(name, '[^/]\\.([^./]*)$', 1)), '') AS extension FROM names),
 typed AS (SELECT *, CASE WHEN extension IN ('txt', 'html') THEN 'text' WHEN extension IN ('pdf', 'docx', 'xlsx', 'pptx') THEN extension ELSE 'unknown' END AS doc_type FROM exts)"""
@@ -199,7 +202,9 @@ SELECT r.query_id, count(s.file_id) AS hits, count(*) AS wanted FROM ranked r LE
     "fn_cap_body": "SELECT doc_id, md5(text[:8000]) AS md5 FROM documents",
     "fn_extension": _with(NAMES) + "SELECT doc_id, name, extension FROM exts",
     "fn_doc_type": _with(NAMES) + "SELECT doc_id, doc_type FROM typed",
-    "fn_sniff": _with(NAMES) + "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'tiff' ELSE doc_type END AS doc_type FROM typed",
+    "fn_sniff": _with(NAMES, HEADS)
+    + """SELECT doc_id, CASE WHEN starts_with(head, '25504446') THEN 'pdf' WHEN starts_with(head, 'FFD8FF') THEN 'jpeg' WHEN starts_with(head, '49492A00') OR starts_with(head, '4D4D002A') THEN 'tiff' ELSE doc_type END AS doc_type
+FROM typed JOIN heads USING (doc_id)""",
     "fn_camera_model": """WITH given AS (SELECT p_partkey, nullif(trim(CASE WHEN p_partkey % 5 > 0 THEN string_split(p_name, ' ')[1] END), '') AS make,
   nullif(trim(CASE WHEN p_partkey % 7 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE ' X' || p_partkey || ' ' END END), '') AS model FROM part)
 SELECT p_partkey, CASE WHEN make IS NULL THEN model WHEN model IS NULL THEN make WHEN starts_with(lower(model), lower(make)) THEN model ELSE make || ' ' || model END AS camera FROM given""",

@@ -525,7 +525,7 @@ def fn_doc_type(spark, sf_dir):
 @query
 def fn_sniff(spark, sf_dir):
     magic = F.array(*[F.unhex(F.lit(m)) for m in ("25504446", "FFD8FF", "49492A00", "504B0304", "00")])
-    head = F.concat(F.element_at(magic, (F.col("doc_id") % 5 + 1).cast("int")), F.substring("text", 1, 100).cast("binary"))
+    head = F.concat(F.element_at(magic, (F.col("doc_id") % 5 + 1).cast("int")), F.coalesce("text", F.lit("")).cast("binary"))
     return _file_names(spark, sf_dir).select("doc_id", text.sniffed(F.substring(head, 1, schemas.SNIFF_BYTES), F.col("name")).alias("doc_type"))
 
 
