@@ -199,6 +199,7 @@ SELECT r.query_id, count(s.file_id) AS hits, count(*) AS wanted FROM ranked r LE
     "upsert_metadata": _with(FM)
     + "SELECT doc_id AS file_id, 'pdf' AS doc_type, 3 AS extractor_version FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT file_id, doc_type, extractor_version FROM fm WHERE file_id % 4 <> 0",
     "fn_word_count": f"SELECT doc_id, {WORDS.format('text')} AS words FROM documents",
+    "fn_trimmed": "SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN nullif(regexp_replace(regexp_replace(text, '^[\\s\\x0B\\x85\\p{Z}]+', ''), '[\\s\\x0B\\x85\\p{Z}]+$', ''), '') END AS trimmed FROM documents",
     "fn_cap_body": "SELECT doc_id, md5(text[:8000]) AS md5 FROM documents",
     "fn_extension": _with(NAMES) + "SELECT doc_id, name, extension FROM exts",
     "fn_doc_type": _with(NAMES) + "SELECT doc_id, doc_type FROM typed",

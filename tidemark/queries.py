@@ -500,6 +500,14 @@ def fn_word_count(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
 
 
+@query
+def fn_trimmed(spark, sf_dir):
+    """Texts between white space of several kinds, every eleventh made of nothing else."""
+    inner = F.when(F.col("doc_id") % 11 > 0, F.col("text")).otherwise(F.lit("\u3000"))
+    padded = F.concat(F.lit("\n\t\u2003"), inner, F.lit("\u00a0\x0b \r"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", text.trimmed(padded).alias("trimmed"))
+
+
 @query
 def fn_cap_body(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cap(F.col("text")).cast("binary")).alias("md5"))
