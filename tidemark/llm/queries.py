@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import split_of, table
+from tidemark.llm.common import one_spaced, split_of, table
 
 #: The rules of the URL query (fixed values).
 URL_RULES = [
@@ -89,6 +89,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeating(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = _op("runs").periodic_runs(docs)
+    return run_digests(found)
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """The documents of the query: in a tenth of them, told by a hash of the id, the words from some place on repeat the first few after it.
+
+    Documents without an id stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, a = F.size("_words"), (F.col("_g") % F.size("_words")).cast("int")
+    p = 1 + F.floor((n - a) / (3 + F.col("_g") % 8)).cast("int")
+    words = F.split(F.trim(one_spaced(F.col("text"))), " ")
+    placed = docs.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10))).withColumn("_words", F.when(F.col("_g").isNotNull(), F.filter(words, lambda w: w != "")))
+    planted = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", F.when(i < a, i).otherwise(a + (i - a) % p)))
+    return placed.withColumn("text", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text"))).drop("_g", "_words")
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """The longest run of each document, of equal ones the first, then the one of the smallest period, and digests of all runs and of what is left."""
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    told = found.withColumn("_best", best)
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_best.start")).alias("start"),
+        F.col("_best.length").alias("length"),
+        (-F.col("_best.period")).alias("period"),
+        F.floor(1000 * F.col("_best.length") / -F.col("_best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _op("token_count").count_tokens(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_decontamination": op2_decontamination,
@@ -100,6 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_counts": op13_token_counts,
 }
 
 _OP1 = r"""
