@@ -11,7 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.test_contracts import MID, rows_of
-from tidemark.llm import alignment, vocab
+from tidemark.llm import alignment, blobs, vocab
 from tidemark.llm.queries import QUERIES
 
 BYTE = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -102,8 +102,8 @@ def test_merging_runs_equals_counting():
 
 def test_packing():
     for arrays in ([[]], [[0, 1, 255], [256]], [[1 << 33], [], [7, 70_000]]):
-        given = [alignment.slim(np.array(a, np.int64)) for a in arrays]
-        assert [a.tolist() for a in alignment.unpacked(alignment.packed(*given))] == arrays
+        given = [blobs.slim(np.array(a, np.int64)) for a in arrays]
+        assert [a.tolist() for a in blobs.unpacked(blobs.packed(*given))] == arrays
 
 
 def test_query_equals_brute_force(spark):

@@ -48,13 +48,14 @@ def want(path, text):
     return len(Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids)
 
 
-@pytest.mark.parametrize("hot", [1, 8, 1 << 16])
+@pytest.mark.parametrize("chunk, parts, remembered", [(1 << 20, 64, 1 << 20), (20_000, 3, 5), (50, 1, 0)])
 @pytest.mark.parametrize("path", [BYTE, PIECE])
-def test_counts(spark, monkeypatch, path, hot):
-    monkeypatch.setattr(token_count, "CHUNK_CHARS", 20_000)
+def test_counts(spark, monkeypatch, path, chunk, parts, remembered):
+    monkeypatch.setattr(token_count, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(token_count, "REMEMBERED", remembered)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(7, "again"), (7, "again"), (None, "no id"), (None, None)]
     docs = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], "doc_id int, text string, n_tokens int, unit string").repartition(3)
-    got = token_count.count_tokens(docs, path, limit=100, hot=hot)
+    got = token_count.count_tokens(docs, path, limit=100, parts=parts)
     assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and got.schema["doc_id"].dataType.simpleString() == "int"
     told = [(i, len((t or "").encode()), n, n > 100) for i, t in rows for n in [want(path, t)]]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(told, key=str)
