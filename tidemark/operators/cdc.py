@@ -83,15 +83,20 @@ def rename_pairs(halves: DataFrame, gap_ms: int) -> DataFrame:
     Within a tracker, halves of opposite direction at most ``gap_ms`` apart and
     next to each other make a run; in a run the first and second are a pair, the
     third and fourth, and so on. A half of the same direction starts a new run,
-    so the newer of two alike is the one that pairs.
+    so the newer of two alike is the one that pairs. A half without a tracker has
+    no mate: a guess could join two files' histories.
     """
+    lone, halves = halves.where("tracker IS NULL"), halves.where("tracker IS NOT NULL")
     order = Window.partitionBy("tracker").orderBy("t", "id")
     linked = (F.lag("is_source").over(order) != F.col("is_source")) & (F.col("t") - F.lag("t").over(order) <= gap_ms)
     runs = halves.withColumn("_run", F.sum(F.when(linked, 0).otherwise(1)).over(order))
     within = Window.partitionBy("tracker", "_run").orderBy("t", "id")
     placed = runs.withColumn("_k", F.row_number().over(within))
     mate = Window.partitionBy("tracker", "_run", F.floor((F.col("_k") - 1) / 2)).orderBy("_k")
-    return placed.withColumn("_next", F.lead(F.struct("id", "is_source", "t")).over(mate)).withColumn("_paired", F.count("*").over(mate.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 2)
+    half = F.struct(*[c for c in halves.columns if c != "tracker"])
+    mated = placed.withColumn("_next", F.lead(half).over(mate)).withColumn("_paired", F.count("*").over(mate.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 2)
+    alone = lone.withColumns({"_run": F.lit(1).cast("long"), "_k": F.lit(1), "_next": F.lit(None).cast(mated.schema["_next"].dataType), "_paired": F.lit(False)})
+    return mated.unionByName(alone)
 
 
 def paired(halves: DataFrame, gap_ms: int) -> DataFrame:

@@ -34,6 +34,24 @@ runs AS (SELECT *, sum(CASE WHEN l THEN 0 ELSE 1 END) OVER (PARTITION BY tracker
 placed AS (SELECT *, row_number() OVER (PARTITION BY tracker, run ORDER BY t, id) AS k FROM runs),
 mated AS (SELECT a.*, b.id AS next_id, b.t AS next_t FROM placed a LEFT JOIN placed b ON a.tracker = b.tracker AND a.run = b.run AND a.k % 2 = 1 AND b.k = a.k + 1)"""
 PAIRS = "SELECT tracker, CASE WHEN is_source THEN id ELSE next_id END AS from_id, CASE WHEN is_source THEN next_id ELSE id END AS to_id, next_t AS t FROM mated WHERE next_id IS NOT NULL"
+#: Raw watch events, and what they come to once halves are paired and paths are quiet.
+WATCH = """w AS (SELECT *, CASE WHEN mode = 'both' THEN '/f' || (user_id + 1 + id % 3) END AS to_path, '/f' || (CASE WHEN mode = 'to' THEN user_id + 1 ELSE user_id END) AS path,
+    CASE WHEN mode IN ('from', 'to') AND id % 11 <> 0 THEN user_id END AS tracker
+  FROM (SELECT event_id AS id, user_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'both' WHEN event_id % 2 = 0 THEN 'from' ELSE 'to' END
+    WHEN event_type = 'error' THEN 'removed' WHEN event_type = 'view' THEN 'access' ELSE 'touched' END AS mode FROM events)),
+linked AS (SELECT *, coalesce(lag(mode) OVER o <> mode AND ms - lag(ms) OVER o <= 21600000, false) AS l FROM w WHERE tracker IS NOT NULL WINDOW o AS (PARTITION BY tracker ORDER BY ms, id)),
+runs AS (SELECT *, sum(CASE WHEN l THEN 0 ELSE 1 END) OVER (PARTITION BY tracker ORDER BY ms, id ROWS UNBOUNDED PRECEDING) AS run FROM linked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tracker, run ORDER BY ms, id) AS k FROM runs),
+mates AS (SELECT a.mode, a.path AS p1, b.path AS p2, b.ms, b.id, a.id AS first_id FROM placed a JOIN placed b ON a.tracker = b.tracker AND a.run = b.run AND a.k % 2 = 1 AND b.k = a.k + 1),
+every AS (
+  SELECT coalesce(to_path, path) AS path, ms, id, CASE WHEN mode = 'both' THEN 'renamed' WHEN mode IN ('removed', 'from') THEN 'removed' ELSE 'touched' END AS change, CASE WHEN mode = 'both' THEN path END AS from_path
+    FROM w WHERE mode <> 'access' AND tracker IS NULL
+  UNION ALL SELECT path, ms, id, NULL, NULL FROM w WHERE mode = 'both'
+  UNION ALL SELECT CASE WHEN mode = 'from' THEN p2 ELSE p1 END, ms, id, 'renamed', CASE WHEN mode = 'from' THEN p1 ELSE p2 END FROM mates
+  UNION ALL SELECT CASE WHEN mode = 'from' THEN p1 ELSE p2 END, ms, id, NULL, NULL FROM mates
+  UNION ALL SELECT path, ms + 21600000, id, CASE WHEN mode = 'from' THEN 'removed' ELSE 'touched' END, NULL FROM placed WHERE id NOT IN (SELECT id FROM mates UNION ALL SELECT first_id FROM mates)),
+settled AS (SELECT path, ms + 3600000 AS at_ms, id, change, from_path
+  FROM (SELECT *, lead(ms) OVER (PARTITION BY path ORDER BY ms, id) AS next_at FROM every) WHERE coalesce(next_at - ms >= 3600000, true) AND change IS NOT NULL)"""
 BURSTS = """ordered AS (SELECT *, CASE WHEN at_unix_us - lag(at_unix_us) OVER o <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM raw WINDOW o AS (PARTITION BY file_id ORDER BY at_unix_us, id)),
 marked AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY at_unix_us, id ROWS UNBOUNDED PRECEDING) AS burst FROM ordered),
 bursts AS (SELECT file_id, arg_max(kind, (at_unix_us, id)) AS kind, count(*) AS n, max(at_unix_us) // 1000 AS last_ms, min(at_unix_us) // 1000 AS first_ms, max(at_unix_us) AS last_us FROM marked GROUP BY file_id, burst)"""
@@ -230,6 +248,14 @@ SELECT p_partkey, CASE WHEN make IS NULL THEN model WHEN model IS NULL THEN make
     "rename_pairs": _with(EV, HALVES) + PAIRS,
     "rename_unpaired": _with(EV, HALVES)
     + "SELECT id, tracker, CASE WHEN is_source THEN 'removed' ELSE 'touched' END AS change FROM mated m WHERE next_id IS NULL AND NOT EXISTS (SELECT 1 FROM mated o WHERE o.next_id = m.id)",
+    "watch_changes": _with(WATCH) + "SELECT * FROM settled",
+    # The watermark ends three days before the last event.
+    "stream_watch_changes": _with(WATCH) + "SELECT * FROM settled WHERE at_ms <= (SELECT max(ms) FROM w) - 259200000",
+    "stream_rename_join": _with(WATCH)
+    + """SELECT coalesce(f.tracker, t.tracker) AS tracker, f.id AS from_id, t.id AS to_id, f.path AS from_path, t.path AS to_path, greatest(f.ms, t.ms) AS t
+FROM (SELECT * FROM w WHERE mode = 'from') f FULL JOIN (SELECT * FROM w WHERE mode = 'to') t ON f.tracker = t.tracker AND abs(f.ms - t.ms) <= 21600000
+WHERE f.id IS NOT NULL AND t.id IS NOT NULL OR coalesce(f.tracker, t.tracker) IS NULL
+  OR greatest(f.ms, t.ms) + 21600000 < (SELECT least(max(ms) FILTER (mode = 'from'), max(ms) FILTER (mode = 'to')) FROM w) - 259200000""",
     "rename_exclusion_matrix": _with(PP)
     + r"""SELECT page_id, CASE WHEN a AND b THEN 'ignore' WHEN a THEN 'arrival' WHEN b THEN 'departure' ELSE 'rename' END AS action
   FROM (SELECT page_id, list_has_any(string_split(path, '/'), ['de', 'es']) AS a, list_has_any(string_split(regexp_replace(path, '/(en|fr)/', '/de/', 'g'), '/'), ['de', 'es']) AS b FROM pp)""",

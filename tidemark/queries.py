@@ -22,7 +22,7 @@ from tidemark.oracle import ORACLE_SQL
 from tidemark.plans import metrics, timeline
 from tidemark.plans.search import search
 from tidemark.sources import endpoints, office, tables
-from tidemark.streaming import changes
+from tidemark.streaming import changes, watch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -766,6 +766,35 @@ def extract_exif(spark, sf_dir):
     return got.select("id", text.camera(F.col("make"), F.col("model")).alias("camera"), clock.exif_seconds(F.col("taken")).alias("taken_at"), "error")
 
 
+QUIET_MS = 3_600_000
+#: Events arrive in so many goes, fewer than so many places late; the watermark waits so long for them.
+GOES, LATE, DELAY = 3, 20, "3 days"
+
+
+@query
+def watch_changes(spark, sf_dir):
+    return watch.watched(tables.watch_events(tables.table(spark, sf_dir, "events")), GAP_MS, QUIET_MS)
+
+
+@query
+def stream_watch_changes(spark, sf_dir):
+    def settled(stream):
+        return watch.watch_stream(tables.watch_events(stream), GAP_MS, QUIET_MS, DELAY)
+
+    with watch.timers(spark):
+        return changes.fed(tables.table(spark, sf_dir, "events"), "event_id", GOES, LATE, settled, "watch")
+
+
+def halves_joined(stream):
+    rows = tables.watch_events(stream)
+    return changes.halves_joined(rows.where("mode = 'from'"), rows.where("mode = 'to'"), GAP_MS, DELAY)
+
+
+@query
+def stream_rename_join(spark, sf_dir):
+    return changes.fed(tables.table(spark, sf_dir, "events"), "event_id", GOES, LATE, halves_joined, "halves")
+
+
 @query
 def extract_html_title(spark, sf_dir):
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)

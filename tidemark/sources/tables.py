@@ -94,3 +94,23 @@ def snapshot(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
 def rename_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where("kind = 'renamed'")
     return rows.select("id", F.col("file_id").alias("tracker"), (F.col("id") % 2 == 0).alias("is_source"), F.col("at_unix_ms").alias("t"))
+
+
+def watch_events(raw: DataFrame) -> DataFrame:
+    """Raw watch events of the events table (or a stream of it): id, ts, mode, path, to_path, tracker.
+
+    Users stand for files and trackers; a purchase is a rename, a fifth of them
+    whole, the others halves, some without a tracker.
+    """
+    id_, user = F.col("event_id"), F.col("user_id")
+    name = lambda n: F.concat(F.lit("/f"), n.cast("string"))
+    rename, whole = F.col("event_type") == "purchase", F.col("event_id") % 5 == 0
+    mode = F.when(rename & whole, "both").when(rename & (id_ % 2 == 0), "from").when(rename, "to").when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "view", "access").otherwise("touched")
+    return raw.select(
+        id_.alias("id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        mode.alias("mode"),
+        name(F.when(mode == "to", user + 1).otherwise(user)).alias("path"),
+        F.when(mode == "both", name(user + 1 + id_ % 3)).alias("to_path"),
+        F.when(mode.isin("from", "to") & (id_ % 11 != 0), user).alias("tracker"),
+    )

@@ -34,6 +34,29 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def fed(rows: DataFrame, order: str, parts: int, late: int, make: Callable[[DataFrame], DataFrame], label: str, progress: list | None = None) -> DataFrame:
+    """What a stream gives of ``rows`` that arrive in several goes, some of them late.
+
+    Rows go to the feed by ranges of ``order`` (a whole number); each is put off
+    by a hash of it, by less than ``late``, so it may come after rows of a higher
+    one. After each go the stream runs until it has read all, from the log of the
+    run before, as a job does that is started anew. What all runs wrote is read;
+    ``progress`` collects the last progress of each run.
+    """
+    spark, path, out = rows.sparkSession, shared_path(rows.sparkSession, f"{label}-feed"), shared_path(rows.sparkSession, label)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    place = F.col(order) - F.lit(low or 0) + F.pmod(F.xxhash64(order), F.lit(max(late, 1)))
+    part = F.least(F.floor(place * parts / ((high or 0) - (low or 0) + max(late, 1))), F.lit(parts - 1))
+    stream = make(spark.readStream.schema(rows.schema).parquet(f"{path}/*"))
+    for n in range(parts):
+        rows.where(part == n).write.parquet(f"{path}/go={n}")
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-log").option("path", out).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if progress is not None:
+            progress.append(query.lastProgress)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def append_batches(stream: DataFrame, label: str = "append") -> DataFrame:
     """Each micro-batch to a folder of its own number, so a repeated batch replaces itself."""
     spark, out = stream.sparkSession, shared_path(stream.sparkSession, label)
@@ -73,6 +96,28 @@ def apply_batches(stream: DataFrame, on_changes: Callable[[DataFrame, int], None
     stream.writeStream.foreachBatch(step).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
 
 
+def halves_joined(sources: DataFrame, targets: DataFrame, gap_ms: int, delay: str) -> DataFrame:
+    """Streams of rename halves (id, tracker, ts, path) joined by tracker within a gap; halves that meet none come out alone.
+
+    Both sides have a watermark and the times of a pair bound each other, so a
+    half leaves the state, alone or not, once the watermark has passed it by the
+    gap. A half without a tracker meets none and comes out at once; it is kept
+    from the join, whose state would take null for equal to null.
+    """
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        named = rows.select(*[F.col(c).alias(f"{name}_{c}") for c in ("tracker", "id", "path", "ts")])
+        return named.withWatermark(f"{name}_ts", delay)
+
+    f, t = side(sources, "from"), side(targets, "to")
+    gap = F.expr(f"INTERVAL {gap_ms} MILLISECONDS")
+    near = (F.col("from_tracker") == F.col("to_tracker")) & (F.col("from_ts") >= F.col("to_ts") - gap) & (F.col("from_ts") <= F.col("to_ts") + gap)
+    joined = f.where("from_tracker IS NOT NULL").join(t.where("to_tracker IS NOT NULL"), near, "full")
+    shape = lambda rows: rows.select(F.coalesce("from_tracker", "to_tracker").alias("tracker"), "from_id", "to_id", "from_path", "to_path", F.unix_millis(F.greatest("from_ts", "to_ts")).alias("t"))
+    lone = lambda rows, other: rows.select("*", *[F.lit(None).cast(rows.schema[n].dataType).alias(m) for n, m in zip(rows.columns, other.columns)])
+    return shape(joined).unionByName(shape(lone(f.where("from_tracker IS NULL"), t))).unionByName(shape(lone(t.where("to_tracker IS NULL"), f)))
+
+
 PAIR = "tracker long, from_id long, to_id long, t long, change string"
 HALF = "id long, is_source boolean, t long"
 
@@ -117,4 +162,7 @@ def paired(halves: DataFrame, gap_ms: int, delay: str = "0 seconds") -> DataFram
         yield frame.astype({c: "Int64" for c in ("tracker", "from_id", "to_id", "t")})
 
     rows = halves.withWatermark("ts", delay).withColumn("t", F.unix_millis("ts"))
-    return rows.groupBy("tracker").applyInPandasWithState(step, PAIR, HALF, "append", GroupStateTimeout.EventTimeTimeout)
+    # Without a tracker nothing tells which halves belong together, and null is no group.
+    source = F.col("is_source")
+    lone = rows.where("tracker IS NULL").select("tracker", F.when(source, F.col("id")).alias("from_id"), F.when(~source, F.col("id")).alias("to_id"), "t", F.when(source, "removed").otherwise("touched").alias("change"))
+    return rows.where("tracker IS NOT NULL").groupBy("tracker").applyInPandasWithState(step, PAIR, HALF, "append", GroupStateTimeout.EventTimeTimeout).unionByName(lone)
