@@ -99,8 +99,9 @@ class Aligner:
         if not words:
             return
         ids_a, ids_b, sound = [], [], []
-        for word in words:
-            whole, one, two = (" " + word).encode("utf-8", "surrogatepass"), self.a.ids(" " + word), self.b.ids(" " + word)
+        spaced = [" " + word for word in words]
+        for unit, one, two in zip(spaced, self.a.ids(spaced), self.b.ids(spaced)):
+            whole = unit.encode("utf-8", "surrogatepass")
             good = b"".join([self.bytes_a[i] for i in one]) == whole == b"".join([self.bytes_b[i] for i in two])
             sound.append(good)
             ids_a.append(one if good else [])

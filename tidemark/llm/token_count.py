@@ -114,7 +114,7 @@ def pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
                 at = part
             units = units_of(blob)
             fresh = [u for u in units if u not in known]
-            known.update(zip(fresh, cutter.counts([u.decode() for u in fresh])))
+            known.update(zip(fresh, map(len, cutter.ids([u.decode() for u in fresh]))))
             counts = packed(slim(np.array([known[u] for u in units], np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([counts], pa.binary())], names=["chunk", "part", "pieces"])
 

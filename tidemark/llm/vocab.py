@@ -7,7 +7,9 @@ files are read by path on each machine and nothing of them is copied here.
 
 from __future__ import annotations
 
+import os
 import re
+from itertools import batched
 
 import regex
 
@@ -22,6 +24,10 @@ OUTSIDE = re.compile(f"[^{AGREED}]")
 PIECE_CUT = re.compile("(?<=[^ ▁])(?=[ ▁])")
 
 
+#: Units that are encoded in one call.
+BATCH = 4_096
+
+
 class ByteLevel:
     """A byte-level BPE file (``.json``); units are its pre-tokens.
 
@@ -30,6 +36,8 @@ class ByteLevel:
     """
 
     def __init__(self, path: str, plain: bool = False):
+        # Tasks have one core each; the library reads this when it first encodes.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -56,12 +64,9 @@ class ByteLevel:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return self.pattern.findall(text)
 
-    def ids(self, unit: str) -> list[int]:
-        """Ids of a unit, or of any text in which special strings are plain."""
-        return self.library.encode(unit, add_special_tokens=False).ids
-
-    def counts(self, units: list[str]) -> list[int]:
-        return [len(self.library.encode(u, add_special_tokens=False).ids) for u in units]
+    def ids(self, units: list[str]) -> list[list[int]]:
+        """Ids of each unit, or of any texts in which special strings are plain."""
+        return [e.ids for some in batched(units, BATCH) for e in self.library.encode_batch_fast(list(some), add_special_tokens=False)]
 
     def token_bytes(self) -> list[bytes]:
         """Bytes of every id, special tokens as they are written."""
@@ -93,12 +98,10 @@ class Pieces:
         """Units of the text, each with the space before it, and no special token."""
         return (PIECE_CUT.split(" " + text) if text else []), 0
 
-    def ids(self, unit: str) -> list[int]:
+    def ids(self, units: list[str]) -> list[list[int]]:
         # The model adds the first space itself; of a lone space nothing would be left to encode.
-        return self.library.encode(unit[1:]) if len(unit) > 1 else [self.space]
-
-    def counts(self, units: list[str]) -> list[int]:
-        return [len(self.ids(u)) for u in units]
+        found = self.library.encode([u[1:] for u in units], num_threads=1)
+        return [ids if len(u) > 1 else [self.space] for u, ids in zip(units, found)]
 
     def token_bytes(self) -> list[bytes]:
         """Bytes of every id; control and unknown pieces have none."""
