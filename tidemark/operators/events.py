@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import clock
+from tidemark.operators.numbering import islands
 
 
 def with_facts(events: DataFrame, metadata: DataFrame, enrichment: DataFrame) -> DataFrame:
@@ -58,6 +59,18 @@ def by_day(events: DataFrame, now_ms: Column) -> DataFrame:
     return counted.select("day", "n", clock.day_label(F.col("_at"), now_ms).alias("label"))
 
 
+def consecutive_days(rows: DataFrame, order: list[Column], now_ms: Column) -> DataFrame:
+    """Stretches of neighbours of one day in the order of a listing: (n_group, day, label, n, first_id, last_id).
+
+    A day comes again where the listing leaves it and returns. The order should
+    be unique.
+    """
+    placed = islands(rows, clock.day(F.col("at_unix_ms")), order, "n_group")
+    by = F.struct(*[o.alias(f"o{n}") for n, o in enumerate(order)])
+    groups = placed.withColumn("_by", by).groupBy("n_group").agg(F.min(clock.day(F.col("at_unix_ms"))).alias("day"), F.min("at_unix_ms").alias("_at"), F.count("*").alias("n"), F.min_by("id", "_by").alias("first_id"), F.max_by("id", "_by").alias("last_id"))
+    return groups.select("n_group", "day", clock.day_label(F.col("_at"), now_ms).alias("label"), "n", "first_id", "last_id")
+
+
 def merged_page(shown: DataFrame, page: DataFrame) -> DataFrame:
     """The shown rows with those of the page that are new."""
     return page.join(shown.select("id"), "id", "left_anti").unionByName(shown)

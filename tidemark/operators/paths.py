@@ -39,6 +39,32 @@ def intern(names: DataFrame, name: str = "name") -> DataFrame:
     return numbered(distinct, F.col("name"), "id").select(F.col("id").cast("long").alias("id"), "name")
 
 
+def interned(known: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """The (id, name) rows that ``names`` adds to a dictionary ``known``; old ids stay as they are.
+
+    Names that are not known yet are numbered on from the greatest id, in their
+    own order, by ranges. Null is no name; an empty dictionary starts at 1.
+    """
+    fresh = names.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct().join(known.select("name"), "name", "left_anti")
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return numbered(fresh, F.col("name"), "id").select((F.col("id") + top).cast("long").alias("id"), "name")
+
+
+def intern_into(path: str, names: DataFrame, batch: int, name: str = "name") -> DataFrame:
+    """The dictionary in the folder ``path`` after a batch of names: all its (id, name) rows.
+
+    Every batch adds a part under its own number and reads only those before it,
+    so a batch that runs twice writes the same part again. Batches come one at a
+    time, in the order of their numbers, 0 first.
+    """
+    spark, schema = names.sparkSession, "id long, name string, batch int"
+    spark.createDataFrame([], schema).write.partitionBy("batch").mode("append").parquet(path)
+    parts = spark.read.schema(schema).parquet(path)
+    added = interned(parts.where(F.col("batch") < batch).select("id", "name"), names, name)
+    added.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return spark.read.schema(schema).parquet(path).where(F.col("batch") <= batch).select("id", "name")
+
+
 #: Up to so many wanted ids are walked up by broadcast joins, level by level.
 FEW = 10_000
 
@@ -118,13 +144,14 @@ def missing_chain(paths: DataFrame, tree: DataFrame) -> DataFrame:
 def owning_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """``paths`` with the longest root that holds each path by whole components.
 
-    Every prefix of a path is looked up in the roots by an equi-join, so the
-    work grows with the depth of paths and not with the number of roots.
+    Every prefix of a distinct path is looked up in the roots by an equi-join, so
+    the work grows with the depth of paths and not with the number of roots.
+    Rows that repeat a path each get its root.
     """
-    ups = paths.withColumn("_up", F.explode_outer(F.concat(F.array(F.lit("/")), prefixes(F.col("path")))))
-    found = ups.join(roots.select(F.col("root").alias("_up"), F.lit(True).alias("_is")).distinct(), "_up", "left")
-    best = F.max_by("_up", F.when(F.col("_is"), F.length("_up")))
-    return found.groupBy(*paths.columns).agg(best.alias("root"))
+    ups = paths.select("path").distinct().withColumn("_up", F.explode(F.concat(F.array(F.lit("/")), prefixes(F.col("path")))))
+    found = ups.join(roots.select(F.col("root").alias("_up")).distinct(), "_up")
+    best = found.groupBy("path").agg(F.max_by("_up", F.length("_up")).alias("root"))
+    return paths.join(best, "path", "left").select(*paths.columns, "root")
 
 
 def live_first(files: DataFrame, keys: tuple[str, ...] = ("parent_id", "name")) -> DataFrame:

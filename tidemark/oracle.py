@@ -52,6 +52,25 @@ every AS (
   UNION ALL SELECT path, ms + 21600000, id, CASE WHEN mode = 'from' THEN 'removed' ELSE 'touched' END, NULL FROM placed WHERE id NOT IN (SELECT id FROM mates UNION ALL SELECT first_id FROM mates)),
 settled AS (SELECT path, ms + 3600000 AS at_ms, id, change, from_path
   FROM (SELECT *, lead(ms) OVER (PARTITION BY path ORDER BY ms, id) AS next_at FROM every) WHERE coalesce(next_at - ms >= 3600000, true) AND change IS NOT NULL)"""
+#: Renames in their order: who is at a path follows from the rename that touched it last.
+CHAINS = """state AS (SELECT DISTINCT user_id AS id, '/f' || user_id AS path, CASE WHEN user_id % 5 = 0 THEN 1 END AS deleted_at FROM events),
+moves AS (SELECT * FROM (SELECT event_id AS seq, '/f' || user_id AS from_path, CASE WHEN event_id % 13 > 0 THEN '/f' || (user_id + event_id % 4 - 1) END AS to_path, epoch_us(ts) // 1000 AS at_ms
+  FROM events WHERE event_type IN ('purchase', 'click')) WHERE to_path IS DISTINCT FROM from_path),
+touches AS (SELECT seq, from_path AS path, false AS reaches FROM moves UNION ALL SELECT seq, to_path, true FROM moves WHERE to_path IS NOT NULL),
+lasts AS (SELECT *, lag(seq) OVER o AS pseq, lag(reaches) OVER o AS preaches FROM touches WINDOW o AS (PARTITION BY path ORDER BY seq)),
+met AS (SELECT l.*, CASE WHEN pseq IS NULL THEN s.id END AS known FROM lasts l LEFT JOIN state s ON s.path = l.path AND s.deleted_at IS NULL),
+both_sides AS (SELECT m.*, CASE WHEN f.preaches THEN f.pseq END AS fseq, f.known AS fknown, CASE WHEN t.preaches THEN t.pseq END AS tseq, t.known AS tknown
+  FROM moves m JOIN met f ON f.seq = m.seq AND NOT f.reaches LEFT JOIN met t ON t.seq = m.seq AND t.reaches),
+nodes AS (SELECT seq, CASE WHEN fseq IS NOT NULL THEN fseq WHEN fknown IS NOT NULL THEN NULL ELSE tseq END AS up, coalesce(fknown, tknown) AS id FROM both_sides WHERE to_path IS NOT NULL),
+occupants AS (WITH RECURSIVE o AS (SELECT seq, id, CASE WHEN id IS NULL THEN seq END AS born FROM nodes WHERE up IS NULL UNION ALL SELECT n.seq, o.id, o.born FROM nodes n JOIN o ON n.up = o.seq) SELECT * FROM o),
+traced AS (SELECT b.*, coalesce(f.id, fknown) AS mid, f.born AS mborn, coalesce(t.id, tknown) AS vid, t.born AS vborn, f.seq IS NOT NULL OR fknown IS NOT NULL AS moved, t.seq IS NOT NULL OR tknown IS NOT NULL AS taken
+  FROM both_sides b LEFT JOIN occupants f ON f.seq = b.fseq LEFT JOIN occupants t ON t.seq = b.tseq),
+told AS (
+  SELECT seq, mid AS id, mborn AS born, from_path AS path, 'deleted' AS kind, NULL AS previous_path, at_ms FROM traced WHERE moved AND to_path IS NULL
+  UNION ALL SELECT seq, vid, vborn, to_path, 'deleted', NULL, at_ms FROM traced WHERE moved AND to_path IS NOT NULL AND taken
+  UNION ALL SELECT seq, mid, mborn, to_path, 'renamed', from_path, at_ms FROM traced WHERE moved AND to_path IS NOT NULL
+  UNION ALL SELECT seq, NULL, seq, to_path, 'created', NULL, at_ms FROM traced WHERE NOT moved AND to_path IS NOT NULL AND NOT taken),
+ends AS (SELECT id, born, arg_max(path, seq) AS path, CASE WHEN arg_max(kind, seq) = 'deleted' THEN max(at_ms) END AS gone FROM told GROUP BY id, born)"""
 BURSTS = """ordered AS (SELECT *, CASE WHEN at_unix_us - lag(at_unix_us) OVER o <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM raw WINDOW o AS (PARTITION BY file_id ORDER BY at_unix_us, id)),
 marked AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY at_unix_us, id ROWS UNBOUNDED PRECEDING) AS burst FROM ordered),
 bursts AS (SELECT file_id, arg_max(kind, (at_unix_us, id)) AS kind, count(*) AS n, max(at_unix_us) // 1000 AS last_ms, min(at_unix_us) // 1000 AS first_ms, max(at_unix_us) AS last_us FROM marked GROUP BY file_id, burst)"""
@@ -256,6 +275,25 @@ SELECT p_partkey, CASE WHEN make IS NULL THEN model WHEN model IS NULL THEN make
 FROM (SELECT * FROM w WHERE mode = 'from') f FULL JOIN (SELECT * FROM w WHERE mode = 'to') t ON f.tracker = t.tracker AND abs(f.ms - t.ms) <= 21600000
 WHERE f.id IS NOT NULL AND t.id IS NOT NULL OR coalesce(f.tracker, t.tracker) IS NULL
   OR greatest(f.ms, t.ms) + 21600000 < (SELECT least(max(ms) FILTER (mode = 'from'), max(ms) FILTER (mode = 'to')) FROM w) - 259200000""",
+    "rename_chain_events": _with(CHAINS) + "SELECT * FROM told",
+    "rename_chain_state": _with(CHAINS)
+    + """SELECT s.id, NULL::BIGINT AS born, coalesce(e.path, s.path) AS path, coalesce(e.gone, s.deleted_at) AS deleted_at FROM state s LEFT JOIN ends e ON e.id = s.id
+UNION ALL SELECT id, born, path, gone FROM ends WHERE id IS NULL""",
+    "cdc_replay": _with(EV)
+    + """, before AS (SELECT *, lag(kind) OVER o AS was, coalesce(count(*) FILTER (kind <> 'deleted') OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS touches FROM ev WINDOW o AS (PARTITION BY file_id ORDER BY id)),
+done AS (SELECT *, CASE WHEN touches = 0 THEN 0 WHEN was = 'deleted' THEN 1 ELSE 2 END AS s, kind = 'deleted' AS gone FROM before)
+SELECT file_id, CASE WHEN count(*) FILTER (NOT gone) = 0 THEN 'absent' WHEN arg_max(gone, id) THEN 'dead' ELSE 'live' END AS state, count(*) FILTER (NOT gone AND s = 0) AS created, count(*) FILTER (NOT gone AND s = 1) AS revived,
+  count(*) FILTER (NOT gone AND s = 2) AS modified, count(*) FILTER (gone AND s = 2) AS deleted, arg_max(size_bytes, id) FILTER (NOT gone) AS size_bytes,
+  CASE WHEN arg_max(gone, id) THEN max(at_unix_ms) FILTER (gone AND s = 2) END AS deleted_at, count(*) AS n_events FROM done GROUP BY file_id""",
+    "agg_consecutive_days": _with(EV)
+    + """, listed AS (SELECT id, at_unix_ms, (TIMESTAMP '1970-01-01' + to_milliseconds(at_unix_ms))::DATE AS day, row_number() OVER (ORDER BY size_bytes DESC, id DESC) AS k FROM ev),
+opened AS (SELECT *, CASE WHEN day = lag(day) OVER (ORDER BY k) THEN 0 ELSE 1 END AS o FROM listed),
+grouped AS (SELECT *, sum(o) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM opened)
+SELECT g::BIGINT AS n_group, min(day) AS day, CASE min(day) WHEN DATE '2024-02-01' THEN 'Today' WHEN DATE '2024-01-31' THEN 'Yesterday' ELSE strftime(min(day), '%A, %b %-d') END AS label, count(*) AS n, arg_min(id, k) AS first_id, arg_max(id, k) AS last_id FROM grouped GROUP BY g""",
+    "path_intern_into": _with(TREE)
+    + """, names AS (SELECT DISTINCT name, CASE WHEN name < 'm' THEN 0 WHEN name >= 'a' THEN 1 ELSE 2 END AS b FROM nodes) SELECT row_number() OVER (ORDER BY b, name) AS id, name FROM names""",
+    "stream_state_merge": """SELECT '/u' || user_id AS path, arg_max(regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT, event_id) AS size_bytes, max(event_id) // 100 AS mtime_unix
+FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'""",
     "rename_exclusion_matrix": _with(PP)
     + r"""SELECT page_id, CASE WHEN a AND b THEN 'ignore' WHEN a THEN 'arrival' WHEN b THEN 'departure' ELSE 'rename' END AS action
   FROM (SELECT page_id, list_has_any(string_split(path, '/'), ['de', 'es']) AS a, list_has_any(string_split(regexp_replace(path, '/(en|fr)/', '/de/', 'g'), '/'), ['de', 'es']) AS b FROM pp)""",

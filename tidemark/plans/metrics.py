@@ -24,7 +24,7 @@ def rendered(values: DataFrame, prefix: str = PREFIX) -> DataFrame:
 
 
 def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(name, value) of sample lines; comments and values that are no numbers drop out."""
-    cut = F.split(F.trim(F.col(line)), " ")
-    rows = lines.where(~F.startswith(F.trim(F.col(line)), F.lit("#"))).select(F.get(cut, F.lit(0)).alias("name"), F.try_to_number(F.get(cut, F.lit(1)), F.lit("999999999999999999")).cast("double").alias("value"))
+    """(name, value) of sample lines, values as floats; comments and values that are no numbers drop out."""
+    cut = F.split(F.trim(F.col(line)), " +")
+    rows = lines.where(~F.startswith(F.trim(F.col(line)), F.lit("#"))).select(F.get(cut, F.lit(0)).alias("name"), F.get(cut, F.lit(1)).try_cast("double").alias("value"))
     return rows.where("value IS NOT NULL")

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import clock, json_text, text, vectors
 from tidemark.functions.language import detect
-from tidemark.operators import cdc, knn, paths, queues
+from tidemark.operators import cdc, knn, paths, queues, renames, replay
 from tidemark.operators import events as ev
 from tidemark.oracle import ORACLE_SQL
 from tidemark.plans import metrics, timeline
 from tidemark.plans.search import search
 from tidemark.sources import endpoints, office, tables
+from tidemark.sources.shared import shared_path
 from tidemark.streaming import changes, watch
+from tidemark.streaming import state as streamed_state
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -795,6 +797,69 @@ def stream_rename_join(spark, sf_dir):
     return changes.fed(tables.table(spark, sf_dir, "events"), "event_id", GOES, LATE, halves_joined, "halves")
 
 
+def _rename_chains(spark, sf_dir):
+    """Files /f<user>, some deleted, and renames to neighbours, in chains, swaps and out of sight, by time."""
+    raw = tables.table(spark, sf_dir, "events")
+    user, id_ = F.col("user_id"), F.col("event_id")
+    name = lambda n: F.concat(F.lit("/f"), n.cast("string"))
+    state = raw.select(user.alias("id")).distinct().select("id", name(F.col("id")).alias("path"), F.when(F.col("id") % 5 == 0, F.lit(1).cast("long")).alias("deleted_at"))
+    to = F.when(id_ % 13 > 0, name(user + id_ % 4 - 1))
+    moves = raw.where("event_type IN ('purchase', 'click')").select(id_.alias("seq"), name(user).alias("from_path"), to.alias("to_path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return state, moves
+
+
+@query
+def rename_chain_events(spark, sf_dir):
+    return renames.applied(*_rename_chains(spark, sf_dir))[1]
+
+
+@query
+def rename_chain_state(spark, sf_dir):
+    return renames.applied(*_rename_chains(spark, sf_dir))[0]
+
+
+@query
+def cdc_replay(spark, sf_dir):
+    return replay.replayed(tables.events(spark, sf_dir))
+
+
+@query
+def agg_consecutive_days(spark, sf_dir):
+    rows = tables.events(spark, sf_dir)
+    now = F.lit(1_706_745_600_000).cast("long")
+    return ev.consecutive_days(rows, [-F.col("size_bytes"), -F.col("id")], now)
+
+
+@query
+def path_intern_into(spark, sf_dir):
+    tree, folder = tables.page_tree(spark, sf_dir), shared_path(spark, "dictionary")
+    paths.intern_into(folder, tree.where("name < 'm'"), 0)
+    paths.intern_into(folder, tree.where("name >= 'a'"), 1)
+    # Run once more, as after a failure.
+    paths.intern_into(folder, tree.where("name >= 'a'"), 1)
+    return paths.intern_into(folder, tree, 2)
+
+
+def looks(raw):
+    """What was seen of files at each event: their size and time, or, at an error, that they were gone."""
+    there = F.col("event_type") != "error"
+    return raw.select(
+        F.col("event_id").alias("id"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
+        F.concat(F.lit("/u"), F.col("user_id").cast("string")).alias("path"),
+        F.lit("touched").alias("kind"),
+        F.when(there, F.get_json_object("props", "$.k").cast("long")).alias("size_bytes"),
+        F.when(there, F.floor(F.col("event_id") / 100)).alias("mtime_unix"),
+    )
+
+
+@query
+def stream_state_merge(spark, sf_dir):
+    table = streamed_state.StateTable(spark)
+    changes.fed_into(looks(tables.table(spark, sf_dir, "events")), "id", GOES, LATE, lambda stream, log: streamed_state.merge_stream(stream, table, log=log), "looks")
+    return table.before(GOES).where("deleted_at IS NULL").drop("deleted_at")
+
+
 @query
 def extract_html_title(spark, sf_dir):
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)

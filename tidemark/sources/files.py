@@ -23,9 +23,12 @@ def scan(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = schemas.SK
 
 
 def heads(spark: SparkSession, root: str) -> DataFrame:
-    """(path, head) with the first 8 KiB of each file, for sniffing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.substring("content", 1, schemas.SNIFF_BYTES).alias("head"))
+    """(path, head) with the first 8 KiB of each file, for sniffing.
+
+    A file above 2 GiB, which Spark cannot hold in a value, has a null head.
+    """
+    read = contents(spark, root)
+    return read.select("path", F.substring("content", 1, schemas.SNIFF_BYTES).alias("head"))
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:

@@ -34,27 +34,38 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def fed(rows: DataFrame, order: str, parts: int, late: int, make: Callable[[DataFrame], DataFrame], label: str, progress: list | None = None) -> DataFrame:
-    """What a stream gives of ``rows`` that arrive in several goes, some of them late.
+def fed_into(rows: DataFrame, order: str, goes: int, late: int, run: Callable[[DataFrame, str], None], label: str) -> None:
+    """Let ``rows`` arrive in several goes, some of them late, and ``run`` a stream of them after each.
 
     Rows go to the feed by ranges of ``order`` (a whole number); each is put off
     by a hash of it, by less than ``late``, so it may come after rows of a higher
-    one. After each go the stream runs until it has read all, from the log of the
-    run before, as a job does that is started anew. What all runs wrote is read;
-    ``progress`` collects the last progress of each run.
+    one. ``run`` gets the stream and the folder of its log, the same each time, as
+    a job does that is started anew.
     """
-    spark, path, out = rows.sparkSession, shared_path(rows.sparkSession, f"{label}-feed"), shared_path(rows.sparkSession, label)
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    place = F.col(order) - F.lit(low or 0) + F.pmod(F.xxhash64(order), F.lit(max(late, 1)))
-    part = F.least(F.floor(place * parts / ((high or 0) - (low or 0) + max(late, 1))), F.lit(parts - 1))
-    stream = make(spark.readStream.schema(rows.schema).parquet(f"{path}/*"))
-    for n in range(parts):
-        rows.where(part == n).write.parquet(f"{path}/go={n}")
-        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-log").option("path", out).outputMode("append").trigger(availableNow=True).start()
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, f"{label}-feed")
+    low, high = (x or 0 for x in rows.agg(F.min(order), F.max(order)).first())
+    place = F.col(order) - low + F.pmod(F.xxhash64(order), F.lit(max(late, 1)))
+    go = F.least(F.floor(place * goes / (high - low + max(late, 1))), F.lit(goes - 1))
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/*")
+    for n in range(goes):
+        rows.where(go == n).write.parquet(f"{path}/go={n}")
+        run(stream, f"{path}-log")
+
+
+def fed(rows: DataFrame, order: str, goes: int, late: int, make: Callable[[DataFrame], DataFrame], label: str, progress: list | None = None) -> DataFrame:
+    """What ``make`` gives, as an append stream, of ``rows`` that arrive as in :func:`fed_into`; ``progress`` collects each run's last."""
+    spark, out, schemas = rows.sparkSession, shared_path(rows.sparkSession, label), []
+
+    def run(stream: DataFrame, log: str) -> None:
+        made = make(stream)
+        schemas.append(made.schema)
+        query = made.writeStream.format("parquet").option("checkpointLocation", log).option("path", out).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
         if progress is not None:
             progress.append(query.lastProgress)
-    return spark.read.schema(stream.schema).parquet(out)
+
+    fed_into(rows, order, goes, late, run, label)
+    return spark.read.schema(schemas[0]).parquet(out)
 
 
 def append_batches(stream: DataFrame, label: str = "append") -> DataFrame:
