@@ -5,11 +5,11 @@ is normalised and scanned once, many documents to a chunk. Matches are mapped
 back to word numbers and to character offsets in the original text.
 
 The automaton is built once per Python worker from a broadcast list of items of
-bounded size. A benchmark above the bound is cut into shards, long items into
-pieces that overlap by a window less a word; each shard is a pass of its own
-over the texts, written to the shared folder before the next one, so that one
-automaton lives at a time. Hits add up along the row, so there is no shuffle in
-either case.
+bounded size; it reads the texts once, and nothing is shuffled. A benchmark above
+the bound is cut into shards, long items into pieces that overlap by a window
+less a word. Then the texts are written once, with a number for each row, every
+shard reads them on its own and gives only the hits it found, and these meet
+their rows at the end. One automaton lives at a time.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import clashing, text_chunks, written
+from tidemark.llm.common import MAX_BROADCAST_IDS, bounded, clashing, text_chunks, written
 
 #: UTF-8 bytes to search bytes: A-Z to lower case, 0-9, a-z and bytes of
 #: non-ASCII characters as they are, every other ASCII character to a space.
@@ -33,6 +34,9 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b) in string.digi
 #: Bytes of benchmark text a shard; its automaton has about 13 nodes a byte.
 SHARD_BYTES = 256 << 10
 
+HITS = "array<struct<first:int,last:int>>"
+SPANS = "array<struct<start:int,end:int>>"
+
 #: The automaton this worker built last, by the run's key.
 _built: dict = {}
 
@@ -68,7 +72,7 @@ class Chunk:
     """
 
     def __init__(self, raws: list[bytes]):
-        folded = np.frombuffer((b" " + b"  ".join(raws) + b"  ").translate(FOLD), np.uint8)
+        self.folded = folded = np.frombuffer((b" " + b"  ".join(raws) + b"  ").translate(FOLD), np.uint8)
         word = folded != 32
         after = np.empty_like(word)
         after[0], after[1:] = False, word[:-1]
@@ -85,6 +89,14 @@ class Chunk:
         #: Number of the first word of each document, and of all words at the end.
         self.first = np.searchsorted(self.starts, self.at)
 
+    def characters(self, doc: int, firsts: list[int], lasts: list[int]) -> list[dict[str, int]]:
+        """Character ranges of ranges of a document's words: lead bytes are counted once along it."""
+        at, end, base = int(self.at[doc]), int(self.at[doc + 1]), int(self.first[doc])
+        before = np.concatenate(([0], np.cumsum((self.folded[at:end] & 0xC0) != 0x80)))
+        starts = before[self.starts[base + np.array(firsts)] - at].tolist()
+        ends = before[self.ends[base + np.array(lasts)] - at].tolist()
+        return [{"start": a, "end": b} for a, b in zip(starts, ends)]
+
     def scan(self, machine) -> tuple[list[int], list[int], list[set]]:
         """First word, last word and items of every occurrence of a window."""
         if machine is None:
@@ -136,15 +148,21 @@ def _scan_chunk(raws, machine, start, words, hits, spans, items) -> None:
         ranges, names = per_doc.setdefault(doc, ([], set()))
         ranges.append((a, b))
         names |= ids
-    for doc, (ranges, names) in per_doc.items():
-        base, at, raw = int(chunk.first[doc]), int(chunk.at[doc]), raws[doc]
+    for doc in [i for i in range(len(raws)) if i in per_doc or hits[start + i]]:
+        ranges, names = per_doc.get(doc, ([], set()))
+        base = int(chunk.first[doc])
         before = [(r["first"], r["last"]) for r in hits[start + doc]]
         merged = merge(before + [(a - base, b - base) for a, b in merge(ranges)])
         hits[start + doc] = [{"first": a, "last": b} for a, b in merged]
         items[start + doc] = sorted(names | set(items[start + doc]), key=lambda x: (x is not None, x))
-        edges = [(int(chunk.starts[base + a]) - at, int(chunk.ends[base + b]) - at) for a, b in merged]
-        chars = lambda end: len(raw[:end].decode("utf-8", "surrogatepass"))
-        spans[start + doc] = [{"start": chars(a), "end": chars(b)} for a, b in edges]
+        spans[start + doc] = chunk.characters(doc, *map(list, zip(*merged)))
+
+
+def _shard_hits(batches: Iterator[pa.RecordBatch], shared, key: str, size: int) -> Iterator[pa.RecordBatch]:
+    """(row, hits, items) of the rows (row, text) that a shard hits."""
+    for batch in _scan_batches(batches, shared, key, size, "text"):
+        hit = pc.greater(pc.list_value_length(batch.column(batch.schema.names.index("_hits"))), 0)
+        yield batch.select(["_row", "_hits", "items"]).filter(hit)
 
 
 def pieces(items: DataFrame, size: int, step: int) -> DataFrame:
@@ -181,14 +199,30 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
         shard = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")
         items = written(items.select("id", "text", shard.alias("shard")).repartition(min(shards, 1_000), "shard").sortWithinPartitions("shard"), "item-shards")
     none = lambda kind: F.array().cast(kind)
-    found = docs.withColumns({"n_words": F.lit(0).cast("long"), "_hits": none("array<struct<first:int,last:int>>"), "spans": none("array<struct<start:int,end:int>>"), "items": none("array<string>")})
+    empty = {"n_words": F.lit(0).cast("long"), "_hits": none(HITS), "spans": none(SPANS), "items": none("array<string>")}
+    spark = docs.sparkSession
+
+    def shared_items(rows: list):
+        return spark.sparkContext.broadcast([(r["id"], r["text"]) for r in rows])
+
+    if shards == 1:
+        found, shared = docs.withColumns(empty), shared_items(items.collect())
+    else:
+        kept = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-texts")
+        read = kept.select("_row", F.col(text_col).alias("text")).withColumns(empty)
+        partial = None
+        for shard in range(shards):
+            told = shared_items(items.where(F.col("shard") == shard).collect())
+            hit = read.mapInArrow(lambda batches, told=told, key=uuid.uuid4().hex: _shard_hits(batches, told, key, size), f"_row long, _hits {HITS}, items array<string>")
+            hit = written(hit, "shard-hits")
+            told.unpersist()
+            partial = hit if partial is None else partial.unionByName(hit)
+        all_hits = partial.groupBy("_row").agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        met = kept.join(bounded(written(all_hits, "hits"), MAX_BROADCAST_IDS // 10), "_row", "left")
+        found = met.drop("_row").withColumns(empty | {"_hits": F.coalesce("_hits", empty["_hits"]), "items": F.coalesce("items", empty["items"])})
+        found, shared = found.select(*docs.columns, *empty), shared_items([])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in found.schema])
-    for shard in range(shards):
-        rows = (items if shards == 1 else items.where(F.col("shard") == shard)).collect()
-        shared = docs.sparkSession.sparkContext.broadcast([(r["id"], r["text"]) for r in rows])
-        found = found.mapInArrow(lambda batches, shared=shared, key=uuid.uuid4().hex: _scan_batches(batches, shared, key, size, text_col), schema)
-        if shard + 1 < shards:
-            found = written(found, "decontam-pass")
+    found = found.mapInArrow(lambda batches, key=uuid.uuid4().hex: _scan_batches(batches, shared, key, size, text_col), schema)
     n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     found = found.withColumn("n_hit", n_hit).drop("_hits")
     return found.withColumn("contaminated", is_contaminated(F.col("n_words"), F.col("n_hit")))
