@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, one_spaced, shared_path, without
+from tidemark.llm.common import MAX_BROADCAST_IDS, bounded, one_spaced, shared_path, without, written
 
 #: Up to so many shared digests the verification scan is filtered by a broadcast
 #: (about 16 MB); beyond it by a shuffled semi-join.
@@ -33,11 +33,9 @@ def sha256(text: Column) -> Column:
 class DigestIndex:
     """Runs and compacted level of digests under one shared folder."""
 
-    RUN = "digest binary, id long, copies long"
-    LEVEL = "digest binary, keep_id long, n long"
-
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, id_type: str = "long"):
         self.spark = spark
+        self.run_schema, self.level_schema = f"digest binary, id {id_type}, copies long", f"digest binary, keep_id {id_type}, n long"
         self.root = root or shared_path(spark, "digest-index")
         self.runs: list[str] = []
         self.level: str | None = None
@@ -57,7 +55,7 @@ class DigestIndex:
         return path
 
     def members(self) -> DataFrame:
-        return self.spark.read.schema(self.RUN).parquet(*self.runs)
+        return self.spark.read.schema(self.run_schema).parquet(*self.runs)
 
     def compact(self) -> DataFrame:
         """Merge all runs to one level: per digest the smallest id and the rows."""
@@ -69,7 +67,7 @@ class DigestIndex:
         return self.compacted()
 
     def compacted(self) -> DataFrame:
-        return self.spark.read.schema(self.LEVEL).parquet(self.level)
+        return self.spark.read.schema(self.level_schema).parquet(self.level)
 
     def _write(self, df: DataFrame, path: str) -> None:
         df.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
@@ -88,11 +86,12 @@ def exact_dedup(
     space; null counts as the empty text. Of equal texts exactly one row is
     kept: one with the smallest id (a null id is larger than any other). Rows
     that repeat both id and text are members like others, and one of them is
-    kept. Other columns are ignored; an empty table gives no rows.
+    kept. Ids keep their type. Other columns are ignored; an empty table gives no
+    rows.
     """
     text = one_spaced(F.col(text_col))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    index = DigestIndex(docs.sparkSession)
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("norm")).withColumn("digest", digest(F.col("norm")))
+    index = DigestIndex(docs.sparkSession, id_type=keyed.schema["id"].dataType.simpleString())
     index.flush(keyed.select("id", "digest"))
     level = index.compact()
     members = index.members()
@@ -139,15 +138,27 @@ def _one_kept(grouped: DataFrame, id_col: str) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; columns stay.
 
-    Where ids are unique the dropped ids leave by an anti-join. Repeated ids are
-    matched by id and digest, and of rows alike in both one stays.
+    The dropped ids leave by an anti-join. Rows whose id is null or repeated are
+    taken apart, however many rows there are besides: only these are matched by
+    id and digest, and of rows alike in both one stays.
     """
-    decided = exact_dedup(docs, id_col, text_col)
-    ids = decided.select(id_col)
-    unique = ids.groupBy(id_col).count().where(f"count > 1 OR {id_col} IS NULL").isEmpty()
-    if unique:
-        return without(docs, decided.where("NOT kept").select(id_col), id_col)
-    kept = decided.where("kept").select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumn("_digest", sha256(one_spaced(F.col(text_col))))
-    digested = keyed.join(kept.withColumnRenamed("_digest", "_d2"), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d2")), "left_semi")
-    return digested.dropDuplicates([id_col, "_digest"]).select(docs.columns)
+    decided = written(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept", "digest"), "exact-decided")
+    repeated = written(decided.where("_id IS NOT NULL").groupBy("_id").count().where("count > 1").select("_id"), "repeated-ids")
+    some = not repeated.isEmpty()
+    repeated = bounded(repeated, MAX_BROADCAST_IDS)
+    dropped = decided.where("NOT kept AND _id IS NOT NULL").select("_id")
+    plain = docs
+    odd = docs.where(F.col(id_col).isNull())
+    if some:
+        dropped = dropped.join(repeated, "_id", "left_anti")
+        of = lambda how: docs.join(repeated, F.col(id_col) == F.col("_id"), how)
+        plain, odd = of("left_anti"), odd.unionByName(of("left_semi"))
+    elif decided.where("_id IS NULL").isEmpty():
+        return without(docs, dropped.withColumnRenamed("_id", id_col), id_col)
+    plain = without(plain.where(F.col(id_col).isNotNull()), dropped.withColumnRenamed("_id", id_col), id_col)
+    stays = decided.where("kept").select("_id", "digest").where(F.col("_id").isNull())
+    if some:
+        stays = stays.unionByName(decided.where("kept").select("_id", "digest").join(repeated, "_id", "left_semi"))
+    keyed = odd.withColumn("_digest", sha256(one_spaced(F.col(text_col))))
+    met = keyed.join(stays, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("digest")), "left_semi")
+    return plain.unionByName(met.dropDuplicates([id_col, "_digest"]).select(docs.columns))
