@@ -31,11 +31,21 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def bit_width(dimensions: int) -> int:
+def bit_width(dimensions: int | Column) -> int | Column:
     """Dimensions rounded up to whole bytes."""
+    if isinstance(dimensions, Column):
+        return (F.ceil(dimensions / 8) * 8).cast("int")
     return -(-dimensions // 8) * 8
 
 
+def sign_bytes(vector: Column) -> Column:
+    """Sign bits in bytes (as numbers), lowest bit first, of a vector of any width; bits beyond it are 0. An empty vector has no bytes."""
+    bit = lambda i: F.when((F.get(vector, i) >= 0) & ~F.isnan(F.get(vector, i)), 1).otherwise(0)
+    byte = lambda j: sum((bit(j * 8 + k) * (1 << k) for k in range(1, 8)), bit(j * 8))
+    bytes_ = F.transform(F.sequence(F.lit(0), F.greatest(bit_width(F.size(vector)) / 8 - 1, F.lit(0)).cast("int")), byte)
+    return F.when(F.size(vector) > 0, bytes_).when(vector.isNotNull(), F.array().cast("array<int>"))
+
+
 def checked(vector: Column, dimensions: int) -> Column:
     """The vector, or an error naming its width if it is not ``dimensions``."""
     said = F.concat(F.lit("vector has "), F.size(vector).cast("string"), F.lit(f" dimensions, expected {dimensions}"))

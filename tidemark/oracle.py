@@ -34,6 +34,11 @@ runs AS (SELECT *, sum(CASE WHEN l THEN 0 ELSE 1 END) OVER (PARTITION BY tracker
 placed AS (SELECT *, row_number() OVER (PARTITION BY tracker, run ORDER BY t, id) AS k FROM runs),
 mated AS (SELECT a.*, b.id AS next_id, b.t AS next_t FROM placed a LEFT JOIN placed b ON a.tracker = b.tracker AND a.run = b.run AND a.k % 2 = 1 AND b.k = a.k + 1)"""
 PAIRS = "SELECT tracker, CASE WHEN is_source THEN id ELSE next_id END AS from_id, CASE WHEN is_source THEN next_id ELSE id END AS to_id, next_t AS t FROM mated WHERE next_id IS NOT NULL"
+#: Letter triples of all words, and each language's commonest 300.
+LANGUAGE = r"""WITH words AS (SELECT doc_id, lang, length(regexp_replace(regexp_replace(text, '^[\s\x0B\x{85}\p{Z}]+', ''), '[\s\x0B\x{85}\p{Z}]+$', '')) >= 40 AS long, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents),
+grams AS (SELECT doc_id, lang, long, (' ' || w || ' ')[k:k + 2] AS gram FROM (SELECT *, unnest(range(1, length(w) + 1)) AS k FROM words)),
+profiles AS (SELECT * FROM (SELECT lang, gram, (row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram))::INTEGER AS rank FROM grams WHERE lang IS NOT NULL GROUP BY lang, gram) WHERE rank <= 300)
+"""
 #: Raw watch events, and what they come to once halves are paired and paths are quiet.
 WATCH = """w AS (SELECT *, CASE WHEN mode = 'both' THEN '/f' || (user_id + 1 + id % 3) END AS to_path, '/f' || (CASE WHEN mode = 'to' THEN user_id + 1 ELSE user_id END) AS path,
     CASE WHEN mode IN ('from', 'to') AND id % 11 <> 0 THEN user_id END AS tracker
@@ -318,6 +323,25 @@ FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'""",
     "cdc_tombstone_state": _with(STATE) + "SELECT path, size_bytes, mtime_unix, CASE WHEN deleted_at IS NULL AND path NOT IN (SELECT path FROM snap_new) THEN 5000 ELSE deleted_at END AS deleted_at FROM state",
     "upsert_enrichment": _with(FE)
     + "SELECT doc_id AS file_id, 'reviewed' AS classification, 9 AS enrichment_version FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT file_id, classification, enrichment_version FROM fe WHERE file_id % 4 <> 0",
+    "scan_walk": """WITH d AS (SELECT DISTINCT 'source=' || coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS s, 'lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS l FROM documents)
+SELECT '' AS path, 0 AS depth, count(DISTINCT s) AS n_dirs, true AS has_files FROM d UNION ALL SELECT s, 1, count(*), false FROM d GROUP BY s UNION ALL SELECT s || '/' || l, 2, 0, true FROM d""",
+    "scan_hidden": """SELECT '_k=_' || lower(r_name) AS name, true AS is_dir, 1 AS depth, true AS no_size, false AS skipped FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT '_SUCCESS', false, 1, false, false""",
+    "stream_roots": """WITH r AS (SELECT event_id AS id, user_id, event_id % 3 AS root, CASE WHEN event_id <= (SELECT max(event_id) // 2 FROM events) THEN 0 ELSE 1 END AS go FROM events),
+held AS (SELECT root, user_id, min(id) AS id FROM r GROUP BY root, user_id)
+SELECT 'root' || root AS root, stage, command, count(*) AS n, sum(id)::BIGINT AS ids FROM (
+  SELECT root, 'scan' AS stage, NULL AS command, id FROM held
+  UNION ALL SELECT root, 'change', NULL, id FROM r WHERE root = 1 OR root = 0 AND go = 0 OR root = 2 AND go = 1
+  UNION ALL SELECT unnest([0, 1, 2]), 'command', 'added', NULL UNION ALL SELECT 0, 'command', 'removed', NULL) GROUP BY ALL""",
+    "vec_bit_width": """WITH cut AS (SELECT vec_id, embedding[:len(embedding) - vec_id % 13] AS v FROM embeddings)
+SELECT vec_id, len(v)::INTEGER AS dimensions, ((len(v) + 7) // 8 * 8)::INTEGER AS bit_dimensions,
+  array_to_string(list_transform(range(0, (len(v) + 7) // 8), lambda j: printf('%02X', list_sum(list_transform(range(0, 8), lambda k: CASE WHEN coalesce(v[j * 8 + k + 1] >= 0, false) THEN (1 << k)::INTEGER ELSE 0 END))::INTEGER)), '') AS packed FROM cut""",
+    "language_profiles": LANGUAGE + "SELECT lang, gram, rank FROM profiles",
+    "detect_language": LANGUAGE
+    + """, counted AS (SELECT doc_id, gram, count(*) AS n FROM grams WHERE long GROUP BY doc_id, gram),
+ranked AS (SELECT * FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS rank FROM counted) WHERE rank <= 300),
+near AS (SELECT r.doc_id, p.lang, sum(abs(r.rank - p.rank) - 300) AS less FROM ranked r JOIN profiles p USING (gram) GROUP BY r.doc_id, p.lang),
+best AS (SELECT doc_id, min((less, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE lang END)) AS b FROM near GROUP BY doc_id)
+SELECT d.doc_id, b[2] AS language FROM documents d LEFT JOIN best USING (doc_id)""",
     "vec_checked": "SELECT vec_id AS file_id, len(embedding)::INTEGER AS width FROM embeddings",
     "knn_config": "SELECT 1 AS id, 'given' AS model, max(len(embedding))::INTEGER AS dimensions FROM embeddings",
     "json_chat_request": """SELECT doc_id, md5('{"model":"m","messages":[{"role":"system","content":"Describe."},{"role":"user","content":' || to_json(text[:8000])::VARCHAR || '}],"temperature":0.2}') AS md5 FROM documents""",

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import clock, json_text, text, vectors
-from tidemark.functions.language import detect
-from tidemark.operators import cdc, knn, paths, queues, renames, replay
+from tidemark.operators import cdc, knn, language, paths, queues, renames, replay
 from tidemark.operators import events as ev
 from tidemark.oracle import ORACLE_SQL
 from tidemark.plans import metrics, timeline
 from tidemark.plans.search import search
-from tidemark.sources import endpoints, office, tables
-from tidemark.sources.shared import shared_path
+from tidemark.sources import endpoints, office, roots, tables, walk
+from tidemark.sources.shared import shared_path, written
 from tidemark.streaming import changes, watch
 from tidemark.streaming import state as streamed_state
 
@@ -472,6 +471,14 @@ def upsert_enrichment(spark, sf_dir):
     return cdc.keep_newest(tables.enrichment(spark, sf_dir), new, "file_id")
 
 
+@query
+def vec_bit_width(spark, sf_dir):
+    cut = F.slice("embedding", F.lit(1), F.size("embedding") - (F.col("vec_id") % 13).cast("int"))
+    rows = tables.table(spark, sf_dir, "embeddings").select("vec_id", cut.alias("v"))
+    hexed = F.array_join(F.transform(vectors.sign_bytes(F.col("v")), lambda b: F.lpad(F.hex(b), 2, "0")), "")
+    return rows.select("vec_id", F.size("v").alias("dimensions"), vectors.bit_width(F.size("v")).alias("bit_dimensions"), hexed.alias("packed"))
+
+
 @query
 def vec_checked(spark, sf_dir):
     vectors_ = tables.table(spark, sf_dir, "embeddings")
@@ -582,7 +589,13 @@ def fn_url_join(spark, sf_dir):
 
 @query
 def detect_language(spark, sf_dir):
-    return tables.table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text")).alias("language"))
+    docs = tables.table(spark, sf_dir, "documents")
+    return language.detected(docs, language.profiles(docs))
+
+
+@query
+def language_profiles(spark, sf_dir):
+    return language.profiles(tables.table(spark, sf_dir, "documents"))
 
 
 def _chat_bodies(spark, sf_dir):
@@ -860,6 +873,66 @@ def stream_state_merge(spark, sf_dir):
     return table.before(GOES).where("deleted_at IS NULL").drop("deleted_at")
 
 
+@query
+def scan_walk(spark, sf_dir):
+    """Directories of documents laid out by source and language, as a walk finds them."""
+    top = shared_path(spark, "laid-out")
+    tables.table(spark, sf_dir, "documents").select("text", "source", "lang").write.partitionBy("source", "lang").text(top)
+    found = written(walk.walk(spark, [top]), "walked")
+    held = found.groupBy(F.col("parent").alias("path")).agg(F.count_if("is_dir").alias("n_dirs"), (F.count_if(~F.col("is_dir") & ~F.startswith("name", F.lit("."))) > 0).alias("has_files"))
+    base = len(walk.plain_path(top)) + 1
+    return held.join(found.where("is_dir").select("path", "depth"), "path", "left").select(F.substr("path", F.lit(base + 1)).alias("path"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_dirs", "has_files")
+
+
+@query
+def scan_hidden(spark, sf_dir):
+    top = shared_path(spark, "hidden")
+    tables.table(spark, sf_dir, "region").select("r_name", F.concat(F.lit("_"), F.lower("r_name")).alias("_k")).write.partitionBy("_k").json(top)
+    found = walk.walk(spark, [top], skip_dirs=("_k=_asia",))
+    return found.where("is_dir OR name = '_SUCCESS'").select("name", "is_dir", "depth", F.col("size_bytes").isNull().alias("no_size"), "skipped")
+
+
+def feed_roots(spark, sf_dir):
+    """Three roots: what each holds, and two goes of changes of each; gives their folders and a writer of changes."""
+    rows = looks(tables.table(spark, sf_dir, "events"))
+    top = shared_path(spark, "roots")
+    root = lambda n: f"{top}/root{n}"
+    of = lambda n: rows.where(F.col("id") % 3 == n)
+    for n in range(3):
+        of(n).groupBy("path").agg(F.min_by(F.struct("kind", "t", "id", "size_bytes", "mtime_unix"), "id").alias("s")).select("path", "s.*").write.parquet(f"{root(n)}/held")
+    half = rows.agg(F.max("id")).first()[0] // 2
+
+    def change(n: int, go: int) -> None:
+        of(n).where((F.col("id") <= half) if go == 0 else (F.col("id") > half)).write.parquet(f"{root(n)}/feed/go={go}")
+
+    return root, change
+
+
+@query
+def stream_roots(spark, sf_dir):
+    """Roots 0 and 1 from the start; then 2 comes and 0 goes. Rows by root and stage, as they came."""
+    root, change = feed_roots(spark, sf_dir)
+    top, out = shared_path(spark, "root-table"), shared_path(spark, "told")
+    stream = roots.root_stream(spark, top)
+
+    def run(*now: int) -> None:
+        spark.createDataFrame([(root(n),) for n in now], "root string").coalesce(1).write.mode("overwrite").parquet(top)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run(0, 1)
+    for n in range(3):
+        change(n, 0)
+    run(0, 1)
+    run(1, 2)
+    for n in range(3):
+        change(n, 1)
+    run(1, 2)
+    told = spark.read.schema(stream.schema).parquet(out)
+    name = F.regexp_extract("root", "[^/]*$", 0)
+    return told.groupBy(name.alias("root"), "stage", F.when(F.col("stage") == "command", F.col("kind")).alias("command")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query
 def extract_html_title(spark, sf_dir):
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
