@@ -50,14 +50,21 @@ ENDS_P = frozenset(
 SAME_KIND = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in a class, id or role that tell of something other than the article (fixed values).
 OTHER_WORDS = frozenset(
-    "ad ads advert advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer form header login masthead menu nav navbar"
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu nav navbar"
     " navigation newsletter notice pagination popup popular promo promoted promotion recommended related reply respond share sharing sidebar signup social sponsor sponsored"
-    " subscribe subscription tags toolbar widget".split()
+    " subscribe subscription toolbar widget".split()
 )
 ARTICLE_WORDS = frozenset("article body content entry main page post story text".split())
+#: Words that say nothing beside those of the two lists above (fixed values).
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box cell col column container count entries entry first footer global group header heading inner item items last layout left link links list local module mobile outer page panel"
+    " post posts primary right row secondary section site slot small sticky text title top unit view web wrap wrapper zone".split()
+)
 OTHER_TAGS = frozenset("aside button dialog footer form head header label menu nav title".split())
 ARTICLE_TAGS = frozenset("article main".split())
 
+KNOWN_WORDS = OTHER_WORDS | ARTICLE_WORDS | PLAIN_WORDS
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>])*)(?:>|\Z)", re.DOTALL)
 NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -261,7 +268,17 @@ def _closed(stack: list[Element], kinds: set[str]) -> int:
 
 
 def _names(attributes: str) -> frozenset[str]:
-    words = {w.lower() for m in NAMED.finditer(attributes) for w in NAME_WORD.findall(m[1] or m[2] or m[3] or "")}
+    """The names that an element goes by, in class, id, role or itemprop.
+
+    A name is told by its words (``site-footer``, ``adBanner``) only where all of
+    them are of the lists; else it is one word of its own, for ``related-work`` or
+    ``notice-of-motion`` are no related links and no notice.
+    """
+    words = set()
+    for found in NAMED.finditer(attributes):
+        for name in (found[1] or found[2] or found[3] or "").split():
+            parts = {w.lower() for w in NAME_WORD.findall(name)}
+            words |= parts if parts <= KNOWN_WORDS else {name.lower()}
     words.discard("hidden")
     return frozenset(words | ({"hidden"} if HIDDEN.search(attributes) and _hides(attributes) else set()))
 
