@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,44 +67,65 @@ def intern_into(path: str, names: DataFrame, batch: int, name: str = "name") ->
     return spark.read.schema(schema).parquet(path).where(F.col("batch") <= batch).select("id", "name")
 
 
-#: Up to so many wanted ids are walked up by broadcast joins, level by level.
+#: Up to so many wanted ids are walked up, level by level.
 FEW = 10_000
 
 
-def _walked_up(files: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
-    """(id, path) of at most ``FEW`` ids: each level is one scan of the tree, filtered by a broadcast."""
-    nodes = files.select("id", "parent_id", "name")
-    found = nodes.join(F.broadcast(wanted.distinct()), "id", "left_semi")
-    steps = written(found.select("id", F.col("parent_id").alias("up"), F.array("name").alias("parts")), "paths")
-    for _ in range(depth - 1):
-        ups = steps.where("up IS NOT NULL").select(F.col("up").alias("id")).distinct()
-        if ups.isEmpty():
+def _walked_up(files: DataFrame, wanted: list[int], depth: int) -> DataFrame:
+    """(id, path) of at most ``FEW`` ids: each level asks the tree for the ids not met yet, by one filter that reaches its scan.
+
+    A level asks for no more ids than are wanted, and what comes back is one row
+    an id, so the driver holds at most ``FEW`` rows a level.
+    """
+    nodes, met = files.select("id", "parent_id", "name"), {}
+    ask = set(wanted)
+    for _ in range(depth):
+        if not ask:
             break
-        above = nodes.join(F.broadcast(ups), "id", "left_semi").select(F.col("id").alias("up"), F.col("parent_id").alias("next"), F.array("name").alias("more"))
-        grown = steps.join(F.broadcast(above), "up", "left")
-        steps = written(grown.select("id", F.col("next").alias("up"), F.concat(F.coalesce("more", F.array().cast("array<string>")), "parts").alias("parts")), "paths")
-    return steps.select("id", joined(F.col("parts")).alias("path"))
+        rows = nodes.where(F.col("id").isin(sorted(ask))).collect()
+        met |= {r["id"]: (r["parent_id"], r["name"]) for r in rows}
+        ask = {r["parent_id"] for r in rows} - met.keys() - {None}
+    paths = []
+    for id_ in set(wanted):
+        parts, at = [], id_
+        while at in met and len(parts) < depth:
+            at, name = met[at]
+            parts.append(name)
+        paths.append((id_, parts[::-1]))
+    told = files.sparkSession.createDataFrame(paths, "id long, parts array<string>")
+    return told.select("id", F.when(F.size("parts") > 0, joined(F.col("parts"))).otherwise("").alias("path"))
 
 
 def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(path, id) of each path of ``wanted``, found from the root down by one equi-join a level.
+    """(path, id) of each distinct path of ``wanted``, found from the root down.
 
-    A path whose components are not all in ``files`` (id, parent_id, name), or
-    that has none, has a null id. Every eighth level is written, so plans stay
-    short for deep trees.
+    Every distinct prefix of the wanted paths is looked up once, at its own level,
+    under the id that its parent was found by: a level joins its prefixes alone,
+    and what lies under a missing one is not looked for. A path whose components
+    are not all in ``files`` (id, parent_id, name), that has none, or more than the
+    deepest allowed, has a null id.
     """
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
-    rows = written(wanted.select("path").distinct().select("path", parts.alias("parts"), F.lit(None).cast("long").alias("at"), (F.size(parts) == 0).alias("lost")), "lookup")
-    levels = rows.agg(F.max(F.size("parts"))).first()[0] or 0
+    rows = written(wanted.select("path").distinct().select("path", parts.alias("parts")), "lookup")
+    fit = rows.where((F.size("parts") > 0) & (F.size("parts") <= schemas.MAX_DEPTH))
+    each = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.struct(n.alias("level"), F.slice("parts", F.lit(1), n).alias("prefix")))
+    steps = written(fit.select(F.explode(each).alias("s")).select("s.*").distinct(), "prefixes")
+    levels = steps.agg(F.max("level")).first()[0] or 0
     nodes = files.select(F.col("parent_id").alias("_up"), F.col("name").alias("_name"), F.col("id").alias("_id"))
-    for level in range(min(levels, schemas.MAX_DEPTH)):
-        here = F.when(~F.col("lost"), F.get("parts", F.lit(level)))
-        met = rows.join(nodes, F.col("at").eqNullSafe(F.col("_up")) & (here == F.col("_name")), "left")
-        deep = F.size("parts") > level
-        rows = met.select("path", "parts", F.when(deep, F.col("_id")).otherwise(F.col("at")).alias("at"), (F.col("lost") | (deep & F.col("_id").isNull())).alias("lost"))
-        if level % 8 == 7:
-            rows = written(rows, "lookup")
-    return rows.select("path", F.when(~F.col("lost") & (F.size("parts") <= schemas.MAX_DEPTH), F.col("at")).alias("id"))
+    above = files.sparkSession.createDataFrame([([], None)], "prefix array<string>, id long")
+    found = []
+    for level in range(1, levels + 1):
+        here = steps.where(F.col("level") == level).select("prefix", F.slice("prefix", 1, level - 1).alias("_over"), F.get("prefix", F.lit(level - 1)).alias("_last"))
+        under = here.join(above.select(F.col("prefix").alias("_over"), F.col("id").alias("_at")), "_over")
+        # Roots have no parent id; those of deeper levels are compared.
+        top, same = level == 1, F.col("_last") == F.col("_name")
+        met = under.join(nodes.where(F.col("_up").isNull() if top else F.col("_up").isNotNull()), same if top else same & (F.col("_at") == F.col("_up")))
+        above = written(met.select("prefix", F.col("_id").alias("id")), "found")
+        found.append(above)
+    if not found:
+        return rows.select("path", F.lit(None).cast("long").alias("id"))
+    every = reduce(DataFrame.unionByName, found).withColumnRenamed("prefix", "parts")
+    return rows.join(every, "parts", "left").select("path", "id")
 
 
 def resolve(files: DataFrame, wanted: DataFrame | None = None, depth: int = schemas.MAX_DEPTH) -> DataFrame:
@@ -117,8 +140,9 @@ def resolve(files: DataFrame, wanted: DataFrame | None = None, depth: int = sche
     """
     if wanted is not None:
         wanted = written(wanted.select("id"), "wanted")
-        if wanted.limit(FEW + 1).count() <= FEW:
-            paths = _walked_up(files, wanted, depth)
+        few = wanted.limit(FEW + 1).collect()
+        if len(few) <= FEW:
+            paths = _walked_up(files, [r["id"] for r in few if r["id"] is not None], depth)
             return wanted.join(F.broadcast(paths), "id", "left").select("id", F.coalesce("path", F.lit("")).alias("path"))
     steps = files.select("id", F.col("parent_id").alias("up"), F.array("name").alias("parts"))
     reached = 1

@@ -34,6 +34,9 @@ runs AS (SELECT *, sum(CASE WHEN l THEN 0 ELSE 1 END) OVER (PARTITION BY tracker
 placed AS (SELECT *, row_number() OVER (PARTITION BY tracker, run ORDER BY t, id) AS k FROM runs),
 mated AS (SELECT a.*, b.id AS next_id, b.t AS next_t FROM placed a LEFT JOIN placed b ON a.tracker = b.tracker AND a.run = b.run AND a.k % 2 = 1 AND b.k = a.k + 1)"""
 PAIRS = "SELECT tracker, CASE WHEN is_source THEN id ELSE next_id END AS from_id, CASE WHEN is_source THEN next_id ELSE id END AS to_id, next_t AS t FROM mated WHERE next_id IS NOT NULL"
+#: One file per source and language, with its documents' texts as lines.
+LAID_OUT = """laid AS (SELECT 'source=' || coalesce(source, '__HIVE_DEFAULT_PARTITION__') || '/lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS folder,
+  string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY source, lang)"""
 #: Letter triples of all words, and each language's commonest 300.
 LANGUAGE = r"""WITH words AS (SELECT doc_id, lang, length(regexp_replace(regexp_replace(text, '^[\s\x0B\x{85}\p{Z}]+', ''), '[\s\x0B\x{85}\p{Z}]+$', '')) >= 40 AS long, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents),
 grams AS (SELECT doc_id, lang, long, (' ' || w || ' ')[k:k + 2] AS gram FROM (SELECT *, unnest(range(1, length(w) + 1)) AS k FROM words)),
@@ -325,6 +328,10 @@ FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'""",
     + "SELECT doc_id AS file_id, 'reviewed' AS classification, 9 AS enrichment_version FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT file_id, classification, enrichment_version FROM fe WHERE file_id % 4 <> 0",
     "scan_walk": """WITH d AS (SELECT DISTINCT 'source=' || coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS s, 'lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS l FROM documents)
 SELECT '' AS path, 0 AS depth, count(DISTINCT s) AS n_dirs, true AS has_files FROM d UNION ALL SELECT s, 1, count(*), false FROM d GROUP BY s UNION ALL SELECT s || '/' || l, 2, 0, true FROM d""",
+    "scan_files": _with(LAID_OUT) + "SELECT folder, strlen(t) AS size_bytes FROM laid",
+    "read_contents": _with(LAID_OUT) + "SELECT folder, md5(t) AS md5, NULL::VARCHAR AS error FROM laid",
+    "read_heads": _with(LAID_OUT) + "SELECT folder, md5(encode(t)[1:8192]) AS md5 FROM laid",
+    "append_rows": "SELECT doc_id, n_chars FROM documents",
     "scan_hidden": """SELECT '_k=_' || lower(r_name) AS name, true AS is_dir, 1 AS depth, true AS no_size, false AS skipped FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT '_SUCCESS', false, 1, false, false""",
     "stream_roots": """WITH r AS (SELECT event_id AS id, user_id, event_id % 3 AS root, CASE WHEN event_id <= (SELECT max(event_id) // 2 FROM events) THEN 0 ELSE 1 END AS go FROM events),
 held AS (SELECT root, user_id, min(id) AS id FROM r GROUP BY root, user_id)

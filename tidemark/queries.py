@@ -20,7 +20,7 @@ from tidemark.operators import events as ev
 from tidemark.oracle import ORACLE_SQL
 from tidemark.plans import metrics, timeline
 from tidemark.plans.search import search
-from tidemark.sources import endpoints, office, roots, tables, walk
+from tidemark.sources import endpoints, files, office, roots, tables, walk
 from tidemark.sources.shared import shared_path, written
 from tidemark.streaming import changes, watch
 from tidemark.streaming import state as streamed_state
@@ -892,6 +892,44 @@ def scan_hidden(spark, sf_dir):
     return found.where("is_dir OR name = '_SUCCESS'").select("name", "is_dir", "depth", F.col("size_bytes").isNull().alias("no_size"), "skipped")
 
 
+def _laid_out(spark, sf_dir) -> str:
+    """A folder with one text file per source and language: its documents, a line each."""
+    top = shared_path(spark, "texts")
+    rows = tables.table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", "source", "lang")
+    dealt = rows.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id")
+    dealt.select("text", "source", "lang").write.partitionBy("source", "lang").text(top)
+    return top
+
+
+def _folder():
+    """The folder of a file, below the one that holds all."""
+    return F.regexp_extract("path", "(source=[^/]*/lang=[^/]*)/", 1).alias("folder")
+
+
+@query
+def scan_files(spark, sf_dir):
+    return files.scan(spark, _laid_out(spark, sf_dir)).select(_folder(), "size_bytes")
+
+
+@query
+def read_contents(spark, sf_dir):
+    return files.contents(spark, _laid_out(spark, sf_dir)).select(_folder(), F.md5("content").alias("md5"), "error")
+
+
+@query
+def read_heads(spark, sf_dir):
+    return files.heads(spark, _laid_out(spark, sf_dir)).select(_folder(), F.md5("head").alias("md5"))
+
+
+@query
+def append_rows(spark, sf_dir):
+    """Documents appended in two commits, and an empty one."""
+    rows, path = tables.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), shared_path(spark, "appended")
+    for some in (rows.where("n_chars < 1000"), rows.limit(0), rows.where("n_chars >= 1000")):
+        files.append(some, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def feed_roots(spark, sf_dir):
     """Three roots: what each holds, and two goes of changes of each; gives their folders and a writer of changes."""
     rows = looks(tables.table(spark, sf_dir, "events"))
