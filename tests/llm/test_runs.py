@@ -10,7 +10,7 @@ import pytest
 
 from tests.llm.test_contracts import MID, rows_of
 from tidemark.llm import runs
-from tidemark.llm.queries import QUERIES
+from tidemark.llm.queries import QUERIES, repeating, run_digests
 
 
 def brute_runs(words):
@@ -119,3 +119,14 @@ def test_query_equals_brute_force(spark):
     docs = rows_of(MID, "documents")
     assert len(rows) == len(docs) and got == {d["doc_id"]: brute_query(d) for d in docs}
     assert any(r["n_runs"] == 0 for r in rows) and sum(r["n_runs"] > 0 for r in rows) > 50
+
+
+def test_planting_into_odd_documents(spark):
+    hit = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:6]
+    rows = list(zip(hit, [None, "", " \n", "one", "a b", "a b c d e f g h"])) + [(None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in run_digests(runs.periodic_runs(repeating(docs))).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows[:-1]:
+        r = got[i]
+        assert (r["n_runs"], r["start"], r["length"], r["period"], r["exponent_milli"], r["runs_sha256"], r["collapsed_sha256"]) == brute_query({"doc_id": i, "text": text})
