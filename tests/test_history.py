@@ -138,7 +138,7 @@ def test_halves_without_a_tracker_never_pair(spark):
     assert [tuple(r) for r in cdc.paired(halves, 100).collect()] == [(7, 3, 4, 110)]
     assert sorted(tuple(r) for r in cdc.unpaired(halves, 100).collect()) == [(1, None, "removed"), (2, None, "touched")]
     timed = halves.withColumn("ts", F.timestamp_millis("t"))
-    got = changes.fed(timed, "id", 2, 1, lambda s: changes.paired(s.select("id", "tracker", "is_source", "ts"), 100), "lone").collect()
+    got = changes.fed(timed, "id", 2, 1, lambda s: changes.paired(s.select("id", "tracker", "is_source", "ts"), 100, "0 seconds"), "lone").collect()
     assert {tuple(r) for r in got if r["tracker"] is None} == {(None, 1, None, 0, "removed"), (None, None, 2, 10, "touched")}
     assert [tuple(r) for r in got if r["tracker"] == 7] == [(7, 3, 4, 110, "renamed")]
 

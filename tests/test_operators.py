@@ -321,6 +321,10 @@ def test_office_documents(spark):
     got = {r["id"]: r for r in office.extract(rows).collect()}
     assert got[1]["page_count"] == 3 and got[1]["body_text"] == "two\nin1\none\nin10\none\nin2"
     assert got[2]["error"].startswith("BadZipFile") and got[3]["error"] is None and got[4]["body_text"] is None
+    # The first bytes tell the type, whatever the name says; of a zip the name does.
+    name = F.element_at(F.array(F.lit("a.xlsx"), F.lit("b.docx"), F.lit("c.pdf"), F.lit("d.md")), F.col("id").cast("int"))
+    named = {r["id"]: r for r in office.extract_named(rows.select("id", name.alias("name"), "content")).collect()}
+    assert [named[i]["doc_type"] for i in (1, 2, 3, 4)] == ["xlsx", "docx", "jpeg", "text"] and named[1]["page_count"] == 3 and named[2]["error"].startswith("BadZipFile")
 
 
 def test_scan_of_a_directory(spark, tmp_path):

@@ -309,6 +309,8 @@ FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'""",
     "stream_dedupe": "SELECT DISTINCT user_id AS file_id, event_type AS kind FROM events",
     "stream_debounce": _with("raw AS (SELECT event_id AS id, user_id AS file_id, event_type AS kind, epoch_us(ts) AS at_unix_us FROM events)", BURSTS)
     + "SELECT file_id, kind, n, last_ms, first_ms FROM bursts WHERE last_us + 21600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)",
+    "stream_debounce_late": _with("raw AS (SELECT event_id AS id, user_id AS file_id, event_type AS kind, epoch_us(ts) AS at_unix_us FROM events)", BURSTS)
+    + "SELECT file_id, kind, n, last_ms, first_ms FROM bursts WHERE last_us + 21600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 259200000000 FROM events)",
     "stream_rename": _with(EV, HALVES) + PAIRS,
     "stream_rename_unpaired": _with(EV, HALVES)
     + """SELECT id, tracker, CASE WHEN is_source THEN 'removed' ELSE 'touched' END AS change FROM mated m WHERE next_id IS NULL AND NOT EXISTS (SELECT 1 FROM mated o WHERE o.next_id = m.id)

@@ -685,12 +685,12 @@ def stream_dedupe(spark, sf_dir):
 
 @query
 def stream_debounce(spark, sf_dir):
-    return changes.drained(changes.debounced(changes.event_stream(spark, sf_dir), GAP), "debounce")
+    return changes.drained(changes.debounced(changes.event_stream(spark, sf_dir), GAP, "0 seconds"), "debounce")
 
 
 def _streamed_halves(spark, sf_dir):
     halves = changes.event_stream(spark, sf_dir).where("kind = 'purchase'").select("id", F.col("file_id").alias("tracker"), (F.col("id") % 2 == 0).alias("is_source"), "ts")
-    return changes.drained(changes.paired(halves, GAP_MS), "renames")
+    return changes.drained(changes.paired(halves, GAP_MS, "0 seconds"), "renames")
 
 
 @query
@@ -800,6 +800,13 @@ def stream_watch_changes(spark, sf_dir):
         return changes.fed(tables.table(spark, sf_dir, "events"), "event_id", GOES, LATE, settled, "watch")
 
 
+@query
+def stream_debounce_late(spark, sf_dir):
+    """As ``stream_debounce``, but the events arrive in several goes, some of them late."""
+    named = lambda stream: stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("file_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    return changes.fed(tables.table(spark, sf_dir, "events"), "event_id", GOES, LATE, lambda stream: changes.debounced(named(stream), GAP, DELAY), "late")
+
+
 def halves_joined(stream):
     rows = tables.watch_events(stream)
     return changes.halves_joined(rows.where("mode = 'from'"), rows.where("mode = 'to'"), GAP_MS, DELAY)

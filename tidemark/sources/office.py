@@ -14,6 +14,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.text import sniffed
+from tidemark.schemas import SNIFF_BYTES
 
 SCHEMA = "id long, doc_type string, title string, author string, page_count long, body_text string, taken string, make string, model string, error string"
 _FIELDS = ["id", "doc_type", "title", "author", "page_count", "body_text", "taken", "make", "model", "error"]
@@ -179,6 +183,12 @@ def _facts(doc_type: str, content: bytes) -> dict:
         return readers[doc_type](archive) | _properties(archive)
 
 
+def extract_named(files: DataFrame) -> DataFrame:
+    """Facts of each row of ``files`` (id, name, content), its type told by its first bytes, then by its name."""
+    head = F.substring("content", 1, SNIFF_BYTES)
+    return extract(files.select("id", sniffed(head, F.col("name")).alias("doc_type"), "content"))
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Facts of each row of ``files`` (id, doc_type, content)."""
 

@@ -81,8 +81,12 @@ def append_batches(stream: DataFrame, label: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
 
 
-def debounced(changes: DataFrame, gap: str, delay: str = "0 seconds") -> DataFrame:
-    """Bursts by file, emitted once the watermark has passed their quiet gap."""
+def debounced(changes: DataFrame, gap: str, delay: str) -> DataFrame:
+    """Bursts by file, emitted once the watermark has passed their quiet gap.
+
+    A change that comes more than ``delay`` after a later one is dropped, so only
+    an input that arrives in order, or in one batch, may do without.
+    """
     burst = changes.withWatermark("ts", delay).groupBy("file_id", F.session_window("ts", gap).alias("w"))
     return burst.agg(F.max_by("kind", F.struct("ts", "id")).alias("kind"), F.count("*").alias("n"), F.unix_millis(F.max("ts")).alias("last_ms"), F.unix_millis(F.min("ts")).alias("first_ms")).drop("w")
 
@@ -133,7 +137,7 @@ PAIR = "tracker long, from_id long, to_id long, t long, change string"
 HALF = "id long, is_source boolean, t long"
 
 
-def paired(halves: DataFrame, gap_ms: int, delay: str = "0 seconds") -> DataFrame:
+def paired(halves: DataFrame, gap_ms: int, delay: str) -> DataFrame:
     """Rename halves (id, tracker, is_source, ts) paired by tracker.
 
     The state of a tracker is the one half that waits. A half of the other
