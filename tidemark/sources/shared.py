@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of tables written within each open :func:`scratch`, innermost last.
+#: Paths given out within each open :func:`scratch`, innermost last.
 _open: list[list[str]] = []
 
 
@@ -27,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -38,15 +41,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    if _open:
-        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Remove at the end what :func:`written` wrote within, but for what is taken off the list.
+    """Remove at the end what was written within, under paths of :func:`shared_path`, but for what is taken off the list.
 
     Only for work whose result is a written table of its own by then: a frame
     that still reads one of the removed tables fails.
