@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, exact_dedup, langid, mixing, queries, simhash
 from tidemark.llm.common import split_of, table, written
+from tidemark.sources.shared import drop_table, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +79,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and reread.
+
+    Once a stage is written, what its operators wrote and the stage before it are
+    removed, so that at most two of the stages' tables exist at a time.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as tables:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            done = tables.pop()
+        if before:
+            drop_table(spark, before)
+        before = done
     return docs

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of every stage."""
 
+import os
 import re
 
 import duckdb
@@ -8,6 +9,7 @@ import pandas as pd
 import corpus_pipeline
 from tests.llm.test_contracts import brute_components, brute_decontam, brute_fingerprint, rows_of
 from tidemark.llm.queries import _MIX, QUERIES
+from tidemark.sources.shared import shared_dir
 
 SF = "/root/testdata/sf0.001"
 MID = "/root/testdata/sf0.01"
@@ -36,6 +38,13 @@ def test_pipeline_equals_brute_force(spark):
     assert len(got) == len(rows) and got == brute(MID)
 
 
+def test_only_the_last_stage_stays(spark):
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    rows = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert rows.count() > 0 and len(left) == 1 and left.pop().startswith("stage-source_mixing")
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = docs.limit(3).unionByName(docs.limit(2).selectExpr("cast(null as bigint) doc_id", "cast(null as string) text", "cast(null as string) lang", "cast(null as string) source", "n_chars")).unionByName(docs.limit(3))
