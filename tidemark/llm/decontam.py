@@ -34,6 +34,9 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b) in string.digi
 #: Bytes of benchmark text a shard; its automaton has about 13 nodes a byte.
 SHARD_BYTES = 256 << 10
 
+#: Bytes of text that are normalised at once.
+CHUNK_BYTES = 2 << 20
+
 HITS = "array<struct<first:int,last:int>>"
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -129,7 +132,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch], shared, key: str, size: int
         names = batch.schema.names
         texts = batch.column(names.index(text_col)).to_pylist()
         words, hits, spans, items = (batch.column(names.index(c)).to_pylist() for c in ("n_words", "_hits", "spans", "items"))
-        for start, raws in text_chunks(texts):
+        for start, raws in text_chunks(texts, CHUNK_BYTES):
             _scan_chunk(raws, machine, start, words, hits, spans, items)
         pair = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
