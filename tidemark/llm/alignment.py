@@ -45,7 +45,7 @@ from tidemark.llm.common import shuffle_partitions, written
 CHUNK_CHARS = 12 << 20
 CHUNK_DOCS = 1 << 16
 
-#: Radix parts of the pairs.
+#: Least number of radix parts of the pairs; there are as many as shuffle partitions if these are more.
 PARTS = 64
 
 #: Runs that are merged at once, and keys a block of a merged run.
@@ -348,7 +348,7 @@ def _sum(highest: np.ndarray, size_b: int) -> Callable[[pa.Table, pa.Table], pa.
     return step
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, fan_in: int = FAN_IN) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of ``docs``: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     ``path_a`` and ``path_b`` are vocabulary files, at the same place on every
@@ -364,6 +364,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     gives no rows.
     """
     spark = docs.sparkSession
+    parts = parts or max(PARTS, shuffle_partitions(spark))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     told = [rows.schema["id"], *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("groups_sha256", T.StringType())]
     schema = T.StructType(

@@ -31,7 +31,7 @@ from tidemark.llm.common import shuffle_partitions, written
 #: Characters of text a chunk.
 CHUNK_CHARS = 16 << 20
 
-#: Hash parts of the pre-tokens.
+#: Least number of hash parts of the pre-tokens; there are as many as shuffle partitions if these are more.
 PARTS = 64
 
 #: Pre-tokens that a task remembers at once; beyond them it starts anew.
@@ -134,7 +134,7 @@ def _summed(chunk: pa.Table, told: pa.Table) -> pa.Table:
     return docs.select(["id", "n_bytes"]).append_column("n_tokens", pa.array(total))
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, parts: int = PARTS) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, parts: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     ``path`` is a vocabulary file, ``.json`` (byte-level) or ``.model``, at the
@@ -145,6 +145,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     by one and keep it, of whatever type it is. Other columns are ignored; an
     empty table gives no rows.
     """
+    parts = parts or max(PARTS, shuffle_partitions(docs.sparkSession))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     long, binary = T.LongType(), T.BinaryType()
     fields = [("chunk", long), ("id", rows.schema["id"].dataType), ("doc", long), ("n_bytes", long), ("special", long), ("part", T.IntegerType()), ("units", binary), ("docs", binary)]
