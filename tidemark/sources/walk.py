@@ -86,8 +86,10 @@ def walk(spark: SparkSession, roots: list[str], skip_dirs: tuple[str, ...] = sch
     tops = [(plain_path(r).encode("utf-8", "surrogateescape"), 0) for r in roots]
     frontier = spark.createDataFrame(tops, "raw binary, depth int")
     levels = []
+    # A number of its own: a level is small in bytes, and few tasks would list it were they left to merge.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while not frontier.isEmpty():
-        found = written(frontier.repartition(F.col("raw")).mapInPandas(lambda frames: _listed(frames, skip, follow_symlinks), ENTRY), "listing")
+        found = written(frontier.repartition(tasks, "raw").mapInPandas(lambda frames: _listed(frames, skip, follow_symlinks), ENTRY), "listing")
         levels.append(found)
         frontier = found.where("descend").select("raw", "depth")
     rows = reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], ENTRY)
