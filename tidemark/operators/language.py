@@ -9,18 +9,25 @@ does not have it. Only languages written in the text's script compete.
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import trimmed
-from tidemark.sources.shared import written
 
 #: Texts shorter than this, trimmed, are not told (fixed value).
 LEAST_CHARS = 40
 
-#: Triples of a profile.
+#: Triples of a profile, and the most languages.
 SIZE = 300
+MOST = 1_000
 
 #: Scripts that are told apart; letters of any other count as "Other".
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai")
@@ -52,23 +59,49 @@ def script(text: Column) -> Column:
     return F.when(text.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), mixed).when(text.rlike(r"\p{L}"), "Latin")
 
 
-def triples(text: Column) -> Column:
-    """Letter triples of a text's lower-cased words, each word with a space at both ends."""
-    words = F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != "")
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), n, F.lit(3)))
-    return F.flatten(F.transform(words, of))
+def _words(text: Column) -> Column:
+    """Lower-cased words of a text: runs of letters."""
+    return F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != "")
 
 
-def _ranked(counted: DataFrame, by: list[str], size: int) -> DataFrame:
-    """The ``size`` commonest grams by group; of equal counts the lesser gram first."""
-    order = Window.partitionBy(*by).orderBy(F.desc("n"), "gram")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).drop("n")
+def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> DataFrame:
+    """(lang, gram, rank) of every language of ``docs``, counted over all its texts; of equal counts the lesser triple first.
 
+    Words are counted first, so only a language's distinct words are cut into
+    triples. Rows without a language or text teach nothing.
+    """
+    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(_words(F.col(text_col))).alias("w"))
+    counted = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    spaced = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
+    triples = F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(spaced, k, F.lit(3)))
+    grams = counted.select("lang", "n", F.explode(triples).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    return grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).drop("n")
 
-def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> DataFrame:
-    """(lang, gram, rank) of every language of ``docs``, counted over all its texts. Rows without a language or text teach nothing."""
-    grams = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(triples(F.col(text_col))).alias("gram"))
-    return _ranked(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), ["lang"], size)
+
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def ranked(text: str, size: int) -> list[str]:
+    """A text's commonest triples, the commonest first; of equal counts the lesser first."""
+    found: Counter[str] = Counter()
+    # Numbers that are no digits count as parts of words there; they part words here.
+    words = (part for w in LETTERS.findall(text.lower()) for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()))
+    for word, n in Counter(words).items():
+        spaced = f" {word} "
+        for k in range(len(word)):
+            found[spaced[k : k + 3]] += n
+    return [gram for gram, _ in heapq.nsmallest(size, found.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def nearest(grams: list[str], known: list[tuple[str, dict[str, int]]], size: int) -> str | None:
+    """The code of the profile whose ranks lie nearest; none if no profile has any of the triples."""
+    best = None
+    for code, ranks in known:
+        less = [abs(at - ranks[g]) - size for at, g in enumerate(grams, 1) if g in ranks]
+        if less and (best is None or (sum(less), code) < best):
+            best = sum(less), code
+    return best and best[1]
 
 
 def detected(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -76,19 +109,24 @@ def detected(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
 
     Null for texts of fewer than 40 characters when trimmed, without a letter, or
     in a script that no profile is written in; of equal distances the lesser code.
-    Profiles hold at most ``size`` rows a language and are broadcast. Triples of
-    one text are counted where the text is read; only its counts are shuffled.
+    Profiles are broadcast, at most ``MOST`` languages of ``size`` rows; texts are
+    ranked where they are read, and nothing of them is shuffled.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    told = F.when(F.length(trimmed(F.col("text"))) >= LEAST_CHARS, F.col("text"))
-    known = written(known.select("lang", "gram", "rank"), "profiles")
     scripts = known.groupBy("lang").agg(F.mode(script(F.col("gram"))).alias("script"))
-    kept = written(rows.select("_row", "id", script(told).alias("script"), told.alias("text")), "texts")
-    grams = kept.where("script IS NOT NULL").select("_row", "script", F.explode(triples(F.col("text"))).alias("gram"))
-    ranked = _ranked(grams.groupBy("_row", "script", "gram").agg(F.count("*").alias("n")), ["_row", "script"], size)
-    sized = ranked.withColumn("_grams", F.count("*").over(Window.partitionBy("_row", "script")))
-    met = sized.join(F.broadcast(known.select("lang", "gram", F.col("rank").alias("_at")).join(scripts, "lang")), ["script", "gram"])
-    # A triple that a profile lacks adds its size; those it has correct that sum.
-    near = met.groupBy("_row", "_grams", "lang").agg(F.sum(F.abs(F.col("rank") - F.col("_at")) - size).alias("less"))
-    best = near.groupBy("_row").agg(F.min(F.struct("less", iso_639_3(F.col("lang")).alias("code"))).alias("b"))
-    return kept.select("_row", "id").join(best, "_row", "left").select(F.col("id").alias(id_col), F.col("b.code").alias("language"))
+    rows = known.join(scripts, "lang").select("script", iso_639_3(F.col("lang")).alias("code"), "gram", "rank").limit(MOST * size + 1).collect()
+    if len(rows) > MOST * size:
+        raise ValueError(f"more than {MOST} languages")
+    by_script: dict = {}
+    for row in rows:
+        by_script.setdefault(row["script"], {}).setdefault(row["code"], {})[row["gram"]] = row["rank"]
+    shared = docs.sparkSession.sparkContext.broadcast({s: sorted(of.items()) for s, of in by_script.items()})
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kinds = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            codes = [nearest(ranked(t, size), shared.value[k], size) if t is not None and k in shared.value else None for t, k in zip(texts, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.string())], names=[id_col, "language"])
+
+    told = F.when(F.length(trimmed(F.col(text_col))) >= LEAST_CHARS, F.col(text_col))
+    given = docs.select(F.col(id_col), told.alias("text")).withColumn("script", script(F.col("text")))
+    return given.mapInArrow(tell, T.StructType([given.schema[id_col], T.StructField("language", T.StringType())]))
