@@ -195,6 +195,9 @@ def test_a_stream_of_looks_keeps_the_state_of_a_merge(spark):
             assert Counter(map(tuple, table.before(number + 1).collect())) == want
             assert Counter((r["path"], r["kind"]) for r in table.events().where(F.col("version") == number).collect()) == told
         state_now = spark.createDataFrame(list(want.elements()), state.STATE)
+    assert Counter(map(tuple, table.latest().collect())) == want
+    kept = spark.read.parquet(f"{table.root}/state").select("version").distinct().collect()
+    assert sorted(r["version"] for r in kept) == [1, 2]
 
 
 def test_an_overflow_scans_all_roots_once(spark):

@@ -877,7 +877,7 @@ def looks(raw):
 def stream_state_merge(spark, sf_dir):
     table = streamed_state.StateTable(spark)
     changes.fed_into(looks(tables.table(spark, sf_dir, "events")), "id", GOES, LATE, lambda stream, log: streamed_state.merge_stream(stream, table, log=log), "looks")
-    return table.before(GOES).where("deleted_at IS NULL").drop("deleted_at")
+    return table.latest().where("deleted_at IS NULL").drop("deleted_at")
 
 
 @query

@@ -2,7 +2,8 @@
 
 A version is a folder of its own number, written whole, and the events of a
 micro-batch one beside it. A batch reads the newest version below its own
-number, so a batch that runs again, after a failure, writes the same again.
+number, so a batch that runs again, after a failure, writes the same again. The
+two newest versions of the state stay, and all events.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import cdc
-from tidemark.sources.shared import shared_path
+from tidemark.sources.shared import drop_table, shared_path
 
 STATE = "path string, size_bytes long, mtime_unix long, deleted_at long"
 EVENTS = "path string, kind string, size_bytes long, at_unix_ms long"
@@ -40,12 +41,17 @@ class StateTable:
         last = rows.agg(F.max("version")).first()[0]
         return rows.where(F.col("version") == F.lit(last)).drop("version")
 
+    def latest(self) -> DataFrame:
+        return self.before((1 << 63) - 1)
+
     def events(self) -> DataFrame:
         return self._read("events", EVENTS)
 
     def put(self, state: DataFrame, events: DataFrame, version: int) -> None:
         events.select("path", "kind", "size_bytes", "at_unix_ms").write.mode("overwrite").parquet(f"{self.root}/events/version={version}")
         state.select("path", "size_bytes", "mtime_unix", "deleted_at").write.mode("overwrite").parquet(f"{self.root}/state/version={version}")
+        # A batch that runs again needs the version before its own, and none before that.
+        drop_table(self.spark, f"{self.root}/state/version={version - 2}")
 
 
 def applied(state: DataFrame, seen: DataFrame, at_ms: int) -> tuple[DataFrame, DataFrame]:
