@@ -255,6 +255,12 @@ def test_bytes(spark, n, a, b):
     assert (one(spark, text.bytes_label(F.lit(n))), one(spark, text.bytes_label_fixed(F.lit(n)))) == (a, b)
 
 
+def test_bytes_halfway_go_to_the_even_decimal(spark):
+    labels = [one(spark, text.bytes_label_fixed(F.lit(n))) for n in (12_544, 12_800, 12_672 << 10, 12_928 << 20, 1_234_567 << 30, -1)]
+    assert labels == ["12.2 KiB", "12.5 KiB", "12.4 MiB", "12.6 GiB", "1205.6 TiB", "-1 B"]
+    assert [one(spark, text.bytes_label(F.lit(n))) for n in (1_280, 9_472, 12_544)] == ["1.3 KiB", "9.3 KiB", "12 KiB"]
+
+
 def test_times(spark):
     assert one(spark, clock.exif_seconds(F.lit("2024:02:03 04:05:06"))) == 1706933106
     assert one(spark, clock.exif_seconds(F.lit("2023:02:31 00:00:60"))) == one(spark, clock.exif_seconds(F.lit("2023:03:03 00:01:00")))

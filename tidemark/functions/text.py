@@ -103,10 +103,11 @@ def bytes_label(n: Column) -> Column:
 
 
 def bytes_label_fixed(n: Column) -> Column:
-    """Binary units, always one decimal but for bytes."""
+    """Binary units, always one decimal but for bytes; a value halfway between two decimals goes to the even one."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        text = F.concat(F.format_string("%.1f", n / F.lit(float(1024**power))), F.lit(f" {unit}"))
+        # format_string would round halves up.
+        text = F.concat(F.call_function("format_number", n / F.lit(float(1024**power)), F.lit("0.0")), F.lit(f" {unit}"))
         out = out.when(n < 1024 ** (power + 1), text) if unit != "TiB" else out.otherwise(text)
     return out
 
