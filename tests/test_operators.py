@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import random
 
 import pytest
@@ -170,6 +171,37 @@ def test_recall_by_blocks_equals_broadcast(spark):
     assert plain == blocked and len(plain) == 12 and all(r[2] == 5 for r in plain)
 
 
+def test_recall_in_parts_and_tiles_equals_plain_ranks(spark, monkeypatch):
+    """Several parts, blocks and tiles, with many copies and equal bits, against ranks over all pairs."""
+    for name, n in (("MAX_BLOCK_VECTORS", 90), ("TILE_QUERIES", 4), ("TILE_VECTORS", 16)):
+        monkeypatch.setattr(knn, name, n)
+    rng = random.Random(9)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    some = {i: vector() if i % 3 else [0.5, -0.5, 0.25, 0.125] for i in range(400)}
+    rows = emb(spark, some)
+    asked = rows.where("file_id % 25 = 0").select(F.col("file_id").alias("query_id"), "embedding")
+    kept = {r["file_id"]: (list(r["embedding"]), r["bits"][0]) for r in rows.collect()}
+
+    def plain(q):
+        far = {i: (math.dist(v, kept[q][0]), bin(b ^ kept[q][1]).count("1")) for i, (v, b) in kept.items()}
+        best = sorted(far, key=lambda i: (far[i][0], i))[:5]
+        first = sorted(far, key=lambda i: (far[i][1], i))[: 5 * schemas.HAMMING_OVERSAMPLE]
+        return q, len(set(best) & set(sorted(first, key=lambda i: (far[i][0], i))[:5])), 5
+
+    want = [plain(q) for q in range(0, 400, 25)]
+    assert 0 < sum(h for _, h, _ in want) < 5 * len(want)
+    assert sorted(tuple(r) for r in knn.recall(rows, asked, 5, 4, max_broadcast=7).collect()) == want
+
+
+def test_recall_tasks_hold_bounded_parts(spark):
+    """Pairs meet in tasks' matrices, none as a row of a join."""
+    rows = emb(spark, {i: [1.0, -1.0] for i in range(10)})
+    plan = knn.recall(rows, rows.select(F.col("file_id").alias("query_id"), "embedding"), 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "FlatMapCoGroupsInArrow" in plan
+    empty = rows.limit(0)
+    assert knn.recall(empty, empty.select(F.col("file_id").alias("query_id"), "embedding"), 2, 2).count() == 0
+
+
 def test_numbered_counts_over_ranges(spark):
     from tidemark.operators.numbering import numbered
 
