@@ -112,3 +112,38 @@ def test_languages_compete_within_a_script(spark):
 def test_scripts(spark):
     rows = spark.createDataFrame([("abc é",), ("абв a",), ("漢字 a",), ("ಕನ್ನಡ",), ("12 !",), (None,)], "t string")
     assert [r["s"] for r in rows.select(language.script(F.col("t")).alias("s")).collect()] == ["Latin", "Cyrillic", "Han", "Other", None, None]
+
+
+def test_long_values_are_worked_on_in_slices():
+    """A batch of many rows leaves as bounded slices, and the rows of later slices are not made before earlier ones are taken."""
+    import pyarrow as pa
+
+    from tidemark.sources.slices import SLICE_ROWS, row_by_row
+
+    made = []
+
+    def make(n, body):
+        made.append(n)
+        return n, body and body * 2
+
+    schema = pa.schema([("n", pa.int64()), ("body", pa.string())])
+    batch = pa.RecordBatch.from_pydict({"n": list(range(50)), "body": [None if n == 7 else "x" * 100 for n in range(50)]})
+    out = row_by_row(make, schema, max_bytes=1_000)(iter([batch, batch.slice(0, 0), batch.slice(48)]))
+    first = next(out)
+    assert len(made) == first.num_rows == 5 and first.schema == schema
+    rest = list(out)
+    rows = [tuple(r.values()) for b in [first, *rest] for r in b.to_pylist()]
+    assert rows == [(n, None if n == 7 else "x" * 200) for n in [*range(50), 48, 49]] and max(b.num_rows for b in rest) <= 6
+    short = pa.RecordBatch.from_pydict({"n": list(range(2_500)), "body": [""] * 2_500})
+    assert [b.num_rows for b in row_by_row(make, schema)(iter([short]))] == [SLICE_ROWS, SLICE_ROWS, 500]
+
+
+def test_extraction_and_endpoints_hand_on_slices(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import endpoints, office
+
+    files = spark.range(4).select("id", F.lit("pdf").alias("doc_type"), F.lit(b"%PDF-1.4\n").alias("content"))
+    asked = spark.range(4).select(F.col("id").alias("file_id"), F.lit("x").alias("body_text"))
+    for frame in (office.extract(files), endpoints.enrich(asked, endpoints.stub_chat, "m", "s")):
+        assert "MapInArrow" in frame._jdf.queryExecution().executedPlan().toString() and frame.where("error IS NULL").count() == 4

@@ -6,10 +6,10 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from tidemark.operators import events as ev
 from tidemark.oracle import ORACLE_SQL
 from tidemark.plans import metrics, timeline
 from tidemark.plans.search import search
-from tidemark.sources import endpoints, files, office, roots, tables, walk
+from tidemark.sources import endpoints, files, office, roots, slices, tables, walk
 from tidemark.sources.shared import shared_path, written
 from tidemark.streaming import changes, watch
 from tidemark.streaming import state as streamed_state
@@ -753,11 +753,9 @@ def _as_tiff(body: str) -> bytes:
 def _documents_as(spark: SparkSession, sf_dir: str, doc_type: str, make: Callable[[str], bytes]) -> DataFrame:
     """The documents' texts packed as files of a type, in the tasks that read them."""
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["doc_id"], "doc_type": doc_type, "content": [make(t or "") for t in frame["text"]]})
-
-    return tables.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(pack, "id long, doc_type string, content binary")
+    schema = pa.schema([("id", pa.int64()), ("doc_type", pa.string()), ("content", pa.binary())])
+    pack = slices.row_by_row(lambda id_, body: (id_, doc_type, make(body or "")), schema)
+    return tables.table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(pack, "id long, doc_type string, content binary")
 
 
 def _office(doc_type: str, make: Callable[[str], bytes]) -> None:
