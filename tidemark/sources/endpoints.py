@@ -4,34 +4,34 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import json_text
 from tidemark.functions.text import cap
+from tidemark.sources.slices import row_by_row
 
 #: A client takes request JSON and returns the response body; it raises on failure.
 Client = Callable[[str], str]
 
+_ANSWERS = pa.schema([("file_id", pa.int64()), ("body", pa.string()), ("error", pa.string())])
+
 
 def call(requests: DataFrame, client: Client) -> DataFrame:
     """(file_id, body, error) of each (file_id, request); a failure fails its row only."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for file_id, request in zip(frame["file_id"], frame["request"]):
-                try:
-                    rows.append((file_id, client(request), None))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((file_id, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["file_id", "body", "error"])
-
-    return requests.mapInPandas(batches, "file_id long, body string, error string")
+    def answered(file_id: int, request: str) -> tuple:
+        try:
+            return file_id, client(request), None
+        except Exception as e:  # noqa: BLE001
+            return file_id, None, f"{type(e).__name__}: {e}"
+
+    asked = requests.select(F.col("file_id").cast("long").alias("file_id"), "request")
+    return asked.mapInArrow(row_by_row(answered, _ANSWERS), "file_id long, body string, error string")
 
 
 def enrich(texts: DataFrame, client: Client, model: str, system: str) -> DataFrame:
