@@ -227,3 +227,15 @@ def test_small_repairs(spark, tmp_path):
     with open(tmp_path / "large", "wb") as f:
         f.truncate(2_200_000_000)
     assert {r["path"].rsplit("/", 1)[1]: r["head"] and bytes(r["head"]) for r in files.heads(spark, str(tmp_path)).collect()} == {"small": b"abc", "large": None}
+
+
+def test_stream_state_is_kept_by_buckets_of_trackers(spark, tmp_path):
+    """Pairing calls no more groups than buckets, and tells each tracker's halves apart within one."""
+    from pyspark.sql import functions as F
+
+    raw = spark.range(4_000).select("id", F.floor(F.col("id") / 4).alias("tracker"), (F.col("id") % 2 == 0).alias("is_source"), F.timestamp_millis(1_000 + F.col("id") % 4 * 30).alias("ts"))
+    seen = []
+    got = changes.fed(raw, "id", 1, 1, lambda s: changes.paired(s, 50, "0 seconds"), "buckets", seen).collect()
+    assert sorted((r["tracker"], r["from_id"], r["to_id"]) for r in got) == sorted((n // 4, n, n + 1) for n in range(0, 4_000, 2)) and {r["change"] for r in got} == {"renamed"}
+    plan = changes.paired(spark.readStream.schema(raw.schema).parquet(str(tmp_path)), 50, "0 seconds")._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -134,7 +134,13 @@ def halves_joined(sources: DataFrame, targets: DataFrame, gap_ms: int, delay: st
 
 
 PAIR = "tracker long, from_id long, to_id long, t long, change string"
-HALF = "id long, is_source boolean, t long"
+HALVES = "tracker array<long>, id array<long>, is_source array<boolean>, t array<long>"
+#: Groups that trackers are dealt to by their hash; a stream's state is kept by them, so the number stays.
+BUCKETS = 512
+
+
+def bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 def paired(halves: DataFrame, gap_ms: int, delay: str) -> DataFrame:
@@ -143,7 +149,8 @@ def paired(halves: DataFrame, gap_ms: int, delay: str) -> DataFrame:
     The state of a tracker is the one half that waits. A half of the other
     direction within the gap pairs with it (renamed). A half that another takes
     the place of, or whose gap the watermark has passed, is told alone: a source
-    as removed, a destination as touched.
+    as removed, a destination as touched. Trackers are handled by buckets of
+    their hash, for a call and a state row each would cost more than their rows.
     """
 
     def alone(tracker: int, half: tuple) -> tuple:
@@ -151,33 +158,32 @@ def paired(halves: DataFrame, gap_ms: int, delay: str) -> DataFrame:
         return (tracker, id_, None, t, "removed") if is_source else (tracker, None, id_, t, "touched")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = state.get if state.exists else None
+        waiting = {tracker: tuple(half) for tracker, *half in zip(*state.get)} if state.exists else {}
+        rows = [] if state.hasTimedOut else [r for f in frames for r in zip(*[f[c].tolist() for c in ("tracker", "t", "id", "is_source")])]
         told = []
-        if state.hasTimedOut:
-            told.append(alone(key[0], waiting))
+        for tracker, t, id_, is_source in sorted(rows):
+            half, other = (id_, is_source, t), waiting.pop(tracker, None)
+            if other and other[1] != is_source and t - other[2] <= gap_ms:
+                source, target = (other, half) if other[1] else (half, other)
+                told.append((tracker, source[0], target[0], t, "renamed"))
+            else:
+                if other:
+                    told.append(alone(tracker, other))
+                waiting[tracker] = half
+        watermark = state.getCurrentWatermarkMs()
+        for tracker in [k for k, half in waiting.items() if half[2] + gap_ms + 1 < watermark]:
+            told.append(alone(tracker, waiting.pop(tracker)))
+        if waiting:
+            state.update(tuple(list(c) for c in zip(*[(k, *half) for k, half in waiting.items()])))
+            state.setTimeoutTimestamp(max(min(half[2] for half in waiting.values()) + gap_ms + 1, watermark + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values(["t", "id"])
-            for id_, is_source, t in zip(rows["id"], rows["is_source"], rows["t"]):
-                half = (int(id_), bool(is_source), int(t))
-                if waiting and waiting[1] != half[1] and half[2] - waiting[2] <= gap_ms:
-                    source, target = (waiting, half) if waiting[1] else (half, waiting)
-                    told.append((key[0], source[0], target[0], half[2], "renamed"))
-                    waiting = None
-                else:
-                    if waiting:
-                        told.append(alone(key[0], waiting))
-                    waiting = half
-            if waiting:
-                state.update(waiting)
-                state.setTimeoutTimestamp(max(waiting[2] + gap_ms + 1, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        frame = pd.DataFrame(told, columns=["tracker", "from_id", "to_id", "t", "change"])
-        yield frame.astype({c: "Int64" for c in ("tracker", "from_id", "to_id", "t")})
+        if told:
+            yield pd.DataFrame(told, columns=["tracker", "from_id", "to_id", "t", "change"], dtype=object)
 
     rows = halves.withWatermark("ts", delay).withColumn("t", F.unix_millis("ts"))
     # Without a tracker nothing tells which halves belong together, and null is no group.
     source = F.col("is_source")
     lone = rows.where("tracker IS NULL").select("tracker", F.when(source, F.col("id")).alias("from_id"), F.when(~source, F.col("id")).alias("to_id"), "t", F.when(source, "removed").otherwise("touched").alias("change"))
-    return rows.where("tracker IS NOT NULL").groupBy("tracker").applyInPandasWithState(step, PAIR, HALF, "append", GroupStateTimeout.EventTimeTimeout).unionByName(lone)
+    dealt = rows.where("tracker IS NOT NULL").withColumn("bucket", bucket(F.col("tracker"))).groupBy("bucket")
+    return dealt.applyInPandasWithState(step, PAIR, HALVES, "append", GroupStateTimeout.EventTimeTimeout).unionByName(lone)
