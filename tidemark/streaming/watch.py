@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from tidemark.operators import cdc
+from tidemark.streaming.changes import bucket
 
 #: Changes by path: a mark takes pending ones away and is never told.
 CHANGE = "path string, at timestamp, id long, change string, from_path string"
@@ -54,48 +55,54 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Holds a key's events until the watermark has passed them, then hands them on in order.
+    """Holds the events of a bucket of keys until the watermark has passed them, then hands each key's on in order.
 
-    Subclasses say when an event of a time may be handled (``ripe``) and what
-    handling gives. Events of one time and id replace each other, so a row read
-    twice counts once.
+    Keys are dealt to buckets by their hash, for a call and timers each would
+    cost more than their events. Subclasses say when an event of a time may be
+    handled (``wait_ms``) and what handling gives. Events of one key, time and id
+    replace each other, so a row read twice counts once.
     """
 
-    VALUE = ""
+    KEY = VALUE = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "t long, id long", self.VALUE)
+        self.held = handle.getListState("held", f"key {self.KEY}, t long, id long, {self.VALUE}")
 
     def wait_ms(self) -> int:
         """How long after an event's time it may be handled."""
         return 0
 
     def values(self, rows: pd.DataFrame) -> Iterator[tuple]:
+        """(key, time, id, ...) of each row."""
         raise NotImplementedError
 
-    def handled(self, key: tuple, ripe: list[tuple], held: list[tuple], watermark: int) -> list[tuple]:
+    def handled(self, key, ripe: list[tuple], held: list[tuple], watermark: int) -> list[tuple]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
-        for frame in rows:
-            for t, id_, value in self.values(frame):
-                self.held.updateValue((t, id_), value)
-                first = t if first is None else min(first, t)
-        if first is not None:
-            self.handle.registerTimer(first + self.wait_ms())
+        events = [event for frame in rows for event in self.values(frame)]
+        if events:
+            self.held.appendList(events)
+            self.handle.registerTimer(min(e[1] for e in events) + self.wait_ms())
         return iter([])
 
+    def taken(self) -> dict:
+        """Every key's events, each once, in order."""
+        by_key: dict = {}
+        for key, t, id_, *value in self.held.get():
+            by_key.setdefault(key, {})[t, id_] = value
+        return {key: sorted((*k, *v) for k, v in events.items()) for key, events in by_key.items()}
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((*k, *v) for k, v in self.held.iterator())
-        ripe = [h for h in held if h[0] + self.wait_ms() <= now]
-        for t, id_, *_ in ripe:
-            self.held.removeKey((t, id_))
-        told = self.handled(key, ripe, held, now)
-        if len(held) > len(ripe):
-            self.handle.registerTimer(held[len(ripe)][0] + self.wait_ms())
+        now, told, left = timerValues.getCurrentWatermarkInMs(), [], []
+        for name, held in self.taken().items():
+            n = sum(h[0] + self.wait_ms() <= now for h in held)
+            told += self.handled(name, held[:n], held, now)
+            left += [(name, *h) for h in held[n:]]
+        _keep(self.held, left)
+        if left:
+            self.handle.registerTimer(min(h[1] for h in left) + self.wait_ms())
         if told:
             yield _frame(told)
 
@@ -103,28 +110,44 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _keep(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    elif state.exists():
+        state.clear()
+
+
 class Pairing(InOrder):
     """Halves of one tracker: renames, and what is left over when the gap has passed."""
 
-    VALUE = "is_source boolean, path string"
+    KEY, VALUE = "long", "is_source boolean, path string"
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.waiting = handle.getValueState("waiting", "t long, id long, is_source boolean, path string")
+        self.waiting = handle.getListState("waiting", "key long, t long, id long, is_source boolean, path string")
 
     def values(self, rows):
-        for t, id_, is_source, path in zip(rows["t"], rows["id"], rows["is_source"], rows["path"]):
-            yield int(t), int(id_), (bool(is_source), path)
+        yield from zip(*[rows[c].tolist() for c in ("tracker", "t", "id", "is_source", "path")])
 
     def alone(self, half: tuple) -> tuple:
         t, id_, is_source, path = half
         return path, t + self.gap_ms, id_, "removed" if is_source else "touched", None
 
+    def taken(self):
+        self.now_waiting = {key: tuple(half) for key, *half in self.waiting.get()} if self.waiting.exists() else {}
+        return {key: [] for key in self.now_waiting} | super().taken()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        _keep(self.waiting, [(k, *half) for k, half in self.now_waiting.items()])
+        if self.now_waiting:
+            self.handle.registerTimer(min(half[0] for half in self.now_waiting.values()) + self.gap_ms)
+
     def handled(self, key, ripe, held, watermark):
-        told, waiting = [], tuple(self.waiting.get()) if self.waiting.exists() else None
+        told, waiting = [], self.now_waiting.pop(key, None)
         for half in ripe:
             if waiting and waiting[2] != half[2] and half[0] - waiting[0] <= self.gap_ms:
                 source, target = (waiting, half) if waiting[2] else (half, waiting)
@@ -139,17 +162,14 @@ class Pairing(InOrder):
             told.append(self.alone(waiting))
             waiting = None
         if waiting:
-            self.waiting.update(waiting)
-            self.handle.registerTimer(waiting[0] + self.gap_ms)
-        else:
-            self.waiting.clear()
+            self.now_waiting[key] = waiting
         return told
 
 
 class Settling(InOrder):
     """Changes of one path that nothing follows before the path has been quiet, at the time they have settled."""
 
-    VALUE = "change string, from_path string"
+    KEY, VALUE = "string", "change string, from_path string"
 
     def __init__(self, quiet_ms: int):
         self.quiet_ms = quiet_ms
@@ -158,13 +178,13 @@ class Settling(InOrder):
         return self.quiet_ms
 
     def values(self, rows):
-        for at, id_, change, source in zip(rows["at"], rows["id"], rows["change"], rows["from_path"]):
-            yield at.value // 1_000_000, int(id_), (change, source)
+        at = rows["at"].astype("datetime64[ms]").astype("int64")
+        yield from zip(rows["path"].tolist(), at.tolist(), *[rows[c].tolist() for c in ("id", "change", "from_path")])
 
     def handled(self, key, ripe, held, watermark):
         following = [*held[1:], None][: len(ripe)]
         quiet = [a for a, b in zip(ripe, following) if b is None or b[0] - a[0] >= self.quiet_ms]
-        return [(key[0], t + self.quiet_ms, id_, change, source) for t, id_, change, source in quiet if change != MARK]
+        return [(key, t + self.quiet_ms, id_, change, source) for t, id_, change, source in quiet if change != MARK]
 
 
 def whole(events: DataFrame, at: str = "at") -> tuple[DataFrame, DataFrame]:
@@ -197,9 +217,9 @@ def watch_stream(events: DataFrame, gap_ms: int, quiet_ms: int, delay: str) -> D
     started within :func:`timers`.
     """
     plain, halves = whole(events.withColumn("at", F.timestamp_millis(F.unix_millis("ts"))).withWatermark("at", delay))
-    keyed = halves.withColumn("t", F.unix_millis("at")).groupBy("tracker")
+    keyed = halves.withColumns({"t": F.unix_millis("at"), "bucket": bucket(F.col("tracker"))}).groupBy("bucket")
     pairs = keyed.transformWithStateInPandas(Pairing(gap_ms), CHANGE, "Append", "EventTime", eventTimeColumnName="at")
-    settled = plain.unionByName(pairs).groupBy("path").transformWithStateInPandas(Settling(quiet_ms), CHANGE, "Append", "EventTime", eventTimeColumnName="at")
+    settled = plain.unionByName(pairs).withColumn("bucket", bucket(F.col("path"))).groupBy("bucket").transformWithStateInPandas(Settling(quiet_ms), CHANGE, "Append", "EventTime", eventTimeColumnName="at")
     return settled.select("path", F.unix_millis("at").alias("at_ms"), "id", "change", "from_path")
 
 
