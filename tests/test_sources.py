@@ -1,7 +1,9 @@
 """Walks against the operating system's, roots that come and go, and language profiles."""
 
 import os
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,31 @@ def test_extraction_and_endpoints_hand_on_slices(spark):
     asked = spark.range(4).select(F.col("id").alias("file_id"), F.lit("x").alias("body_text"))
     for frame in (office.extract(files), endpoints.enrich(asked, endpoints.stub_chat, "m", "s")):
         assert "MapInArrow" in frame._jdf.queryExecution().executedPlan().toString() and frame.where("error IS NULL").count() == 4
+
+
+@pytest.mark.parametrize("piece", [3, 1 << 20])
+def test_triples_are_ranked_as_by_a_plain_count(monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
+    for text in ["", "42 _", "a", "Aa aA b-b_b1b", "der Mensch und das Meer, der Wind", "ΣΑΣ ΟΔΟΣ İx", "x²y ⅷz ª\U00020000字", "aaaa aaa aa a " * 9]:
+        found = Counter()
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            found.update(f" {word} "[k : k + 3] for k in range(len(word)))
+        want = sorted(found, key=lambda g: (-found[g], g))
+        for size in (2, 300):
+            assert language.ranked(text, size).tolist() == [language.key_of(g) for g in want[:size]]
+
+
+def test_nearest_profile_as_by_a_plain_sum():
+    profiles = {"b": {"abc": 1, "bcd": 2}, "a": {"abc": 2, "bcd": 1}, "c": {"xyz": 1}, "d": {"abc": 300}}
+    known = language.Known(profiles)
+    for grams in (["abc", "bcd"], ["bcd", "abc"], ["bcd", "zzz", "xyz"], ["zzz"], [], ["abc"]):
+        less = {c: [abs(k - of[g]) - 300 for k, g in enumerate(grams, 1) if g in of] for c, of in profiles.items()}
+        want = min(((sum(x), c) for c, x in less.items() if x), default=(0, None))[1]
+        assert known.nearest(np.array([language.key_of(g) for g in grams], np.int64), 300) == want
+
+
+def test_one_row_group_is_told_by_many_tasks(spark):
+    rows = spark.range(64).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the sea and the wind of the night and the day").alias("text"), F.lit("en").alias("lang")).coalesce(1)
+    told = language.detected(rows, language.profiles(rows)).withColumn("task", F.spark_partition_id())
+    assert told.select("task").distinct().count() > 1
+    assert told.groupBy("language").count().collect() == [("eng", 64)]

@@ -9,11 +9,11 @@ does not have it. Only languages written in the text's script compete.
 
 from __future__ import annotations
 
-import heapq
-import re
-from collections import Counter
+import sys
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import trimmed
+from tidemark.sources.slices import dealt
 
 #: Texts shorter than this, trimmed, are not told (fixed value).
 LEAST_CHARS = 40
@@ -70,7 +71,8 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", si
     Words are counted first, so only a language's distinct words are cut into
     triples. Rows without a language or text teach nothing.
     """
-    words = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(_words(F.col(text_col))).alias("w"))
+    texts = dealt(docs.where(F.col(lang_col).isNotNull()).select(lang_col, text_col))
+    words = texts.select(F.col(lang_col).alias("lang"), F.explode(_words(F.col(text_col))).alias("w"))
     counted = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     spaced = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
     triples = F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(spaced, k, F.lit(3)))
@@ -79,29 +81,67 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", si
     return grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).drop("n")
 
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Other characters than letters, in a text's letters; it sorts before all of them.
+SPACE = 32
+#: Letters of a text that are counted at once.
+PIECE = 1 << 20
 
 
-def ranked(text: str, size: int) -> list[str]:
-    """A text's commonest triples, the commonest first; of equal counts the lesser first."""
-    found: Counter[str] = Counter()
-    # Numbers that are no digits count as parts of words there; they part words here.
-    words = (part for w in LETTERS.findall(text.lower()) for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()))
-    for word, n in Counter(words).items():
-        spaced = f" {word} "
-        for k in range(len(word)):
-            found[spaced[k : k + 3]] += n
-    return [gram for gram, _ in heapq.nsmallest(size, found.items(), key=lambda x: (-x[1], x[0]))]
+@cache
+def _letters() -> np.ndarray:
+    """Each code point, or a space for one that is no letter."""
+    return np.array([c if chr(c).isalpha() else SPACE for c in range(sys.maxunicode + 1)], np.uint32)
 
 
-def nearest(grams: list[str], known: list[tuple[str, dict[str, int]]], size: int) -> str | None:
-    """The code of the profile whose ranks lie nearest; none if no profile has any of the triples."""
-    best = None
-    for code, ranks in known:
-        less = [abs(at - ranks[g]) - size for at, g in enumerate(grams, 1) if g in ranks]
-        if less and (best is None or (sum(less), code) < best):
-            best = sum(less), code
-    return best and best[1]
+def key_of(gram: str) -> int:
+    """A triple as a number; numbers sort like triples."""
+    first, second, third = map(ord, gram)
+    return first << 42 | second << 21 | third
+
+
+def ranked(text: str, size: int) -> np.ndarray:
+    """A text's commonest triples, the commonest first; of equal counts the lesser first.
+
+    Each letter is the middle of one triple.
+    """
+    letters = np.pad(_letters()[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)], 1, constant_values=SPACE)
+    found = counts = np.empty(0, np.int64)
+    for start in range(0, len(letters) - 2, PIECE):
+        part = letters[start : start + PIECE + 2].astype(np.int64)
+        keys = (part[:-2] << 42 | part[1:-1] << 21 | part[2:])[part[1:-1] != SPACE]
+        keys.sort()
+        begins = np.flatnonzero(np.diff(keys, prepend=-1))
+        n = np.diff(begins, append=len(keys))
+        if len(found):
+            found, of = np.unique(np.concatenate((found, keys[begins])), return_inverse=True)
+            counts = np.bincount(of, np.concatenate((counts, n)), len(found)).astype(np.int64)
+        else:
+            found, counts = keys[begins], n
+    return found[np.argsort(-counts, kind="stable")[:size]]
+
+
+class Known:
+    """Profiles of one script, by triple: the languages that have it, and its ranks there."""
+
+    def __init__(self, profiles: dict[str, dict[str, int]]):
+        self.codes = sorted(profiles)
+        rows = sorted((key_of(gram), k, rank) for k, code in enumerate(self.codes) for gram, rank in profiles[code].items() if len(gram) == 3)
+        keys, self.langs, self.ranks = np.array(rows, np.int64).reshape(-1, 3).T.copy()
+        self.grams, self.begins, self.counts = np.unique(keys, return_index=True, return_counts=True)
+
+    def nearest(self, grams: np.ndarray, size: int) -> str | None:
+        """The code of the profile whose ranks lie nearest; none if no profile has any of the triples."""
+        at = np.searchsorted(self.grams, grams)
+        hit = np.flatnonzero(at < len(self.grams))
+        hit = hit[self.grams[at[hit]] == grams[hit]]
+        if not len(hit):
+            return None
+        n = self.counts[at[hit]]
+        rows = np.repeat(self.begins[at[hit]] - n.cumsum() + n, n) + np.arange(n.sum())
+        langs = self.langs[rows]
+        less = np.bincount(langs, np.abs(np.repeat(hit + 1, n) - self.ranks[rows]) - size, len(self.codes))
+        less[np.bincount(langs, minlength=len(self.codes)) == 0] = np.inf
+        return self.codes[less.argmin()]
 
 
 def detected(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -110,23 +150,23 @@ def detected(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
     Null for texts of fewer than 40 characters when trimmed, without a letter, or
     in a script that no profile is written in; of equal distances the lesser code.
     Profiles are broadcast, at most ``MOST`` languages of ``size`` rows; texts are
-    ranked where they are read, and nothing of them is shuffled.
+    dealt to the tasks once and ranked there, one at a time.
     """
-    scripts = known.groupBy("lang").agg(F.mode(script(F.col("gram"))).alias("script"))
-    rows = known.join(scripts, "lang").select("script", iso_639_3(F.col("lang")).alias("code"), "gram", "rank").limit(MOST * size + 1).collect()
+    scripts = F.mode(script(F.col("gram"))).over(Window.partitionBy("lang"))
+    rows = known.select(scripts.alias("script"), iso_639_3(F.col("lang")).alias("code"), "gram", "rank").limit(MOST * size + 1).collect()
     if len(rows) > MOST * size:
         raise ValueError(f"more than {MOST} languages")
     by_script: dict = {}
     for row in rows:
         by_script.setdefault(row["script"], {}).setdefault(row["code"], {})[row["gram"]] = row["rank"]
-    shared = docs.sparkSession.sparkContext.broadcast({s: sorted(of.items()) for s, of in by_script.items()})
+    shared = docs.sparkSession.sparkContext.broadcast({s: Known(of) for s, of in by_script.items()})
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, kinds = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            codes = [nearest(ranked(t, size), shared.value[k], size) if t is not None and k in shared.value else None for t, k in zip(texts, kinds)]
+            known = [shared.value.get(kind) for kind in batch.column(2).to_pylist()]
+            codes = [k.nearest(ranked(text.as_py(), size), size) if k and text.is_valid else None for text, k in zip(batch.column(1), known)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.string())], names=[id_col, "language"])
 
     told = F.when(F.length(trimmed(F.col(text_col))) >= LEAST_CHARS, F.col(text_col))
-    given = docs.select(F.col(id_col), told.alias("text")).withColumn("script", script(F.col("text")))
+    given = dealt(docs.select(id_col, text_col)).select(F.col(id_col), told.alias("text")).withColumn("script", script(F.col("text")))
     return given.mapInArrow(tell, T.StructType([given.schema[id_col], T.StructField("language", T.StringType())]))

@@ -1,10 +1,12 @@
-"""Work on long values row by row in Arrow batches, a slice in memory at a time."""
+"""Work on long values: rows dealt to all tasks, and read row by row in Arrow batches, a slice in memory at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text and binary values that a slice gathers before it is handed on.
 SLICE_BYTES = 1 << 20
@@ -12,6 +14,18 @@ SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1_000
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in even parts, for work that costs more than its shuffle.
+
+    A row group of a file is read by one task, so a table of few row groups
+    would be worked on by few tasks. Rows are dealt by their place, so copies
+    and null keys spread like others.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.withColumn("_place", F.monotonically_increasing_id()).repartition(parts, "_place").drop("_place")
+
+
 def row_by_row(make: Callable[..., tuple], schema: pa.Schema, max_bytes: int = SLICE_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow``: ``make`` of each row's values, as rows of ``schema``.
 
