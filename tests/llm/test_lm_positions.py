@@ -71,3 +71,32 @@ def test_scores_do_not_depend_on_the_split_and_beat_word_counts(spark):
     total = sum(words.values())
     plain = sum(n * math.log(n / total) for n in words.values()) / total
     assert whole / total > plain + 0.3 and sum(s for _, s in scores[0].values()) / total > plain + 0.1
+
+
+@pytest.mark.parametrize("together", [1, 40, 1 << 18])
+def test_words_are_numbered_together_as_one_by_one(monkeypatch, together):
+    monkeypatch.setattr(lm_score, "TOGETHER", together)
+    raws = [b"The cat  sat\ton\nTHE mat", b"", b" \x0b\x0c\r ", b"x", b" a bc ", b"q" * 31 + b" " + b"q" * 32 + b" " + b"q" * 33 + b" " + b"Q" * 999, "Él ÉL \x00 \x1c\x85 漢字 z".encode(), b"a\rb\nc", b""]
+    want = [[lm_score.number_of(w) for w in raw.lower().split()] for raw in raws]
+    got = lm_score.tokens_of(raws)
+    assert [g.tolist() for g in got] == want and {g.dtype for g in got} == {np.dtype(np.int32)}
+    assert lm_score.tokens_of([]) == [] and [len(t) for t in lm_score.tokens_of([b"", b" "])] == [0, 0]
+
+
+@pytest.mark.parametrize("scale", [1, 50, 5_000])
+def test_no_logits_are_too_large(scale):
+    raws = [b"the cat sat on the mat", b"the dog", b"cat"] * 400
+    words = vocabulary(raws)
+    net = lm_score.Network(words=words, seed=3)
+    net.parts[3][:] *= scale
+    rows, numbers, at = lm_score.laid_out(lm_score.tokens_of(raws), words)
+    assert len(at) > 2 * lm_score.BATCH
+    around = net.context(rows, at)
+    table, inner, shift, outer, bias = (p.astype(float) for p in net.parts)
+    logits = np.tanh(table[around].reshape(len(at), -1) @ inner + shift) @ outer + bias
+    logits -= logits.max(axis=1, keepdims=True)
+    of = words.class_of[numbers[at]]
+    want = logits[np.arange(len(at)), of] - np.log(np.exp(logits).sum(axis=1)) + words.within[numbers[at]]
+    assert np.allclose(net.log_probs(rows, numbers, at), want, rtol=1e-4, atol=1e-4)
+    net.learn(around[:512], of[:512])
+    assert all(np.isfinite(p).all() for p in net.parts)

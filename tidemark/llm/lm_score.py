@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import clashing, text_chunks, written
+from tidemark.llm.common import SPACES, clashing, text_chunks, written
 
 #: Word numbers: a hash, whose last digits tell the ending. Counts of words are
 #: gathered by number, so they grow with the words of the input up to this bound.
@@ -42,6 +43,11 @@ DEPTH = 8
 HIDDEN = 32
 SIDE = 2
 ROUNDS = 2
+#: Positions worked on at once, few enough for the caches.
+BATCH = 512
+ONES = np.ones(max(BATCH, CLASSES), np.float32)
+#: Logits beyond it might overflow in exp.
+LARGE = 60
 #: Tokens of a slice, about.
 SLICE = 2_000_000
 
@@ -50,23 +56,61 @@ def number_of(word: bytes) -> int:
     return zlib.crc32(word) % (WORDS // ENDINGS) * ENDINGS + zlib.crc32(word[-2:]) % ENDINGS
 
 
-class Numbers(dict):
-    """Words to their numbers, worked out at the first look-up."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = number_of(word)
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found
-        return found
-
-
-_numbers = Numbers()
+#: Bytes of text whose words are numbered together, and of a word that are taken in step with others'.
+TOGETHER = 1 << 18
+IN_STEP = 32
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes part words; the steps of crc32 by byte; a word's ending by its last two bytes, the first a space if it has but one."""
+    gaps = np.zeros(256, bool)
+    gaps[list(SPACES.encode())] = True
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, steps >> 1 ^ 0xEDB88320, steps >> 1).astype(np.uint32)
+    endings = [zlib.crc32(bytes([b] if gaps[a] else [a, b])) % ENDINGS for a in range(256) for b in range(256)]
+    return gaps, steps, np.array(endings, np.int32)
+
+
+def tokens_of(raws: list[bytes]) -> list[np.ndarray]:
+    """The words' numbers (``number_of``) of each text."""
+    out: list[np.ndarray] = []
+    start, size = 0, 0
+    for i, raw in enumerate(raws, 1):
+        size += len(raw)
+        if size >= TOGETHER or i == len(raws):
+            out += _numbered(raws[start:i])
+            start, size = i, 0
+    return out
+
+
+def _numbered(raws: list[bytes]) -> list[np.ndarray]:
+    gaps, steps, endings = _tables()
+    joined = b" " + b" ".join(raws).lower() + b" "
+    data = np.frombuffer(joined, np.uint8)
+    gap = gaps[data]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    # Words by length: those that have a byte at a step are the last of them.
+    lengths = np.minimum(ends - begins, IN_STEP + 1).astype(np.uint8)
+    order = np.argsort(lengths, kind="stable")
+    at, state = begins[order], np.full(len(begins), 0xFFFFFFFF, np.uint32)
+    done = np.cumsum(np.bincount(lengths, minlength=IN_STEP + 2))
+    for k in range(min(int(lengths.max(initial=0)), IN_STEP)):
+        now = state[done[k] :]
+        now[:] = steps.take(now.astype(np.uint8) ^ data.take(at[done[k] :] + k)) ^ now >> 8
+    sums = np.empty_like(state)
+    sums[order] = ~state
+    for k in order[done[IN_STEP] :].tolist():
+        sums[k] = zlib.crc32(joined[begins[k] : ends[k]])
+    last = data[ends - 2].astype(np.int32) << 8 | data[ends - 1]
+    numbers = (sums % (WORDS // ENDINGS)).astype(np.int32) * ENDINGS + endings.take(last)
+    return np.split(numbers, np.searchsorted(begins, np.cumsum([len(r) + 1 for r in raws[:-1]]) + 1))
 
 
 def tokens(raw: bytes) -> np.ndarray:
-    words = raw.lower().split()
-    return np.fromiter(map(_numbers.__getitem__, words), np.int32, len(words))
+    return tokens_of([raw])[0]
 
 
 class Vocabulary:
@@ -107,13 +151,15 @@ class Network:
     def forward(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, hidden layer and class log-probabilities up to a constant of the row, taken away by callers."""
         table, inner, shift, outer, bias = self.parts
-        x = table[rows].reshape(len(rows), -1)
+        x = table.take(rows.ravel(), axis=0).reshape(len(rows), -1)
         h = x @ inner
         h += shift
         np.tanh(h, out=h)
         logits = h @ outer
         logits += bias
-        logits -= logits.max(axis=1, keepdims=True)
+        # The hidden layer lies within 1, which bounds the logits; exp can't overflow below.
+        if np.abs(outer).sum(axis=0).max() + np.abs(bias).max() > LARGE:
+            logits -= logits.max(axis=1, keepdims=True)
         return x, h, logits
 
     def learn(self, rows: np.ndarray, classes: np.ndarray, rate: float = 0.05) -> None:
@@ -121,33 +167,34 @@ class Network:
         _, inner, _, outer, _ = self.parts
         x, h, miss = self.forward(rows)
         np.exp(miss, out=miss)
-        miss *= -1 / (miss.sum(axis=1, keepdims=True) * len(rows))
+        miss *= (-1 / (miss @ ONES[:CLASSES] * len(rows)))[:, None]
         miss[np.arange(len(rows)), classes] += 1 / len(rows)
         back = miss @ outer.T
         back *= 1 - h * h
-        grads = [None, x.T @ back, back.sum(axis=0), h.T @ miss, miss.sum(axis=0)]
+        ones = ONES[: len(rows)]
+        grads = [None, x.T @ back, ones @ back, h.T @ miss, ones @ miss]
         spread = (back @ inner.T).reshape(-1, DEPTH)
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
         sorted_ = flat[order]
         begins = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        used, dense = sorted_[begins], np.add.reduceat(spread[order], begins, axis=0)
-        squares = self.squares[0][used] + dense**2
+        used, dense = sorted_[begins], np.add.reduceat(spread.take(order, axis=0), begins, axis=0)
+        squares = self.squares[0].take(used, axis=0) + dense * dense
         self.squares[0][used] = squares
-        self.parts[0][used] += rate * dense / np.sqrt(squares)
+        self.parts[0][used] = self.parts[0].take(used, axis=0) + rate * dense / np.sqrt(squares)
         for k in range(1, len(grads)):
             self.squares[k] += grads[k] ** 2
             self.parts[k] += rate * grads[k] / np.sqrt(self.squares[k])
 
     def log_probs(self, ids: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.float64)
-        for i in range(0, len(at), 2048):
-            part = at[i : i + 2048]
+        for i in range(0, len(at), BATCH):
+            part = at[i : i + BATCH]
             _, _, logits = self.forward(self.context(ids, part))
             w = words[part]
             own = logits[np.arange(len(part)), self.words.class_of[w]]
             np.exp(logits, out=logits)
-            out[i : i + 2048] = own - np.log(logits.sum(axis=1)) + self.words.within[w]
+            out[i : i + BATCH] = own - np.log(logits @ ONES[:CLASSES]) + self.words.within[w]
         return out
 
 
@@ -163,7 +210,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         draws = batch.column(0).to_pylist()
         for start, raws in text_chunks(batch.column(1).to_pylist(), 4 << 20):
-            found = [(draws[start + i], t) for i, r in enumerate(raws) if len(t := tokens(r))]
+            found = [(draws[start + i], t) for i, t in enumerate(tokens_of(raws)) if len(t)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([t.tobytes() for _, t in found], pa.binary()), pa.array([len(t) for _, t in found], pa.int64())], names=["draw", "numbers", "n"])
 
 
@@ -218,8 +265,8 @@ def _train(batches: Iterator[pa.RecordBatch], shared, key: str, turn: int, round
         at = at[in_round(numbers, at, turn, rounds)]
         seen += len(at)
         around, classes = network.context(rows, at), words.class_of[numbers[at]]
-        for i in range(0, len(at), 512):
-            network.learn(around[i : i + 512], classes[i : i + 512])
+        for i in range(0, len(at), BATCH):
+            network.learn(around[i : i + BATCH], classes[i : i + BATCH])
     if seen:
         yield done()
 
@@ -261,7 +308,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, key: str, text_col: str) -
         names = batch.schema.names
         counts, sums = [], []
         for _, raws in text_chunks(batch.column(names.index(text_col)).to_pylist(), 1 << 20):
-            each = [tokens(r) for r in raws]
+            each = tokens_of(raws)
             rows, numbers, at = laid_out(each, network.words)
             logs = np.append(np.cumsum(network.log_probs(rows, numbers, at)), 0.0) if len(at) else np.zeros(1)
             lengths = np.array([len(e) for e in each])
